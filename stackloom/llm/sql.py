@@ -20,3 +20,34 @@ pairs AS (
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r)::BIGINT AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id) GROUP BY d.doc_id, n.n
 """
+
+_FAILS = """(
+  (len(b) - len(translate(b, '#*$%&|<>', '')) >= 3 AND (len(b) - len(translate(b, '#*$%&|<>', ''))) * 20 > len(b))
+  OR (len(b) - len(replace(b, '|', '')) >= 2 AND (len(b) - len(replace(b, '|', ''))) * 25 > len(b))
+  OR (len(b) >= 20 AND upper(b) = b AND lower(b) <> b)
+  OR (len(b) >= 20 AND right(b, 1) NOT IN ('.', '!', '?', ':', ';', ',', '"', '''', ')', ']', '}', '…', '。', '»', '”', '’'))
+  OR (len(b) < 200 AND regexp_matches(lower(b), 'all rights reserved|licensed under|released under the|terms of (use|service)|privacy policy|cookie policy|accept (all )?cookies|subscribe to our|sign up for|click here to|enable javascript|skip to (main )?content')))"""
+
+OP5 = rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, {WORDS.format("coalesce(text, '')")} AS ws FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(ws[i:i+2], ' ') AS tri FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)
+), dup AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, tri) AS c FROM g) WHERE c >= 2
+), rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM dup) GROUP BY doc_id
+), l AS (
+  SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w
+), lf AS (
+  SELECT doc_id, line, {_FAILS} AS fails, b FROM (SELECT *, trim(line, E' \t\n\x0b\x0c\r') AS b FROM l)
+), ls AS (
+  SELECT doc_id, count(*) FILTER (b <> '') - count(DISTINCT line) FILTER (b <> '') AS dup, sum(len(line)) AS chars, coalesce(sum(len(line)) FILTER (NOT fails), 0) AS kept FROM lf GROUP BY doc_id
+), facts AS (
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: len(x))), 0)::BIGINT AS word_chars,
+    (len(t) - len(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, ls.dup::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, ls.chars, ls.kept
+  FROM w JOIN ls USING (doc_id) LEFT JOIN rep USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND kept * 100 >= chars * 60 AS kept
+FROM (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM facts)
+"""
