@@ -45,7 +45,8 @@ def _line_fails(line: Column, min_chars: int) -> Column:
     noisy = (symbols >= 3) & (symbols * 20 > chars)
     navigation = (pipes >= 2) & (pipes * 25 > chars)
     shouting = (chars >= min_chars) & (F.upper(bare) == bare) & (F.lower(bare) != bare)
-    open_end = (chars >= min_chars) & ~F.right(bare, F.lit(1)).isin(END_MARKS)
+    # a line that cuts off after whole sentences is prose
+    open_end = (chars >= min_chars) & ~F.right(bare, F.lit(1)).isin(END_MARKS) & ~bare.contains(". ") & ~bare.contains("! ") & ~bare.contains("? ")
     boilerplate = (chars < BOILERPLATE_CHARS) & F.lower(bare).rlike(BOILERPLATE)
     return noisy | navigation | shouting | open_end | boilerplate
 

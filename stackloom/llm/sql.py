@@ -25,7 +25,7 @@ _FAILS = """(
   (len(b) - len(translate(b, '#*$%&|<>', '')) >= 3 AND (len(b) - len(translate(b, '#*$%&|<>', ''))) * 20 > len(b))
   OR (len(b) - len(replace(b, '|', '')) >= 2 AND (len(b) - len(replace(b, '|', ''))) * 25 > len(b))
   OR (len(b) >= 20 AND upper(b) = b AND lower(b) <> b)
-  OR (len(b) >= 20 AND right(b, 1) NOT IN ('.', '!', '?', ':', ';', ',', '"', '''', ')', ']', '}', '…', '。', '»', '”', '’'))
+  OR (len(b) >= 20 AND right(b, 1) NOT IN ('.', '!', '?', ':', ';', ',', '"', '''', ')', ']', '}', '…', '。', '»', '”', '’') AND NOT contains(b, '. ') AND NOT contains(b, '! ') AND NOT contains(b, '? '))
   OR (len(b) < 200 AND regexp_matches(lower(b), 'all rights reserved|licensed under|released under the|terms of (use|service)|privacy policy|cookie policy|accept (all )?cookies|subscribe to our|sign up for|click here to|enable javascript|skip to (main )?content')))"""
 
 OP5 = rf"""

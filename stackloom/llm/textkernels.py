@@ -99,8 +99,8 @@ class Words:
     first: np.ndarray
 
 
-def split_words(c: Chunk) -> Words:
-    solid = ~WHITE[c.data]
+def split_words(c: Chunk, white: np.ndarray = WHITE) -> Words:
+    solid = ~white[c.data]
     if not len(solid):
         z = np.zeros(0, np.int64)
         return Words(z, z, np.zeros(len(c) + 1, np.int64))
@@ -115,7 +115,7 @@ def split_words(c: Chunk) -> Words:
     return Words(starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, c.offsets))
 
 
-def word_hashes(c: Chunk, w: Words, lower: bool = True) -> np.ndarray:
+def word_hashes(c: Chunk, w: Words, lower: bool = True, white: np.ndarray = WHITE) -> np.ndarray:
     if not len(w.starts):
         return np.zeros(0, np.uint64)
     span = np.diff(np.append(w.starts, len(c.data)))
@@ -126,7 +126,7 @@ def word_hashes(c: Chunk, w: Words, lower: bool = True) -> np.ndarray:
     if int(span.max()) > 4096:
         at = np.where(at < np.repeat(length, span), at, 0).astype(np.int32)
     term *= powers(int(max(at.max(), 0)) + 1)[at]
-    term[WHITE[body]] = 0
+    term[white[body]] = 0
     return mix(np.add.reduceat(term, w.starts - w.starts[0]) + length.astype(np.uint64) * _M2)
 
 
