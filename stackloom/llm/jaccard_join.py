@@ -8,13 +8,15 @@ table of counters over the whole corpus (two reads of the text; the table does
 not grow).  Documents that share such a token meet in a tile:
 
 1. equal sets collapse to one node before anything is joined;
-2. in every token's tile the smallest node is the hub; each node is verified
-   against the smallest of its hubs, which joins groups of copies in one star
-   per group instead of all pairs;
-3. tiles that still hold two components are cut by size band (and by chunks of
-   rows where they are large), and every cross-component pair is bounded from
-   above: |x & y| <= (|x| + |y| - popcount(bits_x ^ bits_y)) / 2, with parity
-   bitmaps of at least n bits (the longer folds onto the shorter by XOR);
+2. a tile holds the nodes of one token, ordered by size; only nodes whose sizes
+   allow the threshold (a band that moves with the size) are compared.  Every
+   pair is bounded from above first: |x & y| <= (|x| + |y| -
+   popcount(bits_x ^ bits_y)) / 2, with parity bitmaps of at least n bits (the
+   longer folds onto the shorter by XOR).  In a first round each node meets the
+   leader of its band alone, which joins groups of copies in stars;
+3. in a second round tiles that still hold two components compare every pair of
+   different components; a tile's main component is not compared with itself,
+   and large tiles are cut in chunks of rows, spread over tasks;
 4. pairs that pass are intersected exactly as sorted arrays.
 
 Pairs inside one component are skipped, since they cannot change a result
@@ -39,6 +41,7 @@ from stackloom.llm.scratch import Scratch
 
 COUNTERS = 1 << 17
 TILE_ROWS = 4096
+NODE_BUCKETS = 1 << 22
 _LAST = 2**63 - 1
 
 
@@ -108,7 +111,8 @@ def _signatures(k: int, num: int, den: int, classes: np.ndarray):
                 p = np.where(s.n > 0, s.n - -(-num * s.n // den) + 1, 0)
                 out = np.concatenate([[0], np.cumsum(p)])
                 at = np.repeat(s.first[:-1], p) + np.arange(out[-1]) - np.repeat(out[:-1], p)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, len(c)), pa.array(s.n), pa.array(s.sid), K.list_rows(K.as_long(s.tok[at]), out)], ["doc_id", "n", "sid", "prefix"])
+                bits = K.binary_rows(s.bits, s.bit_first // 8)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, len(c)), pa.array(s.n), pa.array(s.sid), K.list_rows(K.as_long(s.tok[at]), out), bits], ["doc_id", "n", "sid", "prefix", "bits"])
 
     return run
 
@@ -121,72 +125,135 @@ def _arrays(k: int, classes: np.ndarray):
                 s = _Sets(c, k, classes)
                 ok = s.sid == want[c.lo : c.hi]
                 toks = K.binary_rows(s.tok.view(np.uint8), s.first * 8)
-                bits = K.binary_rows(s.bits, s.bit_first // 8)
-                yield pa.RecordBatch.from_arrays([pa.array(s.sid), pa.array(s.n), bits, toks], ["sid", "n", "bits", "toks"]).filter(pa.array(ok))
+                yield pa.RecordBatch.from_arrays([pa.array(s.sid), toks], ["sid", "toks"]).filter(pa.array(ok))
 
     return run
 
 
-def _fold(bits: np.ndarray, width: int) -> np.ndarray:
-    return np.bitwise_xor.reduce(bits.reshape(-1, width), axis=0) if len(bits) > width else bits
-
-
 def _verify(num: int, den: int):
     def run(batches):
         for batch in batches:
             ta, tb = batch.column("ta"), batch.column("tb")
             keep = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
-                x, y = np.frombuffer(ta[i].as_buffer(), "<u8"), np.frombuffer(tb[i].as_buffer(), "<u8")
-                both = len(x) + len(y)
-                # common / (both - common) >= num / den
-                need = -(-num * both // (num + den))
-                if min(len(x), len(y)) < need:
-                    continue
-                u, v = np.frombuffer(batch.column("ba")[i].as_buffer(), np.uint8), np.frombuffer(batch.column("bb")[i].as_buffer(), np.uint8)
-                m = min(len(u), len(v))
-                if (both - int(np.bitwise_count(_fold(u, m) ^ _fold(v, m)).sum())) // 2 < need:
-                    continue
-                z = np.concatenate([x, y])
+                z = np.concatenate([np.frombuffer(ta[i].as_buffer(), "<u8"), np.frombuffer(tb[i].as_buffer(), "<u8")])
                 z.sort()
-                keep[i] = np.count_nonzero(z[1:] == z[:-1]) >= need
+                # common / (both - common) >= num / den
+                keep[i] = np.count_nonzero(z[1:] == z[:-1]) >= -(-num * len(z) // (num + den))
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
-def _tile(num: int, den: int):
-    """Cross-component pairs of one tile that sizes and bitmaps don't exclude."""
-
-    def run(t: pa.Table) -> pa.Table:
-        sid, comp, n, side = (np.asarray(t.column(x).combine_chunks()) for x in ("sid", "comp", "n", "side"))
-        order = np.lexsort((sid, n))
-        sid, comp, n, side = sid[order], comp[order], n[order], side[order]
-        keep = np.ones(len(sid), bool)
-        keep[1:] = sid[1:] != sid[:-1]
-        col, rows = t.column("bits").combine_chunks(), order[keep]
-        sid, comp, n, side = sid[keep], comp[keep], n[keep], side[keep]
-        bits = [np.frombuffer(col[int(i)].as_buffer(), np.uint8) for i in rows]
+class _Tiles:
+    """Rows (key, n, sid, comp, other, bits) of whole tiles, ordered by tile and size."""
+
+    def __init__(self, t: pa.Table, num: int, den: int):
+        t = t.combine_chunks()
+        self.num, self.den = num, den
+        self.key, self.n, self.sid, self.comp = (np.asarray(t.column(x).combine_chunks()) for x in ("key", "n", "sid", "comp"))
+        self.other = np.asarray(t.column("other").combine_chunks())
+        self.raw, self.at = K.buffers(t.column("bits"))
+        self.width = np.diff(self.at)
+
+    def bound(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Where the bit counts of rows i and j leave room for a large enough overlap."""
+        ok = np.zeros(len(i), bool)
+        both = self.n[i] + self.n[j]
+        need = -(-self.num * both // (self.num + self.den))
+        for w in np.unique(np.minimum(self.width[i], self.width[j])):
+            some = np.flatnonzero(np.minimum(self.width[i], self.width[j]) == w)
+            for lo in range(0, len(some), max(1, (1 << 22) // int(w))):
+                s = some[lo : lo + max(1, (1 << 22) // int(w))]
+                far = np.bitwise_count(self.folded(i[s], int(w)) ^ self.folded(j[s], int(w))).sum(axis=1, dtype=np.int64)
+                ok[s] = (both[s] - far) // 2 >= need[s]
+        return ok
+
+    def folded(self, rows: np.ndarray, w: int) -> np.ndarray:
+        out = np.empty((len(rows), w), np.uint8)
+        for own in np.unique(self.width[rows]):
+            r = np.flatnonzero(self.width[rows] == own)
+            got = self.raw[self.at[rows[r]][:, None] + np.arange(own)]
+            out[r] = np.bitwise_xor.reduce(got.reshape(len(r), -1, w), axis=1) if own > w else got
+        return out
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (self.key[i] == self.key[j]) & (self.n[j] * self.num <= self.n[i] * self.den)
+
+    def leaders(self, turns: int):
+        """Each row against the first of its tile that is near it in size; those the bits rule out meet a further first, some turns long."""
+        left = np.arange(len(self.key))
+        for _ in range(turns):
+            if not len(left):
+                return
+            begin = np.flatnonzero(np.append(True, self.key[left][1:] != self.key[left][:-1]))
+            tile = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(left))))
+            # tiles are ordered by n, so one search over (tile, n) finds the first near row
+            span = int(self.n.max()) + 2
+            least = -(-self.n[left] * self.num // self.den)
+            first = left[np.searchsorted(tile * span + self.n[left], tile * span + least)]
+            own = first == left
+            i, j = first[~own], left[~own]
+            ok = self.bound(i, j)
+            yield i[ok], j[ok]
+            left = j[~ok]
+
+    def crossing(self):
+        """All pairs near in size of different components, one of them outside the tile's main component."""
+        begin = np.append(np.flatnonzero(np.append(True, self.key[1:] != self.key[:-1])), len(self.key))
+        size = np.repeat(np.diff(begin), np.diff(begin))
+        act, d = np.flatnonzero(size <= 256), 1
+        while len(act):
+            act = act[act + d < len(self.key)]
+            act = act[self.near(act, act + d)]
+            want = (self.comp[act] != self.comp[act + d]) & (self.other[act] | self.other[act + d])
+            i, j = act[want], act[want] + d
+            ok = self.bound(i, j)
+            yield i[ok], j[ok]
+            d += 1
+        for a, b in zip(begin[:-1], begin[1:], strict=True):
+            if b - a <= 256:
+                continue
+            n = self.n[a:b]
+            for x in np.flatnonzero(self.other[a:b]):
+                lo, hi = np.searchsorted(n, -(-n[x] * self.num // self.den)), np.searchsorted(n, n[x] * self.den // self.num, "right")
+                j = np.arange(a + lo, a + hi)
+                j = j[self.comp[j] != self.comp[a + x]]
+                i = np.full(len(j), a + x)
+                ok = self.bound(i, j)
+                yield i[ok], j[ok]
+
+
+def _tile_pairs(num: int, den: int, turns: int):
+    """Runs over partitions ordered by (key, n, sid); a tile may span batches.  turns 0: crossing pairs."""
+
+    def pairs(t: pa.Table):
+        tiles = _Tiles(t, num, den)
         a, b = [], []
-        widths = np.array([len(x) for x in bits])
-        for width in np.unique(widths):
-            stack = np.stack([_fold(x, width) for x in bits if len(x) >= width])
-            up = np.flatnonzero(widths >= width)
-            place = {int(i): r for r, i in enumerate(up)}
-            for i in np.flatnonzero(widths == width):
-                top = int(np.searchsorted(n, n[i] * den // num, "right"))
-                j = up[(up > i) & (up < top)]
-                j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[i] == 0))]
-                if not len(j):
-                    continue
-                r = stack[[place[int(x)] for x in j]] if len(j) < len(up) // 4 else stack[np.searchsorted(up, j)]
-                far = np.bitwise_count(r ^ stack[place[int(i)]]).sum(axis=1, dtype=np.int64)
-                both = n[i] + n[j]
-                j = j[(both - far) // 2 >= -(-num * both // (num + den))]
-                a.append(np.minimum(sid[i], sid[j]))
-                b.append(np.maximum(sid[i], sid[j]))
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(cat(a)), "b": pa.array(cat(b))})
+        for i, j in tiles.leaders(turns) if turns else tiles.crossing():
+            a.append(np.minimum(tiles.sid[i], tiles.sid[j]))
+            b.append(np.maximum(tiles.sid[i], tiles.sid[j]))
+        if a and sum(map(len, a)):
+            ab = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < 50_000:
+                continue
+            t = pa.Table.from_batches(held)
+            key = np.asarray(t.column("key").combine_chunks())
+            cut = int(np.searchsorted(-(key != key[-1]).astype(np.int8), 0)) if key[0] != key[-1] else 0
+            if cut:
+                yield from pairs(t.slice(0, cut))
+                held, rows = t.slice(cut).to_batches(), t.num_rows - cut
+        if rows:
+            yield from pairs(pa.Table.from_batches(held))
 
     return run
 
@@ -200,38 +267,53 @@ def near_duplicate_components(
     classes = frequency_classes(docs, text_col, k)
     rid = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id")
     text = docs.select(rid, F.col(text_col).cast("binary").alias("t"))
-    sig = scratch.write(text.mapInArrow(_signatures(k, num, den, classes), "doc_id long, n long, sid long, prefix array<long>"), "sig")
+    sig = scratch.write(text.mapInArrow(_signatures(k, num, den, classes), "doc_id long, n long, sid long, prefix array<long>, bits binary"), "sig")
 
     reps = sig.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    postings = sig.filter("n > 0").join(reps, ["sid", "doc_id"], "left_semi").select("sid", F.explode("prefix").alias("tok"))
-    shared = postings.groupBy("tok").agg(F.min("sid").alias("hub"), F.max("sid").alias("top")).filter("hub < top").drop("top")
-    live = scratch.write(postings.join(shared, "tok").select("tok", "sid", "hub"), "live")
-
-    nodes = live.select("sid").distinct().join(reps, "sid")
-    found = text.join(nodes, "doc_id").select("t", "sid").mapInArrow(_arrays(k, classes), "sid long, n long, bits binary, toks binary")
-    sets = scratch.write(found, "sets")
+    kept = sig.filter("n > 0").join(reps, ["sid", "doc_id"], "left_semi")
+    postings = kept.select("sid", F.explode("prefix").alias("tok"))
+    shared = postings.groupBy("tok").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi").select("tok")
+    live = scratch.write(postings.join(shared, "tok"), "live")
+    sized = kept.groupBy("sid").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
+    sized = scratch.write(live.select("sid").distinct().join(sized, "sid"), "sized")
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
-        left = sets.select(F.col("sid").alias("a"), F.col("bits").alias("ba"), F.col("toks").alias("ta"))
-        right = sets.select(F.col("sid").alias("b"), F.col("bits").alias("bb"), F.col("toks").alias("tb"))
-        return scratch.write(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(num, den), "a long, b long"), tag)
-
-    stars = live.filter("sid <> hub").groupBy("sid").agg(F.min("hub").alias("a")).select("a", F.col("sid").alias("b"))
-    links = verified(stars, "links1")
+        pairs = scratch.write(pairs.distinct(), f"pairs_{tag}")
+        nodes = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct().join(reps, "sid")
+        nodes = scratch.write(nodes, f"nodes_{tag}")
+        # at most NODE_BUCKETS buckets of ids are broadcast; texts of other ids don't shuffle
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(NODE_BUCKETS)).cast("int").alias("bucket")
+        wanted = text.withColumn("bucket", bucket).join(F.broadcast(nodes.select(bucket).distinct()), "bucket", "left_semi")
+        sets = scratch.write(wanted.join(nodes, "doc_id").select("t", "sid").mapInArrow(_arrays(k, classes), "sid long, toks binary"), f"sets_{tag}")
+        left = sets.select(F.col("sid").alias("a"), F.col("toks").alias("ta"))
+        right = sets.select(F.col("sid").alias("b"), F.col("toks").alias("tb"))
+        links = scratch.write(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(num, den), "a long, b long"), tag)
+        scratch.drop(f"sets_{tag}", f"nodes_{tag}", f"pairs_{tag}")
+        return links
+
+    tile = "key long, n long, sid long, comp long, other boolean, bits binary"
+    columns = [x.split()[0] for x in tile.split(", ")]
+
+    def tiled(rows: DataFrame, turns: int) -> DataFrame:
+        return rows.select(columns).repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(_tile_pairs(num, den, turns), "a long, b long")
+
+    alone = live.join(sized, "sid").select(F.col("tok").alias("key"), "n", "sid", F.col("sid").alias("comp"), F.lit(True).alias("other"), "bits")
+    links = verified(tiled(alone, 4), "links1")
     comp = scratch.write(components(spark, links, scratch, "cc1"), "comp1")
 
-    marked = live.select("tok", "sid").join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("tok", "sid", F.coalesce("comp", "sid").alias("comp"))
-    mixed = marked.groupBy("tok").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("tok", F.ceil(F.col("c") / tile_rows).cast("int").alias("s"))
-    # a band of sizes meets itself and the next: the smaller set of a pair is at least num / den of the other
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
-    sized = sets.select("sid", "n", "bits").dropDuplicates(["sid"])
-    rows = marked.join(mixed, "tok").join(sized, "sid").withColumn("band", band).withColumn("h", F.pmod(F.xxhash64("sid"), F.col("s")).cast("int"))
-    rows = rows.withColumn("cell", F.explode(F.array(F.col("band"), F.col("band") - 1)))
-    # side 1 and 2 of a tile of two chunks meet across only; 0: a tile of one chunk
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    tiles = rows.select("tok", "cell", F.least("h", "o").alias("p"), F.greatest("h", "o").alias("q"), "sid", "comp", "n", "bits", F.when(F.col("h") == F.col("o"), 0).when(F.col("h") < F.col("o"), 1).otherwise(2).alias("side"))
-    pairs = tiles.groupBy("tok", "cell", "p", "q").applyInArrow(_tile(num, den), "a long, b long").distinct()
-    more = verified(pairs, "links2")
+    marked = live.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("tok", "sid", F.coalesce("comp", "sid").alias("comp"))
+    shares = marked.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("main"))
+    # all rows of a token, in chunks, meet those outside its main component, in chunks
+    chunks = lambda x: F.ceil(x / tile_rows).cast("int")
+    mixed = shares.filter("c > main.c").select("tok", F.col("main.comp").alias("main"), chunks(F.col("c")).alias("s"), chunks(F.col("c") - F.col("main.c")).alias("s2"))
+    rows = marked.join(mixed, "tok").join(sized, "sid").withColumn("other", F.col("comp") != F.col("main"))
+    slot = lambda x: F.pmod(F.xxhash64("sid"), F.col(x)).cast("int")
+    one = rows.filter("s = 1").withColumn("key", F.col("tok"))
+    wide = rows.filter("s > 1")
+    every = wide.withColumn("p", slot("s")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("s2") - 1))).withColumn("other", F.lit(False))
+    rest = wide.filter("other").withColumn("q", slot("s2")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    wide = every.select(*rows.columns, "p", "q").union(rest.select(*rows.columns, "p", "q")).withColumn("key", F.xxhash64("tok", "p", "q"))
+    more = verified(tiled(one.select(columns).union(wide.select(columns)), 0), "links2")
     final = components(spark, links.union(more), scratch, "cc2")
 
     least = reps.join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
@@ -240,5 +322,5 @@ def near_duplicate_components(
     out = sig.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(ids, "sid", "left")
     out = out.select(known.alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component_id", "doc_id"), F.lit(_LAST)).alias("component_id"))
     out = scratch.write(out, "result")
-    scratch.drop("sig", "live", "sets", "links1", "links2", "comp1")
+    scratch.drop("sig", "live", "sized", "links1", "links2", "comp1")
     return scratch.hold(out)
