@@ -51,3 +51,18 @@ WITH w AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND kept * 100 >= chars * 60 AS kept
 FROM (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM facts)
 """
+
+OP10 = rf"""
+WITH l AS (
+  SELECT doc_id, unnest(list_zip(range(1, len(ls) + 1), ls)) AS z FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+), k AS (
+  SELECT doc_id, z[1] AS i, z[2] AS line, {LOWER.format("trim(z[2], E' \t\n\x0b\x0c\r')")} AS key FROM l
+), bad AS (
+  SELECT key, max(doc_id) AS last FROM k WHERE len(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), f AS (
+  SELECT k.*, bad.key IS NOT NULL AND doc_id <> last AS gone FROM k LEFT JOIN bad ON k.key = bad.key
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM f GROUP BY doc_id
+"""
