@@ -78,3 +78,23 @@ WITH p AS (
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to FROM q
 """
+
+OP2 = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, coalesce(floor(turn / 64), -1)::BIGINT AS part FROM conversations
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, role, text) AS rn FROM t
+), p AS (
+  SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'
+), j AS (
+  SELECT r.*, speaker, ((rn - 1) // 64)::BIGINT AS subpart,
+    '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
+    text || '<|im_end|>' || chr(10) AS body
+  FROM r JOIN p ON r.conv_id IS NOT DISTINCT FROM p.conv_id
+), o AS (
+  SELECT *, (sum(len(head) + len(body)) OVER (PARTITION BY conv_id, speaker, part, subpart ORDER BY rn) - len(body))::BIGINT AS a, a + len(body) - 1 AS b FROM j
+)
+SELECT conv_id, speaker, part, subpart, count(*)::BIGINT AS n_turns, coalesce(sum(b - a) FILTER (role = speaker), 0)::BIGINT AS n_target_chars,
+  string_agg(head || body, '' ORDER BY rn) AS rendered, coalesce(string_agg(a || '-' || b, ',' ORDER BY rn) FILTER (role = speaker), '') AS mask
+FROM o GROUP BY ALL
+"""
