@@ -11,7 +11,7 @@ not grow).  Documents that share such a token meet in a tile:
 2. a tile holds the nodes of one token, ordered by size; only nodes whose sizes
    allow the threshold (a band that moves with the size) are compared.  Every
    pair is bounded from above first: |x & y| <= (|x| + |y| -
-   popcount(bits_x ^ bits_y)) / 2, with parity bitmaps of at least n bits (the
+   popcount(bits_x ^ bits_y)) / 2, with parity bitmaps of at least 2n bits (the
    longer folds onto the shorter by XOR).  In a first round each node meets the
    leader of its band alone, which joins groups of copies in stars;
 3. in a second round tiles that still hold two components compare every pair of
@@ -41,6 +41,7 @@ from stackloom.llm.scratch import Scratch
 
 COUNTERS = 1 << 17
 TILE_ROWS = 4096
+HEAD = 8
 NODE_BUCKETS = 1 << 22
 _LAST = 2**63 - 1
 
@@ -97,7 +98,7 @@ class _Sets:
         if len(own):
             sums[full] = np.add.reduceat(own, self.first[:-1][full])
         self.sid = K.as_long(K.mix(sums + self.n.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)))
-        width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(self.n, 1))).astype(np.int64)) * full
+        width = np.maximum(64, 2 << np.ceil(np.log2(np.maximum(self.n, 1))).astype(np.int64)) * full
         self.bit_first = np.concatenate([[0], np.cumsum(width)])
         at = np.repeat(self.bit_first[:-1], self.n) + (own & (np.repeat(width, self.n) - 1).astype(np.uint64)).astype(np.int64)
         self.bits = np.packbits(np.bincount(at, minlength=int(self.bit_first[-1])) & 1) if len(own) else np.zeros(0, np.uint8)
@@ -112,7 +113,11 @@ def _signatures(k: int, num: int, den: int, classes: np.ndarray):
                 out = np.concatenate([[0], np.cumsum(p)])
                 at = np.repeat(s.first[:-1], p) + np.arange(out[-1]) - np.repeat(out[:-1], p)
                 bits = K.binary_rows(s.bits, s.bit_first // 8)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, len(c)), pa.array(s.n), pa.array(s.sid), K.list_rows(K.as_long(s.tok[at]), out), bits], ["doc_id", "n", "sid", "prefix", "bits"])
+                head = np.zeros((len(c), HEAD), np.uint64)
+                for j in range(HEAD):
+                    has = p > j
+                    head[has, j] = s.tok[s.first[:-1][has] + j]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, len(c)), pa.array(s.n), pa.array(s.sid), K.list_rows(K.as_long(s.tok[at]), out), bits, K.binary_rows(head.view(np.uint8).ravel(), np.arange(len(c) + 1) * 8 * HEAD)], ["doc_id", "n", "sid", "prefix", "bits", "head"])
 
     return run
 
@@ -155,6 +160,9 @@ class _Tiles:
         self.other = np.asarray(t.column("other").combine_chunks())
         self.raw, self.at = K.buffers(t.column("bits"))
         self.width = np.diff(self.at)
+        raw, at = K.buffers(t.column("head"))
+        self.head = raw[at[0] : at[-1]].view("<u8").reshape(-1, HEAD)
+        self.tok = np.asarray(t.column("tok").combine_chunks()).view(np.uint64)
 
     def bound(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Where the bit counts of rows i and j leave room for a large enough overlap."""
@@ -177,6 +185,16 @@ class _Tiles:
             out[r] = np.bitwise_xor.reduce(got.reshape(len(r), -1, w), axis=1) if own > w else got
         return out
 
+    def met_before(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Where rows i and j share one of their least tokens, less than this tile's: they meet in its tile too."""
+        out = np.zeros(len(i), bool)
+        for x in range(HEAD):
+            t = self.head[i, x]
+            below = (t != 0) & (t < self.tok[i])
+            for y in range(HEAD):
+                out |= below & (t == self.head[j, y])
+        return out
+
     def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return (self.key[i] == self.key[j]) & (self.n[j] * self.num <= self.n[i] * self.den)
 
@@ -207,9 +225,7 @@ class _Tiles:
             act = act[act + d < len(self.key)]
             act = act[self.near(act, act + d)]
             want = (self.comp[act] != self.comp[act + d]) & (self.other[act] | self.other[act + d])
-            i, j = act[want], act[want] + d
-            ok = self.bound(i, j)
-            yield i[ok], j[ok]
+            yield self.first_met(act[want], act[want] + d)
             d += 1
         for a, b in zip(begin[:-1], begin[1:], strict=True):
             if b - a <= 256:
@@ -219,9 +235,13 @@ class _Tiles:
                 lo, hi = np.searchsorted(n, -(-n[x] * self.num // self.den)), np.searchsorted(n, n[x] * self.den // self.num, "right")
                 j = np.arange(a + lo, a + hi)
                 j = j[self.comp[j] != self.comp[a + x]]
-                i = np.full(len(j), a + x)
-                ok = self.bound(i, j)
-                yield i[ok], j[ok]
+                yield self.first_met(np.full(len(j), a + x), j)
+
+    def first_met(self, i: np.ndarray, j: np.ndarray):
+        ok = ~self.met_before(i, j)
+        i, j = i[ok], j[ok]
+        ok = self.bound(i, j)
+        return i[ok], j[ok]
 
 
 def _tile_pairs(num: int, den: int, turns: int):
@@ -267,15 +287,17 @@ def near_duplicate_components(
     classes = frequency_classes(docs, text_col, k)
     rid = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id")
     text = docs.select(rid, F.col(text_col).cast("binary").alias("t"))
-    sig = scratch.write(text.mapInArrow(_signatures(k, num, den, classes), "doc_id long, n long, sid long, prefix array<long>, bits binary"), "sig")
+    sig = scratch.write(text.mapInArrow(_signatures(k, num, den, classes), "doc_id long, n long, sid long, prefix array<long>, bits binary, head binary"), "sig")
 
     reps = sig.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     kept = sig.filter("n > 0").join(reps, ["sid", "doc_id"], "left_semi")
-    postings = kept.select("sid", F.explode("prefix").alias("tok"))
-    shared = postings.groupBy("tok").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi").select("tok")
-    live = scratch.write(postings.join(shared, "tok"), "live")
-    sized = kept.groupBy("sid").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
-    sized = scratch.write(live.select("sid").distinct().join(sized, "sid"), "sized")
+    postings = kept.select("sid", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("tok"))
+    shared = postings.groupBy("tok").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("c"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+    # a tile of two whose sizes rule out the threshold is no tile
+    shared = shared.filter((F.col("lo") < F.col("hi")) & ((F.col("c") > 2) | (F.col("n1").cast("long") * num <= F.col("n0").cast("long") * den))).select("tok")
+    live = scratch.write(postings.select("tok", "sid").join(shared, "tok"), "live")
+    sized = kept.select("sid", "n", "bits", "head").join(live.select("sid").distinct(), "sid", "left_semi")
+    sized = scratch.write(sized.dropDuplicates(["sid"]), "sized")
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
         pairs = scratch.write(pairs.distinct(), f"pairs_{tag}")
@@ -291,14 +313,14 @@ def near_duplicate_components(
         scratch.drop(f"sets_{tag}", f"nodes_{tag}", f"pairs_{tag}")
         return links
 
-    tile = "key long, n long, sid long, comp long, other boolean, bits binary"
+    tile = "key long, tok long, n long, sid long, comp long, other boolean, bits binary, head binary"
     columns = [x.split()[0] for x in tile.split(", ")]
 
     def tiled(rows: DataFrame, turns: int) -> DataFrame:
         return rows.select(columns).repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(_tile_pairs(num, den, turns), "a long, b long")
 
-    alone = live.join(sized, "sid").select(F.col("tok").alias("key"), "n", "sid", F.col("sid").alias("comp"), F.lit(True).alias("other"), "bits")
-    links = verified(tiled(alone, 4), "links1")
+    alone = live.join(sized, "sid").select(F.col("tok").alias("key"), "tok", "n", "sid", F.col("sid").alias("comp"), F.lit(True).alias("other"), "bits", "head")
+    links = verified(tiled(alone, 8), "links1")
     comp = scratch.write(components(spark, links, scratch, "cc1"), "comp1")
 
     marked = live.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("tok", "sid", F.coalesce("comp", "sid").alias("comp"))
