@@ -1,12 +1,72 @@
-"""The corpus pipeline: raw documents in, packed token matrices out."""
+"""The corpus pipeline: raw documents in, packed token rows out.
+
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and
+returns a DataFrame, which is written and read again as the next stage's docs.
+All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stackloom.llm.decontamination import decontaminate
+from stackloom.llm.jaccard_join import near_duplicate_components
+from stackloom.llm.mixing import mix
+from stackloom.llm.quality_rules import quality_rules
+from stackloom.llm.scratch import Scratch
+from stackloom.llm.session import table
+from stackloom.llm.token_packing import pack_tokens
+
+#: The pipeline's near-duplicate stage: five-word shingles, similarity of 0.8 or more.
+SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Failing lines go, then documents that the rules reject; n_chars follows the text."""
+    kept = quality_rules(docs).filter("quality.kept")
+    new = {"text": F.col("quality.clean_text"), "n_chars": F.length("quality.clean_text").cast("long")}
+    return kept.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate component stays."""
+    found = near_duplicate_components(docs, SHINGLE_WORDS, *SIMILARITY)
+    gone = found.filter("doc_id <> component_id").select("doc_id")
+    # a document without an id stays only if its component has none with an id
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document that the mix takes twice stands twice."""
+    return mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_tokens(docs)
+
+
+STAGES = [
+    ("quality rules", clean),
+    ("near duplicates", deduplicate),
+    ("decontamination", remove_leaks),
+    ("source mixing", mix_sources),
+    ("token packing", pack),
+]
 
-STAGES: list = []
+#: A latent-space search and a tokenizer are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = scratch.write(stage(spark, docs, sf_dir), f"stage_{k}")
+        if k:
+            scratch.drop(f"stage_{k - 1}")
+    return scratch.hold(docs)
