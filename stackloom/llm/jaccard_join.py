@@ -345,4 +345,4 @@ def near_duplicate_components(
     out = out.select(known.alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component_id", "doc_id"), F.lit(_LAST)).alias("component_id"))
     out = scratch.write(out, "result")
     scratch.drop("sig", "live", "sized", "links1", "links2", "comp1")
-    return scratch.hold(out)
+    return out

@@ -198,4 +198,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     out = rows.join(drops, "doc_id", "left").select("doc_id", "t", "drops").mapInArrow(_rewrite(min_chars), "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept binary")
     out = out.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(_NONE)))
     out = out.withColumn("text", F.col("kept").cast("string")).drop("kept") if keep_text else out.drop("kept")
-    return scratch.hold(out)
+    return out

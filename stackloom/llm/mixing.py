@@ -144,7 +144,7 @@ def mix_plan(
     out = out.withColumn("taken", F.col("copies") * F.col("size"))
     out = scratch.write(out, "result")
     scratch.drop("facts")
-    return scratch.hold(out)
+    return out
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -7,10 +7,10 @@ are released at once, so the disk peak is that of one step, not of their sum.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import tempfile
 import uuid
-import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,12 +35,38 @@ def delete_path(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_open: list[tuple[SparkSession, str]] = []
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the folders opened after the first `since`; results that still read them must have been written."""
+    while len(_open) > since:
+        owner, path = _open.pop()
+        delete_path(owner, path)
+
+
+def opened() -> int:
+    return len(_open)
+
+
+@atexit.register
+def _release_all() -> None:
+    with contextlib.suppress(Exception):
+        release(None)
+
+
 class Scratch:
-    """A folder of intermediate tables, dropped table by table or as a whole."""
+    """A folder of intermediate tables.
+
+    Operators drop their large tables themselves; what their results read stays
+    until release() or the end of the process, as a result is read when its
+    caller wants and other DataFrames may derive from it.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/stackloom-{name}-{uuid.uuid4().hex}"
+        _open.append((spark, self.path))
 
     def write(self, df: DataFrame, table: str) -> DataFrame:
         """Writes df and returns the written table."""
@@ -65,8 +91,3 @@ class Scratch:
     def drop(self, *tables: str) -> None:
         for t in tables:
             delete_path(self.spark, f"{self.path}/{t}")
-
-    def hold(self, df: DataFrame) -> DataFrame:
-        """The folder goes when the caller lets go of df."""
-        weakref.finalize(df, delete_path, self.spark, self.path)
-        return df

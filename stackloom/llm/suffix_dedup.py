@@ -304,4 +304,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
 
     facts = scratch_copies.join(found, "tid", "full")
     out = base.join(facts, "tid", "left").select("doc_id", "t", "copies", "ivs").mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return scratch.hold(out if keep_bytes else out.drop("kept"))
+    return out if keep_bytes else out.drop("kept")

@@ -263,7 +263,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, split_b
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0, **options) -> DataFrame:
-    """Writes pages to archives in the shared folder and reads them back; the archives go with the result."""
+    """Writes pages to archives in the shared folder and reads them back; scratch.release() removes the archives."""
     scratch = Scratch(pages.sparkSession, "warc")
     manifest = scratch.write(write_archives(pages, f"{scratch.path}/archives", min_bytes, **options), "manifest")
-    return scratch.hold(read_archives(pages.sparkSession, manifest, f"{scratch.path}/archives"))
+    return read_archives(pages.sparkSession, manifest, f"{scratch.path}/archives")
