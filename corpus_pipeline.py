@@ -14,7 +14,7 @@ from stackloom.llm.decontamination import decontaminate
 from stackloom.llm.jaccard_join import near_duplicate_components
 from stackloom.llm.mixing import mix
 from stackloom.llm.quality_rules import quality_rules
-from stackloom.llm.scratch import Scratch
+from stackloom.llm.scratch import Scratch, opened, release
 from stackloom.llm.session import table
 from stackloom.llm.token_packing import pack_tokens
 
@@ -64,9 +64,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, own = table(spark, sf_dir, "documents"), opened()
     for k, (_, stage) in enumerate(STAGES):
         docs = scratch.write(stage(spark, docs, sf_dir), f"stage_{k}")
+        # a stage's own tables, and its input, are not needed once its output is written
+        release(spark, own)
         if k:
             scratch.drop(f"stage_{k - 1}")
-    return scratch.hold(docs)
+    return docs
