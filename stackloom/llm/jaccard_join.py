@@ -11,7 +11,7 @@ not grow).  Documents that share such a token meet in a tile:
 2. a tile holds the nodes of one token, ordered by size; only nodes whose sizes
    allow the threshold (a band that moves with the size) are compared.  Every
    pair is bounded from above first: |x & y| <= (|x| + |y| -
-   popcount(bits_x ^ bits_y)) / 2, with parity bitmaps of at least 2n bits (the
+   popcount(bits_x ^ bits_y)) / 2, with parity bitmaps of at least n bits (the
    longer folds onto the shorter by XOR).  In a first round each node meets the
    leader of its band alone, which joins groups of copies in stars;
 3. in a second round tiles that still hold two components compare every pair of
@@ -30,6 +30,8 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,39 +41,50 @@ from stackloom.llm import textkernels as K
 from stackloom.llm.graph import components
 from stackloom.llm.scratch import Scratch
 
-COUNTERS = 1 << 17
+MIN_COUNTERS, MAX_COUNTERS = 1 << 16, 1 << 22
+WORDS_A_COUNTER = 64
 TILE_ROWS = 4096
 HEAD = 8
 NODE_BUCKETS = 1 << 22
 _LAST = 2**63 - 1
 
 
-def _sketch_parts(k: int):
+def _sketch_parts(k: int, bits: int):
     def run(batches):
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for c in K.chunks(batch.column(0)):
                 w = K.split_words(c)
                 s, _ = K.window_hashes(K.word_hashes(c, w), w.first, k)
-                total += np.bincount((s >> np.uint64(47)).astype(np.int64), minlength=COUNTERS)
+                total += np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         parts = total.reshape(16, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())], ["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary())], ["part", "counts"])
 
     return run
 
 
-def _sketch_sum(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, "<i8") for x in table.column("counts").to_pylist())
-    return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+def _sketch_sum(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for x in batch.column("counts"):
+            own = np.frombuffer(x.as_buffer(), "<u4").astype(np.int64)
+            total = own if total is None else total + own
+    # how far a count lies above the mean, in half octaves, is decided by the caller; 32 bits hold it
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], ["part", "counts"])
 
 
 def frequency_classes(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
-    """A class 0..7 for each counter: how far its count lies above the mean, in octaves."""
+    """A class 0..7 for each counter: how far its count lies above the mean, in half octaves.
+
+    The counters grow with the bytes of text, up to MAX_COUNTERS (16 MB).
+    """
     schema = "part int, counts binary"
-    rows = docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(_sketch_parts(k), schema).groupBy("part").applyInArrow(_sketch_sum, schema).collect()
-    counts = np.zeros((16, COUNTERS // 16))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    bits = int(np.clip(size // (6 * WORDS_A_COUNTER), MIN_COUNTERS, MAX_COUNTERS)).bit_length() - 1
+    rows = docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(_sketch_parts(k, bits), schema).groupBy("part").applyInArrow(_sketch_sum, schema).collect()
+    counts = np.zeros((16, (1 << bits) // 16))
     for r in rows:
-        counts[r["part"]] = np.frombuffer(r["counts"], "<i8")
+        counts[r["part"]] = np.frombuffer(r["counts"], "<u4")
     counts = counts.ravel()
     mean = max(counts.mean(), 16.0)
     return np.clip(np.floor(np.log2(np.maximum(counts / mean, 0.5)) * 2 + 0.2), 0, 7).astype(np.uint8)
@@ -83,7 +96,7 @@ class _Sets:
     def __init__(self, c: K.Chunk, k: int, classes: np.ndarray):
         w = K.split_words(c)
         s, first = K.window_hashes(K.word_hashes(c, w), w.first, k)
-        tok = (s >> np.uint64(3)) | (classes[(s >> np.uint64(47)).astype(np.int64)].astype(np.uint64) << np.uint64(61))
+        tok = (s >> np.uint64(3)) | (classes[(s >> np.uint64(65 - len(classes).bit_length())).astype(np.int64)].astype(np.uint64) << np.uint64(61))
         for d in np.flatnonzero(np.diff(first) > 1):
             tok[first[d] : first[d + 1]].sort()
         doc = np.repeat(np.arange(len(c)), np.diff(first))
@@ -98,7 +111,7 @@ class _Sets:
         if len(own):
             sums[full] = np.add.reduceat(own, self.first[:-1][full])
         self.sid = K.as_long(K.mix(sums + self.n.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)))
-        width = np.maximum(64, 2 << np.ceil(np.log2(np.maximum(self.n, 1))).astype(np.int64)) * full
+        width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(self.n, 1))).astype(np.int64)) * full
         self.bit_first = np.concatenate([[0], np.cumsum(width)])
         at = np.repeat(self.bit_first[:-1], self.n) + (own & (np.repeat(width, self.n) - 1).astype(np.uint64)).astype(np.int64)
         self.bits = np.packbits(np.bincount(at, minlength=int(self.bit_first[-1])) & 1) if len(own) else np.zeros(0, np.uint8)
@@ -157,6 +170,8 @@ class _Tiles:
         t = t.combine_chunks()
         self.num, self.den = num, den
         self.key, self.n, self.sid, self.comp = (np.asarray(t.column(x).combine_chunks()) for x in ("key", "n", "sid", "comp"))
+        # no more than the tokens from this one on are common, if it is the first common one
+        self.tail = self.n - np.asarray(t.column("pos").combine_chunks())
         self.other = np.asarray(t.column("other").combine_chunks())
         self.raw, self.at = K.buffers(t.column("bits"))
         self.width = np.diff(self.at)
@@ -237,7 +252,21 @@ class _Tiles:
                 j = j[self.comp[j] != self.comp[a + x]]
                 yield self.first_met(np.full(len(j), a + x), j)
 
+    def chains(self, steps: int = 64):
+        """Each row with the next one, by size, of another component that the bits let pass."""
+        act, d = np.arange(len(self.key)), 1
+        while len(act) and d <= steps:
+            act = act[act + d < len(self.key)]
+            act = act[self.near(act, act + d)]
+            want = act[self.comp[act] != self.comp[act + d]]
+            ok = want[self.bound(want, want + d)]
+            yield ok, ok + d
+            act = act[~np.isin(act, ok)]
+            d += 1
+
     def first_met(self, i: np.ndarray, j: np.ndarray):
+        ok = np.minimum(self.tail[i], self.tail[j]) >= -(-self.num * (self.n[i] + self.n[j]) // (self.num + self.den))
+        i, j = i[ok], j[ok]
         ok = ~self.met_before(i, j)
         i, j = i[ok], j[ok]
         ok = self.bound(i, j)
@@ -245,12 +274,12 @@ class _Tiles:
 
 
 def _tile_pairs(num: int, den: int, turns: int):
-    """Runs over partitions ordered by (key, n, sid); a tile may span batches.  turns 0: crossing pairs."""
+    """Runs over partitions ordered by (key, n, sid); a tile may span batches.  turns 0: crossing pairs; -1: chains."""
 
     def pairs(t: pa.Table):
         tiles = _Tiles(t, num, den)
         a, b = [], []
-        for i, j in tiles.leaders(turns) if turns else tiles.crossing():
+        for i, j in tiles.leaders(turns) if turns > 0 else tiles.chains() if turns else tiles.crossing():
             a.append(np.minimum(tiles.sid[i], tiles.sid[j]))
             b.append(np.maximum(tiles.sid[i], tiles.sid[j]))
         if a and sum(map(len, a)):
@@ -291,11 +320,13 @@ def near_duplicate_components(
 
     reps = sig.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     kept = sig.filter("n > 0").join(reps, ["sid", "doc_id"], "left_semi")
-    postings = kept.select("sid", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("tok"))
-    shared = postings.groupBy("tok").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("c"), F.min("n").alias("n0"), F.max("n").alias("n1"))
-    # a tile of two whose sizes rule out the threshold is no tile
-    shared = shared.filter((F.col("lo") < F.col("hi")) & ((F.col("c") > 2) | (F.col("n1").cast("long") * num <= F.col("n0").cast("long") * den))).select("tok")
-    live = scratch.write(postings.select("tok", "sid").join(shared, "tok"), "live")
+    postings = kept.select("sid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "tok"))
+    # of a pair that links, the smaller set has the first common token among its first n - ceil(n * 2num / (num + den)) + 1
+    early = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2.0 * num / (num + den)) - 1e-6)
+    shared = postings.groupBy("tok").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("c"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min(F.when(early, F.col("n"))).alias("n2"))
+    # a tile of two whose sizes or places rule out the threshold is no tile
+    shared = shared.filter((F.col("lo") < F.col("hi")) & F.col("n2").isNotNull() & ((F.col("c") > 2) | ((F.col("n1").cast("long") * num <= F.col("n0").cast("long") * den) & (F.col("n2") == F.col("n0"))))).select("tok")
+    live = scratch.write(postings.select("tok", "sid", "pos").join(shared, "tok"), "live")
     sized = kept.select("sid", "n", "bits", "head").join(live.select("sid").distinct(), "sid", "left_semi")
     sized = scratch.write(sized.dropDuplicates(["sid"]), "sized")
 
@@ -313,30 +344,35 @@ def near_duplicate_components(
         scratch.drop(f"sets_{tag}", f"nodes_{tag}", f"pairs_{tag}")
         return links
 
-    tile = "key long, tok long, n long, sid long, comp long, other boolean, bits binary, head binary"
+    tile = "key long, tok long, pos int, n long, sid long, comp long, other boolean, bits binary, head binary"
     columns = [x.split()[0] for x in tile.split(", ")]
 
     def tiled(rows: DataFrame, turns: int) -> DataFrame:
         return rows.select(columns).repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(_tile_pairs(num, den, turns), "a long, b long")
 
-    alone = live.join(sized, "sid").select(F.col("tok").alias("key"), "tok", "n", "sid", F.col("sid").alias("comp"), F.lit(True).alias("other"), "bits", "head")
+    alone = live.join(sized, "sid").select(F.col("tok").alias("key"), "tok", "pos", "n", "sid", F.col("sid").alias("comp"), F.lit(True).alias("other"), "bits", "head")
     links = verified(tiled(alone, 8), "links1")
-    comp = scratch.write(components(spark, links, scratch, "cc1"), "comp1")
-
-    marked = live.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("tok", "sid", F.coalesce("comp", "sid").alias("comp"))
-    shares = marked.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("main"))
-    # all rows of a token, in chunks, meet those outside its main component, in chunks
-    chunks = lambda x: F.ceil(x / tile_rows).cast("int")
-    mixed = shares.filter("c > main.c").select("tok", F.col("main.comp").alias("main"), chunks(F.col("c")).alias("s"), chunks(F.col("c") - F.col("main.c")).alias("s2"))
-    rows = marked.join(mixed, "tok").join(sized, "sid").withColumn("other", F.col("comp") != F.col("main"))
-    slot = lambda x: F.pmod(F.xxhash64("sid"), F.col(x)).cast("int")
-    one = rows.filter("s = 1").withColumn("key", F.col("tok"))
-    wide = rows.filter("s > 1")
-    every = wide.withColumn("p", slot("s")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("s2") - 1))).withColumn("other", F.lit(False))
-    rest = wide.filter("other").withColumn("q", slot("s2")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    wide = every.select(*rows.columns, "p", "q").union(rest.select(*rows.columns, "p", "q")).withColumn("key", F.xxhash64("tok", "p", "q"))
-    more = verified(tiled(one.select(columns).union(wide.select(columns)), 0), "links2")
-    final = components(spark, links.union(more), scratch, "cc2")
+    def mixed_tiles(comp: DataFrame) -> DataFrame:
+        marked = live.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("tok", "pos", "sid", F.coalesce("comp", "sid").alias("comp"))
+        shares = marked.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("main"))
+        # all rows of a token, in chunks, meet those outside its main component, in chunks
+        chunks = lambda x: F.ceil(x / tile_rows).cast("int")
+        mixed = shares.filter("c > main.c").select("tok", F.col("main.comp").alias("main"), chunks(F.col("c")).alias("s"), chunks(F.col("c") - F.col("main.c")).alias("s2"))
+        rows = marked.join(mixed, "tok").join(sized, "sid").withColumn("other", F.col("comp") != F.col("main"))
+        slot = lambda x: F.pmod(F.xxhash64("sid"), F.col(x)).cast("int")
+        one = rows.filter("s = 1").withColumn("key", F.col("tok"))
+        wide = rows.filter("s > 1")
+        every = wide.withColumn("p", slot("s")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("s2") - 1))).withColumn("other", F.lit(False))
+        rest = wide.filter("other").withColumn("q", slot("s2")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+        wide = every.select(*rows.columns, "p", "q").union(rest.select(*rows.columns, "p", "q")).withColumn("key", F.xxhash64("tok", "p", "q"))
+        return one.select(columns).union(wide.select(columns))
+
+    # components of the stars; tiles that still hold several are linked by chains first, then searched in full
+    for turns in (-1, 0):
+        comp = scratch.write(components(spark, links, scratch, f"cc{turns}"), f"comp{turns}")
+        found = verified(tiled(mixed_tiles(comp), turns), f"found{turns}")
+        links = scratch.write(links.union(found), f"links{turns}")
+    final = components(spark, links, scratch, "cc")
 
     least = reps.join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     ids = least.groupBy("comp").agg(F.min("doc_id").alias("component_id")).join(least.select("sid", "comp"), "comp").select("sid", "component_id")
@@ -344,5 +380,5 @@ def near_duplicate_components(
     out = sig.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(ids, "sid", "left")
     out = out.select(known.alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component_id", "doc_id"), F.lit(_LAST)).alias("component_id"))
     out = scratch.write(out, "result")
-    scratch.drop("sig", "live", "sized", "links1", "links2", "comp1")
+    scratch.drop("sig", "live", "sized", "links1", *(f"{x}{k}" for x in ("comp", "found", "links") for k in (-1, 0)))
     return out
