@@ -9,7 +9,7 @@
 3. Windows of 16, 32 or 64 words, every 8 words, over whole texts are projected
    on the leading right singular vectors, scaled to unit variance, and compared
    by cosine with the benchmark items of about their length.
-4. Windows over the threshold are checked word by word: the longest common
+4. Windows over the threshold that share enough of the item's rarer words are checked word by word: the longest common
    subsequence of item and surroundings, and the share of the item's answer (its
    last sentence) found there.  An item leaks into a document if the subsequence
    covers lcs_exact of the item, or lcs_paraphrase with most of the answer.
@@ -38,7 +38,8 @@ from stackloom.llm import textkernels as K
 
 FEATURES = 4096
 SKETCH = 36
-RANK = 32
+RANK = 28
+LEADING = 4
 PASSAGE = 32
 STEP = 8
 SCALES = (16, 32, 64)
@@ -85,8 +86,8 @@ def _frequency_parts(batches):
 
 def _sketch_parts(idf: np.ndarray, parts: int):
     def run(batches):
-        w = _omega() * idf[:, None].astype(np.float32)
-        z = np.zeros((FEATURES, SKETCH))
+        w = np.ascontiguousarray((_omega() * idf[:, None]).T.astype(float))
+        z = np.zeros((SKETCH, FEATURES))
         for batch in batches:
             for c in K.chunks(batch.column(0)):
                 words, h = _hashed(c)
@@ -98,13 +99,11 @@ def _sketch_parts(idf: np.ndarray, parts: int):
                     a = some[0]
                     b = s[lo + len(some)] if lo + len(some) < len(s) else len(h)
                     g = f[a:b]
-                    y = np.add.reduceat(w[g], some - a, axis=0)
                     of = np.repeat(np.arange(len(some)), np.diff(np.append(some, b)))
-                    order = np.argsort(g, kind="stable")
-                    sorted_f = g[order]
-                    cut = np.flatnonzero(np.append(True, sorted_f[1:] != sorted_f[:-1]))
-                    z[sorted_f[cut]] += np.add.reduceat(y[of[order]], cut, axis=0)
-        z *= idf[:, None]
+                    for k in range(SKETCH):
+                        y = np.bincount(of, weights=w[k][g], minlength=len(some))
+                        z[k] += np.bincount(g, weights=y[of], minlength=FEATURES)
+        z = z.T * idf[:, None]
         blocks = [x.astype("<f8").tobytes() for x in z.reshape(parts, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(blocks, pa.binary())], ["part", "sums"])
 
@@ -121,12 +120,12 @@ def _omega() -> np.ndarray:
     return np.random.default_rng(7).standard_normal((FEATURES, SKETCH)).astype(np.float32)
 
 
-def fit_latent_space(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """A FEATURES x RANK table: a word's contribution to the latent vector of its passage."""
+def fit_latent_space(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """A FEATURES x RANK table, a word's contribution to the latent vector of its passage, and the inverse document frequencies."""
     schema, text = "part int, sums binary", docs.select(F.col(f"`{text_col}`").cast("binary").alias("t"))
     rows = text.mapInArrow(_frequency_parts, schema).groupBy("part").applyInArrow(_sum_parts, schema).collect()
     if not rows:
-        return np.zeros((FEATURES, RANK), np.float32)
+        return np.zeros((FEATURES, RANK), np.float32), np.ones(FEATURES)
     sums = np.frombuffer(rows[0]["sums"], "<f8")
     idf = np.log((1 + sums[-1]) / (1 + sums[:-1])) + 0.01
     parts = 16
@@ -140,14 +139,15 @@ def fit_latent_space(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     good = values > max(values.max(), 0) * 1e-10
     if not good.any():
-        return np.zeros((FEATURES, RANK), np.float32)
+        return np.zeros((FEATURES, RANK), np.float32), idf
     half = z @ (vectors[:, good] / np.sqrt(values[good]))
     u, s, _ = np.linalg.svd(half, full_matrices=False)
     table = np.zeros((FEATURES, RANK), np.float32)
-    k = min(RANK, int((s > s[0] * 1e-6).sum()))
-    # s are A's singular values; division makes every latent direction count alike
-    table[:, :k] = u[:, :k] / s[:k] * idf[:, None]
-    return table
+    k = min(RANK + LEADING, int((s > s[0] * 1e-6).sum()))
+    # the leading directions tell languages apart and little else; division by A's singular values makes the others count alike
+    lead = min(LEADING, max(k - RANK, 0))
+    table[:, : k - lead] = u[:, lead:k] / s[lead:k] * idf[:, None] ** 2
+    return table, idf
 
 
 def lcs_length(item: np.ndarray, other: np.ndarray) -> int:
@@ -166,35 +166,52 @@ def lcs_length(item: np.ndarray, other: np.ndarray) -> int:
 
 
 class _Items:
-    def __init__(self, items: list[tuple[int, str]], table: np.ndarray):
-        col = pa.array([t for _, t in items], pa.string())
-        self.words, self.answer, self.ids = [], [], [i for i, _ in items]
-        for c in K.chunks(col, 1 << 62):
+    """Benchmark items, ordered by the window length they are searched with."""
+
+    def __init__(self, items: list[tuple[int, str]], table: np.ndarray, idf: np.ndarray):
+        self.words, self.answer, self.ids = [], [], []
+        for c in K.chunks(pa.array([t for _, t in items], pa.string()), 1 << 62):
             w, h = _hashed(c)
-            raw = c.data
             for d in range(len(c)):
                 a, b = w.first[d], w.first[d + 1]
+                if a == b:
+                    continue
+                ends = [j for j in range(a, b - 1) if any(ch in b".?!" for ch in c.data[w.ends[j] : w.starts[j + 1]].tobytes())]
                 self.words.append(h[a:b])
-                ends = [j for j in range(a, b - 1) if any(ch in b".?!" for ch in raw[w.ends[j] : w.starts[j + 1]].tobytes())]
                 self.answer.append(h[(ends[-1] + 1) if ends else a : b])
-        n = np.array([len(x) for x in self.words])
-        self.scale = np.where(n <= 24, 0, np.where(n <= 48, 1, 2))
-        v = np.stack([table[_features(x)].sum(axis=0) if len(x) else np.zeros(RANK, np.float32) for x in self.words]) if items else np.zeros((0, RANK), np.float32)
-        norm = np.linalg.norm(v, axis=1, keepdims=True)
-        self.vectors = np.where(norm > 0, v / np.maximum(norm, 1e-30), 0).astype(np.float32)
-        self.at = [np.flatnonzero((self.scale == k) & (n > 0)) for k in range(len(SCALES))]
-
-
-def _search(items: list[tuple[int, str]], table: np.ndarray, cosine: float, lcs_exact: float, lcs_paraphrase: float, answer_share: float):
+                self.ids.append(items[c.lo + d][0])
+        n = np.array([len(x) for x in self.words], int)
+        scale = np.where(n <= 24, 0, np.where(n <= 48, 1, 2))
+        order = np.argsort(scale, kind="stable")
+        self.words, self.answer, self.ids = ([x[k] for k in order] for x in (self.words, self.answer, self.ids))
+        self.length, self.cuts = n[order], np.searchsorted(scale[order], np.arange(len(SCALES) + 1))
+        # words in more than a tenth of all passages tell nothing apart; an item of such words alone keeps them
+        common = idf < np.log(10)
+        has = np.zeros((len(order), FEATURES), np.uint8)
+        self.rare = np.zeros(len(order), int)
+        vectors = np.zeros((len(order), RANK), np.float32)
+        for k, x in enumerate(self.words):
+            f = _features(x)
+            vectors[k] = table[f].sum(axis=0)
+            own = f[~common[f]] if (~common[f]).any() else f
+            has[k, own] = 1
+            self.rare[k] = len(own)
+        self.rare_by_feature = np.ascontiguousarray(has.T)
+        self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30)
+
+
+def _search(items: list[tuple[int, str]], table: np.ndarray, idf: np.ndarray, cosine: float, lcs_exact: float, lcs_paraphrase: float, answer_share: float, shared_share: float):
     def run(batches):
-        it = _Items(items, table)
+        it = _Items(items, table, idf)
+        if not it.ids:
+            return
         sorted_words = [np.sort(x) for x in it.words]
         for batch in batches:
             for c in K.chunks(batch.column(1)):
                 w, h = _hashed(c)
                 if not len(h):
                     continue
-                out = list(_matches(it, sorted_words, table, w.first, h, cosine, lcs_exact, lcs_paraphrase, answer_share))
+                out = list(_matches(it, sorted_words, table, w.first, h, cosine, lcs_exact, lcs_paraphrase, answer_share, shared_share))
                 if out:
                     d, i, cos, lcs, ans, a, b = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays(
@@ -205,35 +222,58 @@ def _search(items: list[tuple[int, str]], table: np.ndarray, cosine: float, lcs_
     return run
 
 
-def _matches(it, sorted_words, table, first, h, cosine, lcs_exact, lcs_paraphrase, answer_share):
+def _block_sums(table: np.ndarray, f: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums of table rows over the words start..end of each block, STEP words at most."""
+    out = table[f[start]]
+    for j in range(1, STEP):
+        at = start + j
+        ok = at < end
+        if ok.all():
+            out += table[f[at]]
+        else:
+            out[ok] += table[f[at[ok]]]
+    return out
+
+
+def _matches(it, sorted_words, table, first, h, cosine, lcs_exact, lcs_paraphrase, answer_share, shared_share):
     f, n = _features(h), np.diff(first)
     per = -(-n // STEP)
     at = np.concatenate([[0], np.cumsum(per)])
     doc = np.repeat(np.arange(len(n)), per)
     block = np.arange(at[-1]) - at[doc]
     start = first[doc] + block * STEP
-    sums = np.empty((len(start), RANK), np.float32)
-    for lo in range(0, len(start), GROUP_WORDS // STEP):
-        some = start[lo : lo + GROUP_WORDS // STEP]
-        b = start[lo + len(some)] if lo + len(some) < len(start) else len(h)
-        sums[lo : lo + len(some)] = np.add.reduceat(table[f[some[0] : b]], some - some[0], axis=0)
+    end = np.minimum(start + STEP, first[doc + 1])
     best: dict[tuple[int, int], tuple] = {}
-    for k, scale in enumerate(SCALES):
-        if not len(it.at[k]):
-            continue
-        v = sums.copy()
-        for j in range(1, scale // STEP):
-            ok = block[: len(block) - j] + j < per[doc[: len(block) - j]]
-            v[: len(v) - j][ok] += sums[j:][ok]
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
-        # a window cut short by the end of its text is needed only where the text has no full one
-        full = (block == 0) | (block + scale // STEP <= per[doc])
-        rows = np.flatnonzero(full)
-        target = it.vectors[it.at[k]].T
-        for lo in range(0, len(rows), 1 << 14):
-            cos = v[rows[lo : lo + (1 << 14)]] @ target
-            r, i = np.nonzero(cos >= cosine)
-            for x, y, z in zip(rows[lo + r].tolist(), it.at[k][i].tolist(), cos[r, i].tolist(), strict=True):
+    more = SCALES[-1] // STEP - 1
+    for lo in range(0, len(start), GROUP_WORDS // STEP):
+        # a group of blocks with the blocks that its last windows need; a window belongs where it starts
+        hi = min(lo + GROUP_WORDS // STEP, len(start))
+        top = min(hi + more, len(start))
+        sums = np.concatenate([_block_sums(table, f, start[lo:top], end[lo:top]), np.zeros((more, RANK), np.float32)])
+        held = np.concatenate([_block_sums(it.rare_by_feature, f, start[lo:top], end[lo:top]), np.zeros((more, len(it.ids)), np.uint8)])
+        left = per[doc[lo:hi]] - block[lo:hi]
+        for k, scale in enumerate(SCALES):
+            a, b = it.cuts[k], it.cuts[k + 1]
+            if a == b:
+                continue
+            m, n_blocks = hi - lo, scale // STEP
+            v, shared = sums[:m].copy(), held[:m, a:b].copy()
+            for j in range(1, n_blocks):
+                v += sums[j : j + m]
+                shared += held[j : j + m, a:b]
+            # a window cut short by the end of its text counts only where the text has no full one
+            short = np.flatnonzero((block[lo:hi] == 0) & (left < n_blocks))
+            for j in range(1, n_blocks):
+                out = short[left[short] <= j]
+                v[out] -= sums[out + j]
+                shared[out] -= held[out + j, a:b]
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
+            cos = v @ it.vectors[a:b].T
+            need = it.rare[a:b] * np.minimum(1.0, scale / np.maximum(it.length[a:b], 1))
+            good = (cos >= cosine) & (shared >= np.maximum(np.ceil(shared_share * need), 1).astype(np.uint8))
+            good[(block[lo:hi] > 0) & (left < n_blocks)] = False
+            r, i = np.nonzero(good)
+            for x, y, z in zip((lo + r).tolist(), (a + i).tolist(), cos[r, i].tolist(), strict=True):
                 d = int(doc[x])
                 m = len(it.words[y])
                 known = best.get((d, y))
@@ -257,17 +297,17 @@ def _matches(it, sorted_words, table, first, h, cosine, lcs_exact, lcs_paraphras
 
 
 def benchmark_leaks(
-    docs: DataFrame, benchmark: DataFrame, cosine: float = 0.55, lcs_exact: float = 0.8, lcs_paraphrase: float = 0.6, answer_share: float = 0.6, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, lcs_exact: float = 0.8, lcs_paraphrase: float = 0.6, answer_share: float = 0.6, shared_share: float = 0.45, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share, answer_share, word_from, word_to): a row for each document and benchmark item that leaks into it."""
     spark: SparkSession = docs.sparkSession
     schema = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, word_from long, word_to long"
-    table = fit_latent_space(docs, text_col)
+    table, idf = fit_latent_space(docs, text_col)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("t"))
     out, block = None, []
 
     def search(items):
-        return rows.mapInArrow(_search(items, table, cosine, lcs_exact, lcs_paraphrase, answer_share), schema)
+        return rows.mapInArrow(_search(items, table, idf, cosine, lcs_exact, lcs_paraphrase, answer_share, shared_share), schema)
 
     for r in benchmark.select(F.col(f"`{item_id_col}`").cast("long").alias("i"), F.col(f"`{item_text_col}`").alias("t")).filter("t is not null").distinct().orderBy("i", "t").toLocalIterator():
         block.append((r["i"], r["t"]))
