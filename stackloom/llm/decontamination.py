@@ -98,7 +98,7 @@ def _sketch_parts(idf: np.ndarray, parts: int):
                     some = s[lo : lo + GROUP_WORDS // PASSAGE]
                     a = some[0]
                     b = s[lo + len(some)] if lo + len(some) < len(s) else len(h)
-                    g = f[a:b]
+                    g = f[a:b].astype(np.intp)
                     of = np.repeat(np.arange(len(some)), np.diff(np.append(some, b)))
                     for k in range(SKETCH):
                         y = np.bincount(of, weights=w[k][g], minlength=len(some))
