@@ -30,6 +30,7 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,7 +59,7 @@ def _sketch_parts(k: int, bits: int):
                 s, _ = K.window_hashes(K.word_hashes(c, w), w.first, k)
                 total += np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         parts = total.reshape(16, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary())], ["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([zlib.compress(np.minimum(p, 255).astype(np.uint8).tobytes(), 1) for p in parts], pa.binary())], ["part", "counts"])
 
     return run
 
@@ -67,14 +68,13 @@ def _sketch_sum(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -
     total = None
     for batch in batches:
         for x in batch.column("counts"):
-            own = np.frombuffer(x.as_buffer(), "<u4").astype(np.int64)
+            own = np.frombuffer(zlib.decompress(x.as_buffer()), np.uint8).astype(np.int64)
             total = own if total is None else total + own
-    # how far a count lies above the mean, in half octaves, is decided by the caller; 32 bits hold it
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], ["part", "counts"])
 
 
 def frequency_classes(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
-    """A class 0..7 for each counter: how far its count lies above the mean, in half octaves.
+    """A class 0..7 for each counter: how far its count, 255 a task at most, lies above the mean, in half octaves.
 
     The counters grow with the bytes of text, up to MAX_COUNTERS (16 MB).
     """
@@ -148,6 +148,53 @@ def _arrays(k: int, classes: np.ndarray):
     return run
 
 
+def _live(num: int, den: int):
+    """Rows (tok, sid, n, pos), ordered by token and size, that can have the first common token of a linked pair.
+
+    Of a pair that links, the smaller set has it among its first
+    n - ceil(n * 2num / (num + den)) + 1 tokens, and the sizes are near.
+    """
+
+    def near(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        tok, n, pos = (np.asarray(t.column(x).combine_chunks()).astype(np.int64) for x in ("tok", "n", "pos"))
+        early = pos <= n + (-2 * num * n) // (num + den)
+        same = tok[1:] == tok[:-1]
+        keep = np.zeros(len(tok), bool)
+        # the smaller of a pair: the next row is the nearest in size
+        keep[:-1] = early[:-1] & same & (n[1:] * num <= n[:-1] * den)
+        # the greater: the last early row before it is the nearest in size
+        begin = np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(tok)), 0))
+        last = np.append(-1, np.maximum.accumulate(np.where(early, np.arange(len(tok)), -1))[:-1])
+        found = last >= begin
+        keep |= found & (n * num <= n[np.maximum(last, 0)] * den)
+        return t.filter(pa.array(keep)).select(["tok", "sid", "pos"])
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < 200_000:
+                continue
+            t = pa.Table.from_batches(held)
+            key = np.asarray(t.column("tok").combine_chunks())
+            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
+            if cut:
+                yield from near(t.slice(0, cut)).to_batches()
+                held, rows = t.slice(cut).to_batches(), t.num_rows - cut
+            elif rows > 4_000_000:
+                # one token's rows beyond that are passed on as they are, but for a last one that keeps the run
+                yield from t.slice(0, rows - 1).select(["tok", "sid", "pos"]).to_batches()
+                held, rows = t.slice(rows - 1).to_batches(), 1
+        if rows:
+            yield from near(pa.Table.from_batches(held)).to_batches()
+
+    return run
+
+
 def _verify(num: int, den: int):
     def run(batches):
         for batch in batches:
@@ -321,12 +368,8 @@ def near_duplicate_components(
     reps = sig.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     kept = sig.filter("n > 0").join(reps, ["sid", "doc_id"], "left_semi")
     postings = kept.select("sid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "tok"))
-    # of a pair that links, the smaller set has the first common token among its first n - ceil(n * 2num / (num + den)) + 1
-    early = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2.0 * num / (num + den)) - 1e-6)
-    shared = postings.groupBy("tok").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("c"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min(F.when(early, F.col("n"))).alias("n2"))
-    # a tile of two whose sizes or places rule out the threshold is no tile
-    shared = shared.filter((F.col("lo") < F.col("hi")) & F.col("n2").isNotNull() & ((F.col("c") > 2) | ((F.col("n1").cast("long") * num <= F.col("n0").cast("long") * den) & (F.col("n2") == F.col("n0"))))).select("tok")
-    live = scratch.write(postings.select("tok", "sid", "pos").join(shared, "tok"), "live")
+    rare = postings.repartition("tok").sortWithinPartitions("tok", "n", "sid").mapInArrow(_live(num, den), "tok long, sid long, pos int")
+    live = scratch.write(rare, "live")
     sized = kept.select("sid", "n", "bits", "head").join(live.select("sid").distinct(), "sid", "left_semi")
     sized = scratch.write(sized.dropDuplicates(["sid"]), "sized")
 
