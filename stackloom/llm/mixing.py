@@ -25,6 +25,8 @@ empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -53,7 +55,11 @@ def _facts(batches):
             per = lambda x, o: x[o[1:]] - x[o[:-1]]  # noqa: E731,B023
             # quality in whole steps of 1/64, 1/64 at least, so that keys don't depend on rounding
             q = np.maximum(1, (64 * per(new, w.first) // np.maximum(n, 1)) * per(letters, c.offsets) // np.maximum(per(chars, c.offsets), 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, len(c)), batch.column(1).slice(c.lo, len(c)), pa.array(n), pa.array(q), pa.array(K.as_long(K.mix(np.add.reduceat(np.append(h, 0).astype(np.uint64), np.minimum(w.first[:-1], len(h))) + n.astype(np.uint64))))], ["doc_id", "source", "size", "quality", "text_hash"])
+            # the sum of a text's word hashes tells rows of one id apart
+            digest = np.zeros(len(c), np.uint64)
+            if len(h):
+                digest[n > 0] = np.add.reduceat(h, w.first[:-1][n > 0])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, len(c)), batch.column(1).slice(c.lo, len(c)), pa.array(n), pa.array(q), pa.array(K.as_long(digest))], ["doc_id", "source", "size", "quality", "text_hash"])
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2) -> DataFrame:
@@ -153,6 +159,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     plan = mix_plan(docs, **options).filter("copies > 0").groupBy("doc_id", "source", "size", "text_hash").agg(F.max("copies").alias("copies"))
     plan = plan.select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), "copies", F.col("size").alias("__mix_size")).withColumnRenamed("copies", "__mix_copies")
     on = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__mix_id")) & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__mix_source"))
-    size = F.size(F.array_remove(F.split(F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\t\n\x0b\x0c\r", "     "), " "), ""))
+    flat = reduce(lambda x, ch: F.replace(x, F.lit(ch), F.lit(" ")), "\t\n\x0b\x0c\r", F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    size = F.size(F.array_remove(F.split(flat, " "), ""))
     both = docs.join(plan, on).filter(size == F.col("__mix_size"))
     return both.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
