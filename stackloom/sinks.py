@@ -13,7 +13,7 @@ from stackloom.functions.names import UNKNOWN
 from stackloom.operators import mappings as M
 
 #: File names of a stored run.
-ARTIFACTS = {"manifest": "manifest.json", "stdout": "stdout.log", "stderr": "stderr.log", "folded": "stacks.folded", "flamegraph": "flamegraph.svg", "summary_text": "summary.txt", "summary_json": "summary.json", "command": "command.txt", "tools": "tools.json"}
+ARTIFACTS = {"manifest": "run.json", "stdout": "stdout.log", "stderr": "stderr.log", "command": "command.txt", "folded": "stacks.folded", "flamegraph": "flamegraph.svg", "summary_text": "summary.txt", "summary_json": "summary.json", "tool_errors": "tool-errors.log"}
 
 
 def folded_lines(folded: DataFrame) -> DataFrame:
