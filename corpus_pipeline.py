@@ -30,10 +30,9 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component stays."""
+    """The document with the smallest id of each near-duplicate component stays; rows without an id stay, and rows that share an id count as one document."""
     found = near_duplicate_components(docs, SHINGLE_WORDS, *SIMILARITY)
     gone = found.filter("doc_id <> component_id").select("doc_id")
-    # a document without an id stays only if its component has none with an id
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
