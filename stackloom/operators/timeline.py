@@ -16,24 +16,39 @@ def replay_order():
     return [order_key(F.coalesce("time", F.lit(0).cast("long"))), F.col("ord")]
 
 
-def comm_as_of(samples: DataFrame, comms: DataFrame) -> DataFrame:
-    """samples with `comm`: the last name set before each, of an exec of its pid, else of its thread, else of its pid.
+def _block(time_bits: int, ord_bits: int):
+    """A part of a recording's order: rows without time by number, then the others by time."""
+    t = F.coalesce("time", F.lit(0).cast("long"))
+    timed = F.struct(F.shiftrightunsigned(t, time_bits).alias("t"), F.lit(2**62).alias("o"))
+    return F.when(t != 0, timed).otherwise(F.struct(F.lit(0).cast("long").alias("t"), F.shiftright("ord", ord_bits).alias("o")))
 
-    Names and samples of a key go by a running last value, so the cost is a sort
-    of each side's rows and no join grows.  Three windows, by pid or thread.
+
+def _last_so_far(rows: DataFrame, keys: list[str], value, name: str) -> DataFrame:
+    """rows with the last value so far of each key, by blocks.
+
+    A running window holds one block of one key; the last values of the blocks
+    before come from a table of a row a key and block.  So a key with any share of
+    the rows spreads over tasks.
     """
+    rows = rows.withColumn("v", value)
+    run = Window.partitionBy(*keys, "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.filter(F.col(keys[-1]).isNotNull()).groupBy(*keys, "block").agg(F.max_by("v", F.when(F.col("v").isNotNull(), F.col("at"))).alias("end"))
+    before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("before", F.last("end", ignorenulls=True).over(before)).drop("end")
+    out = rows.withColumn("inside", F.when(F.col(keys[-1]).isNotNull(), F.last("v", ignorenulls=True).over(run)))
+    return out.join(ends, [*keys, "block"], "left").withColumn(name, F.coalesce("inside", "before")).drop("v", "inside", "before")
+
+
+def comm_as_of(samples: DataFrame, comms: DataFrame, time_bits: int = 32, ord_bits: int = 20) -> DataFrame:
+    """samples with `comm`: the last name set before each, of an exec of its pid, else of its thread, else of its pid."""
     cols = samples.columns
-    key = F.struct(*replay_order())
-    s = samples.select(F.struct(*cols).alias("s"), "file", "pid", "tid", key.alias("at"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("is_exec"))
-    c = comms.select(F.lit(None).cast(s.schema["s"].dataType).alias("s"), "file", "pid", "tid", key.alias("at"), F.col("comm").alias("name"), F.coalesce("is_exec", F.lit(False)).alias("is_exec"))
-    both = s.unionByName(c)
-    by_pid = Window.partitionBy("file", "pid").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    by_tid = Window.partitionBy("file", "tid").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    key, block = F.struct(*replay_order()), _block(time_bits, ord_bits).alias("block")
+    s = samples.select(F.struct(*cols).alias("s"), "file", "pid", "tid", key.alias("at"), block, F.lit(None).cast("string").alias("name"), F.lit(False).alias("is_exec"))
+    c = comms.select(F.lit(None).cast(s.schema["s"].dataType).alias("s"), "file", "pid", "tid", key.alias("at"), block, F.col("comm").alias("name"), F.coalesce("is_exec", F.lit(False)).alias("is_exec"))
     # a process name is its main thread's: of an event whose pid is its tid
-    executed = F.last(F.when(F.col("is_exec"), F.col("name")), ignorenulls=True).over(by_pid)
-    process = F.last(F.when(F.col("pid") == F.col("tid"), F.col("name")), ignorenulls=True).over(by_pid)
-    thread = F.last("name", ignorenulls=True).over(by_tid)
-    out = both.withColumn("e", F.when(F.col("pid").isNotNull(), executed)).withColumn("p", F.when(F.col("pid").isNotNull(), process)).withColumn("t", F.when(F.col("tid").isNotNull(), thread))
+    out = _last_so_far(s.unionByName(c), ["file", "pid"], F.when(F.col("is_exec"), F.col("name")), "e")
+    out = _last_so_far(out, ["file", "pid"], F.when(F.col("pid") == F.col("tid"), F.col("name")), "p")
+    out = _last_so_far(out, ["file", "tid"], F.col("name"), "t")
     return out.filter("s is not null").select("s.*", F.coalesce("e", "t", "p").alias("comm"))
 
 

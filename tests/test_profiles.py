@@ -130,6 +130,7 @@ def test_comm_as_of_by_brute_force(spark):
     samples = spark.createDataFrame(s, "file string, ord long, time long, pid long, tid long")
     comms = spark.createDataFrame(c, "file string, ord long, time long, pid long, tid long, comm string, is_exec boolean")
     got = {r.ord: r.comm for r in timeline.comm_as_of(samples, comms).collect()}
+    assert {r.ord: r.comm for r in timeline.comm_as_of(samples, comms, time_bits=3, ord_bits=4).collect()} == got
     execs, threads, process, want = {}, {}, {}, {}
     for r in sorted([*s, *c], key=lambda r: (r[2] or 0, r[1])):
         if len(r) == 7:
