@@ -97,14 +97,55 @@ def anchors(c: K.Chunk, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]
     return place, h[place]
 
 
+def _own_repeats(c: K.Chunk, place: np.ndarray, h: np.ndarray, doc: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+    """Which anchors to keep, and the runs of bytes that windows with an equal in their own document cover.
+
+    Periodic text has one anchor a period, all with equal windows: one of them
+    stands for all, and each is repeated whole.
+    """
+    keep, runs = np.ones(len(place), bool), [[] for _ in range(len(c))]
+    if len(place) < 2:
+        return keep, runs
+    order = np.lexsort((place, h, doc))
+    same = (doc[order][1:] == doc[order][:-1]) & (h[order][1:] == h[order][:-1])
+    twin = np.append(same, False) | np.append(False, same)
+    seen, owner = {}, -1
+    for i in order[twin].tolist():
+        d = int(doc[i])
+        if d != owner:
+            seen, owner = {}, d
+        lo, hi = int(place[i]) - length + gram, int(place[i]) + length
+        if lo < c.offsets[d] or hi > c.offsets[d + 1]:
+            continue
+        window = c.data[lo:hi].tobytes()
+        first = seen.setdefault(window, lo)
+        if first != lo:
+            keep[i] = False
+            runs[d] += [(first, first + hi - lo), (lo, hi)]
+    for d, some in enumerate(runs):
+        merged: list[list[int]] = []
+        for lo, hi in sorted(set(some)):
+            if merged and lo <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], hi)
+            else:
+                merged.append([lo, hi])
+        runs[d] = [{"s": lo - int(c.offsets[d]), "e": hi - int(c.offsets[d])} for lo, hi in merged]
+    return keep, runs
+
+
+_RUNS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+
+
 def _anchor_rows(length: int, gram: int):
     def run(batches):
         for batch in batches:
             for c in K.chunks(batch.column(1)):
                 place, h = anchors(c, length, gram)
+                doc = np.searchsorted(c.offsets, place, "right") - 1
+                keep, runs = _own_repeats(c, place, h, doc, length, gram)
+                place, h, doc = place[keep], h[keep], doc[keep]
                 cut = np.searchsorted(place, c.offsets)
-                doc = np.repeat(np.arange(len(c)), np.diff(cut))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, len(c)), K.list_rows(K.as_long(h), cut), K.list_rows((place - c.offsets[doc]).astype(np.int32), cut)], ["tid", "ah", "pos"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, len(c)), K.list_rows(K.as_long(h), cut), K.list_rows((place - c.offsets[doc]).astype(np.int32), cut), pa.array(runs, _RUNS)], ["tid", "ah", "pos", "own"])
 
     return run
 
@@ -276,15 +317,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     scratch = Scratch(docs.sparkSession, "repeats")
     text = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.md5(text)).alias("tid"), text.alias("t"))
-    table = scratch.write(base.select("tid", "t").mapInArrow(_anchor_rows(length, gram), "tid long, ah array<long>, pos array<int>"), "anchors")
+    table = scratch.write(base.select("tid", "t").mapInArrow(_anchor_rows(length, gram), "tid long, ah array<long>, pos array<int>, own array<struct<s:int,e:int>>"), "anchors")
     copies = table.groupBy("tid").agg(F.count("*").alias("copies"))
+    # copies of a text count once: a partial aggregation takes them out before the shuffle
+    once = table.select("tid", "ah", "pos").groupBy("tid").agg(F.first("ah").alias("ah"), F.first("pos").alias("pos"))
 
-    posts = table.select("tid", F.explode(F.arrays_zip("ah", "pos")).alias("z")).select(F.col("z.ah").alias("ah"), "tid", F.col("z.pos").alias("pos"))
+    posts = once.select("tid", F.explode(F.arrays_zip("ah", "pos")).alias("z")).select(F.col("z.ah").alias("ah"), "tid", F.col("z.pos").alias("pos"))
     mark = F.xxhash64("tid", "pos")
     shared = posts.groupBy("ah").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.count("*").alias("c")).filter("lo < hi").select("ah", (F.col("c") > hot_windows).alias("hot"))
     live = posts.join(shared, "ah").groupBy("tid").agg(F.collect_set(F.struct("pos", "ah", "hot")).alias("live"))
     live = scratch.write(live, "live")
     scratch_copies = scratch.write(copies.filter("copies > 1"), "copies")
+    own = scratch.write(table.filter("size(own) > 0").select("tid", F.inline("own")), "own")
     scratch.drop("anchors")
 
     bucket = F.pmod(F.col("tid"), F.lit(ID_BUCKETS)).cast("int").alias("bucket")
@@ -299,8 +343,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
         strings = windows.filter("hot").select(_WINDOW).mapInArrow(_string_hashes(length), "x long, y long, tid long, s int").distinct()
         twice = strings.groupBy("x", "y").agg(F.count("*").alias("c")).filter("c > 1").select("x", "y")
         found = cold.union(strings.join(twice, ["x", "y"]).select("tid", "s", (F.col("s") + length).alias("e")))
-    found = scratch.write(found.groupBy("tid").agg(F.collect_set(F.struct("s", "e")).alias("ivs")), "found")
-    scratch.drop("live", "windows")
+    found = scratch.write(found.union(own).groupBy("tid").agg(F.collect_set(F.struct("s", "e")).alias("ivs")), "found")
+    scratch.drop("live", "windows", "own")
 
     facts = scratch_copies.join(found, "tid", "full")
     out = base.join(facts, "tid", "left").select("doc_id", "t", "copies", "ivs").mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
