@@ -3,9 +3,8 @@
 A document is the set of its k-word shingles (64-bit hashes).  Two sets whose
 Jaccard index reaches num/den share a token among their first
 n - ceil(n * num / den) + 1 tokens under any one order of tokens.  The order
-used puts frequent shingles last: frequency classes come from a fixed-size
-table of counters over the whole corpus (two reads of the text; the table does
-not grow).  Documents that share such a token meet in a tile:
+used puts frequent shingles last: frequency classes come from a table of at most
+MAX_COUNTERS counters over the whole corpus (a read of the text of its own).  Documents that share such a token meet in a tile:
 
 1. equal sets collapse to one node before anything is joined;
 2. a tile holds the nodes of one token, ordered by size; only nodes whose sizes
