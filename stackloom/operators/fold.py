@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.functions.addresses import hex_address, is_kernel, is_marker
+from stackloom.functions.addresses import ALL_PIDS, hex_address, is_kernel, is_marker
 from stackloom.functions.names import UNKNOWN, comm_label, mapped_label, module_label, render_tidy_stack
 from stackloom.operators import mappings as M
 from stackloom.operators import timeline
@@ -57,28 +57,27 @@ def labelled_stacks(stacks: DataFrame, mappings: DataFrame, symbols: DataFrame |
 
     symbols: (file, pid, addr, names) with the names of an address, outermost first.
     """
-    s = stacks.withColumn("id", F.xxhash64("file", "pid", "comm", "frames"))
-    flat = s.select("file", "pid", "comm", "frames", F.posexplode("frames").alias("pos", "f")).select("file", "pid", "comm", "frames", "pos", F.col("f.addr").alias("addr"), F.col("f.kind").alias("kind"))
+    keys = ["file", "pid", "comm", "frames", "count"]
+    flat = stacks.select(*keys, F.posexplode("frames").alias("pos", "f")).select(*keys, "pos", F.col("f.addr").alias("addr"), F.col("f.kind").alias("kind"))
     found = M.resolve(flat, mappings).select("file", "pid", "addr", F.col("map_path").alias("path"), "relative")
-    pids = M.executable_pids(mappings)
-    every = pids.filter(F.col("pid") == 4294967295).select("file").distinct().withColumn("all_exec", F.lit(True))
-    pids = pids.withColumn("own_exec", F.lit(True))
-    flat = flat.join(found, ["file", "pid", "addr"], "left").join(pids, ["file", "pid"], "left").join(every, "file", "left")
+    flat = flat.join(found, ["file", "pid", "addr"], "left")
+    drops = (F.col("kind") == 1) & M.is_dropped_unwind(F.col("path"))
     if symbols is None:
+        pids = M.executable_pids(mappings)
+        every = pids.filter(F.col("pid") == ALL_PIDS).select("file").distinct().withColumn("all_exec", F.lit(True))
+        flat = flat.join(pids.withColumn("own_exec", F.lit(True)), ["file", "pid"], "left").join(every, "file", "left")
         runs_code = F.coalesce("own_exec", "all_exec", F.lit(False))
         valid = (F.col("kind") == 0) | F.col("pid").isNull() | ~runs_code | F.col("path").isNotNull() | is_kernel(F.col("addr"))
-        flat = flat.filter(valid)
+        drops = drops | ~valid
         names = F.array(frame_label(F.col("addr"), F.col("path"), F.col("relative")))
     else:
         flat = flat.join(symbols, ["file", "pid", "addr"], "left")
         names = F.when(F.col("path").isNotNull() & M.symbolizes(F.col("addr"), F.col("path")) & (F.size(F.coalesce("names", F.array())) > 0), F.col("names"))
         names = F.coalesce(names, F.array(frame_label(F.col("addr"), F.col("path"), F.col("relative"), symbols=True)))
-    flat = flat.filter(~((F.col("kind") == 1) & M.is_dropped_unwind(F.col("path")))).withColumn("names", names)
-    lists = flat.groupBy("file", "pid", "comm", "frames").agg(F.sort_array(F.collect_list(F.struct("pos", "names"))).alias("l"))
-    same = F.col("a.file").eqNullSafe(F.col("b.file")) & F.col("a.pid").eqNullSafe(F.col("b.pid")) & F.col("a.comm").eqNullSafe(F.col("b.comm")) & (F.col("a.frames") == F.col("b.frames"))
-    out = stacks.alias("a").join(lists.alias("b"), same, "left")
-    labels = F.concat(F.array(comm_label(F.col("a.comm"))), F.flatten(F.transform(F.coalesce("b.l", F.array().cast(lists.schema["l"].dataType)), lambda x: x["names"])))
-    return out.select("a.*", labels.alias("labels"))
+    # a stack whose frames all drop still counts under its comm label
+    flat = flat.withColumn("names", F.when(drops, F.array().cast("array<string>")).otherwise(names))
+    lists = flat.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "names"))).alias("l"))
+    return lists.select(*keys, F.concat(F.array(comm_label(F.col("comm"))), F.flatten(F.transform("l", lambda x: x["names"]))).alias("labels"))
 
 
 def folded(stacks: DataFrame, mappings: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
