@@ -12,7 +12,8 @@ MAX_COUNTERS counters over the whole corpus (a read of the text of its own).  Do
    pair is bounded from above first: |x & y| <= (|x| + |y| -
    popcount(bits_x ^ bits_y)) / 2, with parity bitmaps of at least 2n bits (the
    longer folds onto the shorter by XOR).  In a first round each node meets the
-   leader of its band alone, which joins groups of copies in stars;
+   leader of its band and the next node that passes, which joins groups of
+   copies in stars and chains;
 3. in a second round tiles that still hold two components compare every pair of
    different components; a tile's main component is not compared with itself,
    and large tiles are cut in chunks of rows, spread over tasks;
@@ -29,6 +30,7 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -148,15 +150,20 @@ def _arrays(k: int, classes: np.ndarray):
 
 
 def _live(num: int, den: int):
-    """Rows (tok, sid, n, pos), ordered by token and size, that can have the first common token of a linked pair.
+    """Rows (tok, sid, size), ordered by token and size, that can have the first common token of a linked pair.
 
     Of a pair that links, the smaller set has it among its first
     n - ceil(n * 2num / (num + den)) + 1 tokens, and the sizes are near.
     """
 
-    def near(t: pa.Table) -> pa.RecordBatch:
+    def placed(t: pa.Table) -> pa.Table:
+        pos = (np.concatenate([np.asarray(x) for x in t.column("size").chunks] or [np.zeros(0, np.int64)]) & 0xFFFFFFFF).astype(np.int32)
+        return pa.table({"tok": t.column("tok"), "sid": t.column("sid"), "pos": pa.array(pos)})
+
+    def near(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        tok, n, pos = (np.asarray(t.column(x).combine_chunks()).astype(np.int64) for x in ("tok", "n", "pos"))
+        tok, size = (np.asarray(t.column(x).combine_chunks()) for x in ("tok", "size"))
+        n, pos = size >> 32, size & 0xFFFFFFFF
         early = pos <= n + (-2 * num * n) // (num + den)
         same = tok[1:] == tok[:-1]
         keep = np.zeros(len(tok), bool)
@@ -167,7 +174,7 @@ def _live(num: int, den: int):
         last = np.append(-1, np.maximum.accumulate(np.where(early, np.arange(len(tok)), -1))[:-1])
         found = last >= begin
         keep |= found & (n * num <= n[np.maximum(last, 0)] * den)
-        return t.filter(pa.array(keep)).select(["tok", "sid", "pos"])
+        return placed(t.filter(pa.array(keep)))
 
     def run(batches):
         held, rows = [], 0
@@ -186,7 +193,7 @@ def _live(num: int, den: int):
                 held, rows = t.slice(cut).to_batches(), t.num_rows - cut
             elif rows > 4_000_000:
                 # one token's rows beyond that are passed on as they are, but for a last one that keeps the run
-                yield from t.slice(0, rows - 1).select(["tok", "sid", "pos"]).to_batches()
+                yield from placed(t.slice(0, rows - 1)).to_batches()
                 held, rows = t.slice(rows - 1).to_batches(), 1
         if rows:
             yield from near(pa.Table.from_batches(held)).to_batches()
@@ -320,12 +327,12 @@ class _Tiles:
 
 
 def _tile_pairs(num: int, den: int, turns: int):
-    """Runs over partitions ordered by (key, n, sid); a tile may span batches.  turns 0: crossing pairs; -1: chains."""
+    """Runs over partitions ordered by (key, n, sid); a tile may span batches.  turns 0: crossing pairs; else leaders and chains."""
 
     def pairs(t: pa.Table):
         tiles = _Tiles(t, num, den)
         a, b = [], []
-        for i, j in tiles.leaders(turns) if turns > 0 else tiles.chains() if turns else tiles.crossing():
+        for i, j in itertools.chain(tiles.leaders(turns), tiles.chains()) if turns else tiles.crossing():
             a.append(np.minimum(tiles.sid[i], tiles.sid[j]))
             b.append(np.maximum(tiles.sid[i], tiles.sid[j]))
         if a and sum(map(len, a)):
@@ -366,8 +373,10 @@ def near_duplicate_components(
 
     reps = sig.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     kept = sig.filter("n > 0").join(reps, ["sid", "doc_id"], "left_semi")
-    postings = kept.select("sid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "tok"))
-    rare = postings.repartition("tok").sortWithinPartitions("tok", "n", "sid").mapInArrow(_live(num, den), "tok long, sid long, pos int")
+    postings = kept.select("sid", "n", F.posexplode("prefix").alias("pos", "tok"))
+    # size above, place below: ordered as the size is
+    postings = postings.select("tok", "sid", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("size"))
+    rare = postings.repartition("tok").sortWithinPartitions("tok", "size", "sid").mapInArrow(_live(num, den), "tok long, sid long, pos int")
     live = scratch.write(rare, "live")
     sized = kept.select("sid", "n", "bits", "head").join(live.select("sid").distinct(), "sid", "left_semi")
     sized = scratch.write(sized.dropDuplicates(["sid"]), "sized")
@@ -409,12 +418,11 @@ def near_duplicate_components(
         wide = every.select(*rows.columns, "p", "q").union(rest.select(*rows.columns, "p", "q")).withColumn("key", F.xxhash64("tok", "p", "q"))
         return one.select(columns).union(wide.select(columns))
 
-    # components of the stars; tiles that still hold several are linked by chains first, then searched in full
-    for turns in (-1, 0):
-        comp = scratch.write(components(spark, links, scratch, f"cc{turns}"), f"comp{turns}")
-        found = verified(tiled(mixed_tiles(comp), turns), f"found{turns}")
-        links = scratch.write(links.union(found), f"links{turns}")
-    final = components(spark, links, scratch, "cc")
+    # tiles that still hold several components are searched in full
+    comp = scratch.write(components(spark, links, scratch, "cc1"), "comp1")
+    found = verified(tiled(mixed_tiles(comp), 0), "links2")
+    links = links.union(found)
+    final = components(spark, links, scratch, "cc2")
 
     least = reps.join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     ids = least.groupBy("comp").agg(F.min("doc_id").alias("component_id")).join(least.select("sid", "comp"), "comp").select("sid", "component_id")
@@ -422,5 +430,5 @@ def near_duplicate_components(
     out = sig.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(ids, "sid", "left")
     out = out.select(known.alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component_id", "doc_id"), F.lit(_LAST)).alias("component_id"))
     out = scratch.write(out, "result")
-    scratch.drop("sig", "live", "sized", "links1", *(f"{x}{k}" for x in ("comp", "found", "links") for k in (-1, 0)))
+    scratch.drop("sig", "live", "sized", "links1", "links2", "comp1")
     return out
