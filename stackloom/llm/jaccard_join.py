@@ -46,6 +46,7 @@ from stackloom.llm.scratch import Scratch
 MIN_COUNTERS, MAX_COUNTERS = 1 << 16, 1 << 22
 WORDS_A_COUNTER = 64
 TILE_ROWS = 4096
+RUN_ROWS = 200_000
 HEAD = 4
 NODE_BUCKETS = 1 << 22
 _LAST = 2**63 - 1
@@ -149,19 +150,21 @@ def _arrays(k: int, classes: np.ndarray):
     return run
 
 
-def _live(num: int, den: int):
+def _live(num: int, den: int, run_rows: int = RUN_ROWS):
     """Rows (tok, sid, size), ordered by token and size, that can have the first common token of a linked pair.
 
     Of a pair that links, the smaller set has it among its first
     n - ceil(n * 2num / (num + den)) + 1 tokens, and the sizes are near.
+    Runs of some run_rows rows are held; a run ends anywhere in a token, and
+    what is kept does not depend on where.
     """
 
     def placed(t: pa.Table) -> pa.Table:
         pos = (np.concatenate([np.asarray(x) for x in t.column("size").chunks] or [np.zeros(0, np.int64)]) & 0xFFFFFFFF).astype(np.int32)
         return pa.table({"tok": t.column("tok"), "sid": t.column("sid"), "pos": pa.array(pos)})
 
-    def near(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
+    def near(t: pa.Table, before: int) -> tuple[np.ndarray, int]:
+        """The rows to keep, and the size of the last early row before the last row in its token; before is that of the first row.  -1: none."""
         tok, size = (np.asarray(t.column(x).combine_chunks()) for x in ("tok", "size"))
         n, pos = size >> 32, size & 0xFFFFFFFF
         early = pos <= n + (-2 * num * n) // (num + den)
@@ -172,31 +175,28 @@ def _live(num: int, den: int):
         # the greater: the last early row before it is the nearest in size
         begin = np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(tok)), 0))
         last = np.append(-1, np.maximum.accumulate(np.where(early, np.arange(len(tok)), -1))[:-1])
-        found = last >= begin
-        keep |= found & (n * num <= n[np.maximum(last, 0)] * den)
-        return placed(t.filter(pa.array(keep)))
+        least = np.where(last >= begin, n[np.maximum(last, 0)], np.where(begin == 0, before, -1))
+        keep |= (least >= 0) & (n * num <= least * den)
+        return keep, int(least[-1])
 
     def run(batches):
-        held, rows = [], 0
+        held, rows, before = [], 0, -1
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
             rows += batch.num_rows
-            if rows < 200_000:
+            if rows < run_rows:
                 continue
             t = pa.Table.from_batches(held)
-            key = np.asarray(t.column("tok").combine_chunks())
-            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
-            if cut:
-                yield from near(t.slice(0, cut)).to_batches()
-                held, rows = t.slice(cut).to_batches(), t.num_rows - cut
-            elif rows > 4_000_000:
-                # one token's rows beyond that are passed on as they are, but for a last one that keeps the run
-                yield from placed(t.slice(0, rows - 1)).to_batches()
-                held, rows = t.slice(rows - 1).to_batches(), 1
+            keep, before = near(t, before)
+            # the last row waits for the one after it
+            keep[-1] = False
+            yield from placed(t.filter(pa.array(keep))).to_batches()
+            held, rows = t.slice(rows - 1).to_batches(), 1
         if rows:
-            yield from near(pa.Table.from_batches(held)).to_batches()
+            t = pa.Table.from_batches(held)
+            yield from placed(t.filter(pa.array(near(t, before)[0]))).to_batches()
 
     return run
 

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows_equal_sql
 from corpus import awkward, documents, words
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from stackloom.llm import sql, warc
 from stackloom.llm.chat_format import rotate_perspectives
 from stackloom.llm.decontamination import benchmark_leaks, decontaminate, lcs_length
-from stackloom.llm.jaccard_join import near_duplicate_components
+from stackloom.llm.jaccard_join import _live, near_duplicate_components
 from stackloom.llm.line_dedup import dedup_lines
 from stackloom.llm.mixing import mix, mix_plan
 from stackloom.llm.quality_crf import forward_backward, score_quality, train
@@ -102,6 +103,39 @@ def test_components_by_brute_force(spark, k, num, tile):
     assert sorted(map(tuple, got.collect()), key=key) == brute_components(rows, k, num, 100)
 
 
+def postings(tok, n, pos):
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (tok, np.arange(len(n)), np.asarray(n) << 32 | np.asarray(pos))], ["tok", "sid", "size"])
+
+
+def test_live_postings_of_one_long_token():
+    """An early row, then more late rows of its size than were ever held at once: all of them can link with it."""
+    rows, step = 4_500_000, 500_000
+    pos = np.full(rows, 30)
+    pos[0] = 0
+    batches = (postings(np.zeros(step), np.full(step, 100), pos[k : k + step]) for k in range(0, rows, step))
+    assert sum(b.num_rows for b in _live(85, 100)(batches)) == rows
+
+
+@pytest.mark.parametrize("run_rows", [1, 2, 7, 10**6])
+def test_live_postings_by_brute_force(run_rows):
+    rng = random.Random(run_rows)
+    for _ in range(40):
+        rows = sorted((rng.randrange(4), rng.choice([20, 22, 26, 40, 60]), rng.randrange(14)) for _ in range(60))
+        early = [p <= n - -(-170 * n // 185) for _, n, p in rows]
+        want = set()
+        for j in range(60):
+            for i in range(j):
+                if rows[i][0] == rows[j][0] and early[i] and rows[j][1] * 85 <= rows[i][1] * 100:
+                    want |= {i, j}
+        whole, batches, at = postings(*zip(*rows, strict=True)), [], 0
+        while at < 60:
+            size = rng.randrange(0, 9)
+            batches.append(whole.slice(at, size))
+            at += size
+        got = [x for b in _live(85, 100, run_rows)(iter(batches)) for x in b.column("sid").to_pylist()]
+        assert got == sorted(want)
+
+
 def test_quality_rules(spark):
     prose = "\n".join(" ".join(f"plain{w}word{i}" for i in range(12)) + "." for w in "one two three four five six".split())
     junk = "\n".join(" | ".join(f"a{i}{j}" for j in range(12)) for i in range(10))
