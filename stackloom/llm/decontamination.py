@@ -205,13 +205,13 @@ def _search(items: list[tuple[int, str]], table: np.ndarray, idf: np.ndarray, co
         it = _Items(items, table, idf)
         if not it.ids:
             return
-        sorted_words = [np.sort(x) for x in it.words]
+        counted = [np.unique(x, return_counts=True) for x in it.words]
         for batch in batches:
             for c in K.chunks(batch.column(1)):
                 w, h = _hashed(c)
                 if not len(h):
                     continue
-                out = list(_matches(it, sorted_words, table, w.first, h, cosine, lcs_exact, lcs_paraphrase, answer_share, shared_share))
+                out = list(_matches(it, counted, table, w.first, h, cosine, lcs_exact, lcs_paraphrase, answer_share, shared_share))
                 if out:
                     d, i, cos, lcs, ans, a, b = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays(
@@ -235,7 +235,7 @@ def _block_sums(table: np.ndarray, f: np.ndarray, start: np.ndarray, end: np.nda
     return out
 
 
-def _matches(it, sorted_words, table, first, h, cosine, lcs_exact, lcs_paraphrase, answer_share, shared_share):
+def _matches(it, counted, table, first, h, cosine, lcs_exact, lcs_paraphrase, answer_share, shared_share):
     f, n = _features(h), np.diff(first)
     per = -(-n // STEP)
     at = np.concatenate([[0], np.cumsum(per)])
@@ -281,9 +281,12 @@ def _matches(it, sorted_words, table, first, h, cosine, lcs_exact, lcs_paraphras
                     continue
                 a, b = max(int(first[d]), int(start[x]) - m), min(int(first[d + 1]), int(start[x]) + scale + m)
                 near = h[a:b]
-                inside = sorted_words[y][np.minimum(np.searchsorted(sorted_words[y], near), m - 1)] == near
+                own, times = counted[y]
+                place = np.minimum(np.searchsorted(own, near), len(own) - 1)
+                inside = own[place] == near
                 some = near[inside]
-                if len(some) < lcs_paraphrase * m or len(np.unique(some)) < 0.5 * lcs_paraphrase * m:
+                # no subsequence is longer than the words, with their counts, that both hold
+                if len(some) / m < lcs_paraphrase or np.minimum(np.bincount(place[inside], minlength=len(own)), times).sum() / m < lcs_paraphrase:
                     continue
                 lcs = lcs_length(it.words[y], some) / m
                 if lcs < (lcs_paraphrase if m >= 8 else 1.0):

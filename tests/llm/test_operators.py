@@ -370,3 +370,16 @@ def test_leaks(spark):
     assert {r.doc_id for r in decontaminate(docs, bench).collect()} == {*range(100, 160), 200, 201, None}
     assert lcs_length(np.array([1, 2, 3, 4]), np.array([2, 9, 3, 1, 4])) == 3
     assert sql.OP3
+
+
+def test_leaks_of_items_with_few_distinct_words(spark):
+    rng = random.Random(8)
+    filler = lambda n: " ".join(words(rng, n, 3000))
+    grid = "\n".join(" ".join(rng.choice("123") for _ in range(9)) for _ in range(9))
+    shots = " ".join(f"question {x} answer {y}" for x, y in (rng.choice([("left", "right"), ("up", "down"), ("hot", "cold")]) for _ in range(12)))
+    table = "\n".join(f"| {rng.choice(['yes', 'no'])} | {rng.choice(['high', 'low'])} | 10 |" for _ in range(30))
+    items = list(enumerate((grid, shots, table)))
+    assert all(len(set(t.replace("|", " ").split())) < 0.3 * len(t.replace("|", " ").split()) for _, t in items)
+    rows = [(k, f"{filler(40)}\n{t}\n{filler(60)}", "s") for k, t in items] + [(100 + k, filler(200), "s") for k in range(60)]
+    got = benchmark_leaks(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.lcs_share) for r in got} == {(k, k, 1.0) for k in range(3)}
