@@ -9,9 +9,10 @@
 3. Windows of 16, 32 or 64 words, every 8 words, over whole texts are projected
    on the leading right singular vectors, scaled to unit variance, and compared
    by cosine with the benchmark items of about their length.
-4. Windows over the threshold that share enough of the item's rarer words are checked word by word: the longest common
+4. Windows over the threshold whose surroundings (an item's length on either side) hold as many of the item's rarer
+   words as any long enough subsequence has are checked word by word: the longest common
    subsequence of item and surroundings, and the share of the item's answer (its
-   last sentence) found there.  An item leaks into a document if the subsequence
+   last sentence) found there.  An item leaks if the subsequence
    covers lcs_exact of the item, or lcs_paraphrase with most of the answer.
 
 The benchmark is a table of fixed size; it is still taken in blocks of
@@ -168,7 +169,7 @@ def lcs_length(item: np.ndarray, other: np.ndarray) -> int:
 class _Items:
     """Benchmark items, ordered by the window length they are searched with."""
 
-    def __init__(self, items: list[tuple[int, str]], table: np.ndarray, idf: np.ndarray):
+    def __init__(self, items: list[tuple[int, str]], table: np.ndarray, idf: np.ndarray, lcs_paraphrase: float):
         self.words, self.answer, self.ids = [], [], []
         for c in K.chunks(pa.array([t for _, t in items], pa.string()), 1 << 62):
             w, h = _hashed(c)
@@ -196,13 +197,15 @@ class _Items:
             own = f[~common[f]] if (~common[f]).any() else f
             has[k, own] = 1
             self.rare[k] = len(own)
+        # the rarer words that are in any subsequence of the length asked for
+        self.least = self.rare - self.length + np.where(self.length < 8, self.length, np.ceil(lcs_paraphrase * self.length - 1e-9).astype(int))
         self.rare_by_feature = np.ascontiguousarray(has.T)
         self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30)
 
 
-def _search(items: list[tuple[int, str]], table: np.ndarray, idf: np.ndarray, cosine: float, lcs_exact: float, lcs_paraphrase: float, answer_share: float, shared_share: float):
+def _search(items: list[tuple[int, str]], table: np.ndarray, idf: np.ndarray, cosine: float, lcs_exact: float, lcs_paraphrase: float, answer_share: float):
     def run(batches):
-        it = _Items(items, table, idf)
+        it = _Items(items, table, idf, lcs_paraphrase)
         if not it.ids:
             return
         counted = [np.unique(x, return_counts=True) for x in it.words]
@@ -211,7 +214,7 @@ def _search(items: list[tuple[int, str]], table: np.ndarray, idf: np.ndarray, co
                 w, h = _hashed(c)
                 if not len(h):
                     continue
-                out = list(_matches(it, counted, table, w.first, h, cosine, lcs_exact, lcs_paraphrase, answer_share, shared_share))
+                out = list(_matches(it, counted, table, w.first, h, cosine, lcs_exact, lcs_paraphrase, answer_share))
                 if out:
                     d, i, cos, lcs, ans, a, b = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays(
@@ -235,7 +238,7 @@ def _block_sums(table: np.ndarray, f: np.ndarray, start: np.ndarray, end: np.nda
     return out
 
 
-def _matches(it, counted, table, first, h, cosine, lcs_exact, lcs_paraphrase, answer_share, shared_share):
+def _matches(it, counted, table, first, h, cosine, lcs_exact, lcs_paraphrase, answer_share):
     f, n = _features(h), np.diff(first)
     per = -(-n // STEP)
     at = np.concatenate([[0], np.cumsum(per)])
@@ -245,34 +248,40 @@ def _matches(it, counted, table, first, h, cosine, lcs_exact, lcs_paraphrase, an
     end = np.minimum(start + STEP, first[doc + 1])
     best: dict[tuple[int, int], tuple] = {}
     more = SCALES[-1] // STEP - 1
+    around = -(-int(it.length.max()) // STEP) + 1
     for lo in range(0, len(start), GROUP_WORDS // STEP):
         # a group of blocks with the blocks that its last windows need; a window belongs where it starts
         hi = min(lo + GROUP_WORDS // STEP, len(start))
         top = min(hi + more, len(start))
         sums = np.concatenate([_block_sums(table, f, start[lo:top], end[lo:top]), np.zeros((more, RANK), np.float32)])
-        held = np.concatenate([_block_sums(it.rare_by_feature, f, start[lo:top], end[lo:top]), np.zeros((more, len(it.ids)), np.uint8)])
+        # running counts of each item's rarer words, over the group and what surrounds its windows
+        back, ahead = max(lo - around, 0), min(top + around, len(start))
+        held = np.zeros((ahead - back + 1, len(it.ids)), np.uint32)
+        np.cumsum(_block_sums(it.rare_by_feature, f, start[back:ahead], end[back:ahead]), axis=0, dtype=np.uint32, out=held[1:])
         left = per[doc[lo:hi]] - block[lo:hi]
         for k, scale in enumerate(SCALES):
             a, b = it.cuts[k], it.cuts[k + 1]
             if a == b:
                 continue
             m, n_blocks = hi - lo, scale // STEP
-            v, shared = sums[:m].copy(), held[:m, a:b].copy()
+            v = sums[:m].copy()
             for j in range(1, n_blocks):
                 v += sums[j : j + m]
-                shared += held[j : j + m, a:b]
             # a window cut short by the end of its text counts only where the text has no full one
             short = np.flatnonzero((block[lo:hi] == 0) & (left < n_blocks))
             for j in range(1, n_blocks):
                 out = short[left[short] <= j]
                 v[out] -= sums[out + j]
-                shared[out] -= held[out + j, a:b]
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
             cos = v @ it.vectors[a:b].T
-            need = it.rare[a:b] * np.minimum(1.0, scale / np.maximum(it.length[a:b], 1))
-            good = (cos >= cosine) & (shared >= np.maximum(np.ceil(shared_share * need), 1).astype(np.uint8))
+            good = cos >= cosine
             good[(block[lo:hi] > 0) & (left < n_blocks)] = False
             r, i = np.nonzero(good)
+            # a subsequence that is long enough leaves out no more rarer words than words
+            margin = -(-it.length[a + i] // STEP)
+            from_, to = np.maximum(lo + r - margin, at[doc[lo + r]]), np.minimum(lo + r + n_blocks + margin, at[doc[lo + r] + 1])
+            enough = (held[to - back, a + i] - held[from_ - back, a + i]).astype(np.int64) >= it.least[a + i]
+            r, i = r[enough], i[enough]
             for x, y, z in zip((lo + r).tolist(), (a + i).tolist(), cos[r, i].tolist(), strict=True):
                 d = int(doc[x])
                 m = len(it.words[y])
@@ -300,7 +309,7 @@ def _matches(it, counted, table, first, h, cosine, lcs_exact, lcs_paraphrase, an
 
 
 def benchmark_leaks(
-    docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, lcs_exact: float = 0.8, lcs_paraphrase: float = 0.6, answer_share: float = 0.6, shared_share: float = 0.45, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, lcs_exact: float = 0.8, lcs_paraphrase: float = 0.6, answer_share: float = 0.6, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share, answer_share, word_from, word_to): a row for each document and benchmark item that leaks into it."""
     spark: SparkSession = docs.sparkSession
@@ -310,7 +319,7 @@ def benchmark_leaks(
     out, block = None, []
 
     def search(items):
-        return rows.mapInArrow(_search(items, table, idf, cosine, lcs_exact, lcs_paraphrase, answer_share, shared_share), schema)
+        return rows.mapInArrow(_search(items, table, idf, cosine, lcs_exact, lcs_paraphrase, answer_share), schema)
 
     for r in benchmark.select(F.col(f"`{item_id_col}`").cast("long").alias("i"), F.col(f"`{item_text_col}`").alias("t")).filter("t is not null").distinct().orderBy("i", "t").toLocalIterator():
         block.append((r["i"], r["t"]))

@@ -383,3 +383,28 @@ def test_leaks_of_items_with_few_distinct_words(spark):
     rows = [(k, f"{filler(40)}\n{t}\n{filler(60)}", "s") for k, t in items] + [(100 + k, filler(200), "s") for k in range(60)]
     got = benchmark_leaks(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id, r.lcs_share) for r in got} == {(k, k, 1.0) for k in range(3)}
+
+
+def test_short_paraphrases_at_all_offsets(spark):
+    """With every window over the threshold, what brute force finds is found."""
+    rng = random.Random(9)
+    items, rows = [], []
+    for m in range(12, 25):
+        for offset in range(8):
+            item, i = words(rng, m, 3000), len(items)
+            kept = set(rng.sample(range(m), -(-6 * m // 10)))
+            other = [w if k in kept else f"other{k}" for k, w in enumerate(item)]
+            items.append((i, " ".join(item)))
+            rows.append((i, " ".join(words(rng, 40 + offset, 3000) + other + words(rng, 60, 3000)), "s"))
+    got = benchmark_leaks(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"), cosine=-1.0).collect()
+
+    def common(x, y):
+        best = [0] * (len(y) + 1)
+        for a in x:
+            above = list(best)
+            for k, b in enumerate(y):
+                best[k + 1] = above[k] + 1 if a == b else max(above[k + 1], best[k])
+        return best[-1]
+
+    assert all(10 * common(t.split(), r[1].split()) >= 6 * len(t.split()) for (_, t), r in zip(items, rows, strict=True))
+    assert {(k, k) for k in range(len(items))} <= {(r.doc_id, r.item_id) for r in got}
