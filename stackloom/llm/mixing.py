@@ -31,35 +31,54 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from stackloom.llm import textkernels as K
 from stackloom.llm.scratch import Scratch
 
 BINS = 4096
+MARKS = ("__mix_size", "__mix_quality", "__mix_hash")
+
+
+def _measured(column: pa.Array):
+    """For each chunk of texts: the chunk, and size, quality and text_hash of its texts."""
+    for c in K.chunks(column):
+        w = K.split_words(c)
+        h = K.word_hashes(c, w)
+        n = np.diff(w.first)
+        # share of words that differ from the one before, a cheap sign of repetition
+        fresh = np.ones(len(h), np.int64)
+        fresh[1:] = h[1:] != h[:-1]
+        fresh[w.first[:-1][n > 0]] = 1
+        new = np.concatenate([[0], np.cumsum(fresh)])
+        alpha = ((c.data | 32) >= 97) & ((c.data | 32) <= 122) | (c.data >= 128)
+        solid = ~K.WHITE[c.data]
+        letters, chars = np.concatenate([[0], np.cumsum(alpha, dtype=np.int64)]), np.concatenate([[0], np.cumsum(solid, dtype=np.int64)])
+        per = lambda x, o: x[o[1:]] - x[o[:-1]]
+        # quality in whole steps of 1/64, 1/64 at least, so that keys don't depend on rounding
+        q = np.maximum(1, (64 * per(new, w.first) // np.maximum(n, 1)) * per(letters, c.offsets) // np.maximum(per(chars, c.offsets), 1))
+        # the sum of a text's word hashes tells rows of one id apart
+        digest = np.zeros(len(c), np.uint64)
+        if len(h):
+            digest[n > 0] = np.add.reduceat(h, w.first[:-1][n > 0])
+        yield c, pa.array(n), pa.array(q), pa.array(K.as_long(digest))
 
 
 def _facts(batches):
     for batch in batches:
-        for c in K.chunks(batch.column(2)):
-            w = K.split_words(c)
-            h = K.word_hashes(c, w)
-            n = np.diff(w.first)
-            # share of words that differ from the one before, a cheap sign of repetition
-            fresh = np.ones(len(h), np.int64)
-            fresh[1:] = h[1:] != h[:-1]
-            fresh[w.first[:-1][n > 0]] = 1
-            new = np.concatenate([[0], np.cumsum(fresh)])
-            alpha = ((c.data | 32) >= 97) & ((c.data | 32) <= 122) | (c.data >= 128)
-            solid = ~K.WHITE[c.data]
-            letters, chars = np.concatenate([[0], np.cumsum(alpha, dtype=np.int64)]), np.concatenate([[0], np.cumsum(solid, dtype=np.int64)])
-            per = lambda x, o: x[o[1:]] - x[o[:-1]]  # noqa: E731,B023
-            # quality in whole steps of 1/64, 1/64 at least, so that keys don't depend on rounding
-            q = np.maximum(1, (64 * per(new, w.first) // np.maximum(n, 1)) * per(letters, c.offsets) // np.maximum(per(chars, c.offsets), 1))
-            # the sum of a text's word hashes tells rows of one id apart
-            digest = np.zeros(len(c), np.uint64)
-            if len(h):
-                digest[n > 0] = np.add.reduceat(h, w.first[:-1][n > 0])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, len(c)), batch.column(1).slice(c.lo, len(c)), pa.array(n), pa.array(q), pa.array(K.as_long(digest))], ["doc_id", "source", "size", "quality", "text_hash"])
+        for c, *measures in _measured(batch.column(2)):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, len(c)), batch.column(1).slice(c.lo, len(c)), *measures], ["doc_id", "source", "size", "quality", "text_hash"])
+
+
+def _with_facts(at: int):
+    """Rows with size, quality and text_hash of column `at` after their own columns."""
+
+    def run(batches):
+        for batch in batches:
+            for c, *measures in _measured(batch.column(at)):
+                yield pa.RecordBatch.from_arrays([*batch.slice(c.lo, len(c)).columns, *measures], [*batch.schema.names, *MARKS])
+
+    return run
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2) -> DataFrame:
@@ -146,7 +165,7 @@ def mix_plan(
         (F.col("b") < F.col("bin")) | ((F.col("b") == F.col("bin")) & ((F.col("s") < F.col("sub")) | ((F.col("s") == F.col("sub")) & F.coalesce(place <= F.col("cut"), F.lit(False)))))
     )
     copies = F.when(F.col("size") > 0, F.col("epochs") + F.coalesce(chosen, F.lit(False)).cast("long")).otherwise(F.lit(0).cast("long"))
-    out = all_rows.join(plan, same, "left").select("doc_id", "source", "size", "source_size", "target", "text_hash", copies.alias("copies"))
+    out = all_rows.join(plan, same, "left").select("doc_id", "source", "size", "source_size", "target", "quality", "text_hash", copies.alias("copies"))
     out = out.withColumn("taken", F.col("copies") * F.col("size"))
     out = scratch.write(out, "result")
     scratch.drop("facts")
@@ -156,10 +175,13 @@ def mix_plan(
 def mix(docs: DataFrame, **options) -> DataFrame:
     """docs, each row as often as the mix takes it."""
     id_col, text_col, source_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
-    plan = mix_plan(docs, **options).filter("copies > 0").groupBy("doc_id", "source", "size", "text_hash").agg(F.max("copies").alias("copies"))
-    plan = plan.select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), "copies", F.col("size").alias("__mix_size")).withColumnRenamed("copies", "__mix_copies")
-    on = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__mix_id")) & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__mix_source"))
-    flat = reduce(lambda x, ch: F.replace(x, F.lit(ch), F.lit(" ")), "\t\n\x0b\x0c\r", F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    size = F.size(F.array_remove(F.split(flat, " "), ""))
-    both = docs.join(plan, on).filter(size == F.col("__mix_size"))
+    # rows alike in all of these have one place in the order, and are taken alike
+    alike = ("doc_id", "source", "size", "quality", "text_hash")
+    plan = mix_plan(docs, **options).filter("copies > 0").groupBy(*alike).agg(F.max("copies").alias("__mix_copies"))
+    plan = plan.select("__mix_copies", *[F.col(c).alias(f"__plan_{c}") for c in alike])
+    schema = StructType([*docs.schema.fields, *[StructField(c, LongType()) for c in MARKS]])
+    marked = docs.mapInArrow(_with_facts(docs.columns.index(text_col)), schema)
+    own = (F.col(f"`{id_col}`").cast("long"), F.col(f"`{source_col}`").cast("string"), *map(F.col, MARKS))
+    on = reduce(lambda x, y: x & y, [x.eqNullSafe(F.col(f"__plan_{c}")) for x, c in zip(own, alike, strict=True)])
+    both = marked.join(plan, on)
     return both.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

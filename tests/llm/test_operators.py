@@ -408,3 +408,18 @@ def test_short_paraphrases_at_all_offsets(spark):
 
     assert all(10 * common(t.split(), r[1].split()) >= 6 * len(t.split()) for (_, t), r in zip(items, rows, strict=True))
     assert {(k, k) for k in range(len(items))} <= {(r.doc_id, r.item_id) for r in got}
+
+
+def test_mix_of_rows_that_share_an_id(spark):
+    """Null and repeated ids with texts of one size, some of the same words: each row as often as its own place in the plan says."""
+    rng = random.Random(10)
+    rows = [(rng.choice([None, 1, 2]), " ".join(words(rng, 5)), rng.choice(["s", "t", None])) for _ in range(90)]
+    rows += [(i, t, s) for i in (None, 3) for s in ("s", "t") for t in ("a a b b 1", "a b a b 1", "1 a b a b", "b b a a 1")]
+    docs = documents(spark, rows)
+    plan, got = mix_plan(docs).collect(), mix(docs).collect()
+    want = Counter()
+    for r in plan:
+        want[r.doc_id, r.source, r.size] += r.copies
+    assert +want == Counter((r.doc_id, r.source, len(split(r.text))) for r in got)
+    times = Counter(rows)
+    assert all(n % times[x] == 0 and n <= 2 * times[x] for x, n in Counter((r.doc_id, r.text, r.source) for r in got).items())
