@@ -21,10 +21,10 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, tag: str
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: a's greater neighbours point at the least of a's neighbourhood
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.join(low.hint("merge"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         # small star: a's lesser neighbours, and a, point at the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("x"), "a", "m")
+        small = large.join(least.hint("merge"), "a").select(F.col("b").alias("x"), "a", "m")
         nxt = small.select(F.col("x").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         k += 1
         nxt = scratch.write(nxt, f"{tag}_{k}")

@@ -6,26 +6,32 @@ n - ceil(n * num / den) + 1 tokens under any one order of tokens.  The order
 used puts frequent shingles last: frequency classes come from a table of at most
 MAX_COUNTERS counters over the whole corpus (a read of the text of its own).  Documents that share such a token meet in a tile:
 
-1. equal sets collapse to one node before anything is joined;
+1. equal sets (of equal 128-bit hashes) collapse to one node, the row with the
+   least id, before anything is joined;
 2. a tile holds the nodes of one token, ordered by size; only nodes whose sizes
    allow the threshold (a band that moves with the size) are compared.  Every
    pair is bounded from above first: |x & y| <= (|x| + |y| -
    popcount(bits_x ^ bits_y)) / 2, with parity bitmaps of at least 2n bits (the
-   longer folds onto the shorter by XOR).  In a first round each node meets the
-   leader of its band and the next node that passes, which joins groups of
-   copies in stars and chains;
-3. in a second round tiles that still hold two components compare every pair of
-   different components; a tile's main component is not compared with itself,
-   and large tiles are cut in chunks of rows, spread over tasks;
-4. pairs that pass are intersected exactly as sorted arrays.
+   longer folds onto the shorter by XOR).  In a first round tiles of SMALL nodes
+   are compared in full; in larger ones each node meets the leader of its band
+   and the next node that passes, which joins groups of copies in stars and
+   chains.  This round may cut a tile anywhere, and cuts large ones in chunks;
+3. in a second round larger tiles that still hold two components compare every
+   pair of different components; a tile's main component is not compared with
+   itself, and large tiles are cut in chunks of rows, spread over tasks so that
+   every pair of chunks meets;
+4. pairs that pass are intersected exactly as sorted arrays, which are made again
+   from the texts of the documents concerned.
 
 Pairs inside one component are skipped, since they cannot change a result
 that is a partition into components; no other pair is dropped.
 
 Edge cases: null or wordless text is the empty set, which links with nothing;
-repeated rows are kept, one result row each; null ids come last in the order of
-ids, and a component of null ids alone has a null component_id; extra columns
-are ignored; an empty table gives an empty result.
+repeated rows are kept, one result row each; a null id comes after all others; a
+component of null ids alone has a null component_id; ids may be any long; a very
+long text is one set like any other (a task holds its tokens); equal sizes and
+equal tokens need no order between them; extra columns are ignored and may have
+any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,20 +42,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackloom.llm import textkernels as K
 from stackloom.llm.graph import components
+from stackloom.llm.idfilter import IdFilter
 from stackloom.llm.scratch import Scratch
 
 MIN_COUNTERS, MAX_COUNTERS = 1 << 16, 1 << 22
 WORDS_A_COUNTER = 64
-TILE_ROWS = 4096
+TILE_ROWS = 1024
 RUN_ROWS = 200_000
+SMALL = 4
 HEAD = 4
-NODE_BUCKETS = 1 << 22
-_LAST = 2**63 - 1
 
 
 def _sketch_parts(k: int, bits: int):
@@ -113,6 +119,11 @@ class _Sets:
         if len(own):
             sums[full] = np.add.reduceat(own, self.first[:-1][full])
         self.sid = K.as_long(K.mix(sums + self.n.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)))
+        # a second sum of other hashes of the tokens: both together are the set's identity
+        other = np.zeros(len(c), np.uint64)
+        if len(own):
+            other[full] = np.add.reduceat(K.mix(own ^ np.uint64(0x94D049BB133111EB)), self.first[:-1][full])
+        self.chk = K.as_long(other)
         width = np.maximum(64, 2 << np.ceil(np.log2(np.maximum(self.n, 1))).astype(np.int64)) * full
         self.bit_first = np.concatenate([[0], np.cumsum(width)])
         at = np.repeat(self.bit_first[:-1], self.n) + (own & (np.repeat(width, self.n) - 1).astype(np.uint64)).astype(np.int64)
@@ -122,7 +133,7 @@ class _Sets:
 def _signatures(k: int, num: int, den: int, classes: np.ndarray):
     def run(batches):
         for batch in batches:
-            for c in K.chunks(batch.column(1)):
+            for c in K.chunks(batch.column(2)):
                 s = _Sets(c, k, classes)
                 p = np.where(s.n > 0, s.n - -(-num * s.n // den) + 1, 0)
                 out = np.concatenate([[0], np.cumsum(p)])
@@ -132,20 +143,25 @@ def _signatures(k: int, num: int, den: int, classes: np.ndarray):
                 for j in range(HEAD):
                     has = p > j
                     head[has, j] = s.tok[s.first[:-1][has] + j]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, len(c)), pa.array(s.n), pa.array(s.sid), K.list_rows(K.as_long(s.tok[at]), out), bits, K.binary_rows(head.view(np.uint8).ravel(), np.arange(len(c) + 1) * 8 * HEAD)], ["doc_id", "n", "sid", "prefix", "bits", "head"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(c.lo, len(c)).columns[:2], pa.array(s.n), pa.array(s.sid), pa.array(s.chk), K.list_rows(K.as_long(s.tok[at]), out), bits, K.binary_rows(head.view(np.uint8).ravel(), np.arange(len(c) + 1) * 8 * HEAD)], ["doc_id", "tag", "n", "sid", "chk", "prefix", "bits", "head"])
 
     return run
 
 
 def _arrays(k: int, classes: np.ndarray):
     def run(batches):
+        # a set of many copies leaves a task once
+        seen: set = set()
         for batch in batches:
-            want = np.asarray(batch.column(1))
             for c in K.chunks(batch.column(0)):
                 s = _Sets(c, k, classes)
-                ok = s.sid == want[c.lo : c.hi]
+                new = np.zeros(len(c), bool)
+                for d, key in enumerate(zip(s.sid.tolist(), s.chk.tolist(), strict=True)):
+                    if key not in seen:
+                        new[d] = True
+                        seen.add(key)
                 toks = K.binary_rows(s.tok.view(np.uint8), s.first * 8)
-                yield pa.RecordBatch.from_arrays([pa.array(s.sid), toks], ["sid", "toks"]).filter(pa.array(ok))
+                yield pa.RecordBatch.from_arrays([pa.array(s.sid), pa.array(s.chk), toks], ["sid", "chk", "toks"]).filter(pa.array(new))
 
     return run
 
@@ -231,6 +247,8 @@ class _Tiles:
         raw, at = K.buffers(t.column("head"))
         self.head = raw[at[0] : at[-1]].view("<u8").reshape(-1, HEAD)
         self.tok = np.asarray(t.column("tok").combine_chunks()).view(np.uint64)
+        self.begin = np.append(np.flatnonzero(np.append(True, self.key[1:] != self.key[:-1])), len(self.key))
+        self.size = np.repeat(np.diff(self.begin), np.diff(self.begin))
 
     def bound(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Where the bit counts of rows i and j leave room for a large enough overlap."""
@@ -268,7 +286,7 @@ class _Tiles:
 
     def leaders(self, turns: int):
         """Each row against the first of its tile that is near it in size; those the bits rule out meet a further first, some turns long."""
-        left = np.arange(len(self.key))
+        left = np.flatnonzero(self.size > SMALL)
         for _ in range(turns):
             if not len(left):
                 return
@@ -284,18 +302,24 @@ class _Tiles:
             yield i[ok], j[ok]
             left = j[~ok]
 
+    def small(self):
+        """All pairs near in size of tiles of SMALL rows or fewer."""
+        act = np.flatnonzero(self.size <= SMALL)
+        for d in range(1, SMALL):
+            act = act[act + d < len(self.key)]
+            act = act[self.near(act, act + d)]
+            yield self.first_met(act, act + d)
+
     def crossing(self):
         """All pairs near in size of different components, one of them outside the tile's main component."""
-        begin = np.append(np.flatnonzero(np.append(True, self.key[1:] != self.key[:-1])), len(self.key))
-        size = np.repeat(np.diff(begin), np.diff(begin))
-        act, d = np.flatnonzero(size <= 256), 1
+        act, d = np.flatnonzero(self.size <= 256), 1
         while len(act):
             act = act[act + d < len(self.key)]
             act = act[self.near(act, act + d)]
             want = (self.comp[act] != self.comp[act + d]) & (self.other[act] | self.other[act + d])
             yield self.first_met(act[want], act[want] + d)
             d += 1
-        for a, b in zip(begin[:-1], begin[1:], strict=True):
+        for a, b in zip(self.begin[:-1], self.begin[1:], strict=True):
             if b - a <= 256:
                 continue
             n = self.n[a:b]
@@ -307,7 +331,7 @@ class _Tiles:
 
     def chains(self, steps: int = 64):
         """Each row with the next one, by size, of another component that the bits let pass."""
-        act, d = np.arange(len(self.key)), 1
+        act, d = np.flatnonzero(self.size > SMALL), 1
         while len(act) and d <= steps:
             act = act[act + d < len(self.key)]
             act = act[self.near(act, act + d)]
@@ -327,12 +351,12 @@ class _Tiles:
 
 
 def _tile_pairs(num: int, den: int, turns: int):
-    """Runs over partitions ordered by (key, n, sid); a tile may span batches.  turns 0: crossing pairs; else leaders and chains."""
+    """Runs over partitions ordered by (key, n, sid); a tile may span batches.  turns 0: crossing pairs; else small tiles in full, leaders and chains of others."""
 
     def pairs(t: pa.Table):
         tiles = _Tiles(t, num, den)
         a, b = [], []
-        for i, j in itertools.chain(tiles.leaders(turns), tiles.chains()) if turns else tiles.crossing():
+        for i, j in itertools.chain(tiles.small(), tiles.leaders(turns), tiles.chains()) if turns else tiles.crossing():
             a.append(np.minimum(tiles.sid[i], tiles.sid[j]))
             b.append(np.maximum(tiles.sid[i], tiles.sid[j]))
         if a and sum(map(len, a)):
@@ -360,39 +384,61 @@ def _tile_pairs(num: int, den: int, turns: int):
     return run
 
 
-def near_duplicate_components(
-    docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = TILE_ROWS
+def _dealt(table: DataFrame) -> DataFrame:
+    """A table that grows with the corpus: joined by a merge at every size, so that small inputs take the plan of large ones."""
+    return table.hint("merge")
+
+
+def near_duplicates(
+    docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", tag: Column | None = None, tile_rows: int = TILE_ROWS
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each row of docs; see the module."""
+    """(doc_id, tag, n_shingles, component_id, first), a row for each row of docs; see the module.
+
+    tag: a string that tells rows of one id apart, carried along.  first: the one row
+    of each component with the least id, then the least tag; rows without words are first.
+    """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     classes = frequency_classes(docs, text_col, k)
-    rid = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id")
-    text = docs.select(rid, F.col(text_col).cast("binary").alias("t"))
-    sig = scratch.write(text.mapInArrow(_signatures(k, num, den, classes), "doc_id long, n long, sid long, prefix array<long>, bits binary, head binary"), "sig")
-
-    reps = sig.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    kept = sig.filter("n > 0").join(reps, ["sid", "doc_id"], "left_semi")
-    postings = kept.select("sid", "n", F.posexplode("prefix").alias("pos", "tok"))
+    rid, words = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("binary")
+    tag = F.when(rid.isNull(), F.md5(words)) if tag is None else tag
+    text = docs.select(rid.alias("doc_id"), F.coalesce(tag, F.lit("")).alias("tag"), words.alias("t"))
+    sig = text.mapInArrow(_signatures(k, num, den, classes), "doc_id long, tag string, n long, sid long, chk long, prefix array<long>, bits binary, head binary")
+    # node: a row's number, fixed by writing it
+    sig = scratch.write(sig.withColumn("node", F.monotonically_increasing_id()), "sig")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "node")
+
+    full = sig.filter("n > 0").select("sid", "chk", "node", place.alias("place"))
+    reps = scratch.write(full.groupBy("sid", "chk").agg(F.min("place").alias("place"), F.count("*").alias("copies")), "reps")
+    copied = scratch.write(reps.filter("copies > 1").select("sid", "chk", F.col("place.node").alias("rep")), "copied")
+    # rows that stand behind another row of their set
+    extra = scratch.write(full.select("sid", "chk", "node").join(_dealt(copied), ["sid", "chk"]).filter("node <> rep").select("node", "rep"), "extra")
+    maybe, alone = IdFilter(scratch, "extra_bits", extra.select("node")).split(sig.filter("n > 0").select("node", "n", "prefix", "bits", "head"), F.col("node"))
+    kept = alone.unionByName(maybe.join(_dealt(extra.select("node")), "node", "left_anti"))
+
+    postings = kept.select(F.col("node").alias("sid"), "n", F.posexplode("prefix").alias("pos", "tok"))
     # size above, place below: ordered as the size is
     postings = postings.select("tok", "sid", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("size"))
     rare = postings.repartition("tok").sortWithinPartitions("tok", "size", "sid").mapInArrow(_live(num, den), "tok long, sid long, pos int")
     live = scratch.write(rare, "live")
-    sized = kept.select("sid", "n", "bits", "head").join(live.select("sid").distinct(), "sid", "left_semi")
-    sized = scratch.write(sized.dropDuplicates(["sid"]), "sized")
+    # of the nodes that no tile holds, few pass the bitmap; the rest meet nothing in the joins
+    wanted = IdFilter(scratch, "live_bits", live.select("sid").distinct()).may_hold(kept.select(F.col("node").alias("sid"), "n", "bits", "head"), F.col("sid"))
+    sized = scratch.write(wanted, "sized")
+    scratch.drop("live_bits", "extra_bits")
+    place_of = reps.select(F.col("place.node").alias("node"), "sid", "chk", "place")
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
         pairs = scratch.write(pairs.distinct(), f"pairs_{tag}")
-        nodes = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct().join(reps, "sid")
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(_dealt(place_of), "node")
         nodes = scratch.write(nodes, f"nodes_{tag}")
-        # at most NODE_BUCKETS buckets of ids are broadcast; texts of other ids don't shuffle
-        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(NODE_BUCKETS)).cast("int").alias("bucket")
-        wanted = text.withColumn("bucket", bucket).join(F.broadcast(nodes.select(bucket).distinct()), "bucket", "left_semi")
-        sets = scratch.write(wanted.join(nodes, "doc_id").select("t", "sid").mapInArrow(_arrays(k, classes), "sid long, toks binary"), f"sets_{tag}")
-        left = sets.select(F.col("sid").alias("a"), F.col("toks").alias("ta"))
-        right = sets.select(F.col("sid").alias("b"), F.col("toks").alias("tb"))
-        links = scratch.write(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(num, den), "a long, b long"), tag)
-        scratch.drop(f"sets_{tag}", f"nodes_{tag}", f"pairs_{tag}")
+        own = F.xxhash64("doc_id", "tag")
+        texts = IdFilter(scratch, f"bits_{tag}", nodes.select(F.xxhash64("place.doc_id", "place.tag").alias("key"))).may_hold(text, own)
+        arrays = texts.select("t").mapInArrow(_arrays(k, classes), "sid long, chk long, toks binary")
+        sets = scratch.write(arrays.join(_dealt(nodes.select("sid", "chk", "node")), ["sid", "chk"]).dropDuplicates(["sid", "chk"]).select("node", "toks"), f"sets_{tag}")
+        left = sets.select(F.col("node").alias("a"), F.col("toks").alias("ta"))
+        right = sets.select(F.col("node").alias("b"), F.col("toks").alias("tb"))
+        links = scratch.write(pairs.join(_dealt(left), "a").join(_dealt(right), "b").mapInArrow(_verify(num, den), "a long, b long"), tag)
+        scratch.drop(f"sets_{tag}", f"nodes_{tag}", f"pairs_{tag}", f"bits_{tag}")
         return links
 
     tile = "key long, tok long, pos int, n long, sid long, comp long, other boolean, bits binary, head binary"
@@ -401,16 +447,24 @@ def near_duplicate_components(
     def tiled(rows: DataFrame, turns: int) -> DataFrame:
         return rows.select(columns).repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(_tile_pairs(num, den, turns), "a long, b long")
 
-    alone = live.join(sized, "sid").select(F.col("tok").alias("key"), "tok", "pos", "n", "sid", F.col("sid").alias("comp"), F.lit(True).alias("other"), "bits", "head")
-    links = verified(tiled(alone, 8), "links1")
+    chunks = lambda x: F.ceil(x / tile_rows).cast("int")
+    slot = lambda x: F.pmod(F.xxhash64("sid"), F.col(x)).cast("int")
+    counts = scratch.write(live.groupBy("tok").agg(F.count("*").alias("c")), "counts")
+    large = scratch.write(counts.filter(F.col("c") > tile_rows).select("tok", chunks(F.col("c")).alias("s")), "large")
+    # chunks of large tiles: links between chunks are the second round's
+    key = F.when(F.col("s").isNull(), F.col("tok")).otherwise(F.xxhash64("tok", slot("s"))).alias("key")
+    alone = live.join(large, "tok", "left").select("tok", "pos", "sid", key).join(_dealt(sized), "sid")
+    links = verified(tiled(alone.withColumn("comp", F.col("sid")).withColumn("other", F.lit(True)), 8), "links1")
+
     def mixed_tiles(comp: DataFrame) -> DataFrame:
-        marked = live.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("tok", "pos", "sid", F.coalesce("comp", "sid").alias("comp"))
+        rest = live.join(_dealt(counts.filter(F.col("c") > SMALL).select("tok")), "tok", "left_semi")
+        marked = rest.join(_dealt(comp.withColumnRenamed("node", "sid")), "sid", "left").select("tok", "pos", "sid", F.coalesce("comp", "sid").alias("comp"))
+        marked = scratch.write(marked, "marked")
         shares = marked.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("main"))
         # all rows of a token, in chunks, meet those outside its main component, in chunks
-        chunks = lambda x: F.ceil(x / tile_rows).cast("int")
         mixed = shares.filter("c > main.c").select("tok", F.col("main.comp").alias("main"), chunks(F.col("c")).alias("s"), chunks(F.col("c") - F.col("main.c")).alias("s2"))
-        rows = marked.join(mixed, "tok").join(sized, "sid").withColumn("other", F.col("comp") != F.col("main"))
-        slot = lambda x: F.pmod(F.xxhash64("sid"), F.col(x)).cast("int")
+        mixed = scratch.write(mixed, "mixed")
+        rows = marked.join(_dealt(mixed), "tok").join(_dealt(sized), "sid").withColumn("other", F.col("comp") != F.col("main"))
         one = rows.filter("s = 1").withColumn("key", F.col("tok"))
         wide = rows.filter("s > 1")
         every = wide.withColumn("p", slot("s")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("s2") - 1))).withColumn("other", F.lit(False))
@@ -422,13 +476,25 @@ def near_duplicate_components(
     comp = scratch.write(components(spark, links, scratch, "cc1"), "comp1")
     found = verified(tiled(mixed_tiles(comp), 0), "links2")
     links = links.union(found)
-    final = components(spark, links, scratch, "cc2")
-
-    least = reps.join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    ids = least.groupBy("comp").agg(F.min("doc_id").alias("component_id")).join(least.select("sid", "comp"), "comp").select("sid", "component_id")
-    known = F.nullif(F.col("doc_id"), F.lit(_LAST))
-    out = sig.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(ids, "sid", "left")
-    out = out.select(known.alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component_id", "doc_id"), F.lit(_LAST)).alias("component_id"))
+    final = scratch.write(components(spark, links, scratch, "cc2"), "comp2")
+
+    # written at each join of a key that many rows may share, so that AQE can split it
+    least = scratch.write(final.join(_dealt(place_of.select("node", "place")), "node"), "least")
+    heads = scratch.write(least.groupBy("comp").agg(F.min("place").alias("place")), "heads")
+    linked = scratch.write(least.select("node", "comp").join(_dealt(heads), "comp").select("node", "place"), "linked")
+    # first the head of each row that others stand behind, then theirs
+    ahead = copied.select(F.col("rep").alias("node")).join(_dealt(place_of.select("node", "place")), "node").withColumnRenamed("place", "own").join(_dealt(linked), "node", "left")
+    ahead = scratch.write(ahead.select(F.col("node").alias("rep"), F.coalesce("place", "own").alias("place")), "ahead")
+    behind = scratch.write(extra.join(_dealt(ahead), "rep").select("node", "place"), "behind")
+    moved = linked.unionByName(behind).select("node", F.col("place.doc_id").alias("head_id"), F.col("place.node").alias("head"))
+    out = sig.select("node", "doc_id", "tag", F.col("n").alias("n_shingles")).join(_dealt(moved), "node", "left")
+    own_head = F.col("head").isNull() | (F.col("head") == F.col("node"))
+    out = out.select("doc_id", "tag", "n_shingles", F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head_id")).alias("component_id"), own_head.alias("first"))
     out = scratch.write(out, "result")
-    scratch.drop("sig", "live", "sized", "links1", "links2", "comp1")
+    scratch.drop("sig", "reps", "copied", "extra", "live", "sized", "counts", "large", "marked", "mixed", "links1", "links2", "comp1", "comp2", "least", "heads", "linked", "ahead", "behind")
     return out
+
+
+def near_duplicate_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row for each row of docs; see the module."""
+    return near_duplicates(docs, k, num, den, id_col, text_col, tile_rows=tile_rows).select("doc_id", "n_shingles", "component_id")
