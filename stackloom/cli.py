@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stackloom import sinks
 from stackloom.operators import compare, flamegraph, fold, report, symbols
+from stackloom.operators import mappings as M
 from stackloom.sources import text as T
 from stackloom.sources.recording import read_recording
 
@@ -22,7 +23,9 @@ def parser() -> argparse.ArgumentParser:
         f = plumbing.add_parser(verb)
         f.add_argument("recording")
         f.add_argument("--count-periods", action="store_true")
-        f.add_argument("--symbols", help="a kernel symbol listing to name addresses from")
+        f.add_argument("--symbols", help="the recorded kernel's symbol listing, asked first")
+        f.add_argument("--system-map", help="a system map, asked next")
+        f.add_argument("--live-symbols", help="the running kernel's listing, asked last, and first for modules")
     s = plumbing.add_parser("summarize")
     s.add_argument("folder")
     s.add_argument("--json", action="store_true")
@@ -49,20 +52,31 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def fold_recording(spark, path: str, count_periods: bool = False, kallsyms: str | None = None):
-    tables = {t: read_recording(spark, path, t) for t in ("samples", "comm", "mappings", "deferred")}
-    from stackloom.operators.mappings import with_build_ids
+def listing(spark: SparkSession, path: str):
+    """A kernel symbol listing (seq, addr, name); ties go by its lines' order."""
+    return T.kallsyms(T.read_lines(spark, path).withColumn("seq", F.monotonically_increasing_id()))
+
+
+def named_addresses(stacks, maps, listings: dict):
+    """(file, pid, addr, names) of the frames that a kernel listing names; listings: cached, system_map, live."""
+    flat = stacks.select("file", "pid", F.explode("frames.addr").alias("addr")).distinct()
+    found = M.resolve(flat, maps)
+    path, relative = F.col("map_path"), F.col("relative")
+    moved = M.kernel_relocation(path, F.col("pgoff"))
+    asked = found.filter(M.symbolizes(F.col("addr"), path, relative)).select("file", "pid", F.col("addr").alias("frame"), M.request_path(path, relative).alias("path"), relative.alias("addr"), moved["reference"].alias("reference"), moved["recorded"].alias("recorded"))
+    none = asked.select("path", "addr", F.lit(None).cast("string").alias("name")).limit(0)
+    keys = ["path", "addr", "reference", "recorded"]
+    known = symbols.precedence(asked, none, **listings).filter("name is not null").select(*[F.col(k).alias(f"k_{k}") for k in keys], "name")
+    same = (F.col("path") == F.col("k_path")) & (F.col("addr") == F.col("k_addr")) & F.col("reference").eqNullSafe(F.col("k_reference")) & F.col("recorded").eqNullSafe(F.col("k_recorded"))
+    return asked.join(known, same).select("file", "pid", F.col("frame").alias("addr"), F.array("name").alias("names"))
 
-    maps = with_build_ids(tables["mappings"], read_recording(spark, path, "build_ids"))
-    stacks = fold.raw_stacks(tables["samples"], tables["comm"], tables["deferred"], count_periods)
-    if kallsyms is None:
-        return fold.folded(stacks, maps)
-    lines = T.read_lines(spark, kallsyms).withColumn("seq", F.monotonically_increasing_id())
-    known = symbols.kallsyms_table(T.kallsyms(lines))
-    flat = stacks.select("file", "pid", F.explode("frames").alias("f")).select("file", "pid", F.col("f.addr").alias("addr")).distinct()
-    kernel = flat.filter("addr < -4096")
-    named = symbols.nearest_below(kernel, known)
-    return fold.folded(stacks, maps, kernel.join(named, "addr").select("file", "pid", "addr", F.array("name").alias("names")).filter("names[0] is not null"))
+
+def fold_recording(spark, path: str, count_periods: bool = False, kallsyms: str | None = None, system_map: str | None = None, live: str | None = None):
+    tables = {t: read_recording(spark, path, t) for t in ("samples", "comm", "mappings", "deferred")}
+    maps = M.with_build_ids(tables["mappings"], read_recording(spark, path, "build_ids"))
+    stacks = fold.raw_stacks(tables["samples"], tables["comm"], tables["deferred"], count_periods, tables["mappings"])
+    listings = {k: listing(spark, x) for k, x in (("cached", kallsyms), ("system_map", system_map), ("live", live)) if x}
+    return fold.folded(stacks, maps, named_addresses(stacks, maps, listings) if listings else None)
 
 
 def _rows(df) -> list[dict]:
@@ -78,10 +92,10 @@ def _show(rows: list[dict], as_json: bool) -> str:
 def run(spark: SparkSession, argv: list[str]) -> str:
     a = parser().parse_args(argv)
     if a.verb == "fold":
-        return "".join(r["value"] + "\n" for r in sinks.folded_lines(fold_recording(spark, a.recording, a.count_periods, a.symbols)).collect())
+        return "".join(r["value"] + "\n" for r in sinks.folded_lines(fold_recording(spark, a.recording, a.count_periods, a.symbols, a.system_map, a.live_symbols)).collect())
     if a.verb == "flamegraph":
         # drawing is an external renderer's part: this is its input
-        return "".join(r["value"] + "\n" for r in sinks.folded_lines(fold_recording(spark, a.recording, True, a.symbols)).collect())
+        return "".join(r["value"] + "\n" for r in sinks.folded_lines(fold_recording(spark, a.recording, True, a.symbols, a.system_map, a.live_symbols)).collect())
     if a.verb == "summarize":
         kind, path = sinks.summary_source(a.folder) or sys.exit(f"nothing to summarise in {a.folder}")
         if kind == "summary":

@@ -64,24 +64,20 @@ def module_label(path: Column) -> Column:
     return F.concat(F.lit("["), F.substring_index(path, "/", -1), F.lit("]"))
 
 
-_GO_OR_ANONYMOUS = re.compile(r"[<{\[\])}>(.]")
-
-
-def _without_parameters(part: str) -> str:
-    """Up to the first parenthesis outside brackets that opens a parameter list."""
-    part, depth, after_dot = part.replace(";", ":"), 0, -1
-    for m in _GO_OR_ANONYMOUS.finditer(part):
-        ch, at = m[0], m.start()
-        if ch == ".":
-            after_dot = at + 1
-        elif ch in "<{[":
-            depth += 1
-        elif ch in ">}])":
-            depth = max(depth - 1, 0)
-        else:
-            if depth == 0 and at != after_dot and not part.startswith("(anonymous namespace)", at):
-                return part[:at]
-            depth += 1
+def _marks(name: str, pattern: str, opening: str, closing: str):
+    """(place, mark, brackets open there) of every match of pattern, front to back; a closing mark without an opening one counts for nothing."""
+    depth = 0
+    for m in re.finditer(pattern, name):
+        yield m.start(), m[0], depth
+        depth += (m[0] in opening) - (m[0] in closing and depth > 0)
+
+
+def without_parameters(part: str) -> str:
+    """Up to the first parenthesis outside brackets, unless a method receiver (.( ) or an anonymous namespace opens there."""
+    part = part.replace(";", ":")
+    for place, mark, depth in _marks(part, r"[<{\[(\])}>]", "<{[(", ">}])"):
+        if mark == "(" and not depth and part[:place][-1:] != "." and not part.startswith("(anonymous namespace)", place):
+            return part[:place]
     return part
 
 
@@ -90,7 +86,7 @@ def tidy_stack(frames) -> str:
     out = ""
     for frame in frames:
         for k, part in enumerate(frame.split("->")):
-            part = _without_parameters(part)
+            part = without_parameters(part)
             if k and "_[i]" not in part:
                 part += "_[i]"
             part = part.replace(";", "\\;").replace("\r", " ").replace("\n", " ")
@@ -114,65 +110,51 @@ def render_tidy_stack(frames: Column) -> Column:
     return F.when(~hard, plain).otherwise(_arrow(tidy_stack, F.when(hard, frames)))
 
 
-def _outside_angles(name: str) -> int | None:
-    """Place of the last :: outside angle brackets."""
-    depth, last, k = 0, None, 0
-    for m in re.finditer(r"[<>]|:(?=:)", name):
-        k = m.start()
-        if m[0] == "<":
-            depth += 1
-        elif m[0] == ">":
-            depth = max(depth - 1, 0)
-        elif depth == 0:
-            last = k
-    return last
-
-
-def _last_generics(receiver: str) -> str | None:
-    """The last <...> group and what follows it."""
-    depth = 0
-    for k in range(len(receiver) - 1, -1, -1):
-        if receiver[k] == ">":
-            depth += 1
-        elif receiver[k] == "<":
-            if depth == 0:
-                return None
-            depth -= 1
-            if depth == 0:
-                return receiver[k:]
-    return None
+#: Names of C++ containers stay whole, and so do debug information names of these Rust modules.
+WHOLE_PREFIXES, WHOLE_PARTS = ("std::vector", "std::allocator"), ("std::vector", "::")
+WHOLE_DEBUG_PREFIXES = ("std::fs::", "std::io::", "std::sys::")
 
 
-def _is_cpp(name: str) -> bool:
-    return name.startswith(("std::vector", "std::allocator")) or ("std::vector" in name and "::" in name)
+def _divided(name: str) -> tuple[str, str, str] | None:
+    """(receiver, generics, leaf) around the last :: outside angle brackets; generics: the receiver's last <...> and what follows it, where that tells types apart."""
+    groups, opened, found = None, [], None
+    for place, mark, depth in _marks(name, r"[<>]|:(?=:)", "<", ">"):
+        if mark == "<":
+            opened.append(place)
+        elif mark == ">":
+            groups = opened.pop() if opened else None
+        elif not depth:
+            found = place, groups
+    if found is None or name.startswith(WHOLE_PREFIXES) or all(x in name for x in WHOLE_PARTS):
+        return None
+    at, group = found
+    generics = "" if group is None else name[group:at]
+    return name[:at], generics if "," in generics or "::" in generics else "", name[at + 2 :]
 
 
 def symbol_name(name: str) -> str:
     """A symbol table name: receiver generics that say something move behind the last part."""
-    at = None if _is_cpp(name) else _outside_angles(name)
-    if at is None or name[:at].startswith("<"):
-        return name
-    generics = _last_generics(name[:at])
-    return name[at + 2 :] + generics if generics and ("," in generics or "::" in generics) else name
+    receiver, generics, leaf = _divided(name) or (name, "", "")
+    return leaf + generics if generics and receiver[0] != "<" else name
 
 
 def debug_function_name(name: str) -> str:
     """A debug information name, shortened to its last part with the receiver's generics."""
-    if _is_cpp(name) or name.startswith(("std::fs::", "std::io::", "std::sys::")):
-        return name
-    at = _outside_angles(name)
-    if at is None:
+    parts = None if name.startswith(WHOLE_DEBUG_PREFIXES) else _divided(name)
+    if parts is None:
         return name
-    leaf, receiver = name[at + 2 :], name[:at]
-    if "<" in leaf or receiver.startswith("<"):
-        return leaf
-    generics = _last_generics(receiver)
-    return leaf + generics if generics and ("," in generics or "::" in generics) else leaf
+    receiver, generics, leaf = parts
+    return leaf if "<" in leaf or receiver.startswith("<") else leaf + generics
 
 
 def generic_leaf(name: str) -> str | None:
-    leaf, found, _ = name.partition("<")
-    return leaf if found and leaf and " " not in leaf and "(" not in leaf else None
+    found = re.match(r"([^< (]+)<", name)
+    return found and found[1]
+
+
+def inline_frames(names: Column) -> Column:
+    """Names of one address as debug information lists them, innermost first, in the order of a stack."""
+    return F.reverse(names)
 
 
 def normal_symbol_name(names) -> Column:

@@ -9,7 +9,8 @@ from stackloom.functions.names import category, syscall_name
 
 
 def _ranked(entries: DataFrame) -> DataFrame:
-    return entries.orderBy(F.desc("percent"), "name", "samples")
+    """By share, then name; entries alike in both keep their place in the document."""
+    return entries.orderBy(F.desc("percent"), "name", "doc", "pos")
 
 
 def top(entries: DataFrame, limit: int = 30, min_percent: float = 1.0) -> DataFrame:

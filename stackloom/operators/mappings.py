@@ -1,8 +1,10 @@
 """Address to mapping: interval joins with a best match.
 
 Mappings are rows (file, pid, start, len, pgoff, path, prot, ord).  Only distinct
-(file, pid, address) triples are looked up.  The join is on (file, pid) and not on a range alone:
-mappings of pid 2**32 - 1 hold for every pid and meet all addresses of a file.
+(file, pid, address) triples are looked up.  Mappings and addresses meet by
+recording, pid (that of all pids apart) and a bucket of addresses whose size fits
+the mapping: each mapping lies in few buckets of its level, and an address is
+looked up once a level, so the join has an equality that cuts a pid's table.
 """
 
 from __future__ import annotations
@@ -10,9 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.functions.addresses import ALL_PIDS, contains, is_kernel, order_key, wrapping_add, wrapping_sub
+from stackloom.functions.addresses import ALL_PIDS, contains, is_kernel, order_key, saturating_end, wrapping_add, wrapping_sub
 
 NOT_CODE = ("//anon", "[anon]", "[stack]", "[heap]")
+#: Names of the kernel's mapping.
+KERNEL, KERNEL_NAMES = "[kernel.kallsyms]", ("[kernel.kallsyms]", "[kernel]", "[guest.kernel]")
+#: Bits of a bucket's size on each level.
+LEVELS = (12, 20, 28, 36, 44, 52, 60)
 
 
 def with_build_ids(mappings: DataFrame, build_ids: DataFrame) -> DataFrame:
@@ -26,6 +32,32 @@ def relative_address(at, start, pgoff, path, pid):
     return F.when(path.startswith("[") & (pid == ALL_PIDS), at).otherwise(wrapping_add(wrapping_sub(at, start), pgoff))
 
 
+def _bucketed_mappings(mappings: DataFrame) -> DataFrame:
+    """A row for each bucket that a mapping touches, on the first level whose buckets are no smaller than it."""
+    start, end = F.col("start"), wrapping_sub(saturating_end(F.col("start"), F.col("len")), F.lit(1).cast("long"))
+    level = F.lit(LEVELS[-1])
+    for bits in reversed(LEVELS[:-1]):
+        level = F.when((F.col("len") >= 0) & (F.col("len") <= 1 << bits), F.lit(bits)).otherwise(level)
+    shifted = lambda x: F.call_function("shiftrightunsigned", x, F.col("m_level"))
+    rows = mappings.filter("len <> 0").withColumn("m_level", level)
+    return rows.withColumn("m_bucket", F.explode(F.sequence(shifted(start), shifted(end))))
+
+
+def _found(addresses: DataFrame, mappings: DataFrame, keep: list[str]) -> DataFrame:
+    """Every pair of an address (file, pid, addr, *keep) and a mapping that contains it, with the mapping's columns and its rank."""
+    m = _bucketed_mappings(mappings).select(
+        F.col("file").alias("m_file"), F.col("pid").alias("map_pid"), F.col("start").alias("map_start"), "len", "pgoff", F.col("path").alias("map_path"), "prot", "build_id", F.col("ord").alias("m_ord"), *[c for c in ("m_level", "m_bucket", "m_at") if c in (*mappings.columns, "m_level", "m_bucket")],
+    )
+    probe = addresses.select("file", "pid", "addr", *keep, F.explode(F.array(*[F.struct(F.lit(b).alias("level"), F.shiftrightunsigned("addr", b).alias("bucket")) for b in LEVELS])).alias("b"))
+    # the mappings of all pids are asked for under their own number
+    whose = F.explode(F.array_distinct(F.array(F.col("pid"), F.lit(ALL_PIDS).cast("long")))).alias("asked")
+    probe = probe.select("file", "pid", "addr", *keep, "b.level", "b.bucket", whose)
+    inside = contains(F.col("map_start"), F.col("len"), F.col("addr"))
+    on = (F.col("file") == F.col("m_file")) & (F.col("asked") == F.col("map_pid")) & (F.col("level") == F.col("m_level")) & (F.col("bucket") == F.col("m_bucket")) & inside
+    rank = F.struct(order_key(F.col("map_start")).alias("start"), (F.col("map_pid") == F.col("pid")).alias("own"), F.col("m_ord").alias("ord"))
+    return probe.join(m, on).withColumn("rank", rank)
+
+
 def resolve(addresses: DataFrame, mappings: DataFrame) -> DataFrame:
     """addresses (file, pid, addr) that a mapping contains, with map_path, map_pid, map_start, relative, prot, build_id.
 
@@ -33,20 +65,34 @@ def resolve(addresses: DataFrame, mappings: DataFrame) -> DataFrame:
     the later one.
     """
     want = addresses.select("file", "pid", "addr").filter("pid is not null").distinct()
-    m = mappings.select(F.col("file").alias("m_file"), F.col("pid").alias("map_pid"), F.col("start").alias("map_start"), "len", "pgoff", F.col("path").alias("map_path"), "prot", "build_id", F.col("ord").alias("m_ord"))
-    inside = contains(F.col("map_start"), F.col("len"), F.col("addr"))
-    own = want.join(m, (F.col("file") == F.col("m_file")) & (F.col("pid") == F.col("map_pid")) & inside)
-    shared = want.join(m.filter(F.col("map_pid") == ALL_PIDS), (F.col("file") == F.col("m_file")) & (F.col("pid") != F.col("map_pid")) & inside)
-    both = own.unionByName(shared)
-    rank = F.struct(order_key(F.col("map_start")), F.col("map_pid") == F.col("pid"), F.col("m_ord"))
-    best = both.groupBy("file", "pid", "addr").agg(F.max_by(F.struct("map_pid", "map_start", "pgoff", "map_path", "prot", "build_id"), rank).alias("m"))
+    best = _found(want, mappings, []).groupBy("file", "pid", "addr").agg(F.max_by(F.struct("map_pid", "map_start", "pgoff", "map_path", "prot", "build_id"), F.col("rank")).alias("m"))
     out = best.select("file", "pid", "addr", "m.*")
     return out.withColumn("relative", relative_address(F.col("addr"), F.col("map_start"), F.col("pgoff"), F.col("map_path"), F.col("map_pid")))
 
 
+def noise_as_of(frames: DataFrame, mappings: DataFrame) -> DataFrame:
+    """frames (file, pid, addr, id, at) whose mapping at `at`, of those recorded before, is no code: (file, id, addr).
+
+    Few addresses ever lie in such a mapping, and only those are looked up again.
+    """
+    noise = mappings.filter(is_dropped_unwind(F.col("path")))
+    some = _found(frames.select("file", "pid", "addr").distinct(), noise, []).select("file", "pid", "addr").distinct()
+    asked = frames.join(some, ["file", "pid", "addr"])
+    timed = mappings.withColumn("m_at", F.struct(order_key(F.coalesce("time", F.lit(0).cast("long"))).alias("time"), F.col("ord").alias("ord")))
+    before = _found(asked, timed, ["id", "at"]).filter(F.col("m_at") < F.col("at"))
+    best = before.groupBy("file", "id", "pid", "addr").agg(F.max_by("map_path", "rank").alias("path"))
+    return best.filter(is_dropped_unwind(F.col("path"))).select("file", "id", "addr")
+
+
+def is_recording_path(path):
+    """The recording's own buffers, and those of earlier ones beside it."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return (name == "perf.data") | name.startswith("perf.data.")
+
+
 def executable_pids(mappings: DataFrame) -> DataFrame:
     """(file, pid) with a mapping that is not known to be non-executable."""
-    known = F.coalesce(F.col("prot").bitwiseAND(4) == 0, F.lit(False)) | F.element_at(F.split("path", "/"), -1).isin("perf.data")
+    known = F.coalesce(F.col("prot").bitwiseAND(4) == 0, F.lit(False)) | is_recording_path(F.col("path"))
     return mappings.filter(~known).select("file", "pid").distinct()
 
 
@@ -65,16 +111,33 @@ def user_mappings(mappings: DataFrame) -> DataFrame:
 
 def is_dropped_unwind(path):
     """An unwound frame in the recording's own buffer, in anonymous memory, stack or heap is noise."""
-    return F.coalesce(path.isin(*NOT_CODE) | (F.element_at(F.split(path, "/"), -1) == "perf.data"), F.lit(False))
+    return F.coalesce(path.isin(*NOT_CODE) | is_recording_path(path), F.lit(False))
+
+
+def is_kernel_mapping(path, relative):
+    """A bracketed mapping that leads to a kernel address."""
+    return path.startswith("[") & is_kernel(relative)
+
+
+def symbolizes(addr, path, relative):
+    """Kernel addresses are looked up under kernel mappings only."""
+    return ~is_kernel(addr) | is_kernel_mapping(path, relative)
+
+
+def request_path(path, relative):
+    """The object in which a symbol is looked up: all names of the kernel's own mapping are one."""
+    return F.when(is_kernel_mapping(path, relative) & path.startswith("[kernel"), F.lit(KERNEL)).otherwise(path)
 
 
-def is_kernel_path(path):
-    return path.startswith("[kernel") | path.startswith("[guest.kernel")
+def kernel_relocation(path, pgoff):
+    """(reference, recorded): the symbol that a kernel mapping's path names behind its brackets, and where it was; null elsewhere."""
+    name = F.substring(path, len(KERNEL) + 1, 2**31 - 1)
+    return F.when(path.startswith(KERNEL) & (name != ""), F.struct(name.alias("reference"), pgoff.alias("recorded")))
 
 
-def symbolizes(addr, path):
-    """Kernel addresses are looked up under bracketed mappings only."""
-    return ~is_kernel(addr) | path.startswith("[")
+def kernel_build_id(build_ids: DataFrame) -> DataFrame:
+    """(file, build_id) of the first header entry that stands for the kernel."""
+    return build_ids.filter(F.col("path").isin(*KERNEL_NAMES)).groupBy("file").agg(F.min_by("build_id", "seq").alias("build_id"))
 
 
 def file_offset_to_address(offsets: DataFrame, segments: DataFrame) -> DataFrame:

@@ -7,10 +7,17 @@ from pyspark.sql import functions as F
 
 
 def pairs(switches: DataFrame) -> DataFrame:
-    """switches (pid, time, ord, out, kstack): (pid, kstack, start, delta) for each switch in that follows a switch out."""
-    before = Window.partitionBy("pid").orderBy("time", "ord")
+    """switches (file, pid, time, ord, out, kstack): (file, pid, kstack, start, delta) for each switch in that follows a switch out.
+
+    Without a `file` all rows are of one recording; `cpu`, where there is one, tells
+    the idle tasks apart that share pid 0.
+    """
+    if "file" not in switches.columns:
+        switches = switches.withColumn("file", F.lit(""))
+    whose = [F.when(F.col("pid") == 0, F.col("cpu"))] if "cpu" in switches.columns else []
+    before = Window.partitionBy("file", "pid", *whose).orderBy("time", "ord")
     rows = switches.withColumn("was_out", F.lag("out").over(before)).withColumn("start", F.lag("time").over(before)).withColumn("stack", F.lag("kstack").over(before))
-    return rows.filter(~F.col("out") & F.col("was_out")).select("pid", F.col("stack").alias("kstack"), "start", (F.col("time") - F.col("start")).alias("delta"))
+    return rows.filter(~F.col("out") & F.col("was_out")).select("file", "pid", F.col("stack").alias("kstack"), "start", (F.col("time") - F.col("start")).alias("delta"))
 
 
 def by_stack(found: DataFrame) -> DataFrame:

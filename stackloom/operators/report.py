@@ -52,15 +52,15 @@ def sample_modes(samples: DataFrame) -> DataFrame:
     return samples.groupBy("cpumode").agg(*_counts()).select(mode_name(F.col("cpumode")).alias("mode"), "cpumode", "samples", "weight").orderBy(F.desc("weight"), "mode")
 
 
-def last_comms(comms: DataFrame) -> DataFrame:
-    """The last name of each thread in file order."""
-    return comms.groupBy("tid").agg(F.max_by("comm", "ord").alias("comm"))
+def last_comms(comms: DataFrame, by: str = "tid") -> DataFrame:
+    """The last name of each thread (or, by="pid", process) of a recording in file order."""
+    return comms.groupBy("file", by).agg(F.max_by("comm", "ord").alias("comm"))
 
 
 def threads(samples: DataFrame, comms: DataFrame, limit: int = 30) -> DataFrame:
-    by = samples.withColumn("tid", F.coalesce("tid", "pid")).filter("tid is not null").groupBy("tid").agg(*_counts()).orderBy(F.desc("weight"), "tid").limit(limit)
-    named = by.join(last_comms(comms), "tid", "left")
-    return named.withColumn("comm", F.coalesce("comm", F.concat(F.lit("tid "), F.col("tid").cast("string")))).orderBy(F.desc("weight"), "tid")
+    by = samples.withColumn("tid", F.coalesce("tid", "pid")).filter("tid is not null").groupBy("file", "tid").agg(*_counts()).orderBy(F.desc("weight"), "tid", "file").limit(limit)
+    named = by.join(last_comms(comms), ["file", "tid"], "left")
+    return named.withColumn("comm", F.coalesce("comm", F.concat(F.lit("tid "), F.col("tid").cast("string")))).orderBy(F.desc("weight"), "tid", "file")
 
 
 def leaf_ips(samples: DataFrame, limit: int = 30) -> DataFrame:

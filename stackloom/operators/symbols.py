@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackloom.functions.addresses import contains, order_key, wrapping_add, wrapping_sub
@@ -18,35 +18,93 @@ def first_address(symbols: DataFrame, seq: str = "seq") -> DataFrame:
     return symbols.groupBy("name").agg(F.min_by("addr", seq).alias("addr"))
 
 
-def nearest_below(addresses: DataFrame, symbols: DataFrame, blocks: int = 65536) -> DataFrame:
+def _quantiles(keys: DataFrame, parts: int) -> list[int]:
+    """Up to parts - 1 keys that cut a column `k` in parts of about one size."""
+    if parts < 2:
+        return []
+    row = keys.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10_000)).first()
+    return sorted(set(row[0] or ()))
+
+
+def nearest_below(addresses: DataFrame, symbols: DataFrame, block_rows: int = 50_000, most_blocks: int = 256) -> DataFrame:
     """Distinct addresses (addr) with the name of the greatest symbol address at or below, unsigned; null if there is none.
 
-    Both sides go by blocks of addresses, so one ordered run never holds the whole
-    table: a block's own symbols first, else the last symbol of the blocks below,
-    which come from a table of a row a block.
+    Both sides go by blocks of addresses, cut at quantiles of what is there, so
+    one ordered run holds an even share of the table wherever its addresses crowd:
+    a block's own symbols first, else the last symbol of the blocks below, which
+    come from a table of a row a block.
     """
-    size = 2**64 // blocks
-    shift = 64 - (blocks - 1).bit_length()
-    block = lambda c: F.shiftrightunsigned(c, shift).cast("long")
-    assert size == 1 << shift
-    want = addresses.select("addr").distinct().withColumn("block", block(F.col("addr")))
+    want = addresses.select("addr").distinct()
+    keys = want.select(order_key(F.col("addr")).alias("k")).union(symbols.select(order_key(F.col("addr"))))
+    cuts = _quantiles(keys, min(most_blocks, -(-keys.count() // block_rows)))
+    block = lambda c: F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in cuts]).cast("array<long>"), lambda x: x <= order_key(c)))
+    want = want.withColumn("block", block(F.col("addr")))
     sym = symbols.select("addr", "name").withColumn("block", block(F.col("addr")))
     rows = want.select("block", "addr", F.lit(None).cast("string").alias("name"), F.lit(1).alias("side")).union(sym.select("block", "addr", "name", F.lit(0).alias("side")))
     run = Window.partitionBy("block").orderBy(order_key(F.col("addr")), "side").rowsBetween(Window.unboundedPreceding, 0)
     inside = rows.withColumn("name", F.last("name", ignorenulls=True).over(run)).filter("side = 1")
-    # blocks number at most `blocks`: a fixed bound
+    # blocks number at most `most_blocks`: a fixed bound
     last = sym.groupBy("block").agg(F.max_by("name", order_key(F.col("addr"))).alias("last"))
     used = want.select("block").distinct().join(last, "block", "full")
     below = used.withColumn("below", F.last("last", ignorenulls=True).over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).select("block", "below")
-    return inside.join(below, "block", "left").select("addr", F.coalesce("name", "below").alias("name"))
+    return inside.join(F.broadcast(below), "block", "left").select("addr", F.coalesce("name", "below").alias("name"))
+
+
+def relocated(addresses: DataFrame, symbols: DataFrame, reference: str | Column, recorded: int) -> DataFrame:
+    """nearest_below for addresses of a kernel that was moved: shifted by where the reference symbol is now."""
+    wanted = addresses.select("addr").withColumn("reference", F.lit(reference)).withColumn("recorded", F.lit(recorded).cast("long"))
+    return relocated_below(wanted, symbols).select("addr", "name")
+
+
+def relocated_below(requests: DataFrame, symbols: DataFrame) -> DataFrame:
+    """requests (addr, reference, recorded), with the name at or below each address.
+
+    Addresses that name a reference are shifted by where a listing has that symbol
+    against where it was recorded, and find nothing in a listing without it.
+    """
+    keys = ["addr", "reference", "recorded"]
+    at = first_address(symbols).select(F.col("name").alias("reference"), F.col("addr").alias("now"))
+    moved = requests.select(*keys).distinct().join(at, "reference", "left").filter("reference is null or now is not null")
+    shift = wrapping_sub(F.col("now"), F.col("recorded"))
+    moved = moved.withColumn("at", F.when(F.col("reference").isNull(), F.col("addr")).otherwise(wrapping_add(F.col("addr"), shift)))
+    found = nearest_below(moved.select(F.col("at").alias("addr")), kallsyms_table(symbols)).withColumnRenamed("addr", "at")
+    return moved.join(found, "at").select(*keys, "name")
+
+
+def is_module_path(path: Column) -> Column:
+    """A bracketed mapping other than the kernel's own: a kernel module."""
+    return path.startswith("[") & ~path.startswith("[kernel") & ~path.startswith("[guest.kernel]")
+
 
+def is_kernel_object(path: Column) -> Column:
+    return is_module_path(path) | path.startswith("[kernel.kallsyms]") | path.startswith("[kernel]") | path.startswith("[guest.kernel]")
 
-def relocated(addresses: DataFrame, symbols: DataFrame, reference: str, recorded: int) -> DataFrame:
-    """nearest_below for addresses of a kernel that was moved: shifted by where the reference symbol is now (one row)."""
-    at = first_address(symbols).filter(F.col("name") == reference).select(F.col("addr").alias("ref"))
-    moved = addresses.select("addr").distinct().join(F.broadcast(at)).withColumn("moved", wrapping_add(F.col("addr"), wrapping_sub(F.col("ref"), F.lit(recorded).cast("long"))))
-    found = nearest_below(moved.select(F.col("moved").alias("addr")), kallsyms_table(symbols)).withColumnRenamed("addr", "moved")
-    return moved.join(found, "moved").select("addr", "name")
+
+def precedence(requests: DataFrame, objects: DataFrame, cached: DataFrame | None = None, system_map: DataFrame | None = None, live: DataFrame | None = None, kernel_image: DataFrame | None = None) -> DataFrame:
+    """requests (path, addr, reference, recorded) with `name`, by the order in which sources are asked.
+
+    The kernel: its cached listing, the system map, the live listing, the kernel
+    image; a system map is not used beside a kernel image.  Modules: their cached
+    object, the live listing, the cached listing.  Other paths: their object.
+    objects: (path, addr, name); kernel_image: (addr, name); listings: (seq, addr, name).
+    """
+    keys = ["path", "addr", "reference", "recorded"]
+    rows = requests.select(*keys).distinct()
+    listed = {}
+    for k, table in (("cached", cached), ("map", None if kernel_image is not None else system_map), ("live", live)):
+        if table is not None:
+            asked = rows.filter(is_kernel_object(F.col("path"))).select("addr", "reference", "recorded")
+            listed[k] = relocated_below(asked, table).filter("name is not null").withColumnRenamed("name", k)
+    if kernel_image is not None:
+        listed["image"] = kernel_image.select("addr", F.lit(None).cast("string").alias("reference"), F.lit(None).cast("long").alias("recorded"), F.col("name").alias("image"))
+    out = rows.join(objects.select("path", "addr", F.col("name").alias("object")), ["path", "addr"], "left")
+    for k, t in listed.items():
+        t = t.select(F.col("addr").alias("t_addr"), F.col("reference").alias("t_ref"), F.col("recorded").alias("t_rec"), k)
+        same = (F.col("addr") == F.col("t_addr")) & (F.lit(k == "image") | (F.col("reference").eqNullSafe(F.col("t_ref")) & F.col("recorded").eqNullSafe(F.col("t_rec"))))
+        out = out.join(t, same, "left").drop("t_addr", "t_ref", "t_rec")
+    name = lambda *order: F.coalesce(*[F.col(k) for k in order if k in (*listed, "object")], F.lit(None).cast("string"))
+    chosen = F.when(is_module_path(F.col("path")), name("object", "live", "cached")).when(is_kernel_object(F.col("path")), name("cached", "map", "live", "image")).otherwise(F.col("object"))
+    return out.select(*keys, chosen.alias("name"))
 
 
 def best_object_symbol(requests: DataFrame, symbols: DataFrame, page_bits: int = 12) -> DataFrame:

@@ -23,33 +23,37 @@ def _block(time_bits: int, ord_bits: int):
     return F.when(t != 0, timed).otherwise(F.struct(F.lit(0).cast("long").alias("t"), F.shiftright("ord", ord_bits).alias("o")))
 
 
-def _last_so_far(rows: DataFrame, keys: list[str], value, name: str) -> DataFrame:
-    """rows with the last value so far of each key, by blocks.
+def _last_so_far(rows: DataFrame, keys: list[str], values: dict) -> DataFrame:
+    """rows with the last value so far of each key, for each name in values, by blocks.
 
     A running window holds one block of one key; the last values of the blocks
     before come from a table of a row a key and block.  So a key with any share of
     the rows spreads over tasks.
     """
-    rows = rows.withColumn("v", value)
+    known = F.col(keys[-1]).isNotNull()
+    rows = rows.withColumns({f"v_{k}": v for k, v in values.items()})
     run = Window.partitionBy(*keys, "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    ends = rows.filter(F.col(keys[-1]).isNotNull()).groupBy(*keys, "block").agg(F.max_by("v", F.when(F.col("v").isNotNull(), F.col("at"))).alias("end"))
+    last = [F.max_by(f"v_{k}", F.when(F.col(f"v_{k}").isNotNull(), F.col("at"))).alias(f"before_{k}") for k in values]
+    ends = rows.filter(known).groupBy(*keys, "block").agg(*last)
     before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("before", F.last("end", ignorenulls=True).over(before)).drop("end")
-    out = rows.withColumn("inside", F.when(F.col(keys[-1]).isNotNull(), F.last("v", ignorenulls=True).over(run)))
-    return out.join(ends, [*keys, "block"], "left").withColumn(name, F.coalesce("inside", "before")).drop("v", "inside", "before")
+    ends = ends.withColumns({f"before_{k}": F.last(f"before_{k}", ignorenulls=True).over(before) for k in values})
+    out = rows.withColumns({f"inside_{k}": F.when(known, F.last(f"v_{k}", ignorenulls=True).over(run)) for k in values}).join(ends, [*keys, "block"], "left")
+    return out.withColumns({k: F.coalesce(f"inside_{k}", f"before_{k}") for k in values}).drop(*[f"{x}_{k}" for x in ("v", "inside", "before") for k in values])
 
 
 def comm_as_of(samples: DataFrame, comms: DataFrame, time_bits: int = 32, ord_bits: int = 20) -> DataFrame:
-    """samples with `comm`: the last name set before each, of an exec of its pid, else of its thread, else of its pid."""
-    cols = samples.columns
+    """samples with `comm`: the last name set before each, of an exec of its pid, else of its thread, else of any thread of its pid.
+
+    Only places and ids go through the windows; the names found are joined to the
+    samples by (file, ord), which is one record.
+    """
     key, block = F.struct(*replay_order()), _block(time_bits, ord_bits).alias("block")
-    s = samples.select(F.struct(*cols).alias("s"), "file", "pid", "tid", key.alias("at"), block, F.lit(None).cast("string").alias("name"), F.lit(False).alias("is_exec"))
-    c = comms.select(F.lit(None).cast(s.schema["s"].dataType).alias("s"), "file", "pid", "tid", key.alias("at"), block, F.col("comm").alias("name"), F.coalesce("is_exec", F.lit(False)).alias("is_exec"))
-    # a process name is its main thread's: of an event whose pid is its tid
-    out = _last_so_far(s.unionByName(c), ["file", "pid"], F.when(F.col("is_exec"), F.col("name")), "e")
-    out = _last_so_far(out, ["file", "pid"], F.when(F.col("pid") == F.col("tid"), F.col("name")), "p")
-    out = _last_so_far(out, ["file", "tid"], F.col("name"), "t")
-    return out.filter("s is not null").select("s.*", F.coalesce("e", "t", "p").alias("comm"))
+    s = samples.select("file", "ord", "pid", "tid", key.alias("at"), block, F.lit(None).cast("string").alias("name"), F.lit(False).alias("is_exec"), F.lit(True).alias("asks"))
+    c = comms.select("file", "ord", "pid", "tid", key.alias("at"), block, F.col("comm").alias("name"), F.coalesce("is_exec", F.lit(False)).alias("is_exec"), F.lit(False).alias("asks"))
+    out = _last_so_far(s.unionByName(c), ["file", "pid"], {"e": F.when(F.col("is_exec"), F.col("name")), "p": F.col("name")})
+    out = _last_so_far(out, ["file", "tid"], {"t": F.col("name")}).filter("asks")
+    named = out.select("file", "ord", F.coalesce("e", "t", "p").alias("comm"))
+    return samples.join(named, ["file", "ord"]).select(*samples.columns, "comm")
 
 
 def first_event_only(samples: DataFrame) -> DataFrame:
@@ -61,14 +65,16 @@ def first_event_only(samples: DataFrame) -> DataFrame:
 def merge_deferred(samples: DataFrame, deferred: DataFrame) -> DataFrame:
     """Samples with a cookie take the frames of the first deferred chain after them with that cookie; those without any go.
 
-    The running minimum from below finds it without joining every pair of one cookie.
+    `seen` is the place in the recording at which a stack is whole.  The running
+    minimum from below finds the chain without joining every pair of one cookie.
     """
-    plain = samples.filter("cookie is null")
-    wait = samples.filter("cookie is not null")
     key = F.struct(*replay_order())
+    plain = samples.filter("cookie is null").withColumn("seen", key)
+    wait = samples.filter("cookie is not null")
     s = wait.select(F.struct(*samples.columns).alias("s"), "file", "cookie", key.alias("at"), F.lit(None).cast("array<bigint>").alias("ips"), F.lit(1).alias("side"))
     d = deferred.select(F.lit(None).cast(s.schema["s"].dataType).alias("s"), "file", "cookie", key.alias("at"), F.coalesce("ips", F.array().cast("array<bigint>")).alias("ips"), F.lit(0).alias("side"))
     after = Window.partitionBy("file", "cookie").orderBy("at", "side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = s.unionByName(d).withColumn("next", F.first("ips", ignorenulls=True).over(after)).filter("s is not null and next is not null")
-    out = found.select("s.*", "next").withColumn("callchain", F.concat("callchain", "next")).withColumn("cookie", F.lit(None).cast("long"))
+    chain = F.when(F.col("side") == 0, F.struct("ips", "at"))
+    found = s.unionByName(d).withColumn("next", F.first(chain, ignorenulls=True).over(after)).filter("s is not null and next is not null")
+    out = found.select("s.*", "next").withColumn("callchain", F.concat("callchain", "next.ips")).withColumn("cookie", F.lit(None).cast("long")).withColumn("seen", F.col("next.at"))
     return plain.unionByName(out.drop("next"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from stackloom.operators import compare, flamegraph, fold, offcpu, report, symbo
 from stackloom.operators import mappings as M
 from stackloom.plans import views as V
 from stackloom.sources import text as T
+from stackloom.sources.recording import decode_recordings
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,7 +42,7 @@ hits AS (SELECT w.pid, w.addr, m.path, m.pid AS map_pid, m.start, m.pgoff, row_n
 best AS (SELECT pid, addr, path, CASE WHEN path LIKE '[%' AND map_pid = 4294967295 THEN addr ELSE addr - start + pgoff END AS relative FROM hits WHERE rn = 1)"""
 _NAMED = """timeline AS (SELECT ord, pid, tid, NULL AS comm, false AS is_exec, 1 AS side FROM samples UNION ALL SELECT ord, pid, tid, comm, is_exec, 0 FROM comms),
 running AS (SELECT *, last_value(CASE WHEN is_exec THEN comm END IGNORE NULLS) OVER (PARTITION BY pid ORDER BY ord) AS e,
-  last_value(CASE WHEN pid = tid THEN comm END IGNORE NULLS) OVER (PARTITION BY pid ORDER BY ord) AS p, last_value(comm IGNORE NULLS) OVER (PARTITION BY tid ORDER BY ord) AS t FROM timeline),
+  last_value(comm IGNORE NULLS) OVER (PARTITION BY pid ORDER BY ord) AS p, last_value(comm IGNORE NULLS) OVER (PARTITION BY tid ORDER BY ord) AS t FROM timeline),
 named AS (SELECT s.*, coalesce(e, t, p) AS comm FROM running r JOIN samples s ON r.ord = s.ord WHERE side = 1)"""
 _FIRST = "first_event AS (SELECT arg_min(event_index, ord) AS i FROM samples)"
 _RAW = f"raw AS (SELECT pid, comm, list_reverse({_CODE}) AS frames, count(*) AS n FROM named WHERE event_index = (SELECT i FROM first_event) GROUP BY ALL)"
@@ -56,7 +60,7 @@ def sample_modes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_S}, {_C}, t AS (SELECT tid, count(*) AS samples, CAST(sum(period) AS BIGINT) AS weight FROM samples GROUP BY tid ORDER BY weight DESC, tid LIMIT 30), c AS (SELECT tid, arg_max(comm, ord) AS comm FROM comms GROUP BY tid) SELECT tid, coalesce(comm, 'tid ' || tid) AS comm, samples, weight FROM t LEFT JOIN c USING (tid)")
 def threads_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _long(report.threads(V.samples(spark, d), V.comms(spark, d)), "weight")
+    return _long(report.threads(V.samples(spark, d), V.comms(spark, d)), "weight").drop("file")
 
 
 @query(f"WITH {_S} SELECT '0x' || lpad(lower(to_hex(ip)), 16, '0') AS ip, count(*) AS samples, CAST(sum(period) AS BIGINT) AS weight FROM (SELECT {_CODE}[1] AS ip, period FROM samples) GROUP BY 1 ORDER BY weight DESC, ip LIMIT 30")
@@ -159,10 +163,10 @@ def kallsyms_asof(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_K}, a AS (SELECT DISTINCT 9000000 + (event_id % 3000) * 16 AS addr FROM events), r AS (SELECT addr AS ref FROM kallsyms WHERE seq = 3) SELECT addr, (SELECT arg_max(name, k.addr) FROM kallsyms k WHERE k.addr <= a.addr + ref - 9000000) AS name FROM a, r")
 def kallsyms_relocated(spark: SparkSession, d: str) -> DataFrame:
-    reference = "Supplier#000000003"
     known = V.kallsyms(spark, d)
-    name = known.filter("seq = 3").select("name").first()
-    return symbols.relocated(V.events(spark, d).selectExpr("9000000 + (event_id % 3000) * 16 as addr"), known, name[0] if name else reference, 9000000)
+    asked = V.events(spark, d).selectExpr("9000000 + (event_id % 3000) * 16 as addr", "9000000L as recorded")
+    reference = known.filter("seq = 3").select(F.col("name").alias("reference"))
+    return symbols.relocated_below(asked.distinct().join(F.broadcast(reference)), known).select("addr", "name")
 
 
 _OBJ = "obj AS (SELECT p_partkey AS seq, p_brand AS object, CASE WHEN p_partkey % 9 = 0 THEN '_' ELSE '' END || p_name AS name, 4096 + (p_partkey % 200) * 64 AS addr, (p_partkey % 4) * 48 AS size, p_partkey % 3 = 0 AS weak, p_partkey % 7 <> 0 AS defined FROM part)"
@@ -200,7 +204,7 @@ def fg_parse(spark: SparkSession, d: str) -> DataFrame:
     return _entries(spark, d).select("doc", "name", "samples", "percent")
 
 
-@query(f"WITH {_E} SELECT name, samples, percent FROM entries WHERE percent >= 1.0 ORDER BY percent DESC, name, samples LIMIT 30")
+@query(f"WITH {_E} SELECT name, samples, percent FROM entries WHERE percent >= 1.0 ORDER BY percent DESC, name, doc LIMIT 30")
 def fg_top(spark: SparkSession, d: str) -> DataFrame:
     return flamegraph.top(_entries(spark, d)).select("name", "samples", "percent")
 
@@ -336,3 +340,91 @@ def symbol_precedence(spark: SparkSession, d: str) -> DataFrame:
     want = V.events(spark, d).selectExpr("2000 + (event_id % 900) * 16 as addr").distinct()
     cached = want.filter("addr % 3 = 0").withColumn("name", F.lit("cached"))
     return symbols.first_found(want, ["addr"], cached, symbols.nearest_below(want.filter("addr < 9000"), V.kallsyms(spark, d)))
+
+
+def _encoded(spark: SparkSession, d: str) -> DataFrame:
+    """Events as binary recordings (path, content), one for each of seven residues of their ids."""
+    from stackloom.sources import encode
+
+    def pack(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).sort_by("event_id")
+        out = []
+        for r in t.to_pylist():
+            if r["event_id"] % 97 == 0:
+                out.append(encode.comm(r["user_id"] % 8, r["user_id"], r["event_type"], r["event_id"] % 291 == 0, r["event_id"]))
+            else:
+                out.append(encode.sample(r["user_id"] % 8, r["user_id"], r["event_id"], r["cents"], [-512, r["user_id"] * 16, -r["event_id"] - 5000], r["event_id"] % 6))
+        yield pa.RecordBatch.from_arrays([pa.array([f"r{key[0].as_py()}"]), pa.array([encode.recording(out)], pa.binary())], ["path", "content"])
+
+    rows = V.events(spark, d).select((F.col("event_id") % 7).alias("r"), "event_id", "user_id", "event_type", "cents")
+    return rows.groupBy("r").applyInArrow(pack, "path string, content binary")
+
+
+_RECORDED = "recorded AS (SELECT 'r' || (event_id % 7) AS file, row_number() OVER (PARTITION BY event_id % 7 ORDER BY event_id) - 1 AS ord, * FROM events)"
+
+
+@query(f"WITH {_RECORDED} SELECT file, ord, event_id AS time, CAST(event_id % 6 AS INTEGER) AS cpumode, user_id % 8 AS pid, user_id AS tid, CAST(round(value * 100) AS BIGINT) AS period, '-512,' || (user_id * 16) || ',' || (-event_id - 5000) AS chain FROM recorded WHERE event_id % 97 <> 0")
+def perfdata_scan(spark: SparkSession, d: str) -> DataFrame:
+    rows = decode_recordings(_encoded(spark, d), "samples")
+    return rows.select("file", "ord", "time", "cpumode", "pid", "tid", "period", F.array_join(F.col("callchain").cast("array<string>"), ",").alias("chain"))
+
+
+@query(f"WITH {_RECORDED} SELECT file, ord, event_id AS time, user_id % 8 AS pid, user_id AS tid, event_type AS comm, event_id % 291 = 0 AS is_exec FROM recorded WHERE event_id % 97 = 0")
+def perfdata_comm(spark: SparkSession, d: str) -> DataFrame:
+    return decode_recordings(_encoded(spark, d), "comm")
+
+
+@query(f"WITH {_RECORDED} SELECT file, CASE WHEN event_id % 97 = 0 THEN 'COMM' ELSE 'SAMPLE' END AS record_name, count(*) AS n, min(event_id) AS first_time, max(event_id) AS last_time FROM recorded GROUP BY ALL")
+def perfdata_records(spark: SparkSession, d: str) -> DataFrame:
+    return decode_recordings(_encoded(spark, d), "records").groupBy("file", "record_name").agg(F.count("*").alias("n"), F.min("time").alias("first_time"), F.max("time").alias("last_time"))
+
+
+_LISTED = "CASE WHEN s_suppkey % 10 = 0 THEN 0 ELSE 4096 + (s_suppkey // 3) * 64 END"
+
+
+def _listing(spark, d):
+    line = "concat(lower(hex(if(s_suppkey % 10 = 0, 0, 4096 + (s_suppkey div 3) * 64))), if(s_suppkey % 7 = 0, ' t ', ' T '), if(s_suppkey % 3 = 2, '__pi_', ''), s_name, if(s_suppkey % 5 = 0, ' [module]', ''))"
+    return T.kallsyms(spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey as seq", f"{line} as line"))
+
+
+@query(f"SELECT s_suppkey AS seq, {_LISTED} AS addr, CASE WHEN s_suppkey % 3 = 2 THEN '__pi_' ELSE '' END || s_name AS name FROM supplier WHERE s_suppkey % 10 <> 0")
+def kallsyms_text(spark: SparkSession, d: str) -> DataFrame:
+    return _listing(spark, d).select("seq", "addr", "name")
+
+
+@query(f"SELECT addr, name FROM (SELECT {_LISTED} AS addr, CASE WHEN s_suppkey % 3 = 2 THEN '__pi_' ELSE '' END || s_name AS name, row_number() OVER (PARTITION BY {_LISTED} ORDER BY s_suppkey % 3 <> 2, s_suppkey) AS rn FROM supplier WHERE s_suppkey % 10 <> 0) WHERE rn = 1")
+def kallsyms_aliases(spark: SparkSession, d: str) -> DataFrame:
+    return symbols.kallsyms_table(_listing(spark, d)).select("addr", "name")
+
+
+@query("SELECT count(*) AS rows, CAST(sum(event_id % 50) AS DOUBLE) AS total_weight FROM events")
+def xctrace_total(spark: SparkSession, d: str) -> DataFrame:
+    docs = V.events(spark, d).selectExpr("event_id as doc", "concat('<t><row><symbol>', event_type, '</symbol><weight> ', event_id % 50, '.0 </weight></row></t>') as text")
+    return compare.weight_totals(T.xctrace(docs))
+
+
+_KINDS = ("'a::Vec<b::T' || event_id || '>::push'", "'a::Vec<u' || event_id || '>::push'", "'<a::B as c::D>::run' || event_id", "'std::vector<int>::at' || event_id", "'std::io::read' || event_id", "'plain' || event_id", "'a::map<k, v>::get<x' || event_id || '>'")
+_SYMBOLS = ("'push<b::T' || event_id || '>'", _KINDS[1], _KINDS[2], _KINDS[3], _KINDS[4], _KINDS[5], "'get<x' || event_id || '><k, v>'")
+_DEBUG = ("'push<b::T' || event_id || '>'", "'push'", "'run' || event_id", _KINDS[3], _KINDS[4], _KINDS[5], "'get<x' || event_id || '>'")
+
+
+def _by_kind(values: tuple[str, ...]) -> str:
+    return "CASE event_id % 7 " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+
+
+@query(f"SELECT event_id, {_by_kind(_SYMBOLS)} AS symbol, {_by_kind(_DEBUG)} AS debug FROM events")
+def symbol_names(spark: SparkSession, d: str) -> DataFrame:
+    rows = V.events(spark, d).selectExpr("event_id", f"{_by_kind(_KINDS)} as name")
+    return rows.select("event_id", N.normal_symbol_name("name").alias("symbol"), N.normal_debug_name("name").alias("debug"))
+
+
+_MODULES = "CASE user_id % 4 WHEN 0 THEN '[kernel.kallsyms]' WHEN 1 THEN '[module]' WHEN 2 THEN '/bin/app' ELSE '[kernel.kallsyms]' END"
+_PLACES = f"p AS (SELECT DISTINCT {_MODULES} AS path, 4096 + (event_id % 3000) * 16 AS addr FROM events)"
+
+
+@query(f"WITH {_K}, {_PLACES}, o AS (SELECT DISTINCT path, addr, path || addr AS object FROM p WHERE addr % 3 = 0), c AS (SELECT addr, name FROM kallsyms WHERE seq % 2 = 0), l AS (SELECT addr, name || '_live' AS name FROM kallsyms) SELECT p.path, p.addr, CASE WHEN p.path = '/bin/app' THEN object WHEN p.path = '[module]' THEN coalesce(object, (SELECT arg_max(name, l.addr) FROM l WHERE l.addr <= p.addr), (SELECT arg_max(name, c.addr) FROM c WHERE c.addr <= p.addr)) ELSE coalesce((SELECT arg_max(name, c.addr) FROM c WHERE c.addr <= p.addr), (SELECT arg_max(name, l.addr) FROM l WHERE l.addr <= p.addr)) END AS name FROM p LEFT JOIN o ON o.path = p.path AND o.addr = p.addr")
+def symbol_sources(spark: SparkSession, d: str) -> DataFrame:
+    asked = V.events(spark, d).selectExpr(f"{_MODULES} as path", "4096 + (event_id % 3000) * 16 as addr", "cast(null as string) as reference", "cast(null as bigint) as recorded").distinct()
+    objects = asked.filter("addr % 3 = 0").select("path", "addr", F.concat("path", F.col("addr").cast("string")).alias("name"))
+    known = V.kallsyms(spark, d)
+    return symbols.precedence(asked, objects, cached=known.filter("seq % 2 = 0"), live=known.withColumn("name", F.concat("name", F.lit("_live")))).select("path", "addr", "name")

@@ -8,9 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.functions.addresses import hex_address, is_kernel
 from stackloom.functions.names import UNKNOWN
-from stackloom.operators import mappings as M
+from stackloom.operators import fold
 
 #: File names of a stored run.
 ARTIFACTS = {"manifest": "run.json", "stdout": "stdout.log", "stderr": "stderr.log", "command": "command.txt", "folded": "stacks.folded", "flamegraph": "flamegraph.svg", "summary_text": "summary.txt", "summary_json": "summary.json", "tool_errors": "tool-errors.log"}
@@ -26,26 +25,35 @@ def write_folded(folded: DataFrame, path: str, single_file: bool = False) -> Non
     (lines.coalesce(1) if single_file else lines).write.mode("overwrite").text(path)
 
 
-def script_frame(addr, path, relative, kind):
-    """One line of a stack in perf-script form, leaf to root, without symbols."""
+def script_line(addr, label):
+    """One frame of a stack in perf-script form: a label in the place of the symbol, or of the module that it names."""
     a = F.lower(F.hex(addr))
-    unknown = F.concat(F.lit("\t"), a, F.lit(f" {UNKNOWN} ({UNKNOWN})\n"))
-    plain = F.concat(F.lit("\t"), a, F.lit(" "), hex_address(addr), F.lit(f" ({UNKNOWN})\n"))
-    mapped = F.concat(F.lit("\t"), a, F.lit(" "), path, F.lit("+"), hex_address(relative), F.lit(f"+0x0 ({UNKNOWN})\n"))
-    inside = F.when(is_kernel(addr) & ~path.startswith("["), plain).when(is_kernel(addr), unknown).otherwise(mapped)
-    return F.when((kind == 1) & M.is_dropped_unwind(path), F.lit("")).when(path.isNotNull(), inside).when(is_kernel(addr), unknown).otherwise(plain)
-
-
-def script_stacks(stacks: DataFrame, mappings: DataFrame) -> DataFrame:
-    """text: header line, frames and a blank line for each raw stack (file, pid, comm, frames, count)."""
-    keys = ["file", "pid", "comm", "frames", "count"]
-    flat = stacks.select(*keys, F.posexplode("frames").alias("pos", "f")).withColumn("addr", F.col("f.addr"))
-    found = M.resolve(flat, mappings).select("file", "pid", "addr", F.col("map_path").alias("path"), "relative")
-    lines = flat.join(found, ["file", "pid", "addr"], "left").withColumn("line", script_frame(F.col("addr"), F.col("path"), F.col("relative"), F.col("f.kind")))
-    body = lines.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line")), asc=False), lambda x: x["line"]), "").alias("body"))
+    line = lambda symbol, module: F.concat(F.lit("\t"), a, F.lit(" "), symbol, F.lit(" ("), module, F.lit(")\n"))
+    module = F.regexp_extract(label, "^(?s)\\[(.+)\\]$", 1)
+    unknown = F.lit(UNKNOWN)
+    plain = (label == UNKNOWN) | label.startswith("0x")
+    offset = F.when(label.rlike("(?s)^.*\\+0x[0-9a-fA-F]+$"), F.concat(label, F.lit("+0x0"))).otherwise(label)
+    return F.when(plain, line(label, unknown)).when(module != "", line(unknown, module)).otherwise(line(offset, unknown))
+
+
+def script_stacks(stacks: DataFrame, mappings: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """text: header line, frames leaf to root and a blank line for each raw stack (file, pid, comm, frames, count).
+
+    Frames that drop when stacks are folded drop here too; symbols as in fold.placed_frames.
+    """
+    flat = fold.placed_frames(stacks, mappings, symbols)
+    label = fold.frame_label(F.col("addr"), F.col("path"), F.col("relative"), symbols is not None)
+    # the names of one address are written innermost first
+    names = F.reverse(F.coalesce("names", F.array(label)))
+    text = F.when(F.col("drops"), F.lit("")).otherwise(F.array_join(F.transform(names, lambda x: script_line(F.col("addr"), x)), ""))
+    lines = flat.withColumn("line", text)
+    own = [F.first(c).alias(c) for c in ("file", "pid", "comm", "count")]
+    body = lines.groupBy("id").agg(*own, F.sort_array(F.collect_list(F.struct("pos", "line", "addr", "kind")), asc=False).alias("l"))
     pid = F.coalesce("pid", F.lit(0)).cast("string")
     head = F.concat(F.coalesce("comm", F.lit(UNKNOWN)), F.lit(" "), pid, F.lit("/"), pid, F.lit(" 0: "), F.col("count").cast("string"), F.lit(" cycles:\n"))
-    return body.orderBy(F.asc_nulls_first("pid"), F.asc_nulls_first("comm"), "frames").select(F.concat(head, "body", F.lit("\n")).alias("text"))
+    frames = F.reverse(F.transform("l", lambda x: F.struct(x["addr"], x["kind"])))
+    ordered = body.orderBy(F.asc_nulls_first("pid"), F.asc_nulls_first("comm"), frames, "file")
+    return ordered.select(F.concat(head, F.array_join(F.transform("l", lambda x: x["line"]), ""), F.lit("\n")).alias("text"))
 
 
 def report_text(totals: dict, modes: list, threads: list, ips: list, edges: list) -> str:
@@ -72,6 +80,26 @@ def xctrace_text(totals: dict, rows: list) -> str:
     return "\n".join([f"xctrace rows: {totals['rows']}", f"xctrace total weight: {totals['total_weight']:.6f}", *(f"{r['symbol']}: {r['weight']:.6f}" for r in rows)]) + "\n"
 
 
+#: Fields of a run's manifest.
+MANIFEST_FIELDS = (
+    "command", "cwd", "profile_kind", "requested_backend", "actual_backend", "fallback_reason", "platform", "started_at_unix_ms", "ended_at_unix_ms", "exit_status",
+    "sample_frequency", "sample_event", "call_graph", "record_target", "duration_secs", "symbols", "tool_versions", "artifacts", "diagnostics",
+)
+
+
+def artifact(folder: str, kind: str, extension: str | None = None) -> Path:
+    """A file of a stored run; kind "raw" is the recorder's own output and takes its extension."""
+    return Path(folder) / (f"profile.raw.{extension}" if kind == "raw" else ARTIFACTS[kind])
+
+
+def run_manifest(**fields) -> dict:
+    """All fields of a manifest in order, null where not given."""
+    if unknown := set(fields) - set(MANIFEST_FIELDS):
+        raise ValueError(f"a manifest has no {', '.join(sorted(unknown))}")
+    lists = {"command", "tool_versions", "artifacts", "diagnostics"}
+    return {k: fields.get(k, [] if k in lists else None) for k in MANIFEST_FIELDS}
+
+
 def write_manifest(folder: str, manifest: dict) -> None:
     root = Path(folder)
     root.mkdir(parents=True, exist_ok=True)

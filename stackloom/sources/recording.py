@@ -141,12 +141,18 @@ def read_recording(spark: SparkSession, path: str, table: str = "samples") -> Da
     if table not in TABLES:
         raise ValueError(f"no table {table}; there are {', '.join(TABLES)}")
 
+    return decode_recordings(spark.read.format("binaryFile").load(path).select("path", "content"), table)
+
+
+def decode_recordings(files: DataFrame, table: str = "samples") -> DataFrame:
+    """A table of recordings that are rows (path, content)."""
+
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 yield from _batches(table, rows(table, name.as_py(), content.as_py()))
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema(table))
+    return files.select("path", "content").mapInArrow(run, schema(table))
 
 
 class RecordingSource(DataSource):

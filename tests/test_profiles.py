@@ -135,8 +135,7 @@ def test_comm_as_of_by_brute_force(spark):
     for r in sorted([*s, *c], key=lambda r: (r[2] or 0, r[1])):
         if len(r) == 7:
             threads[r[4]] = r[5]
-            if r[3] == r[4]:
-                process[r[3]] = r[5]
+            process[r[3]] = r[5]
             if r[6]:
                 execs[r[3]] = r[5]
         else:
@@ -163,3 +162,60 @@ def test_offcpu_stream(spark, tmp_path):
 def test_command_lines():
     assert commands.perf_record("o", {"tids": [1, 2]}, seconds=3) == ["perf", "record", "-F", "997", "-g", "--call-graph", "dwarf,64000", "-t", "1,2", "-o", "o", "--", "sleep", "3"]
     assert commands.perf_record("o", {"command": ["app"]}, event="cycles")[-2:] == ["--", "app"]
+
+
+def test_blocks_of_crowded_addresses(spark):
+    base = 0xFFFFFFFF81000000
+    sym = [(A.signed(base + 4096 * k), f"s{k}") for k in range(1000)]
+    at = spark.createDataFrame([(A.signed(base + 4096 * k + 3),) for k in range(0, 1000, 7)], "addr long")
+    known = spark.createDataFrame(sym, "addr long, name string")
+    for rows in (50, 10**6):
+        assert {r.addr: r.name for r in symbols.nearest_below(at, known, block_rows=rows).collect()} == {A.signed(base + 4096 * k + 3): f"s{k}" for k in range(0, 1000, 7)}
+    cuts = symbols._quantiles(known.select(A.order_key(F.col("addr")).alias("k")), 20)
+    assert len(cuts) == 19
+
+
+def test_kernel_requests(spark):
+    at = A.signed(0xFFFFFFFF81000010)
+    d = spark.createDataFrame([("[kernel.kallsyms]_text", at, 7), ("[kernel.kallsyms]", at, 7), ("[guest.kernel]", at, 7), ("[vdso]", 16, 7), ("/bin/x", 16, 7)], "path string, relative long, pgoff long")
+    path, relative = F.col("path"), F.col("relative")
+    got = d.select(mappings.request_path(path, relative).alias("p"), mappings.kernel_relocation(path, F.col("pgoff")).alias("r"), mappings.is_kernel_mapping(path, relative).alias("k")).collect()
+    assert [(r.p, tuple(r.r) if r.r else None, r.k) for r in got] == [("[kernel.kallsyms]", ("_text", 7), True), ("[kernel.kallsyms]", None, True), ("[guest.kernel]", None, True), ("[vdso]", None, False), ("/bin/x", None, False)]
+    ids = spark.createDataFrame([("f", 0, "/bin/x", "aa"), ("f", 1, "[kernel]", "bb"), ("f", 2, "[kernel.kallsyms]", "cc")], "file string, seq long, path string, build_id string")
+    assert [tuple(r) for r in mappings.kernel_build_id(ids).collect()] == [("f", "bb")]
+
+
+def test_script_text_with_symbols(spark):
+    stacks = spark.createDataFrame([("f", 1, "c d", [(0x900, 0), (0x10, 0), (0x20, 0), (0x205, 0), (0x306, 1)], 3)], "file string, pid long, comm string, frames array<struct<addr:long,kind:int>>, count long")
+    maps = spark.createDataFrame([("f", 1, 0, 0x100, 0, "/usr/bin/app", 5, None, 0), ("f", 1, 0x200, 0x100, 0, "[vdso]", 5, None, 1), ("f", 1, 0x300, 0x100, 0, "/x/perf.data.old", None, None, 2)], "file string, pid long, start long, len long, pgoff long, path string, prot long, build_id string, ord long")
+    names = spark.createDataFrame([("f", 1, 0x10, ["outer", "inner"])], "file string, pid long, addr long, names array<string>")
+    want = "c d 1/1 0: 3 cycles:\n\t205 [vdso]+0x5+0x0 ([unknown])\n\t20 [unknown] (app)\n\t10 inner ([unknown])\n\t10 outer ([unknown])\n\t900 [unknown] ([unknown])\n\n"
+    assert sinks.script_stacks(stacks, maps, names).first().text == want
+    # without symbols, an unwound frame outside the maps of a process that has some goes too
+    lone = spark.createDataFrame([("f", 1, None, [(0x5000, 1), (0x5001, 0)], 1)], stacks.schema)
+    assert sinks.script_stacks(lone, maps).first().text == "[unknown] 1/1 0: 1 cycles:\n\t5001 0x5001 ([unknown])\n\n"
+
+
+def test_ties_of_entries_keep_their_place(spark):
+    e = T.flamegraph(docs(spark, "<title>b (9 samples, 5%)</title><title>a (7 samples, 5%)</title><title>a (3 samples, 5%)</title>"))
+    assert [(r.name, r.samples) for r in flamegraph.top(e).collect()] == [("a", 7), ("a", 3), ("b", 9)]
+
+
+def test_threads_of_several_recordings(spark):
+    s = spark.createDataFrame([("x", 1, 1, 2), ("y", 1, 1, 5)], "file string, pid long, tid long, period long")
+    c = spark.createDataFrame([("x", 0, 1, 1, "a"), ("y", 0, 1, 1, "b")], "file string, ord long, pid long, tid long, comm string")
+    from stackloom.operators import offcpu, report
+
+    assert [(r.file, r.comm, r.weight) for r in report.threads(s, c).collect()] == [("y", "b", 5), ("x", "a", 2)]
+    assert [r.comm for r in report.last_comms(c, "pid").orderBy("file").collect()] == ["a", "b"]
+    switches = spark.createDataFrame([("x", 0, 0, 1, 0, True, "s"), ("y", 0, 0, 2, 0, False, "t"), ("x", 0, 1, 3, 1, False, "u"), ("x", 0, 0, 9, 2, False, "v")], "file string, pid long, cpu long, time long, ord long, out boolean, kstack string")
+    assert [tuple(r) for r in offcpu.pairs(switches).collect()] == [("x", 0, "s", 1, 8)]
+
+
+def test_manifest(tmp_path):
+    m = sinks.run_manifest(command=["app"], exit_status=0)
+    assert tuple(m) == sinks.MANIFEST_FIELDS and m["artifacts"] == [] and m["cwd"] is None
+    sinks.write_manifest(str(tmp_path), m)
+    assert sinks.artifact(str(tmp_path), "manifest").exists() and sinks.artifact("r", "raw", "perf.data").name == "profile.raw.perf.data"
+    with pytest.raises(ValueError, match="no colour"):
+        sinks.run_manifest(colour=1)

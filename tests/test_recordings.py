@@ -31,6 +31,10 @@ CASES = {
     "mapped later": (R.recording([R.sample([0x1010]), R.mmap(11, 0x1000, 0x100, 0, "/bin/app")]), ["[unknown];/bin/app+0x10 1"]),
     "page offset": (R.recording([R.mmap2_build_id(11, 0x4000, 0x100, 0x20, "/bin/b"), R.sample([0x4010])]), ["[unknown];/bin/b+0x30 1"]),
     "kernel unmapped": (R.recording([R.sample([KERNEL])]), ["[unknown];[unknown] 1"]),
+    "comm of another thread": (R.recording([R.comm(11, 12, "a"), R.sample([0x2000], tid=13)]), ["a;0x2000 1"]),
+    "an unknown mapping": (R.recording([R.mmap(11, 0x1000, 0x100, 0, "[unknown]"), R.sample([0x1010])]), ["[unknown];[unknown]+0x10 1"]),
+    "a kernel map of one process": (R.recording([R.mmap(11, KERNEL - 16, 0x1000, 0, "[mod]"), R.sample([KERNEL])]), [f"[unknown];0x{KERNEL:x} 1"]),
+    "a kernel map of all": (R.recording([R.mmap(2**32 - 1, KERNEL - 16, 0x1000, 0, "[mod]"), R.sample([KERNEL])]), ["[unknown];[unknown] 1"]),
     "kernel under a user map": (R.recording([R.mmap(11, KERNEL - 16, 0x1000, 0, "/bin/app"), R.sample([KERNEL])]), [f"[unknown];0x{KERNEL:x} 1"]),
 }
 
@@ -137,3 +141,30 @@ def test_samples_round_trip(chain, period, raw):
 )
 def test_record_types(kind, payload, want):
     assert D.fields(kind, 0, D.Cursor(payload)) == want
+
+
+def test_unwound_frames_in_no_code(spark, tmp_path):
+    """Dropped by the mapping when the stack was recorded, or by the last one."""
+    stack = R.q(0, 0, 0x1234, 0)[:24]
+
+    def unwound(*others):
+        s = R.sample([0x9000], regs=(0x7FFF0008, 0x7FFF0000, 0x4000), stack=stack, dynamic=24)
+        return R.recording([*(x or s for x in others)], R.BASE | R.REGS | R.STACK, regs_user=0b111000000)
+
+    heap, code = (R.mmap(11, 0x4000, 0x100, 0, x) for x in ("[heap]", "/bin/app"))
+    # a recording's own buffer is no sign of code, so frames outside all maps stay beside it
+    for old, rest in (("//anon", ""), ("/x/perf.data.old", "0x1233;"), ("perf.data", "0x1233;")):
+        assert folded(spark, tmp_path, unwound(R.mmap(11, 0x4000, 0x100, 0, old), None)) == [f"[unknown];{rest}0x9000 1"]
+    assert folded(spark, tmp_path, unwound(heap, None, code)) == ["[unknown];0x9000 1"]
+    assert folded(spark, tmp_path, unwound(code, None, heap)) == ["[unknown];0x9000 1"]
+    assert folded(spark, tmp_path, unwound(heap, code, None)) == ["[unknown];/bin/app+0x0;0x9000 1"]
+
+
+def test_kernel_names_from_listings(spark, tmp_path):
+    data = R.recording([R.mmap(2**32 - 1, KERNEL - 16, 0x1000, KERNEL - 16, "[kernel.kallsyms]_text"), R.sample([KERNEL])])
+    (tmp_path / "k").write_text(f"{KERNEL + 0x1000 - 16:x} T _text\n{KERNEL + 0x1000:x} T moved\n")
+    (tmp_path / "m").write_text(f"{KERNEL - 16:x} T _text\n{KERNEL:x} T mapped\n")
+    (tmp_path / "l").write_text(f"{KERNEL:x} T live\n")
+    assert folded(spark, tmp_path, data, kallsyms=str(tmp_path / "k")) == ["[unknown];moved 1"]
+    assert folded(spark, tmp_path, data, kallsyms=str(tmp_path / "l"), system_map=str(tmp_path / "m")) == ["[unknown];mapped 1"]
+    assert folded(spark, tmp_path, data, live=str(tmp_path / "l")) == ["[unknown];[unknown] 1"]
