@@ -79,22 +79,23 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
   CASE WHEN page_id <> first THEN first END AS refers_to FROM q
 """
 
+#: The whole dialogue is rendered, and masked, first; parts of 64 turns are then cut out of it by character.
 OP2 = """
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, coalesce(floor(turn / 64), -1)::BIGINT AS part FROM conversations
-), r AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, role, text) AS rn FROM t
+  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS rn FROM conversations
 ), p AS (
   SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'
 ), j AS (
-  SELECT r.*, speaker, ((rn - 1) // 64)::BIGINT AS subpart,
-    '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
-    text || '<|im_end|>' || chr(10) AS body
-  FROM r JOIN p ON r.conv_id IS NOT DISTINCT FROM p.conv_id
+  SELECT t.*, speaker, '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head, text || '<|im_end|>' || chr(10) AS body
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
 ), o AS (
-  SELECT *, (sum(len(head) + len(body)) OVER (PARTITION BY conv_id, speaker, part, subpart ORDER BY rn) - len(body))::BIGINT AS a, a + len(body) - 1 AS b FROM j
+  SELECT *, (sum(len(head) + len(body)) OVER w - len(body))::BIGINT AS a, a + len(body) - 1 AS b FROM j WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY rn)
+), whole AS (
+  SELECT conv_id, speaker, string_agg(head || body, '' ORDER BY rn) AS rendered FROM o GROUP BY ALL
+), cut AS (
+  SELECT conv_id, speaker, ((rn - 1) // 64)::BIGINT AS part, count(*)::BIGINT AS n_turns, min(a - len(head)) AS start, max(b + 1) AS stop,
+    coalesce(sum(b - a) FILTER (role = speaker), 0)::BIGINT AS n_target_chars, coalesce(string_agg(a || '-' || b, ',' ORDER BY rn) FILTER (role = speaker), '') AS mask FROM o GROUP BY ALL
 )
-SELECT conv_id, speaker, part, subpart, count(*)::BIGINT AS n_turns, coalesce(sum(b - a) FILTER (role = speaker), 0)::BIGINT AS n_target_chars,
-  string_agg(head || body, '' ORDER BY rn) AS rendered, coalesce(string_agg(a || '-' || b, ',' ORDER BY rn) FILTER (role = speaker), '') AS mask
-FROM o GROUP BY ALL
+SELECT cut.conv_id, cut.speaker, part, start::BIGINT AS start, n_turns, n_target_chars, substr(rendered, (start + 1)::BIGINT, (stop - start)::BIGINT) AS rendered, mask
+FROM cut JOIN whole ON cut.conv_id IS NOT DISTINCT FROM whole.conv_id AND cut.speaker = whole.speaker
 """
