@@ -4,25 +4,29 @@ A line's key is the line without white space at its ends, A-Z lower-cased.  Keys
 of at least min_chars code points found in at least min_docs documents lose all
 their lines, except in the document with the largest id that holds them.
 
-1. Every task hashes its long enough keys (once a document) to two positions
-   each in a table of M bits, and sends the positions seen once and those seen
-   more often, cut in slices, delta-coded.
-2. A task a slice merges them to two filters: seen at least once, and seen at
-   least twice.  The second alone is needed afterwards; it has M / 8 bytes.
-3. Lines with a position outside the twice-seen filter occur in one document
-   only and never leave their task.  The others, the suspects, shuffle with their
-   full key and are counted exactly; keys are summed before the shuffle, so a
-   line that all documents share costs a row a task.
-4. The lines to drop go back by document; texts are rewritten in place.
-
-M grows with the number of lines (BITS_A_LINE each) up to MAX_BITS, 64 MB of
-filter; beyond that more lines become suspects, and the result stays exact.
+Texts are written once, in groups (the input splits), and never shuffled; what
+moves is hashes, and the keys of suspected lines.
+
+1. Every group sends the 64-bit hashes of its long enough keys, each once a
+   document and marked if several documents of the group hold it, to the slice of
+   hashes that they fall into.  Slices hold SLICE_LINES lines on the average,
+   however large the table.
+2. A slice keeps two Bloom filters: hashes seen once, and hashes seen twice.  It
+   then reads its hashes again, and sends those in the twice-seen filter, the
+   suspects, back to their groups.  A line that all documents share costs a hash a
+   group.
+3. Suspected lines shuffle with their full key, one row a group and key, with the
+   least min_docs ids and the largest id that the group knows of: enough to count
+   documents up to min_docs exactly, whichever groups share ids.
+4. The keys to drop go back to the groups that hold them; texts are rewritten in
+   place.
 
 Edge cases: null or empty text is one empty line; a null id counts as a
 document, the smallest, and rows that share an id count as one document, each
 keeping its lines where that id is the largest; empty keys and short keys are
-never dropped; extra columns are ignored by dedup_lines; an empty table gives an
-empty result.
+never dropped; ties, that is several lines of one key in a document, go or stay
+together; a very long text is read whole by one task; extra columns are ignored
+and may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,17 +36,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm.scratch import Scratch
+from stackloom.llm.scratch import Scratch, file_system
 
 BITS_A_LINE = 16
-MIN_BITS, MAX_BITS = 1 << 16, 1 << 29
-SLICES = 64
+SLICE_LINES = 1 << 22
+MIN_SLICES = 64
 SPACE = b" \t\n\x0b\x0c\r"
-_NONE = -(2**63)
 
 
 def line_keys(text: bytes | None, min_chars: int) -> list[bytes | None]:
@@ -54,148 +58,184 @@ def line_keys(text: bytes | None, min_chars: int) -> list[bytes | None]:
     return out
 
 
-def _positions(keys: list[bytes], bits: int) -> np.ndarray:
-    h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(k) for k in keys), "<u8").reshape(-1, 2)
-    return (h & np.uint64(bits - 1)).astype(np.int64)
+def _hashes(keys: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
 
 
-def _pack(sorted_positions: np.ndarray) -> bytes:
-    """Gaps as 16-bit numbers; a gap of 65535 and more takes several."""
-    gaps = np.diff(sorted_positions, prepend=0)
-    if len(gaps) and gaps.max() >= 0xFFFF:
-        long = gaps // 0xFFFF
-        out = np.full(int(long.sum()) + len(gaps), 0xFFFF, "<u2")
-        out[np.cumsum(long + 1) - 1] = gaps % 0xFFFF
-        return out.tobytes()
-    return gaps.astype("<u2").tobytes()
+def _slices(h: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of each hash, by its upper half, so ascending hashes have ascending slices."""
+    return (((h >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)).astype(np.int64)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    gaps = np.frombuffer(data, "<u2").astype(np.int64)
-    return np.cumsum(gaps)[gaps != 0xFFFF]
+def _sightings(min_chars: int, slices: int, held_hashes: int = 1 << 21):
+    """Rows (slice, grp, once, twice): hashes that one document of a run of documents holds, and that several do."""
 
-
-def _seen_parts(bits: int, min_chars: int):
-    width = bits // SLICES
+    def emit(grp, held):
+        h, count = np.unique(np.concatenate(held), return_counts=True)
+        cut = np.searchsorted(_slices(h, slices), np.arange(slices + 1))
+        used = np.flatnonzero(np.diff(cut))
+        parts = [(h[a:b], count[a:b]) for a, b in zip(cut[used], cut[used + 1], strict=True)]
+        once, twice = ([x[pick(c)].tobytes() for x, c in parts] for pick in (lambda c: c == 1, lambda c: c > 1))
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(len(used), grp), pa.int32()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["slice", "grp", "once", "twice"])
 
     def run(batches):
-        held: list[np.ndarray] = []
-
-        def flush():
-            once, count = np.unique(np.concatenate(held), return_counts=True)
-            twice = once[count > 1]
-            for s in range(SLICES):
-                a, b = (x[np.searchsorted(x, s * width) : np.searchsorted(x, (s + 1) * width)] - s * width for x in (once, twice))
-                if len(a):
-                    yield s, _pack(a), _pack(b)
-
-        def emit():
-            rows = list(flush())
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["slice", "once", "twice"])
-
-        n = 0
+        held, n, grp = [], 0, None
         for batch in batches:
-            for text in batch.column(0):
-                keys = list({k for k in line_keys(text.as_py(), min_chars) if k is not None})
+            for g, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held and (g != grp or n > held_hashes):
+                    yield emit(grp, held)
+                    held, n = [], 0
+                grp = g
+                keys = {k for k in line_keys(text.as_py(), min_chars) if k is not None}
                 if keys:
-                    # the two positions of one key may coincide: that is one sighting
-                    p = _positions(keys, bits)
-                    held.append(np.where(p[:, 0] == p[:, 1], p[:, 0] ^ 1, p[:, 0]))
-                    held.append(p[:, 1])
-                    n += 2 * len(keys)
-            if n > 1 << 21:
-                yield emit()
-                held, n = [], 0
+                    held.append(_hashes(list(keys)))
+                    n += len(keys)
         if held:
-            yield emit()
+            yield emit(grp, held)
 
     return run
 
 
-def _merge(bits: int):
-    width = bits // SLICES
+class Bloom:
+    """A filter of 2**k bits with two places a hash."""
+
+    def __init__(self, bits: int):
+        self.flags, self.mask, self.shift = np.zeros(bits, bool), np.uint64(bits - 1), np.uint64(32)
+
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # upper bits chose the slice: mix them in
+        m = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        return (m & self.mask).astype(np.int64), ((m >> self.shift) & self.mask).astype(np.int64)
+
+    def add(self, h: np.ndarray) -> None:
+        for p in self.places(h):
+            self.flags[p] = True
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        p, q = self.places(h)
+        return self.flags[p] & self.flags[q]
 
+
+def _twice_seen(bits: int):
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(width, bool), np.zeros(width, bool)
+        once, twice, held = Bloom(bits), Bloom(bits), []
         for batch in batches:
-            for a, b in zip(batch.column("once"), batch.column("twice"), strict=True):
-                p = _unpack(a.as_py())
-                twice[p[once[p]]] = True
-                once[p] = True
-                twice[_unpack(b.as_py())] = True
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())], ["slice", "filter"])
+            for grp, a, b in zip(batch.column("grp").to_pylist(), batch.column("once"), batch.column("twice"), strict=True):
+                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
+                twice.add(a[once.has(a)])
+                once.add(a)
+                once.add(b)
+                twice.add(b)
+                held.append((grp, a, b))
+        rows = [(grp, np.concatenate([a[twice.has(a)], b])) for grp, a, b in held]
+        rows = [(grp, h.tobytes()) for grp, h in rows if len(h)]
+        yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], pa.int32()), pa.array([h for _, h in rows], pa.binary())], ["grp", "hashes"])
 
     return run
 
 
-def _suspects(twice, bits: int, min_chars: int):
+def _texts(folder: str, files: list[str]):
+    """(ids, texts) of the batches of a group's files."""
+    store, _ = file_system(folder)
+    for name in files:
+        with store.open_input_file(file_system(name)[1]) as f:
+            for batch in pq.ParquetFile(f).iter_batches(256, columns=["doc_id", "t"]):
+                yield batch.column("doc_id").to_pylist(), batch.column("t")
+
+
+def _confirm(folder: str, min_chars: int, min_docs: int, held_bytes: int = 1 << 26):
+    """Rows (key, grp, ids, none, last): of each suspected key the least min_docs ids, whether an id is null, and the largest id."""
+
+    def emit(grp, seen):
+        some = [sorted(ids) for _, ids in seen.values()]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(list(seen), pa.binary()), pa.array([grp] * len(seen), pa.int32()), pa.array([x[:min_docs] for x in some], pa.list_(pa.int64())),
+                pa.array([none for none, _ in seen.values()], pa.bool_()), pa.array([x[-1] if x else None for x in some], pa.int64()),
+            ],
+            ["key", "grp", "ids", "none", "last"],
+        )
+
     def run(batches):
-        seen = np.frombuffer(twice.value, np.uint8)
         for batch in batches:
-            ids, at, keys = batch.column(0).to_pylist(), [], []
-            for i, text in enumerate(batch.column(1)):
-                own = list({k for k in line_keys(text.as_py(), min_chars) if k is not None})
-                keys += own
-                at += [i] * len(own)
-            if not keys:
-                continue
-            p = _positions(keys, bits)
-            p[:, 0] = np.where(p[:, 0] == p[:, 1], p[:, 0] ^ 1, p[:, 0])
-            hit = ((seen[p >> 3] >> (p & 7).astype(np.uint8)) & 1).all(axis=1)
-            rows = np.flatnonzero(hit)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[at[r]] for r in rows], pa.int64()), pa.array([keys[r] for r in rows], pa.binary())], ["doc_id", "key"])
+            for grp, files, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                want = np.unique(np.frombuffer(b"".join(hashes), np.uint64))
+                seen, size = {}, 0
+                for ids, texts in _texts(folder, files):
+                    at, keys = [], []
+                    for i, text in zip(ids, texts, strict=True):
+                        own = list({k for k in line_keys(text.as_py(), min_chars) if k is not None})
+                        keys += own
+                        at += [i] * len(own)
+                    if not keys:
+                        continue
+                    h = _hashes(keys)
+                    hit = want[np.minimum(np.searchsorted(want, h), len(want) - 1)] == h
+                    for r in np.flatnonzero(hit).tolist():
+                        none, known = seen.get(keys[r], (False, None))
+                        if known is None:
+                            known = set()
+                            size += len(keys[r])
+                        if at[r] is not None:
+                            known.add(at[r])
+                            if len(known) > 4 * min_docs + 16:
+                                least = sorted(known)
+                                known = {*least[:min_docs], least[-1]}
+                        seen[keys[r]] = (none or at[r] is None, known)
+                    if size > held_bytes:
+                        yield emit(grp, seen)
+                        seen, size = {}, 0
+                if seen:
+                    yield emit(grp, seen)
 
     return run
 
 
-def _rewrite(min_chars: int):
+def _rewrite(folder: str, min_chars: int):
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+
     def run(batches):
         for batch in batches:
-            ids, texts, drops = (batch.column(x) for x in range(3))
-            n_lines, n_dropped, sha, out = [], [], [], []
-            for i in range(batch.num_rows):
-                text = texts[i].as_py() or b""
-                drop = drops[i].as_py()
-                lines = text.split(b"\n")
-                kept = text
-                gone = 0
-                if drop:
-                    drop = set(drop)
-                    stay = [x for x, k in zip(lines, line_keys(text, min_chars), strict=True) if k not in drop]
-                    gone = len(lines) - len(stay)
-                    kept = b"\n".join(stay)
-                n_lines.append(len(lines))
-                n_dropped.append(gone)
-                sha.append(hashlib.sha256(kept).hexdigest())
-                out.append(kept)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(sha), pa.array(out, pa.binary())], ["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept"])
+            for files, drops in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                last = {d["key"]: d["last"] for d in drops or ()}
+                for ids, texts in _texts(folder, files):
+                    out = []
+                    for i, text in zip(ids, texts, strict=True):
+                        text = text.as_py() or b""
+                        lines = text.split(b"\n")
+                        stay = [x for x, k in zip(lines, line_keys(text, min_chars), strict=True) if last.get(k, i) == i] if last else lines
+                        kept = b"\n".join(stay)
+                        out.append((i, len(lines), len(lines) - len(stay), hashlib.sha256(kept).hexdigest(), kept))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept"])
 
     return run
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, keep_text: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", slice_lines: int = SLICE_LINES, bits_a_line: int = BITS_A_LINE, keep_text: bool = True) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256[, text]), a row for each row of docs; see the module."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NONE)).alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("t"))
-    # lines by byte count alone: an upper bound of a few columns' scan
-    lines = docs.agg(F.sum(F.length(F.col(f"`{text_col}`")) - F.length(F.replace(F.col(f"`{text_col}`"), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
-    bits = int(min(max_bits, max(MIN_BITS, 1 << int(np.ceil(np.log2(max(1, lines * BITS_A_LINE)))))))
-    parts = rows.select("t").mapInArrow(_seen_parts(bits, min_chars), "slice int, once binary, twice binary")
-    width = bits // SLICES // 8
-    table = np.zeros((SLICES, width), np.uint8)
-    for r in parts.groupBy("slice").applyInArrow(_merge(bits), "slice int, filter binary").collect():
-        table[r["slice"]] = np.frombuffer(r["filter"], np.uint8)
-    twice = spark.sparkContext.broadcast(table.tobytes())
-
-    suspects = scratch.write(rows.mapInArrow(_suspects(twice, bits, min_chars), "doc_id long, key binary"), "suspects")
-    # rows that share an id are one document
-    single = suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"), F.min("doc_id").alias("first")).filter((F.col("n") >= min_docs) & (F.col("first") < F.col("last")))
-    exact = suspects.join(single.select("key", "last"), "key").distinct()
-    exact = scratch.write(exact, "exact")
-    enough = exact.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("key")
-    drops = exact.filter("doc_id <> last").join(enough, "key").groupBy("doc_id").agg(F.collect_list("key").alias("drops"))
-    out = rows.join(drops, "doc_id", "left").select("doc_id", "t", "drops").mapInArrow(_rewrite(min_chars), "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept binary")
-    out = out.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(_NONE)))
-    out = out.withColumn("text", F.col("kept").cast("string")).drop("kept") if keep_text else out.drop("kept")
-    return out
+    text = F.col(f"`{text_col}`").cast("binary")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("t"), F.spark_partition_id().alias("grp"))
+    rows = scratch.write(rows, "texts")
+    # line ends, by byte counts, and a last line each
+    lines = rows.agg(F.sum(F.octet_length("t") - F.octet_length(F.replace(F.col("t").cast("string"), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+    slices = max(MIN_SLICES, -(-lines // slice_lines))
+    bits = 1 << max(10, bits_a_line * -(-lines // slices)).bit_length()
+    files = scratch.write(rows.select("grp", F.col("_metadata.file_path").alias("file")).groupBy("grp").agg(F.collect_set("file").alias("files")), "files")
+    groups = max(1, files.count())
+    folder = f"{scratch.path}/texts"
+
+    seen = rows.select("grp", "t").mapInArrow(_sightings(min_chars, slices), "slice int, grp int, once binary, twice binary")
+    suspects = seen.groupBy("slice").applyInArrow(_twice_seen(bits), "grp int, hashes binary")
+    suspects = scratch.write(suspects.groupBy("grp").agg(F.collect_list("hashes").alias("hashes")).join(files, "grp").select("grp", "files", "hashes"), "suspects")
+    # a task a group: a range each
+    held = suspects.repartitionByRange(groups, "grp").mapInArrow(_confirm(folder, min_chars, min_docs), "key binary, grp int, ids array<long>, none boolean, last long")
+    held = scratch.write(held, "held")
+    known = F.size(F.array_distinct(F.flatten(F.collect_list("ids")))) + F.max(F.col("none").cast("int"))
+    bad = scratch.write(held.groupBy("key").agg(known.alias("docs"), F.max("last").alias("last")).filter(F.col("docs") >= min_docs).select("key", "last"), "bad")
+    drops = held.select("key", "grp").join(bad, "key").groupBy("grp").agg(F.collect_set(F.struct("key", "last")).alias("drops"))
+    work = scratch.write(files.join(drops, "grp", "left").select("grp", "files", "drops"), "work")
+    scratch.drop("suspects", "held", "bad")
+    out = work.repartitionByRange(groups, "grp").select("files", "drops").mapInArrow(_rewrite(folder, min_chars), "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept binary")
+    return out.withColumn("text", F.col("kept").cast("string")).drop("kept") if keep_text else out.drop("kept")
