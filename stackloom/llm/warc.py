@@ -11,16 +11,23 @@ Reading: archives are cut into byte ranges, one task each, whatever the file
 sizes.  A task looks for the gzip magic in its range, and takes a place for a
 record if the member there inflates to a WARC header, its length is what the
 header says, and the file ends or another member follows.  A record belongs to
-the range in which it starts; its task reads on past the end of the range.
+the range in which it starts; its task reads on past the end of the range.  Where
+a record must start (at the head of a file, or behind another record, be that in
+the next range) and none can be read, the archive is damaged: `damaged` tells
+whether that is an error, a row of its own, or left out.
 
 Archives are written through the file system of the shared folder.  File names
 carry the attempt, and only the files that the manifest names are read, so a
 repeated task leaves no double records.
 
+Lengths and digests of responses are computed again from the payload that was
+read, and differing ones are an error too; a revisit has those of its headers.
+
 Edge cases: a null payload is empty; null urls and null ids are written without
-the header and read back as null; rows that share id and payload are the same
-record and each is written in full or as revisit like the first; extra columns
-are ignored; no rows give no archives.
+the header and read back as null; of equal payloads of one id each row is written
+in full or as revisit like the first, so ties need no order; a very long payload
+is one member, held once by the task that writes or reads it; extra columns are
+ignored and may have any name; no rows give no archives, and none are read.
 """
 
 from __future__ import annotations
@@ -35,22 +42,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm.scratch import Scratch
+from stackloom.llm.scratch import Scratch, file_system
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 8 << 20
+RANGES_A_TASK = 8
+MAX_READ_TASKS = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-_LAST = 2**63 - 1
-
-
-def file_system(uri: str):
-    """The pyarrow file system of a folder, and the folder's path in it."""
-    from pyarrow import fs
-
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", uri))
 
 
 def base32_digest(payload: bytes) -> str:
@@ -123,15 +122,15 @@ def _writer(folder: str, date: str, level: int):
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 1, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes archives under folder; returns their manifest (path, size, records), which must be kept to read exactly these files."""
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("binary"), F.lit(b"")).alias("html"))
-    own = F.coalesce("page_id", F.lit(_LAST)).alias("own")
-    keys = rows.filter(F.octet_length("html") >= min_bytes).select(own, F.sha1("html").alias("sha"))
-    first = keys.groupBy("sha").agg(F.min("own").alias("first"), F.max("own").alias("last")).filter("first < last").select("sha", "first")
-    again = keys.join(first, "sha").filter("own <> first").select("own", "sha", "first").distinct().withColumnRenamed("own", "again")
+    keys = rows.filter(F.octet_length("html") >= min_bytes).select("page_id", F.sha1("html").alias("sha"))
+    # a null id is the last; a payload of null ids alone is written in full each time
+    lone = F.max(F.col("page_id").isNull())
+    first = keys.groupBy("sha").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), lone.alias("lone")).filter("first < last or (lone and first is not null)").select("sha", "first")
+    again = keys.join(first, "sha").filter("page_id is null or page_id <> first").select("page_id", "sha", "first").distinct()
     made = rows.select("page_id", "url", "html").mapInArrow(_responses(date, level), "page_id long, url string, digest string, n long, member binary")
-    made = made.withColumn("own", own)
     # an id may stand for several payloads: the digest decides
-    again = again.select("again", _base32(F.col("sha")).alias("again_digest"), "first")
-    both = made.join(again, (F.col("own") == F.col("again")) & (F.col("digest") == F.col("again_digest")), "left")
+    again = again.select(F.col("page_id").alias("again"), _base32(F.col("sha")).alias("again_digest"), "first")
+    both = made.join(again, (F.col("digest") == F.col("again_digest")) & F.col("page_id").eqNullSafe(F.col("again")), "left")
     return both.select("page_id", "url", "digest", "n", "member", "first").mapInArrow(_writer(folder, date, level), "path string, size long, records long")
 
 
@@ -201,17 +200,23 @@ def _read_record(source, start: int, size: int):
     return head, m.data[cut + 4 : cut + 4 + length], end
 
 
+class DamagedArchive(ValueError):
+    pass
+
+
 def records_in_range(source, size: int, start: int, stop: int, block: int = 1 << 20):
-    """The records that start in [start, stop)."""
-    at = start
+    """(place, headers, body) of the records that start in [start, stop); headers are None where one must start and can't be read."""
+    at, sure = start, start == 0
     while at < stop:
         found = _read_record(source, at, size) if source.read_at(min(3, size - at), at) == MAGIC else None
         if found:
             yield at, found[0], found[1]
-            at = found[2]
+            at, sure = found[2], True
             continue
+        if sure:
+            yield at, None, None
         # the next magic after this place, in blocks that overlap by two bytes
-        at += 1
+        at, sure = at + 1, False
         while at < stop:
             data = source.read_at(min(block, stop - at + 2, size - at), at)
             k = data.find(MAGIC)
@@ -219,28 +224,47 @@ def records_in_range(source, size: int, start: int, stop: int, block: int = 1 <<
                 at += k
                 break
             at += max(1, len(data) - 2)
+    # the next range cannot know that a record must start here
+    if sure and stop < size and at < size and not (source.read_at(min(3, size - at), at) == MAGIC and _read_record(source, at, size)):
+        yield at, None, None
+
+
+def _reader(folder: str, damaged: str):
+    def row(path, at, head, body):
+        kind = head.get("warc-type")
+        http, _, payload = body.partition(b"\r\n\r\n")
+        page, refers = head.get("x-page-id"), head.get("x-refers-to-page-id")
+        digest = (head.get("warc-payload-digest") or "").removeprefix("sha1:")
+        m = re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)
+        n, sound = int(m[1]) if m else len(payload), True
+        if kind == "response":
+            own = base32_digest(payload)
+            sound = own == digest and n == len(payload)
+            digest, n = own, len(payload)
+            if not sound and damaged == "error":
+                raise DamagedArchive(f"{path}: the payload of the record at {at} is not the one its headers tell of")
+        return (path, at, None if page is None else int(page), head.get("warc-target-uri"), kind, digest, n, None if refers is None else int(refers), payload if kind == "response" else None, sound)
 
-
-def _reader(folder: str):
     def run(batches):
         for batch in batches:
             for path, size, start, stop in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 store, _ = file_system(folder)
-                rows = []
+                rows, held = [], 0
                 with store.open_input_file(path) as source:
                     for at, head, body in records_in_range(source, size, start, stop):
-                        kind = head.get("warc-type")
-                        if kind not in ("response", "revisit"):
+                        if head is None:
+                            if damaged == "error":
+                                raise DamagedArchive(f"{path}: no record can be read at {at}")
+                            if damaged == "row":
+                                rows.append((path, at, None, None, "damaged", None, None, None, None, False))
                             continue
-                        http, _, payload = body.partition(b"\r\n\r\n")
-                        m = re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)
-                        page, refers = head.get("x-page-id"), head.get("x-refers-to-page-id")
-                        digest = (head.get("warc-payload-digest") or "").removeprefix("sha1:")
-                        sound = kind == "revisit" or base32_digest(payload) == digest
-                        rows.append((path, at, None if page is None else int(page), head.get("warc-target-uri"), kind, digest, int(m[1]) if m else len(payload), None if refers is None else int(refers), payload if kind == "response" else None, sound))
-                        if len(rows) == 500:
+                        if head.get("warc-type") not in ("response", "revisit"):
+                            continue
+                        rows.append(row(path, at, head, body))
+                        held += len(body)
+                        if len(rows) == 500 or held > 1 << 24:
                             yield _batch(rows)
-                            rows = []
+                            rows, held = [], 0
                 if rows:
                     yield _batch(rows)
 
@@ -254,16 +278,24 @@ def _batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(zip(*rows, strict=True), _FIELDS, strict=True)], [n for n, _ in _FIELDS])
 
 
-def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The response and revisit records of the archives in the manifest (path, size)."""
+def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES, damaged: str = "error") -> DataFrame:
+    """The response and revisit records of the archives in the manifest (path, size).
+
+    Ranges are dealt RANGES_A_TASK to a task, in no fewer tasks than there are cores.
+    damaged: "error"; "row", a row of record_type `damaged`; or "skip".
+    """
+    files = manifest.filter("size > 0")
+    ranges = files.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0] or 0
+    tasks = int(min(MAX_READ_TASKS, max(1, min(ranges, spark.sparkContext.defaultParallelism), ranges // RANGES_A_TASK)))
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
-    ranges = manifest.filter("size > 0").select("path", "size", starts.alias("start"))
-    ranges = ranges.withColumn("stop", F.least(F.col("start") + split_bytes, F.col("size"))).repartition("path", "start")
-    return ranges.mapInArrow(_reader(folder), "path string, offset long, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary, digest_ok boolean")
+    places = files.select("path", "size", starts.alias("start")).withColumn("stop", F.least(F.col("start") + split_bytes, F.col("size")))
+    # a number of partitions that is asked for is left as it is
+    dealt = places.repartition(tasks, "path", "start")
+    return dealt.mapInArrow(_reader(folder, damaged), "path string, offset long, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary, digest_ok boolean")
 
 
-def round_trip(pages: DataFrame, min_bytes: int = 0, **options) -> DataFrame:
+def round_trip(pages: DataFrame, min_bytes: int = 0, split_bytes: int = SPLIT_BYTES, **options) -> DataFrame:
     """Writes pages to archives in the shared folder and reads them back; scratch.release() removes the archives."""
     scratch = Scratch(pages.sparkSession, "warc")
     manifest = scratch.write(write_archives(pages, f"{scratch.path}/archives", min_bytes, **options), "manifest")
-    return read_archives(pages.sparkSession, manifest, f"{scratch.path}/archives")
+    return read_archives(pages.sparkSession, manifest, f"{scratch.path}/archives", split_bytes)
