@@ -9,45 +9,54 @@ the longest document has bytes, each reading the whole transform.  Here the
 collection is first aligned by content, so `length` bounds the rounds:
 
 1. Anchors.  In every `length`-byte string the least hashed GRAM-byte string
-   (leftmost of equals) is chosen; equal strings choose the same place.  Whole
-   texts that occur twice are covered whole and count once from here on.
+   (leftmost of equals) is chosen; equal strings choose the same place.  Texts are
+   known by their 128-bit digests; those that occur twice are covered whole and
+   count once from here on.
 2. An anchor whose hash occurs once cannot lie in a repeat.  For the others, the
    window of length - GRAM bytes before to length bytes after is cut out.
 3. Windows of one anchor form a collection of aligned strings.  One symbol of
    each is inserted a round, left to right; the order of windows by their reversed
    prefixes (the positional transform) and the common suffix length of neighbours
-   in that order are updated.  Symbols, order and lengths go through files that
-   are read and written front to back.  A window repeats a string that ends in the
-   current column if a neighbour agrees on the last `length` symbols.  This is
-   checked on bytes, so a hash collision costs time, not correctness.
-4. Anchors with more than `hot_windows` windows are not gathered in a task: their
-   windows' strings are counted by 128-bit hashes, spread over all tasks.
-
-Edge cases: null text is empty; texts shorter than `length` lose nothing;
-repeated rows are copies of each other; null and repeated ids are carried along
-(texts, not ids, are the nodes); extra columns are ignored; an empty table gives
-an empty result.
+   in that order are updated.  Symbols, order and lengths go through files in the
+   shared folder that are read and written front to back, BLOCK columns at a time.
+   A window repeats a string that ends in the current column if a neighbour agrees
+   on the last `length` symbols.  This is checked on bytes, so a hash collision
+   costs time, not correctness.
+4. An anchor with more than `hot_windows` windows is too much for a task.  Equal
+   windows (by their bytes) repeat whole, and one of them stands for all.  If more
+   than `hot_windows` different ones are left, the places where a string may start
+   are halved: all strings of a half have some columns in common, so windows go on
+   by the bytes there, cut to what the half can reach, once for each half.  This is
+   repeated until collections are small; at one start they are single strings.
+   What is left goes through 3 like any other collection.
+
+Edge cases: null text is empty; texts shorter than `length` lose nothing; a very
+long text is read whole by one task; repeated rows are copies of each other; null
+and repeated ids are carried along (texts, not ids, are the nodes), so ties need
+no order; extra columns are ignored and may have any name; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
-import os
-import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.llm import textkernels as K
-from stackloom.llm.scratch import Scratch
+from stackloom.llm.idfilter import IdFilter
+from stackloom.llm.scratch import Scratch, file_system
 
 LENGTH = 200
 GRAM = 48
-HOT_WINDOWS = 200_000
-ID_BUCKETS = 1 << 22
-COLLECTION = 40_000
+HOT_WINDOWS = COLLECTION = 20_000
+BLOCK = 32
 _PAD = 256
 
 
@@ -150,71 +159,126 @@ def _anchor_rows(length: int, gram: int):
     return run
 
 
+def _once_a_task(batches):
+    """Texts (tid, t), each once a task."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        new = []
+        for x in batch.column(0).to_pylist():
+            new.append(x not in seen)
+            seen.add(x)
+        yield batch.filter(pa.array(new, pa.bool_()))
+
+
+_WINDOW = {"key": pa.int64(), "tid": pa.binary(), "start": pa.int32(), "col": pa.int32(), "win": pa.binary()}
+_WINDOW_SQL = "key long, tid binary, start int, col int, win binary"
+
+
 def _windows(length: int, gram: int):
+    """Of each text, the windows of its live anchors: key is the anchor, col the column in which win starts."""
     before = length - gram
+    types = {**_WINDOW, "hot": pa.bool_()}
+
+    def emit(out):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types.values(), strict=True)], list(types))
 
     def run(batches):
         for batch in batches:
             tids, live = batch.column(0).to_pylist(), batch.column(2)
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in types]
             for i in range(batch.num_rows):
-                text = batch.column(1)[i].as_buffer()
-                raw = memoryview(text)
+                raw = memoryview(batch.column(1)[i].as_buffer())
                 own = live[i].values
                 for pos, ah, hot in zip(*(own.field(x).to_pylist() for x in ("pos", "ah", "hot")), strict=True):
                     lo = max(0, pos - before)
-                    for col, x in zip(out, (ah, tids[i], lo, pos - lo, bytes(raw[lo : pos + length])), strict=True):
+                    for col, x in zip(out, (ah, tids[i], lo, before - (pos - lo), bytes(raw[lo : pos + length]), hot), strict=True):
                         col.append(x)
-                    if hot:
-                        out[3][-1] = -1 - out[3][-1]
                 if len(out[0]) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _WINDOW_TYPES, strict=True)], _WINDOW)
-                    out = [[], [], [], [], []]
+                    yield emit(out)
+                    out = [[] for _ in types]
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _WINDOW_TYPES, strict=True)], _WINDOW)
+                yield emit(out)
 
     return run
 
 
-_WINDOW = ["ah", "tid", "start", "lead", "win"]
-_WINDOW_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+def _halves(length: int):
+    """Of windows whose strings start in columns lo..hi, those of either half of these columns, by the bytes that all strings of the half have."""
+    types = {**_WINDOW, "lo": pa.int32(), "hi": pa.int32()}
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[] for _ in types]
+            for key, tid, start, col, win, lo, hi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mid = (lo + hi) // 2
+                for a, b in ((lo, mid), (mid + 1, hi)):
+                    # strings that start in a..b all hold columns b to a + length
+                    common = win[max(b - col, 0) : a + length - col]
+                    first = max(a, col)
+                    part = win[first - col : b + length - col]
+                    if col > b or len(common) < a + length - b or len(part) < length:
+                        continue
+                    own = xxhash.xxh3_64_intdigest(common, seed=(key ^ (a << 20 | b)) & 0xFFFFFFFFFFFFFFFF)
+                    for c, x in zip(out, (own - (own >> 63 << 64), tid, start + first - col, first, part, a, b), strict=True):
+                        c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types.values(), strict=True)], list(types))
+
+    return run
 
 
-def positional_transform(symbols: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+def positional_transform(symbols: np.ndarray, group: np.ndarray, length: int, folder: str, block: int = BLOCK) -> np.ndarray:
     """Rows x columns flags: the string of `length` symbols that ends here also ends in this column of another row of the group.
 
-    symbols: rows x columns, _PAD outside a row's text; group: ascending.
-    The columns, the order of rows, and the common suffix lengths are files.
+    symbols: rows x columns, _PAD outside a row's text; group: ascending.  The
+    columns, the order of rows, and the common suffix lengths are files in a folder
+    of this call under `folder`.
     """
     rows, columns = symbols.shape
     bits = max(1, int(rows - 1).bit_length())
     place = np.int64((1 << bits) - 1)
     flags = np.zeros((rows, columns), bool)
-    with tempfile.TemporaryDirectory(prefix="transform-") as folder:
-        name = lambda what, k: os.path.join(folder, f"{what}{k & 1}")
-        np.ascontiguousarray(symbols.T).tofile(os.path.join(folder, "columns"))
-        np.arange(rows, dtype=np.int32).tofile(name("order", 0))
-        np.zeros(rows + 1, np.int16).tofile(name("common", 0))
+    store, root = file_system(folder)
+    own = f"{root}/transform-{uuid.uuid4().hex}"
+    store.create_dir(own, recursive=True)
+
+    def put(name, x):
+        with store.open_output_stream(f"{own}/{name}", compression=None) as f:
+            f.write(x.tobytes())
+
+    def get(name, kind):
+        with store.open_input_stream(f"{own}/{name}", compression=None) as f:
+            return np.frombuffer(f.read(), kind)
+
+    try:
+        with store.open_output_stream(f"{own}/columns", compression=None) as f:
+            for k in range(0, columns, block):
+                f.write(np.ascontiguousarray(symbols[:, k : k + block].T).tobytes())
+        put("order0", np.arange(rows, dtype=np.int32))
+        put("common0", np.zeros(rows + 1, np.int16))
         head = group.astype(np.int64) << np.int64(bits + 9)
-        with open(os.path.join(folder, "columns"), "rb") as source:
-            for k in range(columns):
-                order, common = np.fromfile(name("order", k), np.int32), np.fromfile(name("common", k), np.int16)
-                column = np.fromfile(source, symbols.dtype, rows)
-                s = column[order].astype(np.int64)
-                # groups keep their places in the order; inside one, rows go by the new symbol, then by their old place
-                key = head[order] | (s << np.int64(bits)) | np.arange(rows)
-                key.sort()
-                old = key & place
-                same = ((key[1:] >> np.int64(bits)) == (key[:-1] >> np.int64(bits))) & (s[old[1:]] != _PAD)
-                p, q = old[:-1][same], old[1:][same]
-                nxt = np.zeros(rows + 1, np.int16)
-                if len(p):
-                    edges = np.stack([p + 1, q + 1], axis=1).ravel()
-                    nxt[1:-1][same] = np.minimum(np.minimum.reduceat(common, edges)[::2] + 1, length)
-                order = order[old]
-                flags[order, k] = np.maximum(nxt[:-1], nxt[1:]) >= length
-                order.tofile(name("order", k + 1))
-                nxt.tofile(name("common", k + 1))
+        with store.open_input_stream(f"{own}/columns", compression=None) as source:
+            for step, k in enumerate(range(0, columns, block)):
+                order, common = get(f"order{step & 1}", np.int32), get(f"common{step & 1}", np.int16)
+                width = min(block, columns - k)
+                for j, column in enumerate(np.frombuffer(source.read(rows * width * symbols.itemsize), symbols.dtype).reshape(width, rows)):
+                    s = column[order].astype(np.int64)
+                    # groups keep their places in the order; inside one, rows go by the new symbol, then by their old place
+                    key = head[order] | (s << np.int64(bits)) | np.arange(rows)
+                    key.sort()
+                    old = key & place
+                    same = ((key[1:] >> np.int64(bits)) == (key[:-1] >> np.int64(bits))) & (s[old[1:]] != _PAD)
+                    p, q = old[:-1][same], old[1:][same]
+                    nxt = np.zeros(rows + 1, np.int16)
+                    if len(p):
+                        edges = np.stack([p + 1, q + 1], axis=1).ravel()
+                        nxt[1:-1][same] = np.minimum(np.minimum.reduceat(common, edges)[::2] + 1, length)
+                    order, common = order[old], nxt
+                    flags[order, k + j] = np.maximum(nxt[:-1], nxt[1:]) >= length
+                put(f"order{step + 1 & 1}", order)
+                put(f"common{step + 1 & 1}", common)
+    finally:
+        with contextlib.suppress(OSError):
+            store.delete_dir(own)
     return flags
 
 
@@ -228,29 +292,32 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, last - 1
 
 
-def _transform(length: int, gram: int):
-    before, columns = length - gram, 2 * length - gram
+def _transform(length: int, gram: int, folder: str):
+    columns = 2 * length - gram
 
     def repeats(t: pa.Table):
         t = t.combine_chunks()
-        ah, tid, start, lead = (np.asarray(t.column(x).combine_chunks()) for x in _WINDOW[:4])
-        # a row that stands twice in the input is one text
-        keep = np.append(True, (ah[1:] != ah[:-1]) | (tid[1:] != tid[:-1]) | (start[1:] != start[:-1]) | (lead[1:] != lead[:-1]))
+        key, start, col = (np.asarray(t.column(x).combine_chunks()) for x in ("key", "start", "col"))
+        raw, at = K.buffers(t.column("tid"))
+        tid = raw[at[0] : at[-1]].reshape(-1, 16).view("<u8")
+        # a text that came from several tasks is one text
+        keep = np.append(True, (key[1:] != key[:-1]) | (tid[1:] != tid[:-1]).any(axis=1) | (start[1:] != start[:-1]) | (col[1:] != col[:-1]))
         raw, at = K.buffers(t.column("win"))
-        ah, tid, start, lead, lo, size = ah[keep], tid[keep], start[keep], lead[keep], at[:-1][keep], np.diff(at)[keep]
-        group = np.cumsum(np.append(False, ah[1:] != ah[:-1]))
-        alone = np.bincount(group)[group] < 2
-        ah, tid, start, lead, lo, size, group = (x[~alone] for x in (ah, tid, start, lead, lo, size, group))
-        if not len(ah):
+        key, tid, start, col, lo, size = key[keep], tid[keep], start[keep], col[keep], at[:-1][keep], np.diff(at)[keep]
+        group = np.cumsum(np.append(False, key[1:] != key[:-1]))
+        many = np.bincount(group)[group] > 1
+        tid, start, col, lo, size, group = (x[many] for x in (tid, start, col, lo, size, group))
+        if not len(group):
             return
-        place = np.arange(columns)[None, :] - (before - lead)[:, None]
-        inside = (place >= 0) & (place < size[:, None])
-        symbols = raw[np.where(inside, lo[:, None] + place, 0)].astype(np.int16)
-        symbols[~inside] = _PAD
-        del place, inside
-        row, first, last = _runs(positional_transform(symbols, np.unique(group, return_inverse=True)[1], length))
-        off = start[row] + first - (before - lead[row])
-        yield pa.RecordBatch.from_arrays([pa.array(tid[row]), pa.array((off - length + 1).astype(np.int32)), pa.array((off + last - first + 1).astype(np.int32))], ["tid", "s", "e"])
+        symbols = np.full((len(group), columns), _PAD, np.int16)
+        for r in range(0, len(group), 4096):
+            place = np.arange(columns)[None, :] - col[r : r + 4096, None]
+            inside = (place >= 0) & (place < size[r : r + 4096, None])
+            symbols[r : r + 4096][inside] = raw[(lo[r : r + 4096, None] + place)[inside]]
+        row, first, last = _runs(positional_transform(symbols, np.unique(group, return_inverse=True)[1], length, folder))
+        off = start[row] + first - col[row]
+        tids = K.binary_rows(np.ascontiguousarray(tid[row]).view(np.uint8).ravel(), np.arange(len(row) + 1) * 16)
+        yield pa.RecordBatch.from_arrays([tids, pa.array((off - length + 1).astype(np.int32)), pa.array((off + last - first + 1).astype(np.int32))], ["tid", "s", "e"])
 
     def run(batches):
         held, rows = [], 0
@@ -262,7 +329,7 @@ def _transform(length: int, gram: int):
             if rows < COLLECTION:
                 continue
             t = pa.Table.from_batches(held)
-            key = np.asarray(t.column("ah").combine_chunks())
+            key = np.asarray(t.column("key").combine_chunks())
             cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
             if cut:
                 yield from repeats(t.slice(0, cut))
@@ -273,16 +340,28 @@ def _transform(length: int, gram: int):
     return run
 
 
-def _string_hashes(length: int):
-    def run(batches):
-        for batch in batches:
-            for tid, start, win in zip(batch.column("tid").to_pylist(), batch.column("start").to_pylist(), batch.column("win"), strict=True):
-                raw = np.frombuffer(win.as_buffer(), np.uint8)
-                if len(raw) >= length:
-                    a, b = gram_hashes(raw, length, 1), gram_hashes(raw, length, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(K.as_long(a)), pa.array(K.as_long(b)), pa.array(np.full(len(a), tid)), pa.array((start + np.arange(len(a))).astype(np.int32))], ["x", "y", "tid", "s"])
-
-    return run
+def _cool(windows: DataFrame, scratch: Scratch, length: int, gram: int, hot_windows: int) -> tuple[DataFrame, DataFrame]:
+    """Windows of hot anchors as collections of at most hot_windows different windows, and the runs (tid, s, e) that equal ones cover."""
+    spark, columns = scratch.spark, 2 * length - gram
+    rows = windows.select(*_WINDOW, F.lit(0).alias("lo"), F.lit(columns - length).alias("hi"))
+    small, covered = spark.createDataFrame([], _WINDOW_SQL), spark.createDataFrame([], "tid binary, s int, e int")
+    same, k = ["key", "col", "win"], 0
+    while True:
+        rows = scratch.write(rows.dropDuplicates(["key", "tid", "start", "col"]), f"hot{k}")
+        one = F.min(F.struct("tid", "start", "lo", "hi")).alias("one")
+        kinds = scratch.write(rows.groupBy(*same).agg(F.count("*").alias("n"), one), f"kinds{k}")
+        twins = rows.join(kinds.filter((F.col("n") > 1) & (F.octet_length("win") >= length)).select(*same), same)
+        covered = covered.unionByName(scratch.write(twins.select("tid", F.col("start").alias("s"), (F.col("start") + F.octet_length("win")).cast("int").alias("e")), f"twins{k}"))
+        large = scratch.write(kinds.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > hot_windows).select("key"), f"large{k}")
+        flat = kinds.select("key", "col", "win", "one.*")
+        small = small.unionByName(flat.join(large, "key", "left_anti").select(*_WINDOW))
+        left = flat.join(large, "key").filter("lo < hi")
+        if large.isEmpty():
+            return small, covered
+        # at one start, strings of one key are equal, or their hashes are: no more than a few
+        small = small.unionByName(flat.join(large, "key").filter("lo = hi").select(*_WINDOW))
+        rows = left.select(*_WINDOW, "lo", "hi").mapInArrow(_halves(length), f"{_WINDOW_SQL}, lo int, hi int")
+        k += 1
 
 
 def _remove(length: int):
@@ -316,36 +395,41 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]), a row for each row of docs; kept is binary, as a cut may split a character."""
     scratch = Scratch(docs.sparkSession, "repeats")
     text = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.md5(text)).alias("tid"), text.alias("t"))
-    table = scratch.write(base.select("tid", "t").mapInArrow(_anchor_rows(length, gram), "tid long, ah array<long>, pos array<int>, own array<struct<s:int,e:int>>"), "anchors")
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("tid"), text.alias("t"))
+    table = scratch.write(base.select("tid", "t").mapInArrow(_anchor_rows(length, gram), "tid binary, ah array<long>, pos array<int>, own array<struct<s:int,e:int>>"), "anchors")
     copies = table.groupBy("tid").agg(F.count("*").alias("copies"))
     # copies of a text count once: a partial aggregation takes them out before the shuffle
     once = table.select("tid", "ah", "pos").groupBy("tid").agg(F.first("ah").alias("ah"), F.first("pos").alias("pos"))
 
     posts = once.select("tid", F.explode(F.arrays_zip("ah", "pos")).alias("z")).select(F.col("z.ah").alias("ah"), "tid", F.col("z.pos").alias("pos"))
-    mark = F.xxhash64("tid", "pos")
-    shared = posts.groupBy("ah").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.count("*").alias("c")).filter("lo < hi").select("ah", (F.col("c") > hot_windows).alias("hot"))
+    # written, so that AQE can split the posts of a common anchor in the join
+    shared = posts.groupBy("ah").agg(F.count("*").alias("c")).filter("c > 1").select("ah", (F.col("c") > hot_windows).alias("hot"))
+    shared = scratch.write(shared, "shared")
     live = posts.join(shared, "ah").groupBy("tid").agg(F.collect_set(F.struct("pos", "ah", "hot")).alias("live"))
     live = scratch.write(live, "live")
     scratch_copies = scratch.write(copies.filter("copies > 1"), "copies")
     own = scratch.write(table.filter("size(own) > 0").select("tid", F.inline("own")), "own")
-    scratch.drop("anchors")
-
-    bucket = F.pmod(F.col("tid"), F.lit(ID_BUCKETS)).cast("int").alias("bucket")
-    wanted = base.select("tid", "t").withColumn("bucket", bucket).join(F.broadcast(live.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
-    windows = wanted.join(live, "tid").select("tid", "t", "live").mapInArrow(_windows(length, gram), "ah long, tid long, start int, lead int, win binary")
-    windows = windows.withColumn("hot", F.col("lead") < 0)
-    if hot := live.select(F.exists("live", lambda x: x["hot"]).alias("h")).filter("h").limit(1).count():
+    scratch.drop("anchors", "shared")
+
+    ids = lambda t: t.select(F.xxhash64("tid").alias("h"))
+    texts = IdFilter(scratch, "live_bits", ids(live)).may_hold(base.select("tid", "t"), F.xxhash64("tid"))
+    wanted = texts.mapInArrow(_once_a_task, "tid binary, t binary").join(live, "tid")
+    windows = wanted.select("tid", "t", "live").mapInArrow(_windows(length, gram), f"{_WINDOW_SQL}, hot boolean")
+    covered = None
+    if live.filter(F.exists("live", lambda x: x["hot"])).isEmpty():
+        cold = windows.drop("hot")
+    else:
         windows = scratch.write(windows, "windows")
-    cold = windows.filter("not hot").select(_WINDOW).repartition("ah").sortWithinPartitions("ah", "tid", "start", "lead").mapInArrow(_transform(length, gram), "tid long, s int, e int")
-    found = cold
-    if hot:
-        strings = windows.filter("hot").select(_WINDOW).mapInArrow(_string_hashes(length), "x long, y long, tid long, s int").distinct()
-        twice = strings.groupBy("x", "y").agg(F.count("*").alias("c")).filter("c > 1").select("x", "y")
-        found = cold.union(strings.join(twice, ["x", "y"]).select("tid", "s", (F.col("s") + length).alias("e")))
-    found = scratch.write(found.union(own).groupBy("tid").agg(F.collect_set(F.struct("s", "e")).alias("ivs")), "found")
-    scratch.drop("live", "windows", "own")
-
-    facts = scratch_copies.join(found, "tid", "full")
-    out = base.join(facts, "tid", "left").select("doc_id", "t", "copies", "ivs").mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        cold, covered = _cool(windows.filter("hot"), scratch, length, gram, hot_windows)
+        cold = cold.unionByName(windows.filter("not hot").drop("hot"))
+    found = cold.repartition("key").sortWithinPartitions("key", "tid", "start", "col").mapInArrow(_transform(length, gram, scratch.path), "tid binary, s int, e int")
+    found = found.union(own) if covered is None else found.union(own).union(covered)
+    found = scratch.write(found.groupBy("tid").agg(F.collect_set(F.struct("s", "e")).alias("ivs")), "found")
+    scratch.drop("live", "live_bits", "windows", "own")
+
+    facts = scratch.write(scratch_copies.join(found, "tid", "full"), "facts")
+    changed, rest = IdFilter(scratch, "bits", ids(facts)).split(base, F.xxhash64("tid"))
+    both = changed.join(facts, "tid", "left").select("doc_id", "t", "copies", "ivs")
+    both = both.unionByName(rest.select("doc_id", "t", F.lit(None).cast("long").alias("copies"), F.lit(None).cast(facts.schema["ivs"].dataType).alias("ivs")))
+    out = both.mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if keep_bytes else out.drop("kept")
