@@ -25,8 +25,13 @@ _FAILS = """(
   (len(b) - len(translate(b, '#*$%&|<>', '')) >= 3 AND (len(b) - len(translate(b, '#*$%&|<>', ''))) * 20 > len(b))
   OR (len(b) - len(replace(b, '|', '')) >= 2 AND (len(b) - len(replace(b, '|', ''))) * 25 > len(b))
   OR (len(b) >= 20 AND upper(b) = b AND lower(b) <> b)
-  OR (len(b) >= 20 AND right(b, 1) NOT IN ('.', '!', '?', ':', ';', ',', '"', '''', ')', ']', '}', '…', '。', '»', '”', '’') AND NOT contains(b, '. ') AND NOT contains(b, '! ') AND NOT contains(b, '? '))
-  OR (len(b) < 200 AND regexp_matches(lower(b), 'all rights reserved|licensed under|released under the|terms of (use|service)|privacy policy|cookie policy|accept (all )?cookies|subscribe to our|sign up for|click here to|enable javascript|skip to (main )?content')))"""
+  OR (len(b) >= 20 AND right(b, 1) NOT IN ('.', '!', '?', ':', ';', ',', '"', '''', ')', ']', '}}', '…', '。', '»', '”', '’') AND NOT contains(b, '. ') AND NOT contains(b, '! ') AND NOT contains(b, '? '))
+  OR (regexp_matches(lower(b), '{0}') AND (len(lower(b)) - len(regexp_replace(lower(b), '{0}', '', 'g'))) * 12 >= len(lower(b))))""".format(
+    r"\b(all rights reserved|licensed under|released under the|terms of (use|service)|privacy policy|cookie policy|accept (all )?cookies|subscribe to our|sign up for|click here to|enable javascript|skip to (main )?content"
+    "|alle rechte vorbehalten|lizenziert unter|nutzungsbedingungen|datenschutzerklärung|cookies akzeptieren|newsletter abonnieren|hier klicken|zum inhalt springen"
+    "|tous droits réservés|sous licence|conditions d.utilisation|politique de confidentialité|accepter (tous )?les cookies|abonnez-vous|cliquez ici|aller au contenu"
+    "|todos los derechos reservados|bajo la licencia|condiciones de uso|política de privacidad|aceptar (todas )?las cookies|suscríbete|haz clic aquí|saltar al contenido)"
+)
 
 OP5 = rf"""
 WITH w AS (
