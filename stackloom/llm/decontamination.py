@@ -24,15 +24,21 @@ lower-cased.
 
 Edge cases: null or empty texts match nothing; items without words match
 nothing; an item of fewer than 8 words must be found in full; repeated rows give
-a match each; extra columns are ignored; an empty corpus or benchmark gives no
-matches.
+a match each, and a null id is carried along; a very long text is searched whole,
+in groups of GROUP_WORDS words; of equally long subsequences for one document and
+item the first in the text is reported; extra columns of both tables are ignored
+and may have any name; an empty corpus or benchmark gives no matches.
+decontaminate() judges each row by its own text, whatever its id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.llm import textkernels as K
@@ -46,6 +52,10 @@ STEP = 8
 SCALES = (16, 32, 64)
 ITEM_BLOCK = 2000
 GROUP_WORDS = 1 << 16
+#: Tables of a task are cut in PARTS, and added in SLOTS groups of tasks before they are added up.
+PARTS, SLOTS = 16, 64
+#: Sums of fractions are kept as whole multiples of 1 / SCALE, so they don't depend on the order of arrival.
+SCALE = 1 << 10
 
 BREAK = K.WHITE.copy()
 BREAK[[c for c in range(33, 128) if not chr(c).isalnum()]] = True
@@ -68,6 +78,11 @@ def _passages(first: np.ndarray) -> np.ndarray:
     return np.repeat(first[:-1], per) + (np.arange(at[-1]) - np.repeat(at[:-1], per)) * PASSAGE
 
 
+def _slices(table: np.ndarray) -> pa.RecordBatch:
+    slot = TaskContext.get().partitionId() % SLOTS
+    return pa.RecordBatch.from_arrays([pa.array([slot] * PARTS, pa.int32()), pa.array(range(PARTS), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in table.reshape(PARTS, -1)], pa.binary())], ["slot", "part", "sums"])
+
+
 def _frequency_parts(batches):
     total, passages = np.zeros(FEATURES, np.int64), 0
     for batch in batches:
@@ -82,10 +97,11 @@ def _frequency_parts(batches):
             key = key[np.append(True, key[1:] != key[:-1])]
             total += np.bincount(key % FEATURES, minlength=FEATURES)
             passages += len(s)
-    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.append(total, passages).astype("<f8").tobytes()], pa.binary())], ["part", "sums"])
+    # every slice brings the number of passages along
+    yield _slices(np.concatenate([total.reshape(PARTS, -1), np.full((PARTS, 1), passages)], axis=1))
 
 
-def _sketch_parts(idf: np.ndarray, parts: int):
+def _sketch_parts(idf: np.ndarray):
     def run(batches):
         w = np.ascontiguousarray((_omega() * idf[:, None]).T.astype(float))
         z = np.zeros((SKETCH, FEATURES))
@@ -104,17 +120,27 @@ def _sketch_parts(idf: np.ndarray, parts: int):
                     for k in range(SKETCH):
                         y = np.bincount(of, weights=w[k][g], minlength=len(some))
                         z[k] += np.bincount(g, weights=y[of], minlength=FEATURES)
-        z = z.T * idf[:, None]
-        blocks = [x.astype("<f8").tobytes() for x in z.reshape(parts, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(blocks, pa.binary())], ["part", "sums"])
+        yield _slices(np.rint(z.T * idf[:, None] * SCALE))
 
     return run
 
 
-def _sum_parts(t: pa.Table) -> pa.Table:
-    # sorted, so that the sum does not depend on the order of arrival
-    total = sum(np.frombuffer(x, "<f8") for x in sorted(t.column("sums").to_pylist()))
-    return pa.table({"part": t.column("part")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for x in batch.column("sums"):
+            own = np.frombuffer(x.as_buffer(), "<i8")
+            total = own.copy() if total is None else total + own
+    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([total.tobytes()], pa.binary())], [*["slot", "part"][2 - len(key) :], "sums"])
+
+
+def _summed(text: DataFrame, parts) -> np.ndarray | None:
+    """The sum of all tasks' tables, PARTS x -1, as a tree of two levels."""
+    rows = text.mapInArrow(parts, "slot int, part int, sums binary").groupBy("slot", "part").applyInArrow(_add, "slot int, part int, sums binary")
+    rows = rows.groupBy("part").applyInArrow(_add, "part int, sums binary").collect()
+    if not rows:
+        return None
+    return np.stack([np.frombuffer(r["sums"], "<i8") for r in sorted(rows, key=lambda r: r["part"])])
 
 
 def _omega() -> np.ndarray:
@@ -123,17 +149,12 @@ def _omega() -> np.ndarray:
 
 def fit_latent_space(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """A FEATURES x RANK table, a word's contribution to the latent vector of its passage, and the inverse document frequencies."""
-    schema, text = "part int, sums binary", docs.select(F.col(f"`{text_col}`").cast("binary").alias("t"))
-    rows = text.mapInArrow(_frequency_parts, schema).groupBy("part").applyInArrow(_sum_parts, schema).collect()
-    if not rows:
+    text = docs.select(F.col(f"`{text_col}`").cast("binary").alias("t"))
+    sums = _summed(text, _frequency_parts)
+    if sums is None:
         return np.zeros((FEATURES, RANK), np.float32), np.ones(FEATURES)
-    sums = np.frombuffer(rows[0]["sums"], "<f8")
-    idf = np.log((1 + sums[-1]) / (1 + sums[:-1])) + 0.01
-    parts = 16
-    z = np.zeros((parts, FEATURES // parts, SKETCH))
-    for r in text.mapInArrow(_sketch_parts(idf, parts), schema).groupBy("part").applyInArrow(_sum_parts, schema).collect():
-        z[r["part"]] = np.frombuffer(r["sums"], "<f8").reshape(z.shape[1:])
-    z = z.reshape(FEATURES, SKETCH)
+    idf = np.log((1 + sums[0, -1]) / (1 + sums[:, :-1].ravel())) + 0.01
+    z = _summed(text, _sketch_parts(idf)).reshape(FEATURES, SKETCH) / SCALE
     # M = A'A ~ Z (W'Z)^-1 Z'; its eigenvectors are A's right singular vectors
     omega = _omega().astype(float)
     core = omega.T @ z
@@ -203,26 +224,39 @@ class _Items:
         self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30)
 
 
-def _search(items: list[tuple[int, str]], table: np.ndarray, idf: np.ndarray, cosine: float, lcs_exact: float, lcs_paraphrase: float, answer_share: float):
-    def run(batches):
-        it = _Items(items, table, idf, lcs_paraphrase)
-        if not it.ids:
-            return
+class _Searcher:
+    """Matches of one block of items, batch by batch; made again in each task."""
+
+    def __init__(self, items: list[tuple[int, str]], table: np.ndarray, idf: np.ndarray, cosine: float, lcs_exact: float, lcs_paraphrase: float, answer_share: float):
+        self.args, self.limits = (items, table, idf, lcs_paraphrase), (cosine, lcs_exact, lcs_paraphrase, answer_share)
+
+    def batches(self, batches, column: int):
+        """Each batch with its matches: (row, item, cosine, lcs share, answer share, from, to)."""
+        it, table = _Items(*self.args), self.args[1]
         counted = [np.unique(x, return_counts=True) for x in it.words]
         for batch in batches:
-            for c in K.chunks(batch.column(1)):
+            out = []
+            for c in K.chunks(batch.column(column)) if it.ids else ():
                 w, h = _hashed(c)
-                if not len(h):
-                    continue
-                out = list(_matches(it, counted, table, w.first, h, cosine, lcs_exact, lcs_paraphrase, answer_share))
-                if out:
-                    d, i, cos, lcs, ans, a, b = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(np.array(d) + c.lo)), pa.array([it.ids[x] for x in i], pa.int64()), pa.array(cos, pa.float64()), pa.array(lcs, pa.float64()), pa.array(ans, pa.float64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
-                        ["doc_id", "item_id", "cosine", "lcs_share", "answer_share", "word_from", "word_to"],
-                    )
+                if len(h):
+                    out += [(d + c.lo, it.ids[i], *x) for d, i, *x in _matches(it, counted, table, w.first, h, *self.limits)]
+            yield batch, out
 
-    return run
+    def matches(self, batches):
+        types = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+        for batch, found in self.batches(batches, 1):
+            if found:
+                row, *rest = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *(pa.array(x, t) for x, t in zip(rest, types, strict=True))], ["doc_id", "item_id", "cosine", "lcs_share", "answer_share", "word_from", "word_to"])
+
+    def clean(self, column: int):
+        def run(batches):
+            for batch, found in self.batches(batches, column):
+                keep = np.ones(batch.num_rows, bool)
+                keep[[x[0] for x in found]] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
 
 
 def _block_sums(table: np.ndarray, f: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -308,29 +342,37 @@ def _matches(it, counted, table, first, h, cosine, lcs_exact, lcs_paraphrase, an
     return best.values()
 
 
+def _searchers(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id_col: str, item_text_col: str, *limits: float) -> Iterator[_Searcher]:
+    items = benchmark.select(F.col(f"`{item_id_col}`").cast("long").alias("i"), F.col(f"`{item_text_col}`").cast("string").alias("t")).filter("t is not null").distinct()
+    table, idf = fit_latent_space(docs, text_col)
+    block = []
+    for r in items.orderBy("i", "t").toLocalIterator():
+        block.append((r["i"], r["t"]))
+        if len(block) == ITEM_BLOCK:
+            yield _Searcher(block, table, idf, *limits)
+            block = []
+    if block:
+        yield _Searcher(block, table, idf, *limits)
+
+
 def benchmark_leaks(
     docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, lcs_exact: float = 0.8, lcs_paraphrase: float = 0.6, answer_share: float = 0.6, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share, answer_share, word_from, word_to): a row for each document and benchmark item that leaks into it."""
-    spark: SparkSession = docs.sparkSession
     schema = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, word_from long, word_to long"
-    table, idf = fit_latent_space(docs, text_col)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("t"))
-    out, block = None, []
+    out = None
+    for x in _searchers(docs, benchmark, text_col, item_id_col, item_text_col, cosine, lcs_exact, lcs_paraphrase, answer_share):
+        found = rows.mapInArrow(x.matches, schema)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
-    def search(items):
-        return rows.mapInArrow(_search(items, table, idf, cosine, lcs_exact, lcs_paraphrase, answer_share), schema)
 
-    for r in benchmark.select(F.col(f"`{item_id_col}`").cast("long").alias("i"), F.col(f"`{item_text_col}`").alias("t")).filter("t is not null").distinct().orderBy("i", "t").toLocalIterator():
-        block.append((r["i"], r["t"]))
-        if len(block) == ITEM_BLOCK:
-            out, block = (x := search(block)) if out is None else out.unionByName(search(block)), []
-    if block:
-        out = search(block) if out is None else out.unionByName(search(block))
-    return out if out is not None else spark.createDataFrame([], schema)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without those that any benchmark item leaks into; rows with a null id stay."""
-    found = benchmark_leaks(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__leak_id")).distinct()
-    return docs.join(found, F.col(f"`{id_col}`").cast("long") == F.col("__leak_id"), "left_anti")
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, lcs_exact: float = 0.8, lcs_paraphrase: float = 0.6, answer_share: float = 0.6, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """docs without the rows that any benchmark item leaks into: a filter of the scan, nothing is shuffled."""
+    out, column = docs, docs.columns.index(text_col)
+    for x in _searchers(docs, benchmark, text_col, item_id_col, item_text_col, cosine, lcs_exact, lcs_paraphrase, answer_share):
+        out = out.mapInArrow(x.clean(column), docs.schema)
+    return out
