@@ -7,20 +7,25 @@ being good; their mean, weighted by line length, is the document's raw quality,
 and a two-parameter logistic fitted on the same training documents makes it a
 probability.
 
-Training takes at most `max_docs` labelled documents, those with the smallest
-digests of their ids (the bound is the one sample here; scoring reads every line
-of every text).  Lines start with their document's label; after a first fit, lines
+Training takes at most `max_docs` labelled documents and `max_bytes` of their
+text, those with the smallest digests of their ids (the bounds are the one sample
+here; scoring reads every line of every text).  Lines start with their document's label; after a first fit, lines
 of bad documents that the model takes for good are relabelled, and it is fitted
 again.  Lines are features of bytes only: no id, language, source or label.
 
 Edge cases: null or empty text is one empty line and gets a score like any other;
-a null id is not held out; several labels of one id count as bad if any is; with
-no labels, or one kind alone, every score is the share of good documents (0.5
-with none); repeated rows are scored alike; extra columns are ignored.
+a null id is not held out; several labels of one id count as bad if any is, and of
+several texts of one id the least is taken for training; with no labels, or one
+kind alone, every score is the share of good documents (0.5 with none); repeated
+rows are scored alike, and ties play no part; a very long text is scored whole, in
+a chunk of its own, and one beyond max_bytes trains nothing; extra columns are
+ignored and may have any name; an empty table gets no scores.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 
 from stackloom.llm import textkernels as K
 
-MAX_DOCS = 6000
+MAX_DOCS, MAX_BYTES = 6000, 64 << 20
 NAMES = ("length", "symbols", "pipes", "bangs", "upper", "digits", "spaces", "other", "end_mark", "empty", "repeats", "distinct", "word_length", "seen_before")
 
 
@@ -226,14 +231,23 @@ def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineField | float:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineField | float:
     """A model, or the share of good documents where there are no two kinds to tell apart."""
     key = F.col(f"`{id_col}`").cast("long")
     known = labels.select(key.alias("k"), F.col(f"`{label_col}`").cast("int").alias("label")).filter("k is not null and label in (0, 1)")
     known = known.filter(~held_out(F.col("k"))).groupBy("k").agg(F.min("label").alias("label"))
     some = known.orderBy(F.md5(F.col("k").cast("string")), "k").limit(max_docs)
-    text = docs.select(key.alias("k"), F.col(f"`{text_col}`").cast("binary").alias("t"))
-    rows = text.join(F.broadcast(some), "k").select("label", "t").mapInArrow(_training_rows, "label int, x binary, size binary").limit(2 * max_docs).collect()
+    text = docs.select(key.alias("k"), F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("t"))
+    # sizes first, max_docs small rows, so that the texts taken have a bound too
+    sizes = text.join(F.broadcast(some), "k").groupBy("k", "label").agg(F.max(F.octet_length("t")).alias("n")).collect()
+    sizes.sort(key=lambda r: (hashlib.md5(str(r["k"]).encode()).hexdigest(), r["k"]))
+    room, taken = max_bytes, []
+    for r in sizes:
+        if r["n"] <= room:
+            room -= r["n"]
+            taken.append((r["k"], r["label"]))
+    own = F.broadcast(docs.sparkSession.createDataFrame(taken, "k long, label int"))
+    rows = text.join(own, "k").groupBy("k", "label").agg(F.min("t").alias("t")).select("label", "t").mapInArrow(_training_rows, "label int, x binary, size binary").collect()
     rows.sort(key=lambda r: (bytes(r["x"]), r["label"]))
     label = np.array([r["label"] for r in rows])
     if len(set(label.tolist())) < 2:
