@@ -12,22 +12,33 @@ segment lengths, the position ids (they restart at every segment), and for each
 segment its document and the number of its piece, so that documents can be put
 together again exactly.
 
+The vocabulary file is shipped with the job, so only the driver needs its path.
+write_binary() puts packed rows into plain files in the shared folder: id matrices
+and position matrices, row after row, and cumulative lengths; read_binary() gives
+their arrays back.
+
 Edge cases: null or empty text gives one segment, the end-of-text id alone (none
-if append_end is off); a null id stays null; repeated rows are packed one by one;
-extra columns are ignored; an empty table gives no rows.
+if append_end is off); a null id stays null; repeated rows are packed one by one,
+and pieces of one length go in the order in which they were read; a very long text
+is tokenized whole and becomes as many pieces as it takes; extra columns are
+ignored and may have any name; an empty table gives no rows and no files.
 """
 
 from __future__ import annotations
 
 import base64
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles, TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackloom.llm.scratch import file_system
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how texts of this vocabulary are cut before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -49,6 +60,12 @@ def encoder(path: str = VOCABULARY):
     return _encoders[path]
 
 
+def ship(spark: SparkSession, path: str) -> str:
+    """Sends a file along with the job; its name there."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 class RoomTree:
     """Which room sizes 0..most have an open row: a segment tree of flags over sizes."""
 
@@ -134,7 +151,7 @@ def _packer(capacity: int, vocabulary: str, end: int | None, pad: int, block_tok
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(vocabulary).encode_ordinary, TaskContext.get().partitionId()
+        encode, part = encoder(SparkFiles.get(vocabulary)).encode_ordinary, TaskContext.get().partitionId()
         pieces, held, number = [], 0, 0
         tail = [] if end is None else [end]
         for batch in batches:
@@ -156,16 +173,60 @@ def _packer(capacity: int, vocabulary: str, end: int | None, pad: int, block_tok
 def pack_tokens(
     docs: DataFrame, capacity: int = 2048, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", append_end: bool = True, pad: int = END_OF_TEXT, block_tokens: int = BLOCK_TOKENS
 ) -> DataFrame:
-    """Packed rows; see the module.  vocabulary is a rank file at the same path on every machine."""
+    """Packed rows; see the module.  vocabulary is the path of a rank file on the driver."""
     if not 1 <= capacity <= 65535:
         raise ValueError("capacity must be 1 to 65535: positions are 16 bits")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    return rows.mapInArrow(_packer(capacity, vocabulary, END_OF_TEXT if append_end else None, pad, block_tokens, "<u2"), SCHEMA)
+    return rows.mapInArrow(_packer(capacity, ship(docs.sparkSession, vocabulary), END_OF_TEXT if append_end else None, pad, block_tokens, "<u2"), SCHEMA)
+
 
+MANIFEST = "ids string, positions string, lengths string, rows long, segments long"
 
-def write_packed(packed: DataFrame, path: str) -> None:
-    """Parquet files of packed rows; input_ids of one file stack to a (rows, capacity) matrix."""
-    packed.write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+def write_binary(packed: DataFrame, folder: str) -> DataFrame:
+    """Writes packed rows as little-endian files under folder; returns their manifest, a row a file set.
+
+    `ids` and `positions` hold rows x capacity 16-bit numbers, `lengths` for each row
+    the count of its segments and their ends, as 32-bit numbers.  Files carry the
+    attempt in their names and count only if the manifest, which the caller must
+    write before using it, names them.
+    """
+
+    def run(batches):
+        store, path = file_system(folder)
+        names, out, rows, segments = [], [], 0, 0
+        for batch in batches:
+            if batch.num_rows and not out:
+                store.create_dir(path, recursive=True)
+                own = f"{path}/pack-{uuid.uuid4().hex}"
+                names = [f"{own}.{x}" for x in ("ids", "positions", "lengths")]
+                out = [store.open_output_stream(x, compression=None) for x in names]
+            for ids, at, ends in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                ends = np.array([len(ends) - 1, *ends.as_py()[1:]], "<i4")
+                for f, x in zip(out, (ids.as_buffer(), at.as_buffer(), ends.tobytes()), strict=True):
+                    f.write(x)
+                rows, segments = rows + 1, segments + len(ends) - 1
+        for f in out:
+            f.close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*names, rows, segments)], ["ids", "positions", "lengths", "rows", "segments"])
+
+    return packed.select("input_ids", "position_ids", "cu_seqlens").mapInArrow(run, MANIFEST)
+
+
+def read_binary(folder: str, entry, capacity: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The id matrix, the position matrix, and each row's cumulative lengths, of one row of the manifest."""
+    store, _ = file_system(folder)
+
+    def numbers(name, kind):
+        with store.open_input_stream(entry[name]) as f:
+            return np.frombuffer(f.read(), kind)
+
+    flat, at, ends = numbers("lengths", "<i4"), 0, []
+    while at < len(flat):
+        ends.append(np.append(0, flat[at + 1 : at + 1 + flat[at]]))
+        at += 1 + flat[at]
+    return numbers("ids", "<u2").reshape(-1, capacity), numbers("positions", "<u2").reshape(-1, capacity), ends
 
 
 def matrix(rows: list, capacity: int, column: str = "input_ids") -> np.ndarray:
