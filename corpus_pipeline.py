@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackloom.llm.decontamination import decontaminate
-from stackloom.llm.jaccard_join import near_duplicate_components
+from stackloom.llm.idfilter import IdFilter
+from stackloom.llm.jaccard_join import near_duplicates
 from stackloom.llm.mixing import mix
 from stackloom.llm.quality_rules import quality_rules
 from stackloom.llm.scratch import Scratch, opened, release
@@ -24,16 +25,34 @@ SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go, then documents that the rules reject; n_chars follows the text."""
-    kept = quality_rules(docs).filter("quality.kept")
-    new = {"text": F.col("quality.clean_text"), "n_chars": F.length("quality.clean_text").cast("long")}
+    judged = quality_rules(docs)
+    verdict = judged.columns[-1]
+    kept = judged.filter(F.col(f"{verdict}.kept"))
+    new = {"text": F.col(f"{verdict}.clean_text"), "n_chars": F.length(f"{verdict}.clean_text").cast("long")}
     return kept.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component stays; rows without an id stay, and rows that share an id count as one document."""
-    found = near_duplicate_components(docs, SHINGLE_WORDS, *SIMILARITY)
-    gone = found.filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each near-duplicate component stays, that with the smallest id, then the smallest digest of its text.
+
+    Rows are told apart by id and text, so a null or shared id costs no other row
+    its place; of rows alike in both one stays.  Rows whose key is not among those
+    with something to drop, by a bitmap, are not shuffled.
+    """
+    scratch = Scratch(spark, "deduplicate")
+    tag = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    found = near_duplicates(docs, SHINGLE_WORDS, *SIMILARITY, tag=tag)
+    gone = found.groupBy("doc_id", "tag").agg(F.max("first").alias("stays"), F.count("*").alias("times")).filter("times > 1 or not stays")
+    gone = scratch.write(gone.select(F.col("doc_id").alias("__gone_id"), F.col("tag").alias("__gone_tag"), "stays"), "gone")
+    own = F.xxhash64(F.col("doc_id").cast("long"), tag)
+    suspects, rest = IdFilter(scratch, "bits", gone.select(F.xxhash64("__gone_id", "__gone_tag").alias("key"))).split(docs, own)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    suspects = suspects.select(row.alias("__row"), F.col("doc_id").cast("long").alias("__id"), tag.alias("__tag"))
+    suspects = suspects.join(gone, F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__tag") == F.col("__gone_tag")), "left")
+    # of rows alike in id and text, the first by all columns
+    alike = suspects.filter("stays").groupBy("__id", "__tag").agg(F.min_by("__row", F.to_json("__row")).alias("__row"))
+    kept = suspects.filter("stays is null").select("__row.*").unionByName(alike.select("__row.*"))
+    return rest.unionByName(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
