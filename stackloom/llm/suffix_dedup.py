@@ -55,7 +55,7 @@ from stackloom.llm.scratch import Scratch, file_system
 
 LENGTH = 200
 GRAM = 48
-HOT_WINDOWS = COLLECTION = 20_000
+HOT_WINDOWS, COLLECTION = 4_000, 20_000
 BLOCK = 32
 _PAD = 256
 
