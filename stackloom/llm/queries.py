@@ -79,5 +79,6 @@ ORACLE_SQL = {
     "op3_ngram_jaccard_join": sql.OP3,
     "op5_quality_rules": sql.OP5,
     "op6_warc": sql.OP6,
+    "op7_source_mixing": sql.OP7,
     "op10_line_dedup": sql.OP10,
 }

@@ -57,6 +57,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM facts)
 """
 
+OP7 = rf"""
+WITH w AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, {WORDS.format("coalesce(" + LOWER.format("text") + ", '')")} AS ws FROM documents
+), m AS (
+  SELECT doc_id, source, len(ws)::BIGINT AS size, len(list_filter(range(1, len(ws) + 1), lambda i: i = 1 OR ws[i] <> ws[i - 1])) AS fresh,
+    strlen(regexp_replace(t, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) AS letters, strlen(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS chars FROM w
+), k AS (
+  SELECT doc_id, source, size, -ln((('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) * 64.0
+    / greatest(1, (64 * fresh // greatest(size, 1)) * letters // greatest(chars, 1)) AS key FROM m
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS weight, sum(size)::DOUBLE * 2 AS cap FROM k GROUP BY source
+), l AS (
+  SELECT *, cap / weight AS fill, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER f, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0)) AS level
+  FROM s WINDOW f AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), o AS (
+  SELECT arg_min(level, fill) AS level, min(fill) AS fill FROM l WHERE level * weight < cap
+), p AS (
+  SELECT source, source_size, CASE WHEN l.fill >= o.fill THEN least(o.level * weight, cap) ELSE cap END AS target FROM l LEFT JOIN o ON true
+), e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs, target - epochs * source_size AS rest FROM p
+), r AS (
+  SELECT k.*, source_size, target, epochs, rest, row_number() OVER o AS rn, sum(size) OVER o - rest AS over
+  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source WINDOW o AS (PARTITION BY k.source ORDER BY size = 0, key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), c AS (
+  SELECT source, max(rn) AS last FROM r WHERE size > 0 AND rest > 0 AND (over <= 0 OR over <= size - over) GROUP BY source
+)
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE (epochs + CASE WHEN rn <= last THEN 1 ELSE 0 END) * size END::BIGINT AS taken
+FROM r LEFT JOIN c ON r.source IS NOT DISTINCT FROM c.source
+"""
+
 OP10 = rf"""
 WITH l AS (
   SELECT doc_id, unnest(list_zip(range(1, len(ls) + 1), ls)) AS z FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
