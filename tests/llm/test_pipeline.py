@@ -1,11 +1,15 @@
+import random
 from collections import Counter
 
 import numpy as np
+from corpus import awkward, documents, words
+from pyspark.sql import functions as F
 from test_operators import brute_components
 
 import corpus_pipeline as P
 from stackloom.llm.mixing import mix_plan
 from stackloom.llm.quality_rules import quality_rules
+from stackloom.llm.scratch import Scratch
 from stackloom.llm.token_packing import encoder
 
 
@@ -35,3 +39,28 @@ def test_stages_keep_columns(spark, sf_dir):
     assert [n for n, _ in P.STAGES] == ["quality rules", "near duplicates", "decontamination", "source mixing", "token packing"]
     for _, stage in P.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).schema.names == docs.schema.names
+
+
+def test_one_row_of_each_component_stays(spark, sf_dir):
+    """Null and shared ids, repeated rows, extra columns of any name."""
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(words(rng, 120)) for _ in range(4))
+    near = a.rsplit(" ", 1)[0] + " other"
+    rows = [(None, a, "s"), (None, a, "s"), (None, b, "s"), (5, near, "t"), (5, c, "s"), (5, c, "s"), (6, c, "s"), (7, d, "s"), (8, None, "s"), (9, "", "s")]
+    docs = documents(spark, rows).repartition(3)
+    for x in ("quality", "first", "tag", "stays", "__row", "node", "key"):
+        docs = docs.withColumn(x, F.lit("x"))
+    got = P.deduplicate(spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    want = [(None, b), (5, near), (5, c), (7, d), (8, None), (9, "")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_stages_of_awkward_and_empty_tables(spark, sf_dir):
+    docs = documents(spark, awkward() + [(500 + k, ". ".join(" ".join(words(random.Random(k), 9, 3000)) for _ in range(12)) + ".", "s") for k in range(6)]).withColumn("quality", F.lit("own")).withColumn("size", F.lit(1))
+    empty = docs.limit(0)
+    for _, stage in P.STAGES[:-1]:
+        docs = Scratch(spark, "stage").write(stage(spark, docs, sf_dir), "out")
+        assert docs.columns[-2:] == ["quality", "size"] and docs.filter("quality <> 'own' or text is null").count() == 0
+        assert stage(spark, empty, sf_dir).count() == 0
+    assert docs.count() > 0 and P.pack(spark, docs, sf_dir).count() > 0 and P.pack(spark, empty, sf_dir).count() == 0
