@@ -80,5 +80,6 @@ ORACLE_SQL = {
     "op5_quality_rules": sql.OP5,
     "op6_warc": sql.OP6,
     "op7_source_mixing": sql.OP7,
+    "op8_suffix_dedup": sql.OP8,
     "op10_line_dedup": sql.OP10,
 }

@@ -134,3 +134,24 @@ WITH t AS (
 SELECT cut.conv_id, cut.speaker, part, start::BIGINT AS start, n_turns, n_target_chars, substr(rendered, (start + 1)::BIGINT, (stop - start)::BIGINT) AS rendered, mask
 FROM cut JOIN whole ON cut.conv_id IS NOT DISTINCT FROM whole.conv_id AND cut.speaker = whole.speaker
 """
+
+OP8 = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), h AS (
+  SELECT r, unnest(list_transform(range(1, octet_length(b) - 198), lambda i: {'i': i, 'h': md5_number(b[i:i+199])}), recursive := true) FROM d
+), twice AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS c FROM h) WHERE c > 1
+), runs AS (
+  SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM twice)
+), spans AS (
+  SELECT r, min(i) AS a, max(i) + 199 AS z FROM runs GROUP BY r, run
+), cuts AS (
+  SELECT r, a, z FROM spans UNION ALL SELECT r, octet_length(b) + 1, NULL FROM d
+), pieces AS (
+  SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a) + 1, 1) AS since FROM cuts
+), kept AS (
+  SELECT r, coalesce(sum(z - a + 1), 0)::BIGINT AS n_removed, count(z)::BIGINT AS n_spans, string_agg(CASE WHEN a > since THEN hex(b[since:a - 1]) ELSE '' END, '' ORDER BY a) AS rest FROM pieces JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, n_removed, n_spans, sha256(unhex(rest)) AS kept_sha256 FROM d JOIN kept USING (r)
+"""
