@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from stackloom import sinks
-from stackloom.operators import compare, flamegraph, fold, report, symbols
+from stackloom.operators import compare, flamegraph, fold, objects, report, symbols
 from stackloom.operators import mappings as M
+from stackloom.sources import host
 from stackloom.sources import text as T
 from stackloom.sources.recording import read_recording
 
@@ -26,6 +28,8 @@ def parser() -> argparse.ArgumentParser:
         f.add_argument("--symbols", help="the recorded kernel's symbol listing, asked first")
         f.add_argument("--system-map", help="a system map, asked next")
         f.add_argument("--live-symbols", help="the running kernel's listing, asked last, and first for modules")
+        f.add_argument("--objects", action="store_true", help="name frames of objects by their symbol tables")
+        f.add_argument("--debug-dir", default=host.debug_dir(os.environ.get("HOME", "")), help="where objects are kept by build id")
     s = plumbing.add_parser("summarize")
     s.add_argument("folder")
     s.add_argument("--json", action="store_true")
@@ -57,26 +61,53 @@ def listing(spark: SparkSession, path: str):
     return T.kallsyms(T.read_lines(spark, path).withColumn("seq", F.monotonically_increasing_id()))
 
 
-def named_addresses(stacks, maps, listings: dict):
-    """(file, pid, addr, names) of the frames that a kernel listing names; listings: cached, system_map, live."""
+def named_addresses(stacks, maps, listings: dict, debug_dir: str | None = None):
+    """(file, pid, addr, names) of the frames that a kernel listing or, with a debug_dir, an object names.
+
+    listings: cached, system_map, live.  Where an object's file was found, its table alone is asked.
+    """
     flat = stacks.select("file", "pid", F.explode("frames.addr").alias("addr")).distinct()
     found = M.resolve(flat, maps)
     path, relative = F.col("map_path"), F.col("relative")
     moved = M.kernel_relocation(path, F.col("pgoff"))
-    asked = found.filter(M.symbolizes(F.col("addr"), path, relative)).select("file", "pid", F.col("addr").alias("frame"), M.request_path(path, relative).alias("path"), relative.alias("addr"), moved["reference"].alias("reference"), moved["recorded"].alias("recorded"))
+    asked = found.filter(M.symbolizes(F.col("addr"), path, relative))
+    wanted = F.struct(M.request_path(path, relative).alias("path"), relative.alias("addr"), moved["reference"].alias("reference"), moved["recorded"].alias("recorded"), "build_id", *M.IDENTITY)
+    asked = asked.select("file", "pid", F.col("addr").alias("frame"), wanted.alias("w")).select("file", "pid", "frame", "w.*")
+    if debug_dir is not None:
+        # the lookup reads these rows, which are distinct addresses, several times
+        asked = cut(asked)
     none = asked.select("path", "addr", F.lit(None).cast("string").alias("name")).limit(0)
-    keys = ["path", "addr", "reference", "recorded"]
-    known = symbols.precedence(asked, none, **listings).filter("name is not null").select(*[F.col(k).alias(f"k_{k}") for k in keys], "name")
-    same = (F.col("path") == F.col("k_path")) & (F.col("addr") == F.col("k_addr")) & F.col("reference").eqNullSafe(F.col("k_reference")) & F.col("recorded").eqNullSafe(F.col("k_recorded"))
-    return asked.join(known, same).select("file", "pid", F.col("frame").alias("addr"), F.array("name").alias("names"))
+    known = symbols.precedence(asked, none, **listings)
+    out = _known(asked, known, ["path", "addr", "reference", "recorded"], "listed")
+    if debug_dir is None:
+        out = out.withColumn("name", F.col("listed"))
+    else:
+        own = objects.names(asked, debug_dir).withColumn("has_object", F.lit(True))
+        out = _known(out, own, [*objects.KEYS, "addr"], "own").withColumn("name", F.when(F.col("has_object"), F.col("own")).otherwise(F.col("listed")))
+    return out.filter("name is not null").select("file", "pid", F.col("frame").alias("addr"), F.array("name").alias("names"))
+
+
+def cut(df):
+    """df without its lineage, by the shared checkpoint folder; where none is set, kept by the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def _known(rows, table, keys: list[str], name: str):
+    """rows with table's other columns by keys, of which any may be null (as a struct they compare like values); table's `name` is called `name` there."""
+    others = [c for c in table.columns if c not in (*keys, "name")]
+    right = table.select(F.struct(*keys).alias("k"), F.col("name").alias(name), *others)
+    return rows.join(right, F.struct(*keys) == F.col("k"), "left").drop("k")
 
 
-def fold_recording(spark, path: str, count_periods: bool = False, kallsyms: str | None = None, system_map: str | None = None, live: str | None = None):
+def fold_recording(spark, path: str, count_periods: bool = False, kallsyms: str | None = None, system_map: str | None = None, live: str | None = None, debug_dir: str | None = None):
+    """Folded stacks; kernel frames are named by the listings given, those of objects where a debug_dir is given."""
     tables = {t: read_recording(spark, path, t) for t in ("samples", "comm", "mappings", "deferred")}
-    maps = M.with_build_ids(tables["mappings"], read_recording(spark, path, "build_ids"))
-    stacks = fold.raw_stacks(tables["samples"], tables["comm"], tables["deferred"], count_periods, tables["mappings"])
+    maps = cut(M.with_build_ids(tables["mappings"], read_recording(spark, path, "build_ids")))
+    # both are read several times below, and are small against the samples
+    stacks = cut(fold.raw_stacks(tables["samples"], tables["comm"], tables["deferred"], count_periods, maps))
     listings = {k: listing(spark, x) for k, x in (("cached", kallsyms), ("system_map", system_map), ("live", live)) if x}
-    return fold.folded(stacks, maps, named_addresses(stacks, maps, listings) if listings else None)
+    named = named_addresses(stacks, maps, listings, debug_dir) if listings or debug_dir is not None else None
+    return fold.folded(stacks, maps, named)
 
 
 def _rows(df) -> list[dict]:
@@ -91,11 +122,11 @@ def _show(rows: list[dict], as_json: bool) -> str:
 
 def run(spark: SparkSession, argv: list[str]) -> str:
     a = parser().parse_args(argv)
-    if a.verb == "fold":
-        return "".join(r["value"] + "\n" for r in sinks.folded_lines(fold_recording(spark, a.recording, a.count_periods, a.symbols, a.system_map, a.live_symbols)).collect())
-    if a.verb == "flamegraph":
-        # drawing is an external renderer's part: this is its input
-        return "".join(r["value"] + "\n" for r in sinks.folded_lines(fold_recording(spark, a.recording, True, a.symbols, a.system_map, a.live_symbols)).collect())
+    if a.verb in ("fold", "flamegraph"):
+        # drawing is an external renderer's part: a flamegraph's lines are its input, weighted by period
+        periods = a.verb == "flamegraph" or a.count_periods
+        lines = sinks.folded_lines(fold_recording(spark, a.recording, periods, a.symbols, a.system_map, a.live_symbols, a.debug_dir if a.objects else None))
+        return "".join(r["value"] + "\n" for r in lines.collect())
     if a.verb == "summarize":
         kind, path = sinks.summary_source(a.folder) or sys.exit(f"nothing to summarise in {a.folder}")
         if kind == "summary":

@@ -17,6 +17,8 @@ from stackloom.functions.addresses import ALL_PIDS, contains, is_kernel, order_k
 NOT_CODE = ("//anon", "[anon]", "[stack]", "[heap]")
 #: Names of the kernel's mapping.
 KERNEL, KERNEL_NAMES = "[kernel.kallsyms]", ("[kernel.kallsyms]", "[kernel]", "[guest.kernel]")
+#: Columns that tell which file was mapped, where a mapping has them.
+IDENTITY = ("major", "minor", "inode")
 #: Bits of a bucket's size on each level.
 LEVELS = (12, 20, 28, 36, 44, 52, 60)
 
@@ -46,7 +48,7 @@ def _bucketed_mappings(mappings: DataFrame) -> DataFrame:
 def _found(addresses: DataFrame, mappings: DataFrame, keep: list[str]) -> DataFrame:
     """Every pair of an address (file, pid, addr, *keep) and a mapping that contains it, with the mapping's columns and its rank."""
     m = _bucketed_mappings(mappings).select(
-        F.col("file").alias("m_file"), F.col("pid").alias("map_pid"), F.col("start").alias("map_start"), "len", "pgoff", F.col("path").alias("map_path"), "prot", "build_id", F.col("ord").alias("m_ord"), *[c for c in ("m_level", "m_bucket", "m_at") if c in (*mappings.columns, "m_level", "m_bucket")],
+        F.col("file").alias("m_file"), F.col("pid").alias("map_pid"), F.col("start").alias("map_start"), "len", "pgoff", F.col("path").alias("map_path"), "prot", "build_id", F.col("ord").alias("m_ord"), *[c for c in ("m_level", "m_bucket", "m_at", *IDENTITY) if c in (*mappings.columns, "m_level", "m_bucket")],
     )
     probe = addresses.select("file", "pid", "addr", *keep, F.explode(F.array(*[F.struct(F.lit(b).alias("level"), F.shiftrightunsigned("addr", b).alias("bucket")) for b in LEVELS])).alias("b"))
     # the mappings of all pids are asked for under their own number
@@ -59,13 +61,13 @@ def _found(addresses: DataFrame, mappings: DataFrame, keep: list[str]) -> DataFr
 
 
 def resolve(addresses: DataFrame, mappings: DataFrame) -> DataFrame:
-    """addresses (file, pid, addr) that a mapping contains, with map_path, map_pid, map_start, relative, prot, build_id.
+    """addresses (file, pid, addr) that a mapping contains, with map_path, map_pid, map_start, relative, prot, build_id and what is known of the file's identity.
 
     The mapping with the greatest start wins; of equal starts the pid's own, then
     the later one.
     """
     want = addresses.select("file", "pid", "addr").filter("pid is not null").distinct()
-    best = _found(want, mappings, []).groupBy("file", "pid", "addr").agg(F.max_by(F.struct("map_pid", "map_start", "pgoff", "map_path", "prot", "build_id"), F.col("rank")).alias("m"))
+    best = _found(want, mappings, []).groupBy("file", "pid", "addr").agg(F.max_by(F.struct("map_pid", "map_start", "pgoff", "map_path", "prot", "build_id", *[c for c in IDENTITY if c in mappings.columns]), F.col("rank")).alias("m"))
     out = best.select("file", "pid", "addr", "m.*")
     return out.withColumn("relative", relative_address(F.col("addr"), F.col("map_start"), F.col("pgoff"), F.col("map_path"), F.col("map_pid")))
 

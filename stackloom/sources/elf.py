@@ -1,11 +1,14 @@
 """64-bit little-endian ELF objects: symbols, load segments, debug strings.
 
-Objects come through Spark's binary reader and are decoded where they are read.
+Objects come through Spark's binary reader, or as paths that the executors can
+open, and are decoded where they are read.
 """
 
 from __future__ import annotations
 
+import mmap
 import struct
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +39,7 @@ def symbols(data: bytes):
         for at in range(s[4] + 24, s[4] + s[5], 24):
             name, info, _, section, value, size = struct.unpack_from("<IBBHQQ", data, at)
             start = names[4] + name
-            text = data[start : data.index(b"\0", start)].decode("utf-8", "replace")
+            text = data[start : data.find(b"\0", start)].decode("utf-8", "replace")
             kind = "text" if info & 15 == 10 else _KINDS.get(info & 15, "unknown")
             yield seq, text, kind, {0: "local", 1: "global", 2: "weak"}.get(info >> 4, "other"), section != 0, value, size
             seq += 1
@@ -56,25 +59,70 @@ def segments(data: bytes):
             seq += 1
 
 
-def _table(spark: SparkSession, path: str, schema: pa.Schema, sql: str, some) -> DataFrame:
+_SYMBOLS = {"object": pa.string(), "seq": pa.int64(), "name": pa.string(), "kind": pa.string(), "binding": pa.string(), "defined": pa.bool_(), "addr": pa.int64(), "size": pa.int64()}
+_SEGMENTS = {"object": pa.string(), "seq": pa.int64(), "file_offset": pa.int64(), "file_size": pa.int64(), "addr": pa.int64()}
+_SQL = {pa.string(): "string", pa.int64(): "long", pa.bool_(): "boolean"}
+
+
+def _symbol_rows(data):
+    return ((*x[:5], signed(x[5]), signed(x[6])) for x in symbols(data))
+
+
+def _segment_rows(data):
+    return ((s, signed(a), signed(n), signed(v)) for s, a, n, v in segments(data))
+
+
+def _batches(name: str, rows, columns: dict, most: int = 8192):
+    """Batches of a bounded number of rows, each with the object's name in front."""
+    held = []
+    for row in rows:
+        held.append((name, *row))
+        if len(held) == most:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*held, strict=True), columns.values(), strict=True)], list(columns))
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*held, strict=True), columns.values(), strict=True)], list(columns))
+
+
+def _schema(columns: dict) -> str:
+    return ", ".join(f"{k} {_SQL[t]}" for k, t in columns.items())
+
+
+def _table(spark: SparkSession, path: str, columns: dict, some) -> DataFrame:
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows = [(name.as_py(), *x) for x in some(content.as_py())]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema.names)
+                yield from _batches(name.as_py(), some(content.as_py()), columns)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, sql)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _schema(columns))
 
 
 def read_symbols(spark: SparkSession, path: str) -> DataFrame:
-    schema = pa.schema([("object", pa.string()), ("seq", pa.int64()), ("name", pa.string()), ("kind", pa.string()), ("binding", pa.string()), ("defined", pa.bool_()), ("addr", pa.int64()), ("size", pa.int64())])
-    return _table(spark, path, schema, "object string, seq long, name string, kind string, binding string, defined boolean, addr long, size long", lambda d: ((*x[:5], signed(x[5]), signed(x[6])) for x in symbols(d)))
+    return _table(spark, path, _SYMBOLS, _symbol_rows)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    schema = pa.schema([("object", pa.string()), ("seq", pa.int64()), ("file_offset", pa.int64()), ("file_size", pa.int64()), ("addr", pa.int64())])
-    return _table(spark, path, schema, "object string, seq long, file_offset long, file_size long, addr long", lambda d: ((s, signed(a), signed(n), signed(v)) for s, a, n, v in segments(d)))
+    return _table(spark, path, _SEGMENTS, _segment_rows)
+
+
+def _opened(objects: DataFrame, columns: dict, some) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                if Path(name).stat().st_size:
+                    with open(name, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+                        yield from _batches(name, some(data), columns)
+
+    return objects.select("object").filter("object is not null").distinct().mapInArrow(run, _schema(columns))
+
+
+def symbols_of(objects: DataFrame) -> DataFrame:
+    """read_symbols for the files that the column `object` names, mapped into memory where they are."""
+    return _opened(objects, _SYMBOLS, _symbol_rows)
+
+
+def segments_of(objects: DataFrame) -> DataFrame:
+    return _opened(objects, _SEGMENTS, _segment_rows)
 
 
 def debug_strings(objects: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -56,6 +57,16 @@ def same_file(path: str, inode: int | None, device: tuple[int, int] | None = Non
         s = Path(path).stat()
     except OSError:
         return False
-    import os
-
     return (inode in (None, 0) or s.st_ino == inode) and (device is None or (os.major(s.st_dev), os.minor(s.st_dev)) == device)
+
+
+def object_file(path: str, build_id: str | None = None, inode: int | None = None, device: tuple[int, int] | None = None, folder: str | None = None) -> str | None:
+    """Where the symbols of a mapped object are: its cached copy, else the file itself while it is the one recorded.
+
+    A bracketed mapping has a cached copy or none, and the kernel's own is listed elsewhere.
+    """
+    if path.startswith(("[kernel", "[guest.kernel]")):
+        return None
+    if folder and build_id and Path(cached := build_id_object(folder, build_id)).is_file():
+        return cached
+    return path if not path.startswith("[") and Path(path).is_file() and same_file(path, inode, device) else None

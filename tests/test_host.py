@@ -19,12 +19,30 @@ def test_paths(tmp_path):
     (tmp_path / "8" / "task").mkdir(parents=True)
     with pytest.raises(FileNotFoundError):
         host.thread_ids(8, str(tmp_path))
+    assert host.object_file("[kernel.kallsyms]", "ab") is None and host.object_file("[mod]") is None
     assert host.same_file(str(tmp_path), tmp_path.stat().st_ino) and not host.same_file(str(tmp_path / "no"), 1)
 
 
 def test_commands():
     assert commands.strace("o", ["a"]) == ["strace", "-f", "-ttt", "-T", "-o", "o", "--", "a"]
     assert commands.heaptrack("p", ["a"]) == ["heaptrack", "-o", "p", "a"]
+    assert commands.xctrace_export("t", "x") == ["xctrace", "export", "--input", "t", "--output", "x", "--xpath", "//table"]
+    assert commands.xctrace_record("t", ["a", "b"])[-3:] == ["stackloom-launch", "a", "b"]
+
+
+def test_off_cpu_commands():
+    assert commands.off_cpu("perf-sched", ["a"], "o") == [["perf", "sched", "record", "-o", "o", "--", "a"], ["perf", "sched", "timehist", "-i", "o"]]
+    assert commands.off_cpu("perf-cpu-clock", ["a"], "o", frequency=99)[0][:6] == ["perf", "record", "-e", "cpu-clock", "-F", "99"]
+    program = commands.off_cpu("bpftrace", ["a", "b"], "o", seconds=3)[0]
+    assert program[3:] == ["-c", "a b", "--unsafe"] and "@offcpu[kstack]" in program[2] and "interval:s:3" in program[2]
+    for bad in ({"command": []}, {"command": ["a"], "pid": 4}, {"command": ["a"], "tids": [1]}, {"command": ["a"], "method": "other"}):
+        with pytest.raises(ValueError):
+            commands.off_cpu(**{"method": "bpftrace", "output": "o", **bad})
+
+
+def test_run():
+    assert commands.run(["sh", "-c", "cat; echo e >&2; exit 3"], b"in") == (3, b"in", b"e\n")
+    assert commands.run(["/no/such/tool"])[0] == 127
 
 
 def test_stored_runs(spark, tmp_path):

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -6,6 +8,7 @@ import recordings as R
 from stackloom import cli
 from stackloom.sources import decode as D
 from stackloom.sources.recording import RecordingSource, read_recording, rows
+from test_host import an_object
 
 MARK, DEFERRED = 2**64 - 512, 2**64 - 640
 KERNEL = 0xFFFFFFFF88000010
@@ -168,3 +171,32 @@ def test_kernel_names_from_listings(spark, tmp_path):
     assert folded(spark, tmp_path, data, kallsyms=str(tmp_path / "k")) == ["[unknown];moved 1"]
     assert folded(spark, tmp_path, data, kallsyms=str(tmp_path / "l"), system_map=str(tmp_path / "m")) == ["[unknown];mapped 1"]
     assert folded(spark, tmp_path, data, live=str(tmp_path / "l")) == ["[unknown];[unknown] 1"]
+
+
+def test_object_names(spark, tmp_path):
+    """User frames take the name that their object's table has at the segment's address: the cached copy first, and no file that was replaced."""
+    own, folder, ident = tmp_path / "o", tmp_path / "debug", b"\x11" * 20
+    own.write_bytes(an_object())
+    frames = R.sample([0x4008, 0x4028])
+    live = R.recording([R.mmap(11, 0x4000, 0x200, 0x100, str(own)), frames])
+    assert folded(spark, tmp_path, live, debug_dir=str(folder)) == ["[unknown];[o];run 1"]
+    gone = R.recording([R.mmap2_build_id(11, 0x4000, 0x200, 0x100, "/no/such/app", ident), frames])
+    assert folded(spark, tmp_path, gone, debug_dir=str(folder)) == ["[unknown];[app];[app] 1"]
+    cached = folder / ".build-id" / ident.hex()[:2] / ident.hex()[2:] / "elf"
+    cached.parent.mkdir(parents=True)
+    cached.write_bytes(an_object())
+    assert folded(spark, tmp_path, gone, debug_dir=str(folder)) == ["[unknown];[app];run 1"]
+    stat = own.stat()
+    device = os.major(stat.st_dev), os.minor(stat.st_dev)
+    for inode, want in ((stat.st_ino, "run"), (stat.st_ino + 1, "[o]")):
+        place = R.struct.pack("<II", 11, 11) + R.q(0x4000, 0x200, 0x100) + R.struct.pack("<IIQQII", *device, inode, 0, 5, 0) + R.text(str(own))
+        assert folded(spark, tmp_path, R.recording([R.record(10, place), R.sample([0x4008])]), debug_dir=str(folder)) == [f"[unknown];{want} 1"]
+
+
+def test_objects_beside_listings(spark, tmp_path):
+    own = tmp_path / "o"
+    own.write_bytes(an_object())
+    (tmp_path / "l").write_text(f"{KERNEL:x} T live\n")
+    data = R.recording([R.mmap(11, 0x4000, 0x200, 0x100, str(own)), R.mmap(2**32 - 1, KERNEL - 16, 0x1000, KERNEL - 16, "[kernel.kallsyms]"), R.sample([KERNEL, 0x4008])])
+    assert folded(spark, tmp_path, data, live=str(tmp_path / "l"), debug_dir=str(tmp_path)) == ["[unknown];run;live 1"]
+    assert folded(spark, tmp_path, data, live=str(tmp_path / "l")) == ["[unknown];[o];live 1"]
