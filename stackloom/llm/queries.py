@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stackloom.llm import sql
+from stackloom.llm.centroid_clustering import cluster_vectors
 from stackloom.llm.chat_format import rotate_perspectives
 from stackloom.llm.decontamination import benchmark_leaks
 from stackloom.llm.jaccard_join import near_duplicate_components
@@ -61,6 +62,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), min_chars=20, min_docs=3, keep_text=False)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_chat_formatting": op2_chat_formatting,
@@ -72,6 +77,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
+    "op11_centroid_clustering": op11_centroid_clustering,
 }
 
 ORACLE_SQL = {
@@ -82,4 +88,5 @@ ORACLE_SQL = {
     "op7_source_mixing": sql.OP7,
     "op8_suffix_dedup": sql.OP8,
     "op10_line_dedup": sql.OP10,
+    "op11_centroid_clustering": sql.OP11,
 }

@@ -155,3 +155,28 @@ WITH d AS (
 )
 SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, n_removed, n_spans, sha256(unhex(rest)) AS kept_sha256 FROM d JOIN kept USING (r)
 """
+
+
+def _kmeans(k: int, rounds: int, dims: int) -> str:
+    """Rounds written out one after the other; d0, d1, ... hold each vector's nearest centroid, c1, c2, ... the moved centroids."""
+    nearest = "SELECT r, arg_min(c, (far, c)) AS c, min(far) AS far FROM (SELECT v.r, c.c, list_sum(list_transform(range(1, {dims} + 1), lambda i: (v.v[i] - c.z[i]) * (v.v[i] - c.z[i])))::BIGINT AS far FROM v CROSS JOIN c{n} c) GROUP BY r"
+    moved = (
+        "SELECT c.c, coalesce(m.z, c.z) AS z FROM c{n} c LEFT JOIN (SELECT c, list(z ORDER BY i) AS z FROM (SELECT d.c, i, (sum(v.v[i])::HUGEINT - CASE WHEN sum(v.v[i])::HUGEINT % count(*) < 0 THEN count(*) ELSE 0 END) // count(*) AS z"
+        " FROM d{n} d JOIN v USING (r), range(1, {dims} + 1) AS t(i) GROUP BY d.c, i) GROUP BY c) m USING (c)"
+    )
+    steps = "".join(f", d{n} AS MATERIALIZED ({nearest.format(n=n, dims=dims)}), c{n + 1} AS MATERIALIZED ({moved.format(n=n, dims=dims)})" for n in range(rounds))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v AS z FROM v QUALIFY c < {k}
+){steps}, last AS MATERIALIZED ({nearest.format(n=rounds, dims=dims)}), inertias AS (
+  SELECT c, sum(far)::BIGINT AS cluster_inertia, sum(sum(far)) OVER ()::BIGINT AS inertia FROM last GROUP BY c
+)
+SELECT vec_id, c::INTEGER AS cluster, far AS distance, cluster_inertia, inertia, sha256(array_to_string(z, ',')) AS centroid_sha256
+FROM last JOIN v USING (r) JOIN inertias USING (c) JOIN c{rounds} USING (c)
+"""
+
+
+OP11 = _kmeans(40, 5, 64)
