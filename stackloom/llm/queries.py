@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stackloom.llm import sql
 from stackloom.llm.centroid_clustering import cluster_vectors
 from stackloom.llm.chat_format import rotate_perspectives
+from stackloom.llm.collocations import collocations
 from stackloom.llm.decontamination import benchmark_leaks
 from stackloom.llm.jaccard_join import near_duplicate_components
 from stackloom.llm.line_dedup import dedup_lines
@@ -66,6 +67,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_chat_formatting": op2_chat_formatting,
@@ -78,6 +83,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 ORACLE_SQL = {
@@ -89,4 +95,5 @@ ORACLE_SQL = {
     "op8_suffix_dedup": sql.OP8,
     "op10_line_dedup": sql.OP10,
     "op11_centroid_clustering": sql.OP11,
+    "op13_phrase_collocations": sql.OP13,
 }

@@ -180,3 +180,29 @@ FROM last JOIN v USING (r) JOIN inertias USING (c) JOIN c{rounds} USING (c)
 
 
 OP11 = _kmeans(40, 5, 64)
+
+
+OP13 = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces
+), f AS (
+  SELECT lang, words, phrase, count(*) AS f FROM (SELECT lang, words, array_to_string(ws[i:i + words - 1], ' ') AS phrase FROM (SELECT lang, ws, words, unnest(range(1, len(ws) - words + 2)) AS i FROM w, range(1, 5) AS t(words))) GROUP BY ALL
+), n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE words = 1 GROUP BY lang),
+candidates AS (
+  SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE words > 1 AND f >= 30
+), longer AS (
+  SELECT lang, array_to_string(ws[i:i + size - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, ws, size, a, unnest(range(1, words - size + 2)) AS i FROM candidates, range(2, 4) AS t(size) WHERE size < words) GROUP BY ALL
+), free AS (
+  SELECT c.* FROM candidates c LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+), cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, words)) AS k FROM free)
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, a, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score FROM cuts
+  JOIN f x ON x.lang = cuts.lang AND x.phrase = head AND x.words = k JOIN f y ON y.lang = cuts.lang AND y.phrase = tail
+  QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY (2000000::HUGEINT * a) // (x.f + y.f), k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM scored JOIN n USING (lang) QUALIFY rank <= 2000
+"""
