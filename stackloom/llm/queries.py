@@ -10,6 +10,8 @@ from stackloom.llm.chat_format import rotate_perspectives
 from stackloom.llm.collocations import collocations
 from stackloom.llm.decontamination import benchmark_leaks
 from stackloom.llm.jaccard_join import near_duplicate_components
+from stackloom.llm.language_id import predict_language
+from stackloom.llm.language_id import train as train_languages
 from stackloom.llm.line_dedup import dedup_lines
 from stackloom.llm.mixing import mix_plan
 from stackloom.llm.quality_crf import score_quality, train
@@ -67,6 +69,11 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return predict_language(docs, train_languages(docs))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -83,6 +90,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_language_id": op12_language_id,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
 
