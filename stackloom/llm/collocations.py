@@ -46,9 +46,9 @@ ROWS = 2
 BYTES_A_CELL = 16
 SLICE_CELLS = 1 << 22
 MIN_SLICES = 32
-RUN_BYTES = 16 << 20
-HELD_CELLS = 1 << 23
-FLAGS = 1 << 25
+RUN_BYTES = 6 << 20
+HELD_CELLS = 1 << 22
+FLAGS = 1 << 24
 
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
@@ -85,7 +85,7 @@ class Grams:
         self.hash = np.fromiter((xxhash.xxh3_64_intdigest(b, xxhash.xxh3_64_intdigest(a)) for a, b in self.vocabulary), np.uint64, len(used))
         self.seen = self.hash[self.word]
         # a piece ends with its text, and where a mark stands before the next word
-        marks = np.concatenate([[0], np.cumsum(BREAK[data], dtype=np.int64)])[w.starts]
+        marks = np.cumsum(BREAK[data], dtype=np.int32)[w.starts]
         n = len(size)
         last = np.ones(n, bool)
         if n > 1:
@@ -302,8 +302,9 @@ def phrase_counts(docs: DataFrame, min_count: int = 30, max_words: int = 4, lang
     dealt = files.repartitionByRange(groups, "grp").select("grp", "files")
     sketches = dealt.mapInArrow(_sketches(folder, width, slice_cells, max_words, run_bytes, held_cells), "slice long, grp int, n int, at binary, counts binary")
     found = sketches.groupBy("slice").applyInArrow(_survivors(slice_cells, min_count), "slice long, grp int, n int, at binary")
-    found = found.groupBy("grp").agg(F.collect_list(F.struct("slice", "n", "at")).alias("found"))
-    work = scratch.write(files.join(found, "grp", "left").select("grp", "files", "found"), "work")
+    # no join, which could take what a group finds for small and broadcast it
+    both = found.select("grp", F.struct("slice", "n", "at").alias("found"), F.lit(None).cast("array<string>").alias("files")).unionByName(files.select("grp", "files"), allowMissingColumns=True)
+    work = scratch.write(both.groupBy("grp").agg(F.flatten(F.collect_list("files")).alias("files"), F.collect_list("found").alias("found")), "work")
     exact = work.repartitionByRange(groups, "grp").select("files", "found").mapInArrow(_exact(folder, width, slice_cells, max_words, run_bytes, flags), "lang string, phrase binary, words int, f long")
     counts = exact.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter((F.col("f") >= min_count) | (F.col("words") == 0))
     counts = scratch.write(counts.withColumn("phrase", F.col("phrase").cast("string")), "counts")
