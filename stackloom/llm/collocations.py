@@ -5,12 +5,13 @@ words [^\\x20\\x09]+.  Everything counts per language (null: und).  Phrases of 2
 max_words words found at least min_count times are candidates.
 
 1. Texts are written once, in groups (the input splits), and do not shuffle.  Every
-   group counts its n-grams, words included, in a sketch of two rows whose width
-   follows the corpus.  What moves is the group's own cells of each slice of a row,
-   as gaps and counts.
+   group counts its words and pairs in a sketch of two rows whose width follows the
+   corpus.  What moves is the group's own cells of each slice of a row, as gaps and
+   counts.
 2. A slice adds the groups' sketches.  A cell that reaches min_count may hold a
    frequent n-gram; a group gets back which of its own cells do.  Cells only
-   overestimate, so nothing frequent is lost.
+   overestimate, so nothing frequent is lost.  Longer n-grams follow in a second
+   sketch, where all pairs within them survive the first.
 3. A group reads its texts again and counts exactly the n-grams whose cells survive in
    both rows; longer ones only where the shorter ones within them survive.  Inside a
    group words and n-grams are told apart by their bytes, never by a hash.  Those
@@ -30,6 +31,7 @@ ignored and may have any name; an empty table, or no candidate, gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +106,30 @@ class Grams:
         return K.mix(h)
 
 
+    def surviving_pairs(self, survivors: Survivors) -> np.ndarray:
+        """At which words a pair starts that survives."""
+        out = np.zeros(len(self.word), bool)
+        at = self.starts(2)
+        out[at[survivors.has(2, self.gram_hashes(2, at))]] = True
+        return out
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Rounds of n-gram sizes, the width of each round's sketch rows, cells of a slice, flags of a group."""
+
+    rounds: tuple[tuple[int, ...], ...]
+    widths: tuple[int, ...]
+    slice_cells: int
+    flags: int
+
+    def slices(self, now: int) -> int:
+        return -(-self.widths[now] // self.slice_cells)
+
+    def round_of(self, size: int) -> int:
+        return next(k for k, sizes in enumerate(self.rounds) if size in sizes)
+
+
 def cells(h: np.ndarray, width: int) -> list[np.ndarray]:
     """The cell of each hash in each row."""
     return [(x % np.uint64(width)).astype(np.int64) for x in (h, K.mix(h ^ K._GOLD))]
@@ -147,8 +173,9 @@ def _run(held: list[pa.RecordBatch]) -> tuple[list[str], pa.Array]:
     return rows.column("lang").to_pylist(), rows.column("t").cast(pa.large_binary()).combine_chunks()
 
 
-def _sketches(folder: str, width: int, slice_cells: int, max_words: int, run_bytes: int, held_cells: int):
+def _sketches(folder: str, plan: Plan, now: int, run_bytes: int, held_cells: int):
     """Rows (slice, grp, n, at, counts): a group's cells of a slice of a sketch row, ascending, and what it counted there."""
+    width, slice_cells = plan.widths[now], plan.slice_cells
 
     def emit(grp, held):
         out = []
@@ -167,12 +194,17 @@ def _sketches(folder: str, width: int, slice_cells: int, max_words: int, run_byt
 
     def run(batches):
         for batch in batches:
-            for grp, files in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for grp, files, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                survivors = Survivors(found or [], plan)
                 held, n = [[] for _ in range(ROWS)], 0
                 for langs, texts in _texts(folder, files, run_bytes):
                     grams = Grams(langs, texts)
-                    for size in range(1, max_words + 1):
-                        h = grams.gram_hashes(size, grams.starts(size))
+                    here = grams.surviving_pairs(survivors) if now else None
+                    for size in plan.rounds[now]:
+                        at = grams.starts(size)
+                        for j in range(size - 1 if now else 0):
+                            at = at[here[at + j]]
+                        h = grams.gram_hashes(size, at)
                         for row, c in enumerate(cells(h, width)):
                             c.sort()
                             new = np.flatnonzero(np.append(True, c[1:] != c[:-1]))[: len(c)]
@@ -211,20 +243,24 @@ def _survivors(slice_cells: int, min_count: int):
 
 
 class Survivors:
-    """A group's surviving cells, as flags of FLAGS places a row; places that meet let more through, never less."""
+    """A group's surviving cells of each round, as flags of plan.flags places a row; places that meet let more through, never less."""
 
-    def __init__(self, found: list[dict], width: int, slice_cells: int, flags: int):
-        slices = -(-width // slice_cells)
-        self.width, self.mask = width, flags - 1
-        self.flags = [np.zeros(flags, bool) for _ in range(ROWS)]
+    def __init__(self, found: list[dict], plan: Plan):
+        self.plan, self.flags = plan, {}
         for x in found:
-            row, s = divmod(x["slice"], slices)
-            self.flags[row][(np.cumsum(unpacked(x["at"], x["n"])) + s * slice_cells) & self.mask] = True
-
-    def has(self, h: np.ndarray) -> np.ndarray:
+            row, s = divmod(x["slice"], plan.slices(x["round"]))
+            if (x["round"], row) not in self.flags:
+                self.flags[x["round"], row] = np.zeros(plan.flags, bool)
+            self.flags[x["round"], row][(np.cumsum(unpacked(x["at"], x["n"])) + s * plan.slice_cells) & (plan.flags - 1)] = True
+
+    def has(self, size: int, h: np.ndarray) -> np.ndarray:
+        """Which n-grams of this many words, by their hashes, have surviving cells."""
+        now = self.plan.round_of(size)
         out = np.ones(len(h), bool)
-        for f, c in zip(self.flags, cells(h, self.width), strict=True):
-            out &= f[c & self.mask]
+        for row, c in enumerate(cells(h, self.plan.widths[now])):
+            if (now, row) not in self.flags:
+                return np.zeros(len(h), bool)
+            out &= self.flags[now, row][c & (self.plan.flags - 1)]
         return out
 
 
@@ -242,7 +278,7 @@ def exact_counts(grams: Grams, survivors: Survivors, max_words: int) -> Iterator
             fits[:-1] &= here[:-1] & here[1:]
             fits[-1:] = False
         at = np.flatnonzero(fits)
-        at = at[survivors.has(grams.gram_hashes(n, at))]
+        at = at[survivors.has(n, grams.gram_hashes(n, at))]
         if not len(at):
             return
         pair = name[at] if n == 1 else name[at] * (int(name.max()) + 1) + name[at + 1]
@@ -252,13 +288,13 @@ def exact_counts(grams: Grams, survivors: Survivors, max_words: int) -> Iterator
         here[at], name[at] = True, named
 
 
-def _exact(folder: str, width: int, slice_cells: int, max_words: int, run_bytes: int, flags: int):
+def _exact(folder: str, plan: Plan, max_words: int, run_bytes: int):
     """Rows (lang, phrase, words, f) of the surviving n-grams of each run, and one with a null phrase for all words of a language."""
 
     def run(batches):
         for batch in batches:
             for files, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                survivors = Survivors(found or [], width, slice_cells, flags)
+                survivors = Survivors(found or [], plan)
                 for langs, texts in _texts(folder, files, run_bytes):
                     grams = Grams(langs, texts)
                     names = pa.array([w for _, w in grams.vocabulary], pa.large_binary())
@@ -280,6 +316,9 @@ def _counted(lang, phrase, n, f):
     return pa.RecordBatch.from_arrays([lang.cast(pa.string()), phrase.cast(pa.binary()), pa.array(np.full(len(f), n, np.int32)), pa.array(np.asarray(f, np.int64))], ["lang", "phrase", "words", "f"])
 
 
+_FOUND = "array<struct<round:int,slice:bigint,n:int,at:binary>>"
+
+
 def _wide(c: Column) -> Column:
     return c.cast("decimal(19,0)")
 
@@ -298,17 +337,22 @@ def phrase_counts(docs: DataFrame, min_count: int = 30, max_words: int = 4, lang
     groups = max(1, files.count())
     folder = f"{scratch.path}/texts"
 
-    # a task a group: a range each
-    dealt = files.repartitionByRange(groups, "grp").select("grp", "files")
-    sketches = dealt.mapInArrow(_sketches(folder, width, slice_cells, max_words, run_bytes, held_cells), "slice long, grp int, n int, at binary, counts binary")
-    found = sketches.groupBy("slice").applyInArrow(_survivors(slice_cells, min_count), "slice long, grp int, n int, at binary")
-    # no join, which could take what a group finds for small and broadcast it
-    both = found.select("grp", F.struct("slice", "n", "at").alias("found"), F.lit(None).cast("array<string>").alias("files")).unionByName(files.select("grp", "files"), allowMissingColumns=True)
-    work = scratch.write(both.groupBy("grp").agg(F.flatten(F.collect_list("files")).alias("files"), F.collect_list("found").alias("found")), "work")
-    exact = work.repartitionByRange(groups, "grp").select("files", "found").mapInArrow(_exact(folder, width, slice_cells, max_words, run_bytes, flags), "lang string, phrase binary, words int, f long")
+    rounds = tuple(x for x in ((1, 2), tuple(range(3, max_words + 1))) if x)
+    plan = Plan(rounds, (width, max(1024, width // 2))[: len(rounds)], slice_cells, flags)
+    work = files.select("grp", "files", F.lit(None).cast(_FOUND).alias("found"))
+    for now in range(len(rounds)):
+        # a task a group: a range each
+        dealt = work.repartitionByRange(groups, "grp").select("grp", "files", "found")
+        sketches = dealt.mapInArrow(_sketches(folder, plan, now, run_bytes, held_cells), "slice long, grp int, n int, at binary, counts binary")
+        found = sketches.groupBy("slice").applyInArrow(_survivors(slice_cells, min_count), "slice long, grp int, n int, at binary")
+        found = found.select("grp", F.array(F.struct(F.lit(now).alias("round"), "slice", "n", "at")).cast(_FOUND).alias("found"))
+        # no join, which could take what a group finds for small and broadcast it
+        both = found.unionByName(work, allowMissingColumns=True).groupBy("grp")
+        work = scratch.write(both.agg(F.flatten(F.collect_list("files")).alias("files"), F.flatten(F.collect_list("found")).alias("found")), f"work{now}")
+    exact = work.repartitionByRange(groups, "grp").select("files", "found").mapInArrow(_exact(folder, plan, max_words, run_bytes), "lang string, phrase binary, words int, f long")
     counts = exact.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter((F.col("f") >= min_count) | (F.col("words") == 0))
     counts = scratch.write(counts.withColumn("phrase", F.col("phrase").cast("string")), "counts")
-    scratch.drop("texts", "files", "work")
+    scratch.drop("texts", "files", *(f"work{now}" for now in range(len(rounds))))
     return counts, scratch
 
 
