@@ -61,7 +61,7 @@ def corpus(seed):
 
 @pytest.mark.parametrize(
     ("seed", "least", "top", "how"),
-    [(1, 4, 2000, {}), (2, 3, 7, {"bytes_a_cell": 400, "run_bytes": 500, "held_cells": 50, "flags": 64}), (3, 2, 50, {"slice_cells": 7, "run_bytes": 3000}), (4, 30, 2000, {"bytes_a_cell": 10**9, "flags": 16})],
+    [(1, 4, 2000, {}), (2, 3, 7, {"bytes_a_cell": 400, "run_bytes": 500, "held_cells": 50, "held_rows": 40, "flags": 64}), (3, 2, 50, {"slice_cells": 7, "run_bytes": 3000}), (4, 30, 2000, {"bytes_a_cell": 10**9, "flags": 16})],
 )
 def test_collocations_by_brute_force(spark, seed, least, top, how):
     rows = corpus(seed)
