@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import mmap
 import struct
+import zlib
 from pathlib import Path
 
 import pyarrow as pa
@@ -29,6 +30,34 @@ def _sections(data: bytes):
         yield struct.unpack_from("<IIQQQQIIQQ", data, offset + k * size)
 
 
+def named_sections(data: bytes, *names: str) -> dict[str, tuple[int, bytes]]:
+    """(address, content) of the sections with these names, unpacked where they are compressed; others are left out."""
+    sections = list(_sections(data))
+    if not sections:
+        return {}
+    texts, = struct.unpack_from("<H", data, 62)
+    start, out = sections[texts][4], {}
+    for s in sections:
+        at = start + s[0]
+        name = bytes(data[at : data.find(b"\0", at)]).decode("utf-8", "replace")
+        if name not in names or name in out or s[1] == 8:
+            continue
+        content = bytes(data[s[4] : s[4] + s[5]])
+        if s[2] & 0x800:
+            kind, _, size = struct.unpack_from("<IIQ", content)
+            content = _unpacked(kind, content[24:], size)
+        out[name] = s[3], content
+    return out
+
+
+def _unpacked(kind: int, content: bytes, size: int) -> bytes:
+    if kind == 1:
+        return zlib.decompress(content)
+    if kind == 2:
+        return pa.decompress(content, size, "zstd", asbytes=True)
+    raise ValueError(f"compression {kind} of a section is unknown")
+
+
 def symbols(data: bytes):
     """(seq, name, kind, binding, defined, address, size) of the symbol table; the dynamic one stands in where there is none."""
     sections = list(_sections(data))
