@@ -13,9 +13,9 @@ max_words words found at least min_count times are candidates.
    overestimate, so nothing frequent is lost.  Longer n-grams follow in a second
    sketch, where all pairs within them survive the first.
 3. A group reads its texts again and counts exactly the n-grams whose cells survive in
-   both rows; longer ones only where the shorter ones within them survive.  Inside a
-   group words and n-grams are told apart by their bytes, never by a hash.  Those
-   counts shuffle by language and phrase, with sums made before the shuffle.
+   both rows; longer ones only where the shorter ones within them survive.  Words and
+   n-grams are told apart by their bytes, never by a hash.  A group's counts shuffle
+   once, in buckets of phrases; a bucket follows 128 MB of texts and adds up in runs.
 4. A candidate's parts are themselves candidates or words, so its cuts find their
    counts by a join; so do the longer phrases that contain it.  The best of each
    language are first taken within partitions and salts.
@@ -52,6 +52,7 @@ RUN_BYTES = 6 << 20
 HELD_CELLS = 1 << 22
 HELD_ROWS = 1 << 21
 FLAGS = 1 << 24
+BUCKET_BYTES, MIN_BUCKETS = 1 << 27, 64
 
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
@@ -266,7 +267,7 @@ class Survivors:
 
 
 def exact_counts(grams: Grams, survivors: Survivors, max_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(n, word ids of each distinct surviving n-gram, its count) for n = 1 ... max_words.
+    """(n, where each distinct surviving n-gram starts first, its count) for n = 1 ... max_words.
 
     An n-gram is named by the ids of its first n - 1 and its last n - 1 words, so names are as exact as words are.
     """
@@ -284,21 +285,31 @@ def exact_counts(grams: Grams, survivors: Survivors, max_words: int) -> Iterator
             return
         pair = name[at] if n == 1 else name[at] * (int(name.max()) + 1) + name[at + 1]
         _, first, named, count = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
-        yield n, grams.word[at[first][:, None] + np.arange(n)], count
+        yield n, at[first], count
         here, name = np.zeros(total, bool), np.zeros(total, np.int64)
         here[at], name[at] = True, named
 
 
-def _exact(folder: str, plan: Plan, max_words: int, run_bytes: int, held_rows: int):
-    """Rows (lang, phrase, words, f) of the surviving n-grams of a group, and one with a null phrase for all words of a language.
+def _exact(folder: str, plan: Plan, max_words: int, run_bytes: int, held_rows: int, buckets: int):
+    """Rows (bucket, lang, n, size, phrases, f): the surviving n-grams of a group and how often it has them, in the order of phrases.
 
-    They come in the order of phrases, in which neighbours have much in common: a
-    third less is shuffled so.
+    An empty phrase stands for all words of a language.  Neighbours in that order
+    have much in common, so that a phrase takes a few bytes of the shuffle.
     """
 
-    def summed(held):
-        rows = pa.Table.from_batches(held).group_by(["lang", "phrase", "words"]).aggregate([("f", "sum")]).sort_by([("lang", "ascending"), ("phrase", "ascending")])
-        return rows.rename_columns({"f_sum": "f"}).select(["lang", "phrase", "words", "f"]).to_batches(max_chunksize=1 << 16)
+    def emit(held):
+        rows = pa.Table.from_batches(held).group_by(["lang", "phrase"]).aggregate([("f", "sum"), ("h", "min")])
+        rows = rows.append_column("bucket", pa.array((rows.column("h_min").to_numpy() % np.uint64(buckets)).astype(np.int32)))
+        rows = rows.sort_by([("bucket", "ascending"), ("lang", "ascending"), ("phrase", "ascending")]).combine_chunks()
+        bucket, lang = rows.column("bucket").to_numpy(), rows.column("lang").to_pylist()
+        phrases, f = rows.column("phrase").to_pylist(), rows.column("f_sum").to_numpy()
+        cut = [0, *(i for i in range(1, len(lang)) if lang[i] != lang[i - 1] or bucket[i] != bucket[i - 1]), len(lang)]
+        out = []
+        for i, j in zip(cut, cut[1:], strict=False):
+            text = b"\n".join(phrases[i:j])
+            out.append((int(bucket[i]), lang[i], j - i, len(text), pa.compress(text, "zstd", asbytes=True), packed(f[i:j])))
+        kinds = (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "lang", "n", "size", "phrases", "f"])
 
     def run(batches):
         for batch in batches:
@@ -309,29 +320,61 @@ def _exact(folder: str, plan: Plan, max_words: int, run_bytes: int, held_rows: i
                         held.append(rows)
                         n += rows.num_rows
                     if n >= held_rows:
-                        yield from summed(held)
+                        yield from emit(held)
                         held, n = [], 0
                 if held:
-                    yield from summed(held)
+                    yield from emit(held)
 
     return run
 
 
 def _run_counts(grams: Grams, survivors: Survivors, max_words: int) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, phrase, f, h) of a run; h: a hash that all groups give a phrase."""
     names = pa.array([w for _, w in grams.vocabulary], pa.large_binary())
     kinds = sorted({x for x, _ in grams.vocabulary})
     kind = np.array([kinds.index(x) for x, _ in grams.vocabulary], np.int64)
     if not kinds:
         return
     every = np.bincount(kind[grams.word], minlength=len(kinds))
-    yield _counted(pa.array(kinds), pa.nulls(len(kinds), pa.large_binary()), 0, every)
-    for n, ids, count in exact_counts(grams, survivors, max_words):
+    yield _counted(pa.array(kinds), pa.array([b""] * len(kinds)), every, np.zeros(len(kinds), np.uint64))
+    for n, first, count in exact_counts(grams, survivors, max_words):
+        ids = grams.word[first[:, None] + np.arange(n)]
         phrase = pc.binary_join_element_wise(*(names.take(pa.array(ids[:, j])) for j in range(n)), pa.scalar(b" ", pa.large_binary()))
-        yield _counted(pa.array(kinds).take(pa.array(kind[ids[:, 0]])), phrase, n, count)
+        yield _counted(pa.array(kinds).take(pa.array(kind[ids[:, 0]])), phrase, count, grams.gram_hashes(n, first))
+
+
+def _counted(lang, phrase, f, h):
+    return pa.RecordBatch.from_arrays([lang.cast(pa.string()), phrase.cast(pa.binary()), pa.array(np.asarray(f, np.int64)), pa.array(h)], ["lang", "phrase", "f", "h"])
+
+
+def _summed(min_count: int, held_rows: int):
+    """Adds the counts of a bucket's phrases; rows (lang, phrase, words, f) of those that reach min_count, and of all words."""
 
+    def whole(held):
+        out = pa.Table.from_batches(held).group_by("phrase").aggregate([("f", "sum")])
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in (out.column("phrase"), out.column("f_sum"))], ["phrase", "f"])
 
-def _counted(lang, phrase, n, f):
-    return pa.RecordBatch.from_arrays([lang.cast(pa.string()), phrase.cast(pa.binary()), pa.array(np.full(len(f), n, np.int32)), pa.array(np.asarray(f, np.int64))], ["lang", "phrase", "words", "f"])
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, bound = [], 0, held_rows
+        for batch in batches:
+            for m, size, phrases, f in zip(*(batch.column(c).to_pylist() for c in ("n", "size", "phrases", "f")), strict=True):
+                text = pa.decompress(phrases, size, "zstd", asbytes=True).split(b"\n")
+                held.append(pa.RecordBatch.from_arrays([pa.array(text, pa.binary()), pa.array(unpacked(f, m))], ["phrase", "f"]))
+                n += m
+                if n >= bound:
+                    held = [whole(held)]
+                    n = held[0].num_rows
+                    bound = max(held_rows, 2 * n)
+        rows = whole(held)
+        phrase, f = rows.column("phrase"), rows.column("f").to_numpy()
+        every = pc.equal(phrase, pa.scalar(b"")).to_numpy(zero_copy_only=False)
+        rows = rows.filter(pa.array((f >= min_count) | every))
+        phrase = rows.column("phrase").cast(pa.string())
+        words = pc.if_else(pc.equal(phrase, ""), 0, pc.add(pc.count_substring(phrase, " "), 1)).cast(pa.int32())
+        lang = pa.array([key[1].as_py()] * rows.num_rows, pa.string())
+        yield pa.RecordBatch.from_arrays([lang, phrase, words, rows.column("f")], ["lang", "phrase", "words", "f"])
+
+    return run
 
 
 _FOUND = "array<struct<round:int,slice:bigint,n:int,at:binary>>"
@@ -341,8 +384,8 @@ def _wide(c: Column) -> Column:
     return c.cast("decimal(19,0)")
 
 
-def phrase_counts(docs: DataFrame, min_count: int = 30, max_words: int = 4, lang_col: str = "lang", text_col: str = "text", bytes_a_cell: int = BYTES_A_CELL, slice_cells: int = SLICE_CELLS, run_bytes: int = RUN_BYTES, held_cells: int = HELD_CELLS, held_rows: int = HELD_ROWS, flags: int = FLAGS) -> tuple[DataFrame, Scratch]:
-    """A written table (lang, phrase, words, f): words and phrases found min_count times at least, exactly, and a null phrase (words 0) for all words of a language."""
+def phrase_counts(docs: DataFrame, min_count: int = 30, max_words: int = 4, lang_col: str = "lang", text_col: str = "text", bytes_a_cell: int = BYTES_A_CELL, slice_cells: int = SLICE_CELLS, run_bytes: int = RUN_BYTES, held_cells: int = HELD_CELLS, held_rows: int = HELD_ROWS, flags: int = FLAGS, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, Scratch]:
+    """A written table (lang, phrase, words, f): words and phrases found min_count times at least, exactly, and an empty phrase (words 0) for all words of a language."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "phrases")
     lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und"))
@@ -367,9 +410,9 @@ def phrase_counts(docs: DataFrame, min_count: int = 30, max_words: int = 4, lang
         # no join, which could take what a group finds for small and broadcast it
         both = found.unionByName(work, allowMissingColumns=True).groupBy("grp")
         work = scratch.write(both.agg(F.flatten(F.collect_list("files")).alias("files"), F.flatten(F.collect_list("found")).alias("found")), f"work{now}")
-    exact = work.repartitionByRange(groups, "grp").select("files", "found").mapInArrow(_exact(folder, plan, max_words, run_bytes, held_rows), "lang string, phrase binary, words int, f long")
-    counts = exact.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter((F.col("f") >= min_count) | (F.col("words") == 0))
-    counts = scratch.write(counts.withColumn("phrase", F.col("phrase").cast("string")), "counts")
+    buckets = max(MIN_BUCKETS, size // bucket_bytes)
+    exact = work.repartitionByRange(groups, "grp").select("files", "found").mapInArrow(_exact(folder, plan, max_words, run_bytes, held_rows, buckets), "bucket int, lang string, n int, size long, phrases binary, f binary")
+    counts = scratch.write(exact.groupBy("bucket", "lang").applyInArrow(_summed(min_count, held_rows), "lang string, phrase string, words int, f long"), "counts")
     scratch.drop("texts", "files", *(f"work{now}" for now in range(len(rounds))))
     return counts, scratch
 

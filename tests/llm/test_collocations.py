@@ -61,7 +61,7 @@ def corpus(seed):
 
 @pytest.mark.parametrize(
     ("seed", "least", "top", "how"),
-    [(1, 4, 2000, {}), (2, 3, 7, {"bytes_a_cell": 400, "run_bytes": 500, "held_cells": 50, "held_rows": 40, "flags": 64}), (3, 2, 50, {"slice_cells": 7, "run_bytes": 3000}), (4, 30, 2000, {"bytes_a_cell": 10**9, "flags": 16})],
+    [(1, 4, 2000, {}), (2, 3, 7, {"bytes_a_cell": 400, "run_bytes": 500, "held_cells": 50, "held_rows": 40, "bucket_bytes": 1000, "flags": 64}), (3, 2, 50, {"slice_cells": 7, "run_bytes": 3000}), (4, 30, 2000, {"bytes_a_cell": 10**9, "flags": 16})],
 )
 def test_collocations_by_brute_force(spark, seed, least, top, how):
     rows = corpus(seed)
@@ -104,4 +104,4 @@ def test_cells_round_trip_and_only_frequent_phrases_shuffle(spark):
     assert (unpacked(packed(x), len(x)) == x).all()
     rows = [(i, " ".join(f"w{i}x{k}" for k in range(200)) + " . new york", "en") for i in range(40)]
     counts, _ = phrase_counts(spark.createDataFrame(rows, SCHEMA), 30)
-    assert {r["phrase"]: r["f"] for r in counts.collect()} == {"new york": 40, "new": 40, "york": 40, None: 40 * 202}
+    assert {r["phrase"]: r["f"] for r in counts.collect()} == {"new york": 40, "new": 40, "york": 40, "": 40 * 202}
