@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from stackloom import sinks
 from stackloom.operators import compare, flamegraph, fold, objects, report, symbols
 from stackloom.operators import mappings as M
+from stackloom.operators.unwind import unwound_stacks
 from stackloom.sources import host
 from stackloom.sources import text as T
-from stackloom.sources.recording import read_recording
+from stackloom.sources.recording import SPLIT_BYTES, read_ranges, read_recording, recording_ranges
 
 
 def parser() -> argparse.ArgumentParser:
@@ -28,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
         f.add_argument("--symbols", help="the recorded kernel's symbol listing, asked first")
         f.add_argument("--system-map", help="a system map, asked next")
         f.add_argument("--live-symbols", help="the running kernel's listing, asked last, and first for modules")
+        f.add_argument("--host-symbols", action="store_true", help="take this host's system map and live listing where none is given")
         f.add_argument("--objects", action="store_true", help="name frames of objects by their symbol tables")
         f.add_argument("--debug-dir", default=host.debug_dir(os.environ.get("HOME", "")), help="where objects are kept by build id")
     s = plumbing.add_parser("summarize")
@@ -78,13 +80,14 @@ def named_addresses(stacks, maps, listings: dict, debug_dir: str | None = None):
         asked = cut(asked)
     none = asked.select("path", "addr", F.lit(None).cast("string").alias("name")).limit(0)
     known = symbols.precedence(asked, none, **listings)
-    out = _known(asked, known, ["path", "addr", "reference", "recorded"], "listed")
+    out = _known(asked, known, ["path", "addr", "reference", "recorded"], "name", "listed")
+    listed = F.when(F.col("listed").isNotNull(), F.array("listed"))
     if debug_dir is None:
-        out = out.withColumn("name", F.col("listed"))
+        out = out.withColumn("names", listed)
     else:
-        own = objects.names(asked, debug_dir).withColumn("has_object", F.lit(True))
-        out = _known(out, own, [*objects.KEYS, "addr"], "own").withColumn("name", F.when(F.col("has_object"), F.col("own")).otherwise(F.col("listed")))
-    return out.filter("name is not null").select("file", "pid", F.col("frame").alias("addr"), F.array("name").alias("names"))
+        own = objects.names(asked, debug_dir, cut).withColumn("has_object", F.lit(True))
+        out = _known(out, own, [*objects.KEYS, "addr"], "names", "own").withColumn("names", F.when(F.col("has_object"), F.col("own")).otherwise(listed))
+    return out.filter("names is not null").select("file", "pid", F.col("frame").alias("addr"), "names")
 
 
 def cut(df):
@@ -92,19 +95,41 @@ def cut(df):
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
-def _known(rows, table, keys: list[str], name: str):
-    """rows with table's other columns by keys, of which any may be null (as a struct they compare like values); table's `name` is called `name` there."""
-    others = [c for c in table.columns if c not in (*keys, "name")]
-    right = table.select(F.struct(*keys).alias("k"), F.col("name").alias(name), *others)
+def _known(rows, table, keys: list[str], column: str, name: str):
+    """rows with table's other columns by keys, of which any may be null (as a struct they compare like values); `column` is called `name` there."""
+    others = [c for c in table.columns if c not in (*keys, column)]
+    right = table.select(F.struct(*keys).alias("k"), F.col(column).alias(name), *others)
     return rows.join(right, F.struct(*keys) == F.col("k"), "left").drop("k")
 
 
-def fold_recording(spark, path: str, count_periods: bool = False, kallsyms: str | None = None, system_map: str | None = None, live: str | None = None, debug_dir: str | None = None):
-    """Folded stacks; kernel frames are named by the listings given, those of objects where a debug_dir is given."""
-    tables = {t: read_recording(spark, path, t) for t in ("samples", "comm", "mappings", "deferred")}
-    maps = cut(M.with_build_ids(tables["mappings"], read_recording(spark, path, "build_ids")))
+def own_listing(build_ids, folder: str | None) -> str | None:
+    """The cached listing of the kernel that was recorded, by the build id in the recordings' headers; None if they name several."""
+    if folder is None:
+        return None
+    found = [r["build_id"] for r in M.kernel_build_id(build_ids).select("build_id").distinct().limit(2).collect()]
+    return host.first_listing(host.cached_kallsyms(folder, found[0])) if len(found) == 1 else None
+
+
+#: What a fold needs of a sample; captured stacks are a table of their own.
+SAMPLE_COLUMNS = ("file", "ord", "time", "event_index", "pid", "tid", "period", "callchain", "cookie")
+
+
+def fold_recording(spark, path: str, count_periods: bool = False, kallsyms: str | None = None, system_map: str | None = None, live: str | None = None, debug_dir: str | None = None, split_bytes: int = SPLIT_BYTES, cache: str | None = None):
+    """Folded stacks; kernel frames are named by the listings given, those of objects where a debug_dir is given.
+
+    Captured user stacks are unwound by the call frame information of the objects
+    that are found, in `cache` (debug_dir where that is unset) or where they were recorded.
+    Without kallsyms the listing that the cache has for the recorded kernel is taken.
+    """
+    ranges = cut(recording_ranges(spark, path, split_bytes))
+    tables = {t: read_ranges(ranges, t, SAMPLE_COLUMNS if t == "samples" else None) for t in ("samples", "comm", "mappings", "deferred", "stacks")}
+    build_ids = read_recording(spark, path, "build_ids")
+    maps = cut(M.with_build_ids(tables["mappings"], build_ids))
+    deeper = unwound_stacks(tables["stacks"], maps, cache or debug_dir)
+    samples = tables["samples"].join(deeper, ["file", "ord"], "left")
     # both are read several times below, and are small against the samples
-    stacks = cut(fold.raw_stacks(tables["samples"], tables["comm"], tables["deferred"], count_periods, maps))
+    stacks = cut(fold.raw_stacks(samples, tables["comm"], tables["deferred"], count_periods, maps))
+    kallsyms = kallsyms or own_listing(build_ids, cache or debug_dir)
     listings = {k: listing(spark, x) for k, x in (("cached", kallsyms), ("system_map", system_map), ("live", live)) if x}
     named = named_addresses(stacks, maps, listings, debug_dir) if listings or debug_dir is not None else None
     return fold.folded(stacks, maps, named)
@@ -125,7 +150,9 @@ def run(spark: SparkSession, argv: list[str]) -> str:
     if a.verb in ("fold", "flamegraph"):
         # drawing is an external renderer's part: a flamegraph's lines are its input, weighted by period
         periods = a.verb == "flamegraph" or a.count_periods
-        lines = sinks.folded_lines(fold_recording(spark, a.recording, periods, a.symbols, a.system_map, a.live_symbols, a.debug_dir if a.objects else None))
+        system_map = a.system_map or (host.first_listing(host.current_system_maps()) if a.host_symbols else None)
+        live = a.live_symbols or (host.first_listing(["/proc/kallsyms"]) if a.host_symbols else None)
+        lines = sinks.folded_lines(fold_recording(spark, a.recording, periods, a.symbols, system_map, live, a.debug_dir if a.objects else None, cache=a.debug_dir))
         return "".join(r["value"] + "\n" for r in lines.collect())
     if a.verb == "summarize":
         kind, path = sinks.summary_source(a.folder) or sys.exit(f"nothing to summarise in {a.folder}")

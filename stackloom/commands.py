@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import subprocess
 
-#: The variable under which a launched process leaves its pid for the recorder.
-PID_VARIABLE = "STACKLOOM_TARGET_PID"
-
+# fixed values throughout: the tools prescribe their options
 
 def perf_record(output: str, target: dict, event: str | None = None, frequency: int = 997, call_graph: str = "dwarf,64000", seconds: int = 10) -> list[str]:
     """target: {"command": [...]}, {"pid": n} or {"tids": [...]}."""
@@ -38,12 +36,10 @@ def flamegraph(title: str) -> list[str]:
     return ["inferno-flamegraph", "--title", title, "-"]
 
 
-def off_cpu(method: str, command: list[str], output: str, seconds: int = 10, frequency: int = 997, call_graph: str = "dwarf,64000", **target) -> list[list[str]]:
-    """The commands of one off-CPU run, in order; method: bpftrace, perf-sched or perf-cpu-clock.  Only a command can be followed, no running process."""
+def off_cpu(method: str, command: list[str], output: str, frequency: int = 997, call_graph: str = "dwarf,64000", **target) -> list[list[str]]:
+    """The commands of one off-CPU run, in order; method: perf-sched or perf-cpu-clock.  Only a command can be followed, no running process."""
     if not command or any(target.values()):
         raise ValueError("off-CPU profiles need a command to run")
-    if method == "bpftrace":
-        return [["bpftrace", "-e", off_cpu_program(seconds), "-c", " ".join(command), "--unsafe"]]
     if method == "perf-sched":
         return [["perf", "sched", "record", "-o", output, "--", *command], ["perf", "sched", "timehist", "-i", output]]
     if method == "perf-cpu-clock":
@@ -51,19 +47,6 @@ def off_cpu(method: str, command: list[str], output: str, seconds: int = 10, fre
     raise ValueError(f"no off-CPU method {method}")
 
 
-def off_cpu_program(seconds: int) -> str:
-    """Nanoseconds between a thread's last switch away while blocked and its next switch in, summed by kernel stack in the map that sources.text.bpftrace reads."""
-    left = "tracepoint:sched:sched_switch /args->prev_state/ { @left[args->prev_pid] = nsecs; }"
-    back = "tracepoint:sched:sched_switch /@left[args->next_pid]/ { @offcpu[kstack] = sum(nsecs - @left[args->next_pid]); delete(@left[args->next_pid]); }"
-    return "\n".join([left, back, f"interval:s:{seconds} {{ exit(); }}"])
-
-
-def xctrace_record(trace: str, command: list[str]) -> list[str]:
-    """Started through a shell that leaves its pid in the file named by PID_VARIABLE before it becomes the command."""
-    launch = f'echo "$$" > "${PID_VARIABLE}"; exec "$@"'
-    return ["xctrace", "record", "--quiet", "--template", "CPU Profiler", "--output", trace, "--no-prompt", "--launch", "--", "/bin/sh", "-c", launch, "stackloom-launch", *command]
-
-
 def xctrace_export(trace: str, output: str) -> list[str]:
     return ["xctrace", "export", "--input", trace, "--output", output, "--xpath", "//table"]
 

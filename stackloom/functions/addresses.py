@@ -62,6 +62,11 @@ def saturating_end(start: Column, length: Column) -> Column:
     return F.when(order_key(end) < order_key(start), F.lit(-1).cast("long")).otherwise(end)
 
 
+def within(low: Column, high: Column, at: Column) -> Column:
+    """low <= at < high, unsigned."""
+    return (order_key(low) <= order_key(at)) & (order_key(at) < order_key(high))
+
+
 def contains(start: Column, length: Column, at: Column) -> Column:
     """start <= at < start + length, unsigned."""
     return (order_key(start) <= order_key(at)) & (order_key(at) < order_key(saturating_end(start, length)))

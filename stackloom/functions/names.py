@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stackloom.functions.demangle import demangle
+
 #: Categories in the order in which they are tried, and what a lower-cased name must contain.
 CATEGORIES = (
     ("Cache/Foyer", ("foyer", "hybrid_cache", "article_cache", "cache::", "moka")),
@@ -152,14 +154,33 @@ def generic_leaf(name: str) -> str | None:
     return found and found[1]
 
 
-def inline_frames(names: Column) -> Column:
-    """Names of one address as debug information lists them, innermost first, in the order of a stack."""
-    return F.reverse(names)
-
-
 def normal_symbol_name(names) -> Column:
     return _arrow(symbol_name, F.col(names) if isinstance(names, str) else names)
 
 
 def normal_debug_name(names) -> Column:
     return _arrow(debug_function_name, F.col(names) if isinstance(names, str) else names)
+
+
+def readable_name(c: Column) -> Column:
+    """Names as people write them, of mangled ones."""
+    return _arrow(demangle, c)
+
+
+def readable_symbol_name(c: Column) -> Column:
+    """normal_symbol_name of names as a symbol table has them, mangled."""
+    return _arrow(lambda x: symbol_name(demangle(x)), c)
+
+
+def readable_debug_name(c: Column) -> Column:
+    return _arrow(lambda x: debug_function_name(demangle(x)), c)
+
+
+def debug_leaf(c: Column) -> Column:
+    """What debug strings list a name under."""
+
+    def leaf(name: str) -> str:
+        short = debug_function_name(name)
+        return generic_leaf(short) or short
+
+    return _arrow(leaf, c)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.functions.addresses import contains, wrapping_sub
+from stackloom.functions.addresses import within, wrapping_sub
 from stackloom.operators import intervals as I
 
 _NAMES = "array<string>"
@@ -13,12 +13,11 @@ _NAMES = "array<string>"
 
 def enclosing(requests: DataFrame, functions: DataFrame) -> DataFrame:
     """Every pair of distinct requests (object, addr, base) and a function or inlined call (object, unit, die, until, depth, inlined, low, high, name, linkage) that contains the address."""
-    size = wrapping_sub(F.col("high"), F.col("low"))
-    f = I.bucketed(functions, F.col("low"), size)
+    f = I.bucketed(functions, F.col("low"), wrapping_sub(F.col("high"), F.col("low")))
     want = requests.select("object", "addr", "base").distinct()
     want = I.probed(want.join(I.levels_of(f, "object"), "object"), F.col("addr"))
     f = f.select(F.col("object").alias("f_object"), "unit", "die", "until", "depth", "inlined", "low", "high", "name", "linkage", "i_level", "i_bucket")
-    on = (F.col("object") == F.col("f_object")) & (F.col("p_level") == F.col("i_level")) & (F.col("p_bucket") == F.col("i_bucket")) & contains(F.col("low"), size, F.col("addr"))
+    on = (F.col("object") == F.col("f_object")) & (F.col("p_level") == F.col("i_level")) & (F.col("p_bucket") == F.col("i_bucket")) & within(F.col("low"), F.col("high"), F.col("addr"))
     return want.join(f, on).drop("f_object", "p_level", "p_bucket", "i_level", "i_bucket")
 
 

@@ -19,12 +19,15 @@ LEVELS = (12, 20, 28, 36, 44, 52, 60)
 
 def bucketed(intervals: DataFrame, start: Column, length: Column) -> DataFrame:
     """intervals with `i_level` and `i_bucket`, a row for each bucket; empty ones go."""
-    end = wrapping_sub(saturating_end(start, length), F.lit(1).cast("long"))
+    # a column of its own for each step: the expressions repeat what they take
+    rows = intervals.withColumn("i_len", length).filter("i_len <> 0")
+    size = F.col("i_len")
     level = F.lit(LEVELS[-1])
     for bits in reversed(LEVELS[:-1]):
-        level = F.when((length >= 0) & (length <= 1 << bits), F.lit(bits)).otherwise(level)
+        level = F.when((size >= 0) & (size <= 1 << bits), F.lit(bits)).otherwise(level)
+    rows = rows.withColumn("i_level", level).withColumn("i_stop", saturating_end(start, size)).withColumn("i_last", wrapping_sub(F.col("i_stop"), F.lit(1).cast("long")))
     shifted = lambda x: F.call_function("shiftrightunsigned", x, F.col("i_level"))
-    return intervals.filter(length != 0).withColumn("i_level", level).withColumn("i_bucket", F.explode(F.sequence(shifted(start), shifted(end))))
+    return rows.withColumn("i_bucket", F.explode(F.sequence(shifted(start), shifted(F.col("i_last"))))).drop("i_len", "i_stop", "i_last")
 
 
 def levels_of(buckets: DataFrame, *keys: str) -> DataFrame:

@@ -12,15 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.functions.addresses import ALL_PIDS, contains, is_kernel, order_key, saturating_end, wrapping_add, wrapping_sub
+from stackloom.functions.addresses import ALL_PIDS, contains, is_kernel, order_key, wrapping_add, wrapping_sub
+from stackloom.operators import intervals as I
 
 NOT_CODE = ("//anon", "[anon]", "[stack]", "[heap]")
 #: Names of the kernel's mapping.
 KERNEL, KERNEL_NAMES = "[kernel.kallsyms]", ("[kernel.kallsyms]", "[kernel]", "[guest.kernel]")
 #: Columns that tell which file was mapped, where a mapping has them.
 IDENTITY = ("major", "minor", "inode")
-#: Bits of a bucket's size on each level.
-LEVELS = (12, 20, 28, 36, 44, 52, 60)
 
 
 def with_build_ids(mappings: DataFrame, build_ids: DataFrame) -> DataFrame:
@@ -34,28 +33,18 @@ def relative_address(at, start, pgoff, path, pid):
     return F.when(path.startswith("[") & (pid == ALL_PIDS), at).otherwise(wrapping_add(wrapping_sub(at, start), pgoff))
 
 
-def _bucketed_mappings(mappings: DataFrame) -> DataFrame:
-    """A row for each bucket that a mapping touches, on the first level whose buckets are no smaller than it."""
-    start, end = F.col("start"), wrapping_sub(saturating_end(F.col("start"), F.col("len")), F.lit(1).cast("long"))
-    level = F.lit(LEVELS[-1])
-    for bits in reversed(LEVELS[:-1]):
-        level = F.when((F.col("len") >= 0) & (F.col("len") <= 1 << bits), F.lit(bits)).otherwise(level)
-    shifted = lambda x: F.call_function("shiftrightunsigned", x, F.col("m_level"))
-    rows = mappings.filter("len <> 0").withColumn("m_level", level)
-    return rows.withColumn("m_bucket", F.explode(F.sequence(shifted(start), shifted(end))))
-
-
 def _found(addresses: DataFrame, mappings: DataFrame, keep: list[str]) -> DataFrame:
     """Every pair of an address (file, pid, addr, *keep) and a mapping that contains it, with the mapping's columns and its rank."""
-    m = _bucketed_mappings(mappings).select(
-        F.col("file").alias("m_file"), F.col("pid").alias("map_pid"), F.col("start").alias("map_start"), "len", "pgoff", F.col("path").alias("map_path"), "prot", "build_id", F.col("ord").alias("m_ord"), *[c for c in ("m_level", "m_bucket", "m_at", *IDENTITY) if c in (*mappings.columns, "m_level", "m_bucket")],
+    m = I.bucketed(mappings, F.col("start"), F.col("len")).select(
+        F.col("file").alias("m_file"), F.col("pid").alias("map_pid"), F.col("start").alias("map_start"), "len", "pgoff", F.col("path").alias("map_path"), "prot", "build_id", F.col("ord").alias("m_ord"), "i_level", "i_bucket", *[c for c in ("m_at", *IDENTITY) if c in mappings.columns],
     )
-    probe = addresses.select("file", "pid", "addr", *keep, F.explode(F.array(*[F.struct(F.lit(b).alias("level"), F.shiftrightunsigned("addr", b).alias("bucket")) for b in LEVELS])).alias("b"))
-    # the mappings of all pids are asked for under their own number
+    # the mappings of all pids are asked for under their own number; a pid is asked on the levels of its mappings
     whose = F.explode(F.array_distinct(F.array(F.col("pid"), F.lit(ALL_PIDS).cast("long")))).alias("asked")
-    probe = probe.select("file", "pid", "addr", *keep, "b.level", "b.bucket", whose)
+    levels = I.levels_of(m, "m_file", "map_pid").select(F.col("m_file").alias("l_file"), F.col("map_pid").alias("l_pid"), "levels")
+    probe = addresses.select("file", "pid", "addr", *keep, whose)
+    probe = I.probed(probe.join(levels, (F.col("file") == F.col("l_file")) & (F.col("asked") == F.col("l_pid"))).drop("l_file", "l_pid"), F.col("addr"))
     inside = contains(F.col("map_start"), F.col("len"), F.col("addr"))
-    on = (F.col("file") == F.col("m_file")) & (F.col("asked") == F.col("map_pid")) & (F.col("level") == F.col("m_level")) & (F.col("bucket") == F.col("m_bucket")) & inside
+    on = (F.col("file") == F.col("m_file")) & (F.col("asked") == F.col("map_pid")) & (F.col("p_level") == F.col("i_level")) & (F.col("p_bucket") == F.col("i_bucket")) & inside
     rank = F.struct(order_key(F.col("map_start")).alias("start"), (F.col("map_pid") == F.col("pid")).alias("own"), F.col("m_ord").alias("ord"))
     return probe.join(m, on).withColumn("rank", rank)
 

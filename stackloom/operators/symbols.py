@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackloom.functions.addresses import contains, order_key, wrapping_add, wrapping_sub
+from stackloom.functions.names import debug_leaf
 
 
 def kallsyms_table(symbols: DataFrame, seq: str = "seq") -> DataFrame:
@@ -18,36 +19,40 @@ def first_address(symbols: DataFrame, seq: str = "seq") -> DataFrame:
     return symbols.groupBy("name").agg(F.min_by("addr", seq).alias("addr"))
 
 
-def _quantiles(keys: DataFrame, parts: int) -> list[int]:
-    """Up to parts - 1 keys that cut a column `k` in parts of about one size."""
-    if parts < 2:
-        return []
-    row = keys.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10_000)).first()
-    return sorted(set(row[0] or ()))
+#: Bits of the blocks in which addresses are looked up, and of the blocks of blocks.
+BLOCK_BITS, OUTER_BITS = 20, 20
 
 
-def nearest_below(addresses: DataFrame, symbols: DataFrame, block_rows: int = 50_000, most_blocks: int = 256) -> DataFrame:
+def nearest_below(addresses: DataFrame, symbols: DataFrame) -> DataFrame:
     """Distinct addresses (addr) with the name of the greatest symbol address at or below, unsigned; null if there is none.
 
-    Both sides go by blocks of addresses, cut at quantiles of what is there, so
-    one ordered run holds an even share of the table wherever its addresses crowd:
-    a block's own symbols first, else the last symbol of the blocks below, which
-    come from a table of a row a block.
+    Both sides go by blocks of 2**20 addresses, which hold as many rows of a side at
+    most wherever addresses crowd, as those of a side are distinct.  A block's own
+    symbols come first, then the last symbol of the blocks before it in its block of
+    blocks, then that of the blocks of blocks before: small tables of a row a block.
+    No job runs while the plan is made.
     """
-    want = addresses.select("addr").distinct()
-    keys = want.select(order_key(F.col("addr")).alias("k")).union(symbols.select(order_key(F.col("addr"))))
-    cuts = _quantiles(keys, min(most_blocks, -(-keys.count() // block_rows)))
-    block = lambda c: F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in cuts]).cast("array<long>"), lambda x: x <= order_key(c)))
-    want = want.withColumn("block", block(F.col("addr")))
-    sym = symbols.select("addr", "name").withColumn("block", block(F.col("addr")))
+    block = F.shiftrightunsigned("addr", BLOCK_BITS)
+    want = addresses.select("addr").distinct().withColumn("block", block)
+    sym = symbols.select("addr", "name").withColumn("block", block)
     rows = want.select("block", "addr", F.lit(None).cast("string").alias("name"), F.lit(1).alias("side")).union(sym.select("block", "addr", "name", F.lit(0).alias("side")))
     run = Window.partitionBy("block").orderBy(order_key(F.col("addr")), "side").rowsBetween(Window.unboundedPreceding, 0)
-    inside = rows.withColumn("name", F.last("name", ignorenulls=True).over(run)).filter("side = 1")
-    # blocks number at most `most_blocks`: a fixed bound
-    last = sym.groupBy("block").agg(F.max_by("name", order_key(F.col("addr"))).alias("last"))
-    used = want.select("block").distinct().join(last, "block", "full")
-    below = used.withColumn("below", F.last("last", ignorenulls=True).over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).select("block", "below")
-    return inside.join(F.broadcast(below), "block", "left").select("addr", F.coalesce("name", "below").alias("name"))
+    inside = rows.withColumn("name", F.last("name", ignorenulls=True).over(run)).filter("side = 1").select("addr", "block", "name")
+
+    def before(keys: DataFrame, ends: DataFrame, key: str, within: list[str]) -> DataFrame:
+        """keys with `before_<key>`, the last name of the keys below each, in the same group."""
+        both = keys.join(ends, [*within, key], "full")
+        own = Window.partitionBy(*within).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        return both.withColumn(f"before_{key}", F.last("last", ignorenulls=True).over(own)).select(*within, key, f"before_{key}")
+
+    outer = F.shiftrightunsigned("block", OUTER_BITS)
+    ends = sym.groupBy("block").agg(F.max_by("name", order_key(F.col("addr"))).alias("last")).withColumn("outer", outer)
+    below = before(want.select("block").distinct().withColumn("outer", outer), ends, "block", ["outer"])
+    last = ends.groupBy("outer").agg(F.max_by("last", "block").alias("last"))
+    # 2**24 rows at most, as addresses have 64 bits
+    far = before(want.select(F.shiftrightunsigned("block", OUTER_BITS).alias("outer")).distinct(), last, "outer", [])
+    found = inside.join(below, "block", "left").join(far, "outer", "left")
+    return found.select("addr", F.coalesce("name", "before_block", "before_outer").alias("name"))
 
 
 def relocated(addresses: DataFrame, symbols: DataFrame, reference: str | Column, recorded: int) -> DataFrame:
@@ -85,8 +90,11 @@ def precedence(requests: DataFrame, objects: DataFrame, cached: DataFrame | None
 
     The kernel: its cached listing, the system map, the live listing, the kernel
     image; a system map is not used beside a kernel image.  Modules: their cached
-    object, the live listing, the cached listing.  Other paths: their object.
-    objects: (path, addr, name); kernel_image: (addr, name); listings: (seq, addr, name).
+    object where there is one, whether it names the address or not; else the live
+    listing, then the cached listing.  Other paths: their object.
+    objects: (path, addr, name), a row for each address whose object was found, with a
+    null name where that names nothing there; kernel_image: (addr, name); listings:
+    (seq, addr, name).
     """
     keys = ["path", "addr", "reference", "recorded"]
     rows = requests.select(*keys).distinct()
@@ -97,19 +105,20 @@ def precedence(requests: DataFrame, objects: DataFrame, cached: DataFrame | None
             listed[k] = relocated_below(asked, table).filter("name is not null").withColumnRenamed("name", k)
     if kernel_image is not None:
         listed["image"] = kernel_image.select("addr", F.lit(None).cast("string").alias("reference"), F.lit(None).cast("long").alias("recorded"), F.col("name").alias("image"))
-    out = rows.join(objects.select("path", "addr", F.col("name").alias("object")), ["path", "addr"], "left")
+    out = rows.join(objects.select("path", "addr", F.col("name").alias("object"), F.lit(True).alias("has_object")), ["path", "addr"], "left")
     for k, t in listed.items():
         t = t.select(F.col("addr").alias("t_addr"), F.col("reference").alias("t_ref"), F.col("recorded").alias("t_rec"), k)
         same = (F.col("addr") == F.col("t_addr")) & (F.lit(k == "image") | (F.col("reference").eqNullSafe(F.col("t_ref")) & F.col("recorded").eqNullSafe(F.col("t_rec"))))
         out = out.join(t, same, "left").drop("t_addr", "t_ref", "t_rec")
     name = lambda *order: F.coalesce(*[F.col(k) for k in order if k in (*listed, "object")], F.lit(None).cast("string"))
-    chosen = F.when(is_module_path(F.col("path")), name("object", "live", "cached")).when(is_kernel_object(F.col("path")), name("cached", "map", "live", "image")).otherwise(F.col("object"))
+    chosen = F.when(is_module_path(F.col("path")) & F.col("has_object").isNull(), name("live", "cached")).when(is_module_path(F.col("path")), F.col("object")).when(is_kernel_object(F.col("path")), name("cached", "map", "live", "image")).otherwise(F.col("object"))
     return out.select(*keys, chosen.alias("name"))
 
 
-def best_object_symbol(requests: DataFrame, symbols: DataFrame, page_bits: int = 12) -> DataFrame:
+def best_object_symbol(requests: DataFrame, symbols: DataFrame, page_bits: int = 12, rename=None) -> DataFrame:
     """requests (object, addr) with the symbol that contains each: greatest start; of equal starts one with a size, not weak, with fewer leading underscores, a longer name, the first.
 
+    rename: from a column of names to that of the names that are compared and given.
     Symbols meet requests by object and page, so the join has an equality beyond the object.
     """
     usable = symbols.filter(F.col("defined") & (F.col("name") != "") & F.col("kind").isin("text", "data", "label"))
@@ -118,8 +127,10 @@ def best_object_symbol(requests: DataFrame, symbols: DataFrame, page_bits: int =
     want = requests.select("object", "addr").distinct().withColumn("page", F.shiftright("addr", page_bits)).withColumnRenamed("addr", "at")
     hit = F.when(F.col("size") == 0, F.col("addr") == F.col("at")).otherwise(contains(F.col("addr"), F.col("size"), F.col("at")))
     both = want.join(pages, ["object", "page"]).filter(hit)
+    if rename is not None:
+        both = both.withColumn("name", rename(F.col("name")))
     rank = Window.partitionBy("object", "at").orderBy(
-        order_key(F.col("addr")).desc(), (F.col("size") > 0).desc(), (F.col("binding") != "weak").desc(), F.length(F.regexp_extract("name", "^(_*)", 1)), F.length("name").desc(), "seq"
+        order_key(F.col("addr")).desc(), (F.col("size") > 0).desc(), (F.col("binding") != "weak").desc(), F.length(F.regexp_extract("name", "^(_*)", 1)), F.octet_length("name").desc(), "seq"
     )
     return both.withColumn("rn", F.row_number().over(rank)).filter("rn = 1").select("object", F.col("at").alias("addr"), "name")
 
@@ -143,8 +154,19 @@ def first_found(wanted: DataFrame, keys: list[str], *sources: DataFrame) -> Data
     return out.withColumn("name", F.coalesce(*names)).drop(*names)
 
 
+def last_below(requests: DataFrame, symbols: DataFrame) -> DataFrame:
+    """requests (object, addr) with the name of the greatest symbol at or below each, whatever its size; null if there is none.
+
+    A window holds the table of one object and what is asked of it.
+    """
+    want = requests.select("object", "addr", F.lit(None).cast("string").alias("name"), F.lit(1).alias("side"), F.lit(0).cast("long").alias("seq")).distinct()
+    usable = symbols.filter(F.col("defined") & (F.col("name") != "") & (F.col("kind").isin("text", "data") | ((F.col("kind") == "label") & (F.col("size") > 0))))
+    rows = want.unionByName(usable.select("object", "addr", "name", F.lit(0).alias("side"), (-F.col("seq")).alias("seq")))
+    run = Window.partitionBy("object").orderBy(order_key(F.col("addr")), "side", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("name", F.last("name", ignorenulls=True).over(run)).filter("side = 1").select("object", "addr", "name")
+
+
 def specialise(names: DataFrame, debug: DataFrame) -> DataFrame:
-    """names (name) with the one specialised name that debug strings (leaf, name) give for their leaf."""
-    leaf = F.coalesce(F.nullif(F.regexp_extract("name", "(?s)^([^< (]+)<", 1), F.lit("")), F.col("name"))
-    known = debug.select(F.col("leaf").alias("l"), F.col("name").alias("special"))
-    return names.withColumn("l", leaf).join(known, "l", "left").withColumn("name", F.coalesce("special", "name")).drop("l", "special")
+    """names (object, name) with `special`: the one specialised name that debug strings (object, leaf, name) give for their leaf; others are left out."""
+    known = debug.select("object", "leaf", F.col("name").alias("special"))
+    return names.select("object", "name").distinct().withColumn("leaf", debug_leaf(F.col("name"))).join(known, ["object", "leaf"]).select("object", "name", "special")

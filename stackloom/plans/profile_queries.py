@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackloom.functions import names as N
-from stackloom.operators import compare, flamegraph, fold, offcpu, report, symbols, timeline
+from stackloom.operators import compare, flamegraph, fold, inlines, objects, offcpu, report, symbols, timeline
 from stackloom.operators import mappings as M
 from stackloom.plans import views as V
 from stackloom.sources import text as T
@@ -422,9 +422,61 @@ _MODULES = "CASE user_id % 4 WHEN 0 THEN '[kernel.kallsyms]' WHEN 1 THEN '[modul
 _PLACES = f"p AS (SELECT DISTINCT {_MODULES} AS path, 4096 + (event_id % 3000) * 16 AS addr FROM events)"
 
 
-@query(f"WITH {_K}, {_PLACES}, o AS (SELECT DISTINCT path, addr, path || addr AS object FROM p WHERE addr % 3 = 0), c AS (SELECT addr, name FROM kallsyms WHERE seq % 2 = 0), l AS (SELECT addr, name || '_live' AS name FROM kallsyms) SELECT p.path, p.addr, CASE WHEN p.path = '/bin/app' THEN object WHEN p.path = '[module]' THEN coalesce(object, (SELECT arg_max(name, l.addr) FROM l WHERE l.addr <= p.addr), (SELECT arg_max(name, c.addr) FROM c WHERE c.addr <= p.addr)) ELSE coalesce((SELECT arg_max(name, c.addr) FROM c WHERE c.addr <= p.addr), (SELECT arg_max(name, l.addr) FROM l WHERE l.addr <= p.addr)) END AS name FROM p LEFT JOIN o ON o.path = p.path AND o.addr = p.addr")
+@query(f"WITH {_K}, {_PLACES}, o AS (SELECT DISTINCT path, addr, CASE WHEN addr % 9 <> 0 THEN path || addr END AS object FROM p WHERE addr % 3 = 0), c AS (SELECT addr, name FROM kallsyms WHERE seq % 2 = 0), l AS (SELECT addr, name || '_live' AS name FROM kallsyms) SELECT p.path, p.addr, CASE WHEN p.path = '/bin/app' THEN object WHEN p.path = '[module]' AND o.path IS NOT NULL THEN object WHEN p.path = '[module]' THEN coalesce((SELECT arg_max(name, l.addr) FROM l WHERE l.addr <= p.addr), (SELECT arg_max(name, c.addr) FROM c WHERE c.addr <= p.addr)) ELSE coalesce((SELECT arg_max(name, c.addr) FROM c WHERE c.addr <= p.addr), (SELECT arg_max(name, l.addr) FROM l WHERE l.addr <= p.addr)) END AS name FROM p LEFT JOIN o ON o.path = p.path AND o.addr = p.addr")
 def symbol_sources(spark: SparkSession, d: str) -> DataFrame:
     asked = V.events(spark, d).selectExpr(f"{_MODULES} as path", "4096 + (event_id % 3000) * 16 as addr", "cast(null as string) as reference", "cast(null as bigint) as recorded").distinct()
-    objects = asked.filter("addr % 3 = 0").select("path", "addr", F.concat("path", F.col("addr").cast("string")).alias("name"))
+    # an object that was found and names nothing ends the search
+    objects = asked.filter("addr % 3 = 0").selectExpr("path", "addr", "if(addr % 9 <> 0, concat(path, addr), null) as name")
     known = V.kallsyms(spark, d)
     return symbols.precedence(asked, objects, cached=known.filter("seq % 2 = 0"), live=known.withColumn("name", F.concat("name", F.lit("_live")))).select("path", "addr", "name")
+
+
+# functions with two nested inlined calls, the first of which has a split range, and a call beside them; each stands for a part
+_FUNCTIONS = """fn AS (SELECT '/lib/' || p_brand AS object, p_partkey AS k, p_partkey * 4096 AS base, p_name AS name FROM part)"""
+_INLINE_ASKED = "asked AS (SELECT DISTINCT object, base + (event_id * 37) % 1100 AS addr, CASE event_id % 3 WHEN 0 THEN name WHEN 1 THEN 'alias' END AS base_name, k, (event_id * 37) % 1100 AS place, name FROM events JOIN fn ON k = 1 + event_id % 500)"
+
+
+@query(f"""WITH {_FUNCTIONS}, {_INLINE_ASKED}, chains AS (
+  SELECT *, list_concat([name], CASE WHEN place >= 128 AND place < 256 OR place >= 384 AND place < 640 THEN list_concat(['middle' || k % 7], CASE WHEN place >= 400 AND place < 450 THEN ['inner'] ELSE [] END)
+    WHEN place >= 640 AND place < 700 THEN ['inner'] ELSE [] END) AS chain FROM asked WHERE place < 1024)
+SELECT object, addr, base_name AS base, CASE WHEN len(chain) > 1 OR name <> base_name THEN array_to_string(chain, ';') END AS names, array_to_string(chain, ';') AS linked FROM chains""")
+def inline_frames(spark: SparkSession, d: str) -> DataFrame:
+    fn = V.parts(spark, d).selectExpr("concat('/lib/', p_brand) as object", "p_partkey as k", "p_partkey * 4096 as base", "p_name as name")
+    asked = V.events(spark, d).join(fn, F.expr("k = 1 + event_id % 500")).selectExpr("object", "base + (event_id * 37) % 1100 as addr", "case event_id % 3 when 0 then name when 1 then 'alias' end as base")
+    rows = "inline(array(" + ", ".join(
+        f"struct(k % 3L as unit, k * 100 + {die}L as die, k * 100 + {until}L as until, {depth} as depth, {inlined} as inlined, base + {low} as low, base + {high} as high, {name} as name)"
+        for die, until, depth, inlined, low, high, name in [
+            (0, 90, 0, "false", 0, 1024, "name"), (10, 40, 1, "true", 128, 256, "concat('middle', k % 7)"), (10, 40, 1, "true", 384, 640, "concat('middle', k % 7)"), (20, 30, 2, "true", 400, 450, "'inner'"),
+            (45, 47, 1, "true", 200, 300, "cast(null as string)"), (50, 60, 1, "true", 640, 700, "'inner'"), (70, 80, 1, "false", 500, 600, "'nested'"),
+        ]
+    ) + "))"
+    functions = fn.select("object", "k", "base", F.col("name")).selectExpr("object", rows).withColumn("linkage", F.lit(None).cast("string"))
+    out = inlines.inline_chains(asked, functions)
+    return out.select("object", "addr", "base", F.array_join("names", ";").alias("names"), F.array_join("linked", ";").alias("linked"))
+
+
+@query(f"WITH {_FUNCTIONS}, {_INLINE_ASKED} SELECT DISTINCT object, k % 3 + 3 * (k // 30) AS unit FROM asked WHERE place < 1000")
+def debug_units_asked(spark: SparkSession, d: str) -> DataFrame:
+    fn = V.parts(spark, d).selectExpr("concat('/lib/', p_brand) as object", "p_partkey as k", "p_partkey * 4096 as base")
+    asked = V.events(spark, d).join(fn, F.expr("k = 1 + event_id % 500")).selectExpr("object", "base + (event_id * 37) % 1100 as at")
+    return objects.units_asked(asked, fn.selectExpr("object", "k % 3 + 3 * (k div 30) as unit", "base as low", "base + 1000 as high"))
+
+
+_HASH = "'17h' || lpad(CAST(event_id AS STRING), 16, '0') || 'E'"
+_MANGLED = ("'_ZN3app4Pool3runEi'", "'_ZNK3app3BoxIiE3getERKSt6vectorIiSaIiEE'", f"'_ZN3foo3bar' || {_HASH}", "'_RNvNtCs1234_7mycrate3foo3bar'", "'main' || event_id", "'_Z1fPFvicE.cold'", f"'_ZN4core3ptr22drop_in_place$LT$S$GT$' || {_HASH}")
+_READABLE = ("'app::Pool::run(int)'", "'app::Box<int>::get(std::vector<int, std::allocator<int> > const&) const'", "'foo::bar'", "'mycrate::foo::bar'", "'main' || event_id", "'f(void (*)(int, char)) [clone .cold]'", "'core::ptr::drop_in_place<S>'")
+
+
+@query(f"SELECT event_id, {_by_kind(_READABLE)} AS name FROM events")
+def demangled_names(spark: SparkSession, d: str) -> DataFrame:
+    rows = V.events(spark, d).selectExpr("event_id", f"{_by_kind(_MANGLED)} as name")
+    return rows.select("event_id", N.readable_name(F.col("name")).alias("name"))
+
+
+@query("""WITH s AS (SELECT '/lib/' || p_brand AS object, p_partkey AS k, p_partkey * 64 AS addr, p_name AS name FROM part),
+a AS (SELECT DISTINCT object, 100 + (event_id * 31) % 130000 AS addr FROM events JOIN s ON k = 1 + event_id % 500)
+SELECT a.object, a.addr, (SELECT arg_max(name, s.addr) FROM s WHERE s.object = a.object AND s.addr <= a.addr AND k % 3 > 0) AS name FROM a""")
+def object_symbol_below(spark: SparkSession, d: str) -> DataFrame:
+    every = V.parts(spark, d).selectExpr("concat('/lib/', p_brand) as object", "p_partkey as seq", "p_partkey * 64 as addr", "p_name as name", "true as defined", "'text' as kind", "0L as size")
+    asked = V.events(spark, d).join(every.select("object", "seq"), F.expr("seq = 1 + event_id % 500")).selectExpr("object", "100 + (event_id * 31) % 130000 as addr")
+    return symbols.last_below(asked, every.filter("seq % 3 > 0"))

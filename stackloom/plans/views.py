@@ -36,6 +36,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").withColumn("cents", F.round(F.col("value") * 100).cast("long"))
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part")
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = "concat(if(event_id % 5 = 0, array(-128L), cast(array() as array<bigint>)), array(4096 + (user_id % 16) * 16, 8192 + (event_id % 7) * 32, 12288 + (user_id % 3) * 64))"
     return events(spark, sf_dir).filter("event_id % 97 <> 0").selectExpr(

@@ -7,6 +7,7 @@ open, and are decoded where they are read.
 from __future__ import annotations
 
 import mmap
+import re
 import struct
 import zlib
 from pathlib import Path
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from stackloom.functions.addresses import signed
 from stackloom.functions.names import normal_debug_name
 
+_TEXT = re.compile(rb"[^\0]+")
 _KINDS = {0: "label", 1: "data", 2: "text", 3: "section", 4: "file", 6: "tls"}
 
 
@@ -154,22 +156,42 @@ def segments_of(objects: DataFrame) -> DataFrame:
     return _opened(objects, _SEGMENTS, _segment_rows)
 
 
-def debug_strings(objects: DataFrame) -> DataFrame:
-    """leaf, name: the one specialised name of each function leaf in objects (path, content); leaves with several names are left out."""
+def _strings(name: str, start: int, stop: int):
+    """Texts between zero bytes that begin in a range and may name a specialised function."""
+    with open(name, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+        if start and data[start - 1]:
+            start = data.find(b"\0", start)
+            start = len(data) if start < 0 else start
+        for m in _TEXT.finditer(data, start):
+            if m.start() >= stop:
+                return
+            raw = m[0]
+            if 4 <= len(raw) <= 4096 and b"<" in raw:
+                try:
+                    yield (raw.decode(),)
+                except UnicodeDecodeError:
+                    continue
+
+
+def debug_strings(objects: DataFrame, range_bytes: int = 64 << 20) -> DataFrame:
+    """object, leaf, name: the one specialised name of each function leaf in the files that the column `object` names; leaves with several names are left out.
+
+    A task searches a range of a file, mapped into memory; a text belongs to the range in which it begins.
+    """
+    columns = {"object": pa.string(), "raw": pa.string()}
+
+    def cut(batches):
+        for batch in batches:
+            rows = [(n, at) for n in batch.column(0).to_pylist() for at in range(0, Path(n).stat().st_size, range_bytes)]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.string()), pa.array([at for _, at in rows], pa.int64())], ["object", "at"])
 
     def run(batches):
         for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                out = []
-                for raw in content.as_py().split(b"\0"):
-                    if 4 <= len(raw) <= 4096 and b"<" in raw:
-                        try:
-                            out.append(raw.decode())
-                        except UnicodeDecodeError:
-                            continue
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(out), pa.string()), pa.array(out, pa.string())], ["path", "raw"])
-
-    raw = objects.select("path", "content").mapInArrow(run, "path string, raw string").distinct().withColumn("name", normal_debug_name("raw"))
+            for name, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from _batches(name, _strings(name, at, at + range_bytes), columns)
+
+    ranges = objects.select("object").filter("object is not null").distinct().mapInArrow(cut, "object string, at long").repartition("object", "at")
+    raw = ranges.mapInArrow(run, "object string, raw string").distinct().withColumn("name", normal_debug_name("raw"))
     leaf = F.regexp_extract("name", "(?s)^([^< (]+)<", 1)
     named = raw.withColumn("leaf", leaf).filter("leaf <> ''")
-    return named.groupBy("path", "leaf").agg(F.min("name").alias("name"), F.max("name").alias("other")).filter("name = other").drop("other")
+    return named.groupBy("object", "leaf").agg(F.min("name").alias("name"), F.max("name").alias("other")).filter("name = other").drop("other")

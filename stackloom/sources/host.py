@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
 from pathlib import Path
 
+_LISTED = re.compile(rb"\s*0*[1-9a-fA-F][0-9a-fA-F]*\s+\S\s+\S")
 #: Where distributions put a release's symbol map, and kernel images of a running system.
 SYSTEM_MAPS = ("/boot/System.map-{0}", "/usr/lib/debug/boot/System.map-{0}", "/lib/modules/{0}/System.map", "/usr/lib/debug/lib/modules/{0}/System.map")
 KERNEL_IMAGES = ("/run/booted-system/kernel", "/run/current-system/kernel")
@@ -38,8 +40,18 @@ def current_system_maps() -> list[str]:
     return system_maps(release.read_text().strip() if release.exists() else "", images)
 
 
-def first_existing(paths: Iterable[str]) -> str | None:
-    return next((p for p in paths if Path(p).is_file()), None)
+def is_listing(path: str) -> bool:
+    """Whether a file lists kernel symbols, at least one of them not at address 0."""
+    try:
+        with open(path, "rb") as f:
+            return any(_LISTED.match(line) for line in f)
+    except OSError:
+        return False
+
+
+def first_listing(paths: Iterable[str]) -> str | None:
+    """The first of the paths that is a listing which can be read."""
+    return next((p for p in paths if is_listing(p)), None)
 
 
 def thread_ids(pid: int, proc: str = "/proc") -> list[int]:

@@ -27,17 +27,14 @@ def test_commands():
     assert commands.strace("o", ["a"]) == ["strace", "-f", "-ttt", "-T", "-o", "o", "--", "a"]
     assert commands.heaptrack("p", ["a"]) == ["heaptrack", "-o", "p", "a"]
     assert commands.xctrace_export("t", "x") == ["xctrace", "export", "--input", "t", "--output", "x", "--xpath", "//table"]
-    assert commands.xctrace_record("t", ["a", "b"])[-3:] == ["stackloom-launch", "a", "b"]
 
 
 def test_off_cpu_commands():
     assert commands.off_cpu("perf-sched", ["a"], "o") == [["perf", "sched", "record", "-o", "o", "--", "a"], ["perf", "sched", "timehist", "-i", "o"]]
     assert commands.off_cpu("perf-cpu-clock", ["a"], "o", frequency=99)[0][:6] == ["perf", "record", "-e", "cpu-clock", "-F", "99"]
-    program = commands.off_cpu("bpftrace", ["a", "b"], "o", seconds=3)[0]
-    assert program[3:] == ["-c", "a b", "--unsafe"] and "@offcpu[kstack]" in program[2] and "interval:s:3" in program[2]
     for bad in ({"command": []}, {"command": ["a"], "pid": 4}, {"command": ["a"], "tids": [1]}, {"command": ["a"], "method": "other"}):
         with pytest.raises(ValueError):
-            commands.off_cpu(**{"method": "bpftrace", "output": "o", **bad})
+            commands.off_cpu(**{"method": "perf-sched", "output": "o", **bad})
 
 
 def test_run():
@@ -89,6 +86,15 @@ def test_objects(spark, tmp_path):
     offsets = spark.createDataFrame([(object_name, 0x180), (object_name, 0x400)], "object string, offset long")
     got = mappings.file_offset_to_address(offsets, elf.read_segments(spark, str(tmp_path / "o"))).collect()
     assert {r.offset: r.address for r in got} == {0x180: 0x1080, 0x400: None}
-    objects = spark.read.format("binaryFile").load(str(tmp_path / "o"))
-    assert {(r.leaf, r.name) for r in elf.debug_strings(objects).collect()} == {("push", "push<c>"), ("x", "x<y>")}
+    objects = spark.createDataFrame([(str(tmp_path / "o"),)], "object string")
+    for size in (64 << 20, 7, 100):
+        assert {(r.leaf, r.name) for r in elf.debug_strings(objects, size).collect()} == {("push", "push<c>"), ("x", "x<y>")}
     assert signed(2**64 - 1) == -1
+
+
+def test_first_listing(tmp_path):
+    for name, content in (("zero", "0000000000000000 T _text\n0 t x\n"), ("other", "hello\n\n"), ("good", "x\n0000000000000000 T a\nffffffff81000000 T _text\n"), ("later", "f T b\n")):
+        (tmp_path / name).write_text(content)
+    path = lambda *names: [str(tmp_path / n) for n in names]
+    assert host.first_listing(path("none", "zero", "other", "good", "later")) == str(tmp_path / "good")
+    assert host.first_listing(path("none", "zero")) is None and host.first_listing([str(tmp_path)]) is None

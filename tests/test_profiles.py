@@ -164,15 +164,19 @@ def test_command_lines():
     assert commands.perf_record("o", {"command": ["app"]}, event="cycles")[-2:] == ["--", "app"]
 
 
-def test_blocks_of_crowded_addresses(spark):
+def test_blocks_of_crowded_addresses(spark, monkeypatch):
+    """Symbols in the block of an address, in an earlier one of its block of blocks, in an earlier block of blocks, or nowhere below."""
     base = 0xFFFFFFFF81000000
-    sym = [(A.signed(base + 4096 * k), f"s{k}") for k in range(1000)]
-    at = spark.createDataFrame([(A.signed(base + 4096 * k + 3),) for k in range(0, 1000, 7)], "addr long")
+    sym = [(A.signed(base + 4096 * k), f"s{k}") for k in range(1000)] + [(5, "low"), (2**40, "mid"), (2**40 + 2**30, "mid2"), (2**62, "half")]
+    asked = [base + 4096 * k + 3 for k in range(0, 1000, 7)] + [0, 5, 7, 2**21, 2**39, 2**40 - 1, 2**40 + 2**22, 2**40 + 2**31, 2**50, 2**61, 2**63 + 9, base - 1, 2**64 - 1]
+    at = spark.createDataFrame([(A.signed(x),) for x in asked], "addr long")
     known = spark.createDataFrame(sym, "addr long, name string")
-    for rows in (50, 10**6):
-        assert {r.addr: r.name for r in symbols.nearest_below(at, known, block_rows=rows).collect()} == {A.signed(base + 4096 * k + 3): f"s{k}" for k in range(0, 1000, 7)}
-    cuts = symbols._quantiles(known.select(A.order_key(F.col("addr")).alias("k")), 20)
-    assert len(cuts) == 19
+    table = sorted((a % 2**64, n) for a, n in sym)
+    want = {A.signed(x): next((n for a, n in reversed(table) if a <= x), None) for x in asked}
+    for bits in (20, 12, 4):
+        monkeypatch.setattr(symbols, "BLOCK_BITS", bits)
+        assert {r.addr: r.name for r in symbols.nearest_below(at, known).collect()} == want
+    assert symbols.nearest_below(at, known.limit(0)).filter("name is not null").count() == 0
 
 
 def test_kernel_requests(spark):

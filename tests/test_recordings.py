@@ -1,13 +1,15 @@
 import os
+import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import recordings as R
+from objects import debug_object, elf, frame_section
 from stackloom import cli
 from stackloom.sources import decode as D
-from stackloom.sources.recording import RecordingSource, read_recording, rows
+from stackloom.sources.recording import Asked, RecordingSource, landings, range_rows, read_ranges, read_recording, recording_ranges, rows
 from test_host import an_object
 
 MARK, DEFERRED = 2**64 - 512, 2**64 - 640
@@ -179,13 +181,14 @@ def test_object_names(spark, tmp_path):
     own.write_bytes(an_object())
     frames = R.sample([0x4008, 0x4028])
     live = R.recording([R.mmap(11, 0x4000, 0x200, 0x100, str(own)), frames])
-    assert folded(spark, tmp_path, live, debug_dir=str(folder)) == ["[unknown];[o];run 1"]
+    # 0x4028 lies behind the last symbol, which is nearest below it
+    assert folded(spark, tmp_path, live, debug_dir=str(folder)) == ["[unknown];run;run 1"]
     gone = R.recording([R.mmap2_build_id(11, 0x4000, 0x200, 0x100, "/no/such/app", ident), frames])
     assert folded(spark, tmp_path, gone, debug_dir=str(folder)) == ["[unknown];[app];[app] 1"]
     cached = folder / ".build-id" / ident.hex()[:2] / ident.hex()[2:] / "elf"
     cached.parent.mkdir(parents=True)
     cached.write_bytes(an_object())
-    assert folded(spark, tmp_path, gone, debug_dir=str(folder)) == ["[unknown];[app];run 1"]
+    assert folded(spark, tmp_path, gone, debug_dir=str(folder)) == ["[unknown];run;run 1"]
     stat = own.stat()
     device = os.major(stat.st_dev), os.minor(stat.st_dev)
     for inode, want in ((stat.st_ino, "run"), (stat.st_ino + 1, "[o]")):
@@ -200,3 +203,154 @@ def test_objects_beside_listings(spark, tmp_path):
     data = R.recording([R.mmap(11, 0x4000, 0x200, 0x100, str(own)), R.mmap(2**32 - 1, KERNEL - 16, 0x1000, KERNEL - 16, "[kernel.kallsyms]"), R.sample([KERNEL, 0x4008])])
     assert folded(spark, tmp_path, data, live=str(tmp_path / "l"), debug_dir=str(tmp_path)) == ["[unknown];run;live 1"]
     assert folded(spark, tmp_path, data, live=str(tmp_path / "l")) == ["[unknown];[o];live 1"]
+
+
+@pytest.mark.parametrize("version", [4, 5])
+def test_inlined_frames_of_a_fold(spark, tmp_path, version):
+    """Names of nested inlined calls in the order of the stack, mangled names made readable, names of debug strings."""
+    own = tmp_path / "app"
+    own.write_bytes(debug_object(version) + b"\0plain<u8>\0Vec<a::B>::plain<u8>\0")
+    chain = [0x401044, 0x401015, 0x401000, 0x403008, 0x403100, 0x402004, 0x403050]
+    maps = [R.mmap(11, 0x401000, 0x4000, 0x1000, str(own))]
+    data = R.recording([*maps, R.sample(chain)])
+    # 0x3050 has no symbol around it, so the last one below; 0x3100 too.  Debug information names 0x3008 otherwise than its symbol does
+    want = "[unknown];other;plain<u8>;other;other;outer;outer;declared;outer;declared;inner 1"
+    assert folded(spark, tmp_path, data, debug_dir=str(tmp_path)) == [want]
+    bare = tmp_path / "bare"
+    bare.write_bytes(debug_object(version, symbols=()))
+    data = R.recording([R.mmap(11, 0x401000, 0x4000, 0x1000, str(bare)), R.sample([0x401044, 0x403104, 0x402004])])
+    # without symbols the names are those of debug information
+    assert folded(spark, tmp_path, data, debug_dir=str(tmp_path)) == ["[unknown];plain;unlisted;outer;declared;inner 1"]
+
+
+def imitating(n=120, seed=4):
+    """Records whose payloads hold what looks like records, of all sizes."""
+    rng = random.Random(seed)
+    fake = lambda: R.struct.pack("<IHH", rng.choice([1, 3, 9, 10, 70]), 2, rng.choice([8, 16, 40, 100, 3000]))
+    out = []
+    for k in range(n):
+        out.append(rng.choice([
+            lambda: R.sample([0x2000 + k, *(int.from_bytes(fake(), "little") for _ in range(rng.randrange(30)))], tid=k, time=1000 + k),
+            lambda: R.comm(k % 7, k, "x" * rng.randrange(60), tail=R.q(1000 + k)),
+            lambda: R.record(77, b"".join(fake() for _ in range(rng.randrange(40)))),
+            lambda: R.deferred(k, [int.from_bytes(fake(), "little")] * rng.randrange(9)),
+        ])())
+    out.insert(n // 2, R.record(78, fake() * 8190))
+    return R.recording(out, R.BASE | R.TIME)
+
+
+@pytest.mark.parametrize("split", [100, 1000, 40_000, 1 << 30])
+def test_ranges_equal_the_whole_file(spark, tmp_path, split):
+    for k in range(2):
+        (tmp_path / f"p{k}").write_bytes(imitating(seed=k))
+    (tmp_path / "p2").write_bytes(R.recording([]))
+    ranges = recording_ranges(spark, str(tmp_path), split).cache()
+    assert (ranges.count() > 20) == (split < 40_000)
+    for table in ("records", "samples", "comm", "deferred"):
+        key = lambda r: str(r.asDict())
+        assert sorted(map(key, read_ranges(ranges, table).collect())) == sorted(map(key, read_recording(spark, str(tmp_path), table, whole=True).collect()))
+    assert len(folded(spark, tmp_path / "..", imitating(), split_bytes=split)) > 5 if split == 1000 else True
+
+
+def test_a_broken_chain_is_an_error(spark, tmp_path):
+    data = bytearray(imitating())
+    at = data.find(R.struct.pack("<I", 78) + b"\0\0")
+    data[at + 6 : at + 8] = b"\4\0"
+    (tmp_path / "p").write_bytes(bytes(data))
+    with pytest.raises(Exception, match="no chain of records goes on from offset"):
+        recording_ranges(spark, str(tmp_path), 1000).collect()
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.binary(max_size=40), min_size=1, max_size=12), st.integers(1, 60))
+def test_chains_of_any_bytes(payloads, split):
+    data = b"".join(R.record(5, p) for p in payloads)
+    at, first, seen = 0, 0, []
+    while at < len(data):
+        k = at // split
+        found = {e: (x, n) for e, x, n in landings(data, k * split, min((k + 1) * split, len(data)), len(data), k == 0)}
+        seen.append(at)
+        at, n = found[at]
+        first += n
+    assert at == len(data) and first == len(payloads)
+
+
+def test_columns_and_filters_bound_what_is_decoded(spark, tmp_path, monkeypatch):
+    stack = R.q(0, 0, 0x1234)
+    data = R.recording([R.sample([0x9000 + k], pid=k % 3, time=100 + k, period=k, regs=(0x7FFF0008, 0x7FFF0000, 0x4000), stack=stack, dynamic=24) for k in range(30)], R.BASE | R.TIME | R.PERIOD | R.REGS | R.STACK, regs_user=0b111000000)
+    layouts = D.Layouts(data, D.header(data))
+    r = next(D.records(data, D.header(data)))
+
+    def decoded(*columns, **how):
+        ends, real = [], D.sample
+
+        def counted(c, a, **k):
+            start = c.at
+            out = real(c, a, **k)
+            ends.append(c.at - start)
+            return out
+
+        monkeypatch.setattr(D, "sample", counted)
+        h = D.header(data)
+        asked = Asked("samples", columns or None, **how)
+        got = list(range_rows(asked, "f", data, h.data_offset, h.data_offset + h.data_size, 0))
+        monkeypatch.setattr(D, "sample", real)
+        return len(got), sum(ends), [asked.columns_of(x) for x in got]
+
+    n, every, _ = decoded()
+    assert n == 30 and every == 30 * (r[4] - r[3])
+    assert decoded("pid", "time")[:2] == (30, 30 * 16) and decoded("pid", "period")[:2] == (30, 30 * 32) and decoded("callchain")[:2] == (30, 30 * 48)
+    n, some, rows_ = decoded("pid", "callchain", since=110, until=119, pids=frozenset({1}))
+    assert (n, some) == (4, 4 * 48) and rows_ == [(1, [0x9000 + k]) for k in (10, 13, 16, 19)]
+    assert layouts.attrs[0].sample_regs_user == 0b111000000
+    path = tmp_path / "p.data"
+    path.write_bytes(data)
+    got = read_recording(spark, str(path), columns=["time", "pid"], since=120, pids=[0, 2])
+    assert got.columns == ["time", "pid"] and sorted(map(tuple, got.collect())) == [(100 + k, k % 3) for k in range(20, 30) if k % 3 != 1]
+    with pytest.raises(ValueError, match="no columns nothing"):
+        read_recording(spark, str(path), columns=["nothing"])
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        spark.dataSource.register(RecordingSource)
+        some = spark.read.format("recording").option("path", str(path)).option("columns", "ord,time,pid").option("filters", "true").load()
+        got = some.filter("pid = 1 and time >= 110 and time < 120")
+        assert sorted(r.ord for r in got.collect()) == [10, 13, 16, 19]
+        reader = RecordingSource({"path": str(path), "filters": "true"}).reader(None)
+        from pyspark.sql.datasource import EqualTo, GreaterThan, In, StringContains
+
+        left = list(reader.pushFilters([EqualTo(("pid",), 1), GreaterThan(("time",), 109), In(("pid",), (1, 2)), StringContains(("file",), "x")]))
+        assert len(left) == 2 and reader.asked.pids == {1} and reader.asked.since == 110
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+
+
+def test_a_fold_without_frame_pointers(spark, tmp_path):
+    """Frames found by call frame information; an object that cannot be loaded leaves frame pointers."""
+    own = tmp_path / "framed"
+    own.write_bytes(elf([(".eh_frame", 0x9000, frame_section([(0x4000, 0x4040, b"\x0e\x18"), (0x5000, 0x5040, b"\x0e\x08\x07\x10")], 0x9000))], loads=((0, 0x10000, 0),)))
+    stack = R.q(7, 8, 0x5011, 0)
+
+    def recorded(path, chain=()):
+        return R.recording([R.mmap(11, 0, 0x10000000, 0, str(path)), R.sample(chain, regs=(0x7FFF0008, 0x7FFF0000, 0x4004), stack=stack, dynamic=32)], R.BASE | R.REGS | R.STACK, regs_user=0b111000000)
+
+    assert folded(spark, tmp_path, recorded(own)) == [f"[unknown];{own}+0x5010;{own}+0x4004 1"]
+    # the word at the frame pointer is no return address of this stack
+    assert folded(spark, tmp_path, recorded(tmp_path / "gone")) == [f"[unknown];{tmp_path / 'gone'}+0x5010;{tmp_path / 'gone'}+0x4004 1"]
+    zero = R.recording([R.mmap(11, 0, 0x10000000, 0, str(own)), R.sample([], regs=(0x7FFF0008, 0x7FFF0000, 0x5004), stack=R.q(0, 0x40, 0x1234), dynamic=24)], R.BASE | R.REGS | R.STACK, regs_user=0b111000000)
+    assert folded(spark, tmp_path, zero) == [f"[unknown];{own}+0x5004 1"]
+
+
+def test_the_listing_of_the_recorded_kernel(spark, tmp_path):
+    """Without options kernel frames take names from the cache folder, by the kernel's build id; the first layout that can be read wins."""
+    event = lambda ident: R.struct.pack("<IHHI", 67, 0, 36 + 24, 2**32 - 1) + ident * 20 + b"\0" * 4 + b"[kernel.kallsyms]".ljust(24, b"\0")
+    maps = [R.mmap(2**32 - 1, KERNEL - 16, 0x1000, KERNEL - 16, "[kernel.kallsyms]"), R.sample([KERNEL])]
+    data, other = (R.recording(maps, build_ids=event(b)) for b in (b"\xab", b"\xcd"))
+    cache = tmp_path / "cache"
+    folder = cache / "[kernel.kallsyms]" / ("ab" * 20)
+    folder.mkdir(parents=True)
+    assert folded(spark, tmp_path, data, cache=str(cache)) == ["[unknown];[unknown] 1"]
+    (folder / "kallsyms").write_text(f"{KERNEL:x} T own_kernel\n")
+    assert folded(spark, tmp_path, data, cache=str(cache)) == ["[unknown];own_kernel 1"]
+    assert folded(spark, tmp_path, other, cache=str(cache)) == ["[unknown];[unknown] 1"]
+    out = cli.run(spark, ["plumbing", "fold", str(tmp_path / "perf.data"), "--debug-dir", str(cache)])
+    assert out == "[unknown];[unknown] 1\n"
