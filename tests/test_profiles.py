@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stackloom import commands, sinks
 from stackloom.functions import addresses as A
 from stackloom.functions import names as N
-from stackloom.operators import compare, flamegraph, fold, mappings, symbols, timeline
+from stackloom.operators import compare, flamegraph, fold, mappings, offcpu, symbols, timeline
 from stackloom.plans.profile_queries import ORACLE_SQL, QUERIES
 from stackloom.sources import text as T
 from stackloom.streaming.offcpu import pair_stream
@@ -149,14 +149,59 @@ def test_script_text(spark):
     assert sinks.script_stacks(stacks, maps).first().text == "[unknown] 1/1 0: 1 cycles:\n\t2000 0x2000 ([unknown])\n\n"
 
 
-def test_offcpu_stream(spark, tmp_path):
-    rows = [(1, 10, 0, True, "a"), (1, 15, 1, False, "b"), (2, 3, 2, False, "c"), (1, 20, 3, True, "d"), (1, 21, 4, True, "e"), (1, 30, 5, False, "f")]
-    schema = "pid long, time long, ord long, out boolean, kstack string"
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
-    q = pair_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("pairs").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(map(tuple, spark.table("pairs").collect())) == [(1, "a", 10, 5), (1, "e", 21, 9)]
+SWITCHES = "file string, pid long, cpu long, time long, ord long, out boolean, kstack string"
+
+
+def switch_rows(seed, n=400):
+    """Two recordings, idle tasks of two cpus, a pid whose blocks are far apart, ties in time."""
+    rng = random.Random(seed)
+    rows = []
+    for file in "ab":
+        t = 0
+        for k in range(n):
+            t += rng.choice([0, 1, 5, 40]) * 1_000_000
+            rows.append((file, rng.choice([0, 0, 1, 2]), rng.randrange(2), t, k, rng.random() < 0.5, rng.choice(["s", "t;u", None])))
+    return rows
+
+
+def paired(rows):
+    last, out = {}, []
+    for file, pid, cpu, time, _, is_out, stack in sorted(rows, key=lambda r: (r[0], r[3], r[4])):
+        key = file, pid, cpu if pid == 0 else None
+        if not is_out and key in last and last[key][0]:
+            out.append((file, pid, last[key][2], last[key][1], time - last[key][1]))
+        last[key] = is_out, time, stack
+    return out
+
+
+@pytest.mark.parametrize("bits", [0, 22, 27, 40])
+def test_offcpu_pairs_by_blocks(spark, bits):
+    rows = switch_rows(bits)
+    got = offcpu.pairs(spark.createDataFrame(rows, SWITCHES), bits)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, paired(rows)))
+
+
+def test_offcpu_stream_equals_batch(spark, tmp_path):
+    """Micro-batches in any order within the delay, two files; state goes when nothing is open."""
+    rng = random.Random(7)
+    rows = sorted(switch_rows(7, 120), key=lambda r: r[3])
+    # each row is moved by less than the delay of two seconds
+    shuffled = sorted(rows, key=lambda r: r[3] + rng.randrange(1_500_000_000))
+    last = max(r[3] for r in rows)
+    batches = [shuffled[k : k + 60] for k in range(0, len(shuffled), 60)] + [[("end", 9, 0, last + 10**11, 0, False, None)], [("end", 9, 0, last + 10**11 + 1, 1, False, None)]]
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for k, b in enumerate(batches):
+            spark.createDataFrame(b, SWITCHES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema(SWITCHES).parquet(str(tmp_path / "in"))
+            query = pair_stream(stream, "2 seconds").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+            query.awaitTermination()
+        got = spark.read.parquet(str(tmp_path / "out")).select("file", "pid", "kstack", "start", "delta").collect()
+    finally:
+        spark.conf.set(provider, before)
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, paired(rows)))
 
 
 def test_command_lines():
