@@ -16,7 +16,18 @@ from stackloom.llm.scratch import Scratch
 BITS_AN_ID = 16
 MIN_BITS, MAX_BITS = 1 << 15, 1 << 27
 _BLOCK = 15
-_OWN = ("__ids_block", "__ids_bits")
+_OWN = ("block", "bits")
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The names wanted, longer by underscores where a caller's column has them."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 class IdFilter:
@@ -36,8 +47,9 @@ class IdFilter:
         """The rows that may be among the ids, and those that are not; key must be deterministic."""
         place = self._place(key)
         at = place.bitwiseAND((1 << _BLOCK) - 1)
-        marked = rows.withColumn("__ids_at", place).join(F.broadcast(self.table), F.shiftright("__ids_at", _BLOCK) == F.col(_OWN[0]), "left")
-        byte = F.conv(F.hex(F.substring(_OWN[1], F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        spot, block, bits = free_names(rows.columns, "__ids_at", "__ids_block", "__ids_bits")
+        marked = rows.withColumn(spot, place).join(F.broadcast(self.table.toDF(block, bits)), F.shiftright(spot, _BLOCK) == F.col(block), "left")
+        byte = F.conv(F.hex(F.substring(bits, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         hit = F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), at.bitwiseAND(7).cast("int"))) > 0, F.lit(False))
         own = [F.col(f"`{c}`") for c in rows.columns]
         return marked.filter(hit).select(*own), marked.filter(~hit).select(*own)

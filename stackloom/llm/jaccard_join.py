@@ -87,9 +87,9 @@ def frequency_classes(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
     The counters grow with the bytes of text, up to MAX_COUNTERS (16 MB).
     """
     schema = "part int, counts binary"
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
     bits = int(np.clip(size // (6 * WORDS_A_COUNTER), MIN_COUNTERS, MAX_COUNTERS)).bit_length() - 1
-    rows = docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(_sketch_parts(k, bits), schema).groupBy("part").applyInArrow(_sketch_sum, schema).collect()
+    rows = docs.select(F.col(f"`{text_col}`").cast("binary").alias("t")).mapInArrow(_sketch_parts(k, bits), schema).groupBy("part").applyInArrow(_sketch_sum, schema).collect()
     counts = np.zeros((16, (1 << bits) // 16))
     for r in rows:
         counts[r["part"]] = np.frombuffer(r["counts"], "<u4")

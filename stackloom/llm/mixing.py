@@ -24,7 +24,7 @@ Edge cases: a null or wordless text has size 0 and is never taken; a null source
 is a source of its own, the last; a null id draws its key from the hash of the
 text; a source of size 0 has target 0; repeated rows count as documents of
 their own; a very long text is measured whole and taken whole or not; extra
-columns pass through mix() untouched and may have any name but those in MARKS;
+columns pass through mix() untouched and may have any name;
 an empty table gives an empty result.  The table of sources itself is ordered in
 one task: a row of some 100 bytes a source.
 """
@@ -216,7 +216,13 @@ def mix_plan(
 def mix(
     docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bins: int = BINS
 ) -> DataFrame:
-    """docs, each row as often as mix_plan takes it; a row's copies follow from itself and its source's row, so rows need no join with each other."""
+    """docs, each row as often as mix_plan takes it; a row's copies follow from itself and its source's row, so rows need no join with each other.
+
+    Columns go under numbers on the way, so they may have any names.
+    """
+    names = docs.columns
+    docs = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    id_col, text_col, source_col = (f"c{names.index(c)}" for c in (id_col, text_col, source_col))
     scratch = Scratch(docs.sparkSession, "mix")
     schema = StructType([*docs.schema.fields, *[StructField(c, LongType()) for c in MARKS]])
     marked = docs.mapInArrow(_with_facts(docs.columns.index(text_col)), schema)
@@ -227,4 +233,4 @@ def mix(
     plan, salts = _source_plan(scratch, facts, weights, share, max_epochs, bins)
     scratch.drop("facts")
     both = _with_source(_placed(marked.withColumn(ROW, row), seed, bins), plan, salts).withColumn("__mix_copies", _copies()).filter("__mix_copies > 0")
-    return both.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return both.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select(*docs.columns).toDF(*names)

@@ -395,7 +395,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]), a row for each row of docs; kept is binary, as a cut may split a character."""
     scratch = Scratch(docs.sparkSession, "repeats")
     text = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("tid"), text.alias("t"))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("tid"), text.alias("t"))
     table = scratch.write(base.select("tid", "t").mapInArrow(_anchor_rows(length, gram), "tid binary, ah array<long>, pos array<int>, own array<struct<s:int,e:int>>"), "anchors")
     copies = table.groupBy("tid").agg(F.count("*").alias("copies"))
     # copies of a text count once: a partial aggregation takes them out before the shuffle
