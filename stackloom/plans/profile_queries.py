@@ -343,7 +343,7 @@ def symbol_precedence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _encoded(spark: SparkSession, d: str) -> DataFrame:
-    """Events as binary recordings (path, content), one for each of seven residues of their ids."""
+    """Events as binary recordings (path, content), one for every 200 ids, however many there are."""
     from stackloom.sources import encode
 
     def pack(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,11 +356,11 @@ def _encoded(spark: SparkSession, d: str) -> DataFrame:
                 out.append(encode.sample(r["user_id"] % 8, r["user_id"], r["event_id"], r["cents"], [-512, r["user_id"] * 16, -r["event_id"] - 5000], r["event_id"] % 6))
         yield pa.RecordBatch.from_arrays([pa.array([f"r{key[0].as_py()}"]), pa.array([encode.recording(out)], pa.binary())], ["path", "content"])
 
-    rows = V.events(spark, d).select((F.col("event_id") % 7).alias("r"), "event_id", "user_id", "event_type", "cents")
+    rows = V.events(spark, d).select(F.expr("event_id div 200").alias("r"), "event_id", "user_id", "event_type", "cents")
     return rows.groupBy("r").applyInArrow(pack, "path string, content binary")
 
 
-_RECORDED = "recorded AS (SELECT 'r' || (event_id % 7) AS file, row_number() OVER (PARTITION BY event_id % 7 ORDER BY event_id) - 1 AS ord, * FROM events)"
+_RECORDED = "recorded AS (SELECT 'r' || (event_id // 200) AS file, row_number() OVER (PARTITION BY event_id // 200 ORDER BY event_id) - 1 AS ord, * FROM events)"
 
 
 @query(f"WITH {_RECORDED} SELECT file, ord, event_id AS time, CAST(event_id % 6 AS INTEGER) AS cpumode, user_id % 8 AS pid, user_id AS tid, CAST(round(value * 100) AS BIGINT) AS period, '-512,' || (user_id * 16) || ',' || (-event_id - 5000) AS chain FROM recorded WHERE event_id % 97 <> 0")
@@ -480,3 +480,84 @@ def object_symbol_below(spark: SparkSession, d: str) -> DataFrame:
     every = V.parts(spark, d).selectExpr("concat('/lib/', p_brand) as object", "p_partkey as seq", "p_partkey * 64 as addr", "p_name as name", "true as defined", "'text' as kind", "0L as size")
     asked = V.events(spark, d).join(every.select("object", "seq"), F.expr("seq = 1 + event_id % 500")).selectExpr("object", "100 + (event_id * 31) % 130000 as addr")
     return symbols.last_below(asked, every.filter("seq % 3 > 0"))
+
+
+def _every_type(spark: SparkSession, d: str) -> DataFrame:
+    """Events as recordings (path, content) of all record types, one for every 220 ids, with two events and a build id."""
+    from stackloom.sources import encode as E
+
+    def record(n: int, u: int, kind: str) -> bytes:
+        pid, t = u % 8, n + 5
+        o = lambda k, form="", *x, text=None, misc=0: E.other(k, pid, u, t, misc, form, *x, text=text)
+        return {
+            1: lambda: o(1, "IIQQQ", pid, u, n * 4096, 4096, n, text=f"/lib/{kind}"), 2: lambda: o(2, "QQ", n, n % 7), 3: lambda: E.comm(pid, u, kind, n % 3 == 0, t),
+            4: lambda: o(4, "IIIIQ", pid, 1, u, 2, t), 5: lambda: o(5, "QQQ", t, n, 9), 6: lambda: o(6, "QQQ", t, n, 9), 7: lambda: o(7, "IIIIQ", pid, 1, u, 2, t), 8: lambda: o(8, "II", pid, u),
+            9: lambda: E.sample(pid, u, t, n, [-512, n]), 10: lambda: o(10, "IIQQQIIQQII", pid, u, n * 4096, 4096, n, 8, 1, n, 3, 5, 2, text=f"/bin/{kind}") if n % 44 < 22 else o(10, "IIQQQBBHQQIII", pid, u, n * 4096, 4096, n, 8, 0, 0, n, 0, 0, 5, 2, text=f"/bin/{kind}", misc=1 << 14),
+            11: lambda: o(11, "QQQ", n, 8, 1), 12: lambda: o(12, "II", pid, u), 13: lambda: o(13, "Q", n % 5), 14: lambda: o(14), 15: lambda: o(15, "II", pid, u), 16: lambda: o(16, "IIQQQ", pid, u, 1, 4, n),
+            17: lambda: o(17, "QIHH", n, 64, 1, 0, text=kind), 18: lambda: o(18, "HHIQ", 1, 0, n, 0), 19: lambda: o(19, "Q", n, text=f"/{kind}"), 20: lambda: o(20, "QHHBBB", n, 1, 2, 1, 2, 3),
+            21: lambda: o(21, "Q", n), 22: lambda: o(22, "QQQQ", n, 2, n + 1, n + 2),
+        }[1 + n % 22]()
+
+    def pack(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["event_id"])
+        k = key[0].as_py()
+        content = E.recording([record(r["event_id"], r["user_id"], r["event_type"]) for r in rows], ((k, k + 1), (k + 2,)), E.build_id(1, k.to_bytes(20, "little"), f"/lib/{k}"))
+        yield pa.RecordBatch.from_arrays([pa.array([f"m{k}"]), pa.array([content], pa.binary())], ["path", "content"])
+
+    rows = V.events(spark, d).select(F.expr("event_id div 220").alias("r"), "event_id", "user_id", "event_type")
+    return rows.groupBy("r").applyInArrow(pack, "path string, content binary")
+
+
+_TYPED = "typed AS (SELECT 'm' || (event_id // 220) AS file, row_number() OVER (PARTITION BY event_id // 220 ORDER BY event_id) - 1 AS ord, event_id AS n, user_id AS u, user_id % 8 AS pid, 1 + event_id % 22 AS kind, event_type, event_id + 5 AS time FROM events)"
+_BY_TYPE = {
+    1: """'{"pid": ' || pid || ', "tid": ' || u || ', "start": ' || n * 4096 || ', "len": 4096, "pgoff": ' || n || ', "path": "/lib/' || event_type || '"}'""",
+    2: """'{"id": ' || n || ', "lost": ' || n % 7 || '}'""",
+    3: """'{"pid": ' || pid || ', "tid": ' || u || ', "comm": "' || event_type || '", "is_exec": ' || (n % 3 = 0) || '}'""",
+    4: """'{"pid": ' || pid || ', "ppid": 1, "tid": ' || u || ', "ptid": 2, "time": ' || time || '}'""",
+    5: """'{"time": ' || time || ', "id": ' || n || ', "stream_id": 9}'""",
+    10: """'{"pid": ' || pid || ', "tid": ' || u || ', "start": ' || n * 4096 || ', "len": 4096, "pgoff": ' || n || CASE WHEN n % 44 < 22 THEN ', "major": 8, "minor": 1, "inode": ' || n || ', "generation": 3' ELSE ', "build_id": "' || hex8 || '"' END || ', "prot": 5, "flags": 2, "path": "/bin/' || event_type || '"}'""",
+    11: """'{"aux_offset": ' || n || ', "aux_size": 8, "flags": 1}'""",
+    12: """'{"pid": ' || pid || ', "tid": ' || u || '}'""",
+    13: """'{"lost": ' || n % 5 || '}'""",
+    14: "'{}'",
+    16: """'{"pid": ' || pid || ', "tid": ' || u || ', "links": [[4, ' || n || ']]}'""",
+    17: """'{"addr": ' || n || ', "len": 64, "ksym_type": 1, "flags": 0, "name": "' || event_type || '"}'""",
+    18: """'{"bpf_type": 1, "flags": 0, "id": ' || n || ', "tag": "0000000000000000"}'""",
+    19: """'{"id": ' || n || ', "path": "/' || event_type || '"}'""",
+    20: """'{"addr": ' || n || ', "old_len": 1, "new_len": 2, "old_bytes": "01", "new_bytes": "0203"}'""",
+    21: """'{"hw_id": ' || n || '}'""",
+    22: """'{"cookie": ' || n || ', "ips": [' || n + 1 || ', ' || n + 2 || ']}'""",
+}
+_BY_TYPE |= {6: _BY_TYPE[5], 7: _BY_TYPE[4], 15: _BY_TYPE[12]}
+#: Eight bytes of a number, the lowest first, as hexadecimal digits.
+_HEX8 = "lower(" + " || ".join(f"lpad(to_hex((n >> {8 * k}) & 255), 2, '0')" for k in range(8)) + ") AS hex8"
+
+
+@query(f"WITH {_TYPED} SELECT file, ord, time, kind::INTEGER AS record_type, CASE kind {' '.join(f'WHEN {k} THEN {v}' for k, v in sorted(_BY_TYPE.items()))} END AS fields FROM (SELECT *, {_HEX8} FROM typed) WHERE kind NOT IN (8, 9)")
+def perfdata_details(spark: SparkSession, d: str) -> DataFrame:
+    return decode_recordings(_every_type(spark, d), "details").filter("record_type <> 8").select("file", "ord", "time", "record_type", "fields")
+
+
+@query(f"WITH {_TYPED} SELECT file, ord, time, pid, n * 4096 AS start, 4096::BIGINT AS len, n AS pgoff, CASE kind WHEN 1 THEN '/lib/' ELSE '/bin/' END || event_type AS path, CASE WHEN kind = 10 THEN 5::BIGINT END AS prot, CASE WHEN kind = 10 AND n % 44 >= 22 THEN hex8 END AS build_id, CASE WHEN kind = 10 AND n % 44 < 22 THEN n END AS inode FROM (SELECT *, {_HEX8} FROM typed) WHERE kind IN (1, 10)")
+def perfdata_mappings(spark: SparkSession, d: str) -> DataFrame:
+    return decode_recordings(_every_type(spark, d), "mappings").select("file", "ord", "time", "pid", "start", "len", "pgoff", "path", "prot", "build_id", "inode")
+
+
+@query(f"WITH {_TYPED} SELECT file, count(*) AS records, CAST(sum(CASE kind WHEN 2 THEN n % 7 ELSE n % 5 END) AS BIGINT) AS lost FROM typed WHERE kind IN (2, 13) GROUP BY file")
+def perfdata_lost(spark: SparkSession, d: str) -> DataFrame:
+    return decode_recordings(_every_type(spark, d), "lost").groupBy("file").agg(F.count("*").alias("records"), F.sum("lost").alias("lost"))
+
+
+@query(f"WITH {_TYPED} SELECT file, ord, time, n AS cookie, (n + 1) || ',' || (n + 2) AS ips FROM typed WHERE kind = 22")
+def perfdata_deferred(spark: SparkSession, d: str) -> DataFrame:
+    return decode_recordings(_every_type(spark, d), "deferred").select("file", "ord", "time", "cookie", F.array_join(F.col("ips").cast("array<string>"), ",").alias("ips"))
+
+
+@query("SELECT 'm' || k AS file, 0::BIGINT AS seq, 1::BIGINT AS pid, lower(lpad(to_hex(k & 255), 2, '0') || lpad(to_hex((k >> 8) & 255), 2, '0') || lpad(to_hex((k >> 16) & 255), 2, '0') || repeat('0', 34)) AS build_id, '/lib/' || k AS path FROM (SELECT DISTINCT event_id // 220 AS k FROM events)")
+def perfdata_build_ids(spark: SparkSession, d: str) -> DataFrame:
+    return decode_recordings(_every_type(spark, d), "build_ids")
+
+
+@query("SELECT 'm' || k AS file, i::INTEGER AS event_index, 294::BIGINT AS sample_type, true AS sample_id_all, CASE i WHEN 0 THEN k || ',' || (k + 1) ELSE '' || (k + 2) END AS ids FROM (SELECT DISTINCT event_id // 220 AS k FROM events), range(2) t(i)")
+def perfdata_attrs(spark: SparkSession, d: str) -> DataFrame:
+    return decode_recordings(_every_type(spark, d), "attrs").select("file", "event_index", "sample_type", "sample_id_all", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))

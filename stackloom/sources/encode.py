@@ -1,4 +1,4 @@
-"""Writing binary recordings: the layout that decode reads, for samples and thread names."""
+"""Writing binary recordings: the layout that decode reads, for all record types, several events and build ids."""
 
 from __future__ import annotations
 
@@ -32,13 +32,37 @@ def comm(pid: int, tid: int, name: str, is_exec: bool, time: int) -> bytes:
     return _record(3, struct.pack("<II", pid, tid) + text + struct.pack("<IIQ", pid, tid, _unsigned(time)), D.EXEC_MISC if is_exec else 0)
 
 
-def recording(records: list[bytes]) -> bytes:
-    """A file of one event."""
-    attr = bytearray(_ATTR)
-    struct.pack_into("<I", attr, 4, _ATTR)
-    struct.pack_into("<Q", attr, 24, sum(D.BIT[x] for x in SAMPLE_FIELDS))
-    struct.pack_into("<Q", attr, 40, D.SAMPLE_ID_ALL)
+def _text(x: str) -> bytes:
+    raw = x.encode() + b"\0"
+    return raw + b"\0" * (-len(raw) % 8)
+
+
+def other(kind: int, pid: int, tid: int, time: int, misc: int = 0, form: str = "", *numbers: int, text: str | None = None) -> bytes:
+    """A record of any other type: numbers as `form` has them, a text, and the id fields that tell its time behind it."""
+    body = struct.pack("<" + form, *numbers) + (b"" if text is None else _text(text))
+    return struct.pack("<IHH", kind, misc, 8 + len(body) + 16) + body + struct.pack("<IIQ", pid, tid, _unsigned(time))
+
+
+def build_id(pid: int, ident: bytes, path: str) -> bytes:
+    """An entry of the build-id feature."""
+    name = _text(path)
+    return struct.pack("<IHHI", 67, 0, 36 + len(name), pid) + ident[:20].ljust(20, b"\0") + b"\0" * 4 + name
+
+
+def recording(records: list[bytes], ids: tuple[tuple[int, ...], ...] = ((),), build_ids: bytes = b"") -> bytes:
+    """A file of one event for each tuple of ids."""
+    place = 104 + len(ids) * (_ATTR + 16)
+    head, listed = b"", b""
+    for own in ids:
+        attr = bytearray(_ATTR)
+        struct.pack_into("<I", attr, 4, _ATTR)
+        struct.pack_into("<Q", attr, 24, sum(D.BIT[x] for x in SAMPLE_FIELDS))
+        struct.pack_into("<Q", attr, 40, D.SAMPLE_ID_ALL)
+        head += bytes(attr) + struct.pack("<QQ", place + len(listed), 8 * len(own))
+        listed += struct.pack(f"<{len(own)}Q", *own)
     data = b"".join(records)
-    attrs = bytes(attr) + struct.pack("<QQ", 0, 0)
-    head = D.MAGIC + struct.pack("<QQQQQQ", 104, len(attrs), 104, len(attrs), 104 + len(attrs), len(data))
-    return head.ljust(104, b"\0") + attrs + data
+    start = place + len(listed)
+    feature = 4 if build_ids else 0
+    tail = struct.pack("<QQ", start + len(data) + 16, len(build_ids)) + build_ids if build_ids else b""
+    front = D.MAGIC + struct.pack("<QQQQQQQ", 104, 0, 104, len(head), start, len(data), feature)
+    return front.ljust(104, b"\0") + head + listed + data + tail
