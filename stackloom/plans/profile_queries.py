@@ -561,3 +561,38 @@ def perfdata_build_ids(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT 'm' || k AS file, i::INTEGER AS event_index, 294::BIGINT AS sample_type, true AS sample_id_all, CASE i WHEN 0 THEN k || ',' || (k + 1) ELSE '' || (k + 2) END AS ids FROM (SELECT DISTINCT event_id // 220 AS k FROM events), range(2) t(i)")
 def perfdata_attrs(spark: SparkSession, d: str) -> DataFrame:
     return decode_recordings(_every_type(spark, d), "attrs").select("file", "event_index", "sample_type", "sample_id_all", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+_PATH = "CASE event_id % 5 WHEN 0 THEN '[kernel.kallsyms]_text' WHEN 1 THEN '[kernel.kallsyms]' WHEN 2 THEN '[guest.kernel]' WHEN 3 THEN '[vdso]' ELSE '/bin/x' END"
+_RELATIVE = "CASE WHEN event_id % 2 = 0 THEN -2130706432 + event_id ELSE event_id END"
+
+
+@query(f"""WITH r AS (SELECT event_id, {_PATH} AS path, {_RELATIVE} AS relative FROM events)
+SELECT event_id, CASE WHEN starts_with(path, '[kernel') AND relative BETWEEN -140737488355328 AND -4097 THEN '[kernel.kallsyms]' ELSE path END AS request, CASE WHEN event_id % 5 = 0 THEN '_text' END AS reference, CASE WHEN event_id % 5 = 0 THEN event_id END AS recorded FROM r""")
+def kernel_requests(spark: SparkSession, d: str) -> DataFrame:
+    rows = V.events(spark, d).selectExpr("event_id", f"{_PATH} as path", f"cast({_RELATIVE} as long) as relative")
+    moved = M.kernel_relocation(F.col("path"), F.col("event_id"))
+    return rows.select("event_id", M.request_path(F.col("path"), F.col("relative")).alias("request"), moved["reference"].alias("reference"), moved["recorded"].alias("recorded"))
+
+
+@query("SELECT DISTINCT p_partkey // 3 AS pid FROM part WHERE p_partkey % 8 IN (4, 5, 6, 7) AND p_partkey % 11 <> 0")
+def executable_pids(spark: SparkSession, d: str) -> DataFrame:
+    maps = V.mappings(spark, d).selectExpr("file", "ord div 3 as pid", "prot", "if(ord % 11 = 0, '/x/perf.data.old', path) as path")
+    return M.executable_pids(maps).select("pid")
+
+
+@query(f"""WITH {_M}, m AS (SELECT * REPLACE (CASE WHEN ord % 3 = 0 THEN '[heap]' ELSE path END AS path) FROM mappings), e AS (SELECT event_id AS id, user_id % 8 AS pid, 4096 + (event_id % 700) * 32 AS addr FROM events),
+best AS (SELECT e.id, e.addr, m.path FROM e JOIN m ON (m.pid = e.pid OR m.pid = 4294967295) AND m.ord < e.id AND e.addr >= m.start AND e.addr < m.start + m.len QUALIFY row_number() OVER (PARTITION BY e.id ORDER BY m.start DESC, m.pid = e.pid DESC, m.ord DESC) = 1)
+SELECT id, addr FROM best WHERE path = '[heap]'""")
+def unwound_noise(spark: SparkSession, d: str) -> DataFrame:
+    maps = V.mappings(spark, d).withColumn("time", F.lit(None).cast("long")).withColumn("path", F.expr("if(ord % 3 = 0, '[heap]', path)"))
+    frames = V.events(spark, d).selectExpr("'events' as file", "user_id % 8 as pid", "4096 + (event_id % 700) * 32 as addr", "event_id as id", "cast(null as bigint) as time", "event_id as ord")
+    return M.noise_as_of(frames.select("file", "pid", "addr", "id", F.struct(*timeline.replay_order()).alias("at")), maps).select("id", "addr")
+
+
+@query(f"WITH {V.LINES_SQL}, f AS (SELECT regexp_extract(line, '^(.*) ', 1) AS stack, try_cast(regexp_extract(line, ' ([^ ]*)$', 1) AS BIGINT) AS n FROM lines) SELECT stack || ' ' || CAST(sum(n) AS BIGINT) AS value FROM f WHERE n IS NOT NULL GROUP BY stack")
+def folded_file(spark: SparkSession, d: str) -> DataFrame:
+    from stackloom import sinks
+
+    rows = T.folded(V.folded_lines(spark, d)).filter("count is not null")
+    return sinks.folded_lines(rows.groupBy("stack").agg(F.sum("count").alias("count")))
