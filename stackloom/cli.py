@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
         f.add_argument("--live-symbols", help="the running kernel's listing, asked last, and first for modules")
         f.add_argument("--host-symbols", action="store_true", help="take this host's system map and live listing where none is given")
         f.add_argument("--objects", action="store_true", help="name frames of objects by their symbol tables")
+        f.add_argument("--output", help="a folder to which tasks write the lines, instead of standard output")
         f.add_argument("--debug-dir", default=host.debug_dir(os.environ.get("HOME", "")), help="where objects are kept by build id")
     s = plumbing.add_parser("summarize")
     s.add_argument("folder")
@@ -152,7 +153,11 @@ def run(spark: SparkSession, argv: list[str]) -> str:
         periods = a.verb == "flamegraph" or a.count_periods
         system_map = a.system_map or (host.first_listing(host.current_system_maps()) if a.host_symbols else None)
         live = a.live_symbols or (host.first_listing(["/proc/kallsyms"]) if a.host_symbols else None)
-        lines = sinks.folded_lines(fold_recording(spark, a.recording, periods, a.symbols, system_map, live, a.debug_dir if a.objects else None, cache=a.debug_dir))
+        stacks = fold_recording(spark, a.recording, periods, a.symbols, system_map, live, a.debug_dir if a.objects else None, cache=a.debug_dir)
+        if a.output:
+            sinks.write_folded(stacks, a.output)
+            return ""
+        lines = sinks.folded_lines(stacks)
         return "".join(r["value"] + "\n" for r in lines.collect())
     if a.verb == "summarize":
         kind, path = sinks.summary_source(a.folder) or sys.exit(f"nothing to summarise in {a.folder}")

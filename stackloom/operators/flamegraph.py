@@ -30,8 +30,8 @@ def categories(entries: DataFrame) -> DataFrame:
 
 
 def by_name(entries: DataFrame) -> DataFrame:
-    """One entry a name: the last in the order of percent descending, name, place."""
-    last = Window.partitionBy("name").orderBy("percent", F.desc("pos"))
+    """One entry a name: the last in the order of percent descending, name, document, place."""
+    last = Window.partitionBy("name").orderBy("percent", *([F.desc("doc")] if "doc" in entries.columns else []), F.desc("pos"))
     return entries.withColumn("rn", F.row_number().over(last)).filter("rn = 1").select("name", "samples", "percent")
 
 

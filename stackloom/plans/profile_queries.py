@@ -596,3 +596,32 @@ def folded_file(spark: SparkSession, d: str) -> DataFrame:
 
     rows = T.folded(V.folded_lines(spark, d)).filter("count is not null")
     return sinks.folded_lines(rows.groupBy("stack").agg(F.sum("count").alias("count")))
+
+
+def _objects(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as ELF objects (path, content), one for every 50 of them: a symbol a part, a segment for every tenth."""
+    from stackloom.sources import encode as E
+
+    def pack(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["k"])
+        symbols = [(r["name"], (r["k"] % 3) << 4 | r["k"] % 5, r["k"] % 4, r["k"] * 64 if r["k"] % 9 else -r["k"] * 4096, r["size"]) for r in rows]
+        loads = [(r["k"] * 4096, 4096 + r["size"], r["k"] * 8192) for r in rows if r["k"] % 10 == 0]
+        yield pa.RecordBatch.from_arrays([pa.array([f"o{key[0].as_py()}"]), pa.array([E.elf_object(symbols, loads)], pa.binary())], ["path", "content"])
+
+    rows = V.parts(spark, d).selectExpr("p_partkey div 50 as o", "p_partkey as k", "p_name as name", "cast(p_size as long) as size")
+    return rows.groupBy("o").applyInArrow(pack, "path string, content binary")
+
+
+@query("""SELECT 'o' || (p_partkey // 50) AS object, row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_partkey) - 1 AS seq, p_name AS name, CASE p_partkey % 5 WHEN 0 THEN 'label' WHEN 1 THEN 'data' WHEN 2 THEN 'text' WHEN 3 THEN 'section' ELSE 'file' END AS kind,
+CASE p_partkey % 3 WHEN 0 THEN 'local' WHEN 1 THEN 'global' ELSE 'weak' END AS binding, p_partkey % 4 <> 0 AS defined, CASE WHEN p_partkey % 9 <> 0 THEN p_partkey * 64 ELSE -p_partkey * 4096 END AS addr, p_size::BIGINT AS size FROM part""")
+def elf_symbols(spark: SparkSession, d: str) -> DataFrame:
+    from stackloom.sources import elf
+
+    return elf.decode_symbols(_objects(spark, d))
+
+
+@query("SELECT 'o' || (p_partkey // 50) AS object, row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_partkey) - 1 AS seq, p_partkey * 4096 AS file_offset, 4096 + p_size::BIGINT AS file_size, p_partkey * 8192 AS addr FROM part WHERE p_partkey % 10 = 0")
+def elf_segments(spark: SparkSession, d: str) -> DataFrame:
+    from stackloom.sources import elf
+
+    return elf.decode_segments(_objects(spark, d))

@@ -119,21 +119,30 @@ def _schema(columns: dict) -> str:
     return ", ".join(f"{k} {_SQL[t]}" for k, t in columns.items())
 
 
-def _table(spark: SparkSession, path: str, columns: dict, some) -> DataFrame:
+def _table(files: DataFrame, columns: dict, some) -> DataFrame:
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 yield from _batches(name.as_py(), some(content.as_py()), columns)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _schema(columns))
+    return files.select("path", "content").mapInArrow(run, _schema(columns))
+
+
+def decode_symbols(files: DataFrame) -> DataFrame:
+    """Symbols of objects that are rows (path, content)."""
+    return _table(files, _SYMBOLS, _symbol_rows)
+
+
+def decode_segments(files: DataFrame) -> DataFrame:
+    return _table(files, _SEGMENTS, _segment_rows)
 
 
 def read_symbols(spark: SparkSession, path: str) -> DataFrame:
-    return _table(spark, path, _SYMBOLS, _symbol_rows)
+    return decode_symbols(spark.read.format("binaryFile").load(path))
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    return _table(spark, path, _SEGMENTS, _segment_rows)
+    return decode_segments(spark.read.format("binaryFile").load(path))
 
 
 def _opened(objects: DataFrame, columns: dict, some) -> DataFrame:

@@ -66,3 +66,17 @@ def recording(records: list[bytes], ids: tuple[tuple[int, ...], ...] = ((),), bu
     tail = struct.pack("<QQ", start + len(data) + 16, len(build_ids)) + build_ids if build_ids else b""
     front = D.MAGIC + struct.pack("<QQQQQQQ", 104, 0, 104, len(head), start, len(data), feature)
     return front.ljust(104, b"\0") + head + listed + data + tail
+
+
+def elf_object(symbols: list[tuple[str, int, int, int, int]], loads: list[tuple[int, int, int]]) -> bytes:
+    """A 64-bit ELF object: symbols (name, type and binding, section, address, size) and load segments (offset, size, address)."""
+    names, table = b"\0", b"\0" * 24
+    for name, info, section, address, size in symbols:
+        table += struct.pack("<IBBHQQ", len(names), info, 0, section, _unsigned(address), size)
+        names += name.encode() + b"\0"
+    head = b"".join(struct.pack("<IIQQQQQQ", 1, 5, offset, _unsigned(address), _unsigned(address), size, size, 0) for offset, size, address in loads)
+    place = 64 + len(head)
+    # an empty section, the symbols, their names
+    rows = b"\0" * 64 + struct.pack("<IIQQQQIIQQ", 0, 2, 0, 0, place, len(table), 2, 0, 8, 24) + struct.pack("<IIQQQQIIQQ", 0, 3, 0, 0, place + len(table), len(names), 0, 0, 1, 0)
+    front = b"\x7fELF\2\1\1".ljust(16, b"\0") + struct.pack("<HHIQQQIHHHHHH", 3, 62, 1, 0, 64, place + len(table) + len(names), 0, 64, 56, len(loads), 64, 3, 0)
+    return front + head + table + names + rows
