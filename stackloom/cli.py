@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import re
 import sys
 
 from pyspark.sql import SparkSession
@@ -16,6 +17,7 @@ from stackloom.operators import mappings as M
 from stackloom.operators.unwind import unwound_stacks
 from stackloom.sources import host
 from stackloom.sources import text as T
+from stackloom.sources.decode import BIT
 from stackloom.sources.recording import SPLIT_BYTES, read_ranges, read_recording, recording_ranges
 
 
@@ -60,7 +62,8 @@ def parser() -> argparse.ArgumentParser:
 
 
 def listing(spark: SparkSession, path: str):
-    """A kernel symbol listing (seq, addr, name); ties go by its lines' order."""
+    """A kernel symbol listing (seq, addr, name); ties go by its lines' order.  The path is no pattern, brackets in it stand for themselves."""
+    path = re.sub(r"([][*?{}\\])", r"\\\1", path)
     return T.kallsyms(T.read_lines(spark, path).withColumn("seq", F.monotonically_increasing_id()))
 
 
@@ -111,6 +114,13 @@ def own_listing(build_ids, folder: str | None) -> str | None:
     return host.first_listing(host.cached_kallsyms(folder, found[0])) if len(found) == 1 else None
 
 
+def captures_stacks(spark: SparkSession, path: str) -> bool:
+    """Whether any event of the recordings has user registers and stacks in its samples; their heads alone are read."""
+    wanted = BIT["REGS_USER"] | BIT["STACK_USER"]
+    attrs = read_recording(spark, path, "attrs", columns=["sample_type"])
+    return bool(attrs.filter(F.col("sample_type").bitwiseAND(wanted) == wanted).limit(1).collect())
+
+
 #: What a fold needs of a sample; captured stacks are a table of their own.
 SAMPLE_COLUMNS = ("file", "ord", "time", "event_index", "pid", "tid", "period", "callchain", "cookie")
 
@@ -126,8 +136,10 @@ def fold_recording(spark, path: str, count_periods: bool = False, kallsyms: str
     tables = {t: read_ranges(ranges, t, SAMPLE_COLUMNS if t == "samples" else None) for t in ("samples", "comm", "mappings", "deferred", "stacks")}
     build_ids = read_recording(spark, path, "build_ids")
     maps = cut(M.with_build_ids(tables["mappings"], build_ids))
-    deeper = unwound_stacks(tables["stacks"], maps, cache or debug_dir)
-    samples = tables["samples"].join(deeper, ["file", "ord"], "left")
+    samples = tables["samples"]
+    # only events that capture stacks need the samples to meet what is unwound
+    if captures_stacks(spark, path):
+        samples = samples.join(unwound_stacks(tables["stacks"], maps, cache or debug_dir), ["file", "ord"], "left")
     # both are read several times below, and are small against the samples
     stacks = cut(fold.raw_stacks(samples, tables["comm"], tables["deferred"], count_periods, maps))
     kallsyms = kallsyms or own_listing(build_ids, cache or debug_dir)

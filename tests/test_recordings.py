@@ -352,5 +352,7 @@ def test_the_listing_of_the_recorded_kernel(spark, tmp_path):
     (folder / "kallsyms").write_text(f"{KERNEL:x} T own_kernel\n")
     assert folded(spark, tmp_path, data, cache=str(cache)) == ["[unknown];own_kernel 1"]
     assert folded(spark, tmp_path, other, cache=str(cache)) == ["[unknown];[unknown] 1"]
-    out = cli.run(spark, ["plumbing", "fold", str(tmp_path / "perf.data"), "--debug-dir", str(cache)])
-    assert out == "[unknown];[unknown] 1\n"
+    args = ["plumbing", "fold", str(tmp_path / "perf.data"), "--debug-dir", str(cache)]
+    assert cli.run(spark, args) == "[unknown];[unknown] 1\n"
+    assert cli.run(spark, [*args, "--output", str(tmp_path / "lines")]) == ""
+    assert [r.value for r in spark.read.text(str(tmp_path / "lines")).collect()] == ["[unknown];[unknown] 1"]
