@@ -9,10 +9,10 @@ looked up once a level, so the join has an equality that cuts a pid's table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackloom.functions.addresses import ALL_PIDS, contains, is_kernel, order_key, wrapping_add, wrapping_sub
+from stackloom.functions.addresses import ALL_PIDS, contains, is_kernel, order_key, saturating_end, wrapping_add, wrapping_sub
 from stackloom.operators import intervals as I
 
 NOT_CODE = ("//anon", "[anon]", "[stack]", "[heap]")
@@ -33,19 +33,27 @@ def relative_address(at, start, pgoff, path, pid):
     return F.when(path.startswith("[") & (pid == ALL_PIDS), at).otherwise(wrapping_add(wrapping_sub(at, start), pgoff))
 
 
-def _found(addresses: DataFrame, mappings: DataFrame, keep: list[str]) -> DataFrame:
-    """Every pair of an address (file, pid, addr, *keep) and a mapping that contains it, with the mapping's columns and its rank."""
+def _sides(addresses: DataFrame, mappings: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """Addresses (file, pid, addr) by level and bucket, mappings by theirs, and when one contains the other."""
     m = I.bucketed(mappings, F.col("start"), F.col("len")).select(
-        F.col("file").alias("m_file"), F.col("pid").alias("map_pid"), F.col("start").alias("map_start"), "len", "pgoff", F.col("path").alias("map_path"), "prot", "build_id", F.col("ord").alias("m_ord"), "i_level", "i_bucket", *[c for c in ("m_at", *IDENTITY) if c in mappings.columns],
+        F.col("file").alias("m_file"), F.col("pid").alias("map_pid"), F.col("start").alias("map_start"), "len", "pgoff", F.col("path").alias("map_path"), "prot", "build_id", F.col("ord").alias("m_ord"), "i_level", "i_bucket",
+        # what a pair compares is computed once a mapping
+        order_key(F.col("start")).alias("m_low"), order_key(saturating_end(F.col("start"), F.col("len"))).alias("m_high"), *[c for c in ("m_at", *IDENTITY) if c in mappings.columns],
     )
     # the mappings of all pids are asked for under their own number; a pid is asked on the levels of its mappings
     whose = F.explode(F.array_distinct(F.array(F.col("pid"), F.lit(ALL_PIDS).cast("long")))).alias("asked")
     levels = I.levels_of(m, "m_file", "map_pid").select(F.col("m_file").alias("l_file"), F.col("map_pid").alias("l_pid"), "levels")
-    probe = addresses.select("file", "pid", "addr", *keep, whose)
-    probe = I.probed(probe.join(levels, (F.col("file") == F.col("l_file")) & (F.col("asked") == F.col("l_pid"))).drop("l_file", "l_pid"), F.col("addr"))
-    inside = contains(F.col("map_start"), F.col("len"), F.col("addr"))
+    probe = addresses.select("file", "pid", "addr", whose)
+    probe = I.probed(probe.join(levels, (F.col("file") == F.col("l_file")) & (F.col("asked") == F.col("l_pid"))).drop("l_file", "l_pid"), F.col("addr")).withColumn("p_at", order_key(F.col("addr")))
+    inside = (F.col("m_low") <= F.col("p_at")) & (F.col("p_at") < F.col("m_high"))
     on = (F.col("file") == F.col("m_file")) & (F.col("asked") == F.col("map_pid")) & (F.col("p_level") == F.col("i_level")) & (F.col("p_bucket") == F.col("i_bucket")) & inside
-    rank = F.struct(order_key(F.col("map_start")).alias("start"), (F.col("map_pid") == F.col("pid")).alias("own"), F.col("m_ord").alias("ord"))
+    return probe, m, on
+
+
+def _found(addresses: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Every pair of an address (file, pid, addr) and a mapping that contains it, with the mapping's columns and its rank."""
+    probe, m, on = _sides(addresses, mappings)
+    rank = F.struct(F.col("m_low").alias("start"), (F.col("map_pid") == F.col("pid")).alias("own"), F.col("m_ord").alias("ord"))
     return probe.join(m, on).withColumn("rank", rank)
 
 
@@ -56,23 +64,38 @@ def resolve(addresses: DataFrame, mappings: DataFrame) -> DataFrame:
     the later one.
     """
     want = addresses.select("file", "pid", "addr").filter("pid is not null").distinct()
-    best = _found(want, mappings, []).groupBy("file", "pid", "addr").agg(F.max_by(F.struct("map_pid", "map_start", "pgoff", "map_path", "prot", "build_id", *[c for c in IDENTITY if c in mappings.columns]), F.col("rank")).alias("m"))
+    best = _found(want, mappings).groupBy("file", "pid", "addr").agg(F.max_by(F.struct("map_pid", "map_start", "pgoff", "map_path", "prot", "build_id", *[c for c in IDENTITY if c in mappings.columns]), F.col("rank")).alias("m"))
     out = best.select("file", "pid", "addr", "m.*")
     return out.withColumn("relative", relative_address(F.col("addr"), F.col("map_start"), F.col("pgoff"), F.col("map_path"), F.col("map_pid")))
 
 
-def noise_as_of(frames: DataFrame, mappings: DataFrame) -> DataFrame:
+def noise_as_of(frames: DataFrame, mappings: DataFrame, ord_bits: int = 16, time_bits: int = 32) -> DataFrame:
     """frames (file, pid, addr, id, at) whose mapping at `at`, of those recorded before, is no code: (file, id, addr).
 
     Few addresses ever lie in such a mapping, and only those are looked up again.
+    Mappings meet distinct addresses, not frames: a frame takes the best so far of its
+    address, a running maximum inside a block of the recording's order and one over
+    the blocks before, so the work is that of the pairs plus the frames.
     """
-    noise = mappings.filter(is_dropped_unwind(F.col("path")))
-    some = _found(frames.select("file", "pid", "addr").distinct(), noise, []).select("file", "pid", "addr").distinct()
-    asked = frames.join(some, ["file", "pid", "addr"])
-    timed = mappings.withColumn("m_at", F.struct(order_key(F.coalesce("time", F.lit(0).cast("long"))).alias("time"), F.col("ord").alias("ord")))
-    before = _found(asked, timed, ["id", "at"]).filter(F.col("m_at") < F.col("at"))
-    best = before.groupBy("file", "id", "pid", "addr").agg(F.max_by("map_path", "rank").alias("path"))
-    return best.filter(is_dropped_unwind(F.col("path"))).select("file", "id", "addr")
+    keys = ["file", "pid", "addr"]
+    probe, m, on = _sides(frames.select(*keys).filter("pid is not null").distinct(), mappings.filter(is_dropped_unwind(F.col("path"))))
+    some = probe.join(m, on, "left_semi").select(*keys).distinct()
+    at = F.struct(order_key(F.coalesce("time", F.lit(0).cast("long"))).alias("time"), F.col("ord").alias("ord"))
+    best = F.struct("rank.*", is_dropped_unwind(F.col("map_path")).alias("noise"))
+    found = _found(some, mappings.withColumn("m_at", at)).select(*keys, F.lit(None).cast(frames.schema["id"].dataType).alias("id"), F.col("m_at").alias("at"), F.lit(1).alias("side"), best.alias("best"))
+    asked = frames.join(some, keys).select(*keys, "id", F.col("at").cast(found.schema["at"].dataType).alias("at"), F.lit(0).alias("side"), F.lit(None).cast(found.schema["best"].dataType).alias("best"))
+    # rows without time by number, then the others by time
+    none = F.col("at.time") == order_key(F.lit(0).cast("long"))
+    timed = F.struct(F.shiftright("at.time", time_bits).alias("t"), F.lit(2**62).cast("long").alias("o"))
+    block = F.when(none, F.struct(F.shiftright("at.time", time_bits).alias("t"), F.shiftright("at.ord", ord_bits).alias("o"))).otherwise(timed)
+    rows = asked.unionByName(found).withColumn("block", block)
+    # a mapping counts for what comes after it
+    run = Window.partitionBy(*keys, "block").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*keys, "block").agg(F.max("best").alias("own")).withColumn("before", F.max("own").over(before)).select(*keys, "block", "before")
+    inside = rows.withColumn("inside", F.max("best").over(run)).filter("side = 0")
+    out = inside.join(ends, [*keys, "block"]).filter(F.greatest("inside", "before")["noise"])
+    return out.select("file", "id", "addr").distinct()
 
 
 def is_recording_path(path):

@@ -268,3 +268,43 @@ def test_manifest(tmp_path):
     assert sinks.artifact(str(tmp_path), "manifest").exists() and sinks.artifact("r", "raw", "perf.data").name == "profile.raw.perf.data"
     with pytest.raises(ValueError, match="no colour"):
         sinks.run_manifest(colour=1)
+
+
+def _rows_joined(spark, run) -> int:
+    """The most rows that a join made while run() ran."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList().size()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    made, ran = [0], store.executionsList()
+    for k in range(before, ran.size()):
+        ident = ran.apply(k).executionId()
+        values, nodes = store.executionMetrics(ident), store.planGraph(ident).allNodes()
+        for n in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (n.metrics().apply(i) for i in range(n.metrics().size())) if "Join" in n.name() else ():
+                if m.name() == "number of output rows" and values.get(m.accumulatorId()).isDefined():
+                    made.append(int(values.get(m.accumulatorId()).get().replace(",", "")))
+    return max(made)
+
+
+def test_noise_as_of_is_brute_force_and_pairs_no_frames_with_mappings(spark):
+    rng = random.Random(5)
+    time = lambda: rng.choice([None, 0, rng.randrange(1, 2**34), -rng.randrange(1, 2**34)])
+    paths = ["[heap]", "/lib/a", "//anon", "/x/perf.data"]
+    maps = [(rng.choice("fg"), o, rng.choice([1, 2, 4294967295]), 4096 * rng.randrange(1, 4), rng.choice([64, 4096, 9000]), rng.choice(paths), time()) for o in range(300)]
+    frames = [(rng.choice("fg"), rng.choice([1, 2, 3, None]), 4096 + rng.choice([0, 60, 70, 4096, 9000, 40000]), 1000 + k // 2, time(), rng.randrange(400)) for k in range(1200)]
+    unsigned = lambda x: (x or 0) % 2**64
+    want = set()
+    for file, pid, addr, ident, t, o in frames:
+        best = max(((m[3], m[2] == pid, m[1], m[5]) for m in maps if m[0] == file and pid is not None and m[2] in (pid, 4294967295) and m[3] <= addr < m[3] + m[4] and (unsigned(m[6]), m[1]) < (unsigned(t), o)), default=None)
+        if best and best[3] != "/lib/a":
+            want.add((file, ident, addr))
+    m = spark.createDataFrame(maps, "file string, ord long, pid long, start long, len long, path string, time long").selectExpr("*", "0L as pgoff", "5L as prot", "cast(null as string) as build_id")
+    f = spark.createDataFrame(frames, "file string, pid long, addr long, id long, time long, ord long").withColumn("at", F.struct(*timeline.replay_order()))
+    for bits in ({}, {"ord_bits": 4, "time_bits": 30}):
+        got = [tuple(r) for r in mappings.noise_as_of(f, m, **bits).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    # 2,000 frames at one address in 200 mappings
+    m = spark.range(200).selectExpr("'f' as file", "id as ord", "1L as pid", "4096L as start", "64L as len", "if(id % 2 = 0, '[heap]', '/lib/a') as path", "cast(null as long) as time", "0L as pgoff", "5L as prot", "cast(null as string) as build_id")
+    f = spark.range(2000).selectExpr("'f' as file", "1L as pid", "4100L as addr", "id", "cast(null as long) as time", "id as ord").withColumn("at", F.struct(*timeline.replay_order()))
+    assert _rows_joined(spark, lambda: mappings.noise_as_of(f, m).collect()) <= 2 * 2200
