@@ -19,6 +19,8 @@ from stackloom.llm.scratch import Scratch, opened, release
 from stackloom.llm.session import table
 from stackloom.llm.token_packing import pack_tokens
 
+#: Texts go to Python workers in batches of this size at most (the default of 64 MB stands several times in an executor: as rows, as vectors and in the worker).
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 #: The pipeline's near-duplicate stage: five-word shingles, similarity of 0.8 or more.
 SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
 
@@ -68,12 +70,22 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_tokens(docs)
 
 
+def bounded(stage):
+    """The stage with BATCH_BYTES in its session, also when its result is written."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(BATCH, BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality rules", clean),
-    ("near duplicates", deduplicate),
-    ("decontamination", remove_leaks),
-    ("source mixing", mix_sources),
-    ("token packing", pack),
+    ("quality rules", bounded(clean)),
+    ("near duplicates", bounded(deduplicate)),
+    ("decontamination", bounded(remove_leaks)),
+    ("source mixing", bounded(mix_sources)),
+    ("token packing", bounded(pack)),
 ]
 
 #: A latent-space search and a tokenizer are beyond SQL; tests hold run() against a brute-force version.
@@ -83,10 +95,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs, own = table(spark, sf_dir, "documents"), opened()
-    for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.write(stage(spark, docs, sf_dir), f"stage_{k}")
-        # a stage's own tables, and its input, are not needed once its output is written
-        release(spark, own)
-        if k:
-            scratch.drop(f"stage_{k - 1}")
+    before = spark.conf.get(BATCH)
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            docs = scratch.write(stage(spark, docs, sf_dir), f"stage_{k}")
+            # a stage's own tables, and its input, are not needed once its output is written
+            release(spark, own)
+            if k:
+                scratch.drop(f"stage_{k - 1}")
+    finally:
+        spark.conf.set(BATCH, before)
     return docs

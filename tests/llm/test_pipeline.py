@@ -64,3 +64,20 @@ def test_stages_of_awkward_and_empty_tables(spark, sf_dir):
         assert docs.columns[-2:] == ["quality", "size"] and docs.filter("quality <> 'own' or text is null").count() == 0
         assert stage(spark, empty, sf_dir).count() == 0
     assert docs.count() > 0 and P.pack(spark, docs, sf_dir).count() > 0 and P.pack(spark, empty, sf_dir).count() == 0
+
+
+def test_stages_give_python_bounded_batches(spark, sf_dir):
+    """40 MB of text in one partition: 8 MB and a row at most in a batch, also in a result that is written later."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    docs = spark.range(0, 8000, 1, 1).select(F.repeat(F.lit("word "), 1000).alias("text"))
+    before = spark.conf.get(P.BATCH)
+    try:
+        found = P.bounded(lambda s, d, _: d.mapInArrow(sizes, "n long"))(spark, docs, sf_dir).collect()
+    finally:
+        spark.conf.set(P.BATCH, before)
+    assert sum(r.n for r in found) >= 40_000_000 and max(r.n for r in found) < 9 << 20
