@@ -18,7 +18,8 @@ def enclosing(requests: DataFrame, functions: DataFrame) -> DataFrame:
     want = I.probed(want.join(I.levels_of(f, "object"), "object"), F.col("addr"))
     f = f.select(F.col("object").alias("f_object"), "unit", "die", "until", "depth", "inlined", "low", "high", "name", "linkage", "i_level", "i_bucket")
     on = (F.col("object") == F.col("f_object")) & (F.col("p_level") == F.col("i_level")) & (F.col("p_bucket") == F.col("i_bucket")) & within(F.col("low"), F.col("high"), F.col("addr"))
-    return want.join(f, on).drop("f_object", "p_level", "p_bucket", "i_level", "i_bucket")
+    # functions multiply behind the size that is known of their source, so they are never broadcast
+    return want.join(f.hint("merge"), on).drop("f_object", "p_level", "p_bucket", "i_level", "i_bucket")
 
 
 def _start(done: Column, any_: Column, x: Column) -> Column:

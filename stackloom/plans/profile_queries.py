@@ -442,7 +442,9 @@ _INLINE_ASKED = "asked AS (SELECT DISTINCT object, base + (event_id * 37) % 1100
 SELECT object, addr, base_name AS base, CASE WHEN len(chain) > 1 OR name <> base_name THEN array_to_string(chain, ';') END AS names, array_to_string(chain, ';') AS linked FROM chains""")
 def inline_frames(spark: SparkSession, d: str) -> DataFrame:
     fn = V.parts(spark, d).selectExpr("concat('/lib/', p_brand) as object", "p_partkey as k", "p_partkey * 4096 as base", "p_name as name")
-    asked = V.events(spark, d).join(fn, F.expr("k = 1 + event_id % 500")).selectExpr("object", "base + (event_id * 37) % 1100 as addr", "case event_id % 3 when 0 then name when 1 then 'alias' end as base")
+    # parts pack so well in their file that they would be broadcast, however many they are
+    places = V.events(spark, d).selectExpr("1 + event_id % 500 as of", "(event_id * 37) % 1100 as place", "event_id % 3 as kind").distinct()
+    asked = places.join(fn.hint("merge"), F.expr("k = of")).selectExpr("object", "base + place as addr", "case kind when 0 then name when 1 then 'alias' end as base")
     rows = "inline(array(" + ", ".join(
         f"struct(k % 3L as unit, k * 100 + {die}L as die, k * 100 + {until}L as until, {depth} as depth, {inlined} as inlined, base + {low} as low, base + {high} as high, {name} as name)"
         for die, until, depth, inlined, low, high, name in [

@@ -233,3 +233,13 @@ def test_objects_that_cannot_be_loaded(tmp_path):
     (tmp_path / "text").write_text("no object")
     assert frames.frames_of(str(tmp_path / "text")) is None and frames.frames_of(str(tmp_path / "none")) is None
     assert sleb(-8) == b"\x78"
+
+
+def test_functions_and_parts_are_not_broadcast(spark, sf_dir):
+    """Their number is not what the size of their file tells."""
+    from stackloom.plans.profile_queries import inline_frames
+
+    plan = inline_frames(spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x]
+    # those with parts and with functions
+    assert sum("SortMergeJoin" in x for x in joins) == 2, joins
